@@ -38,7 +38,7 @@ def split_statements(sql: Column) -> Column:
     """The statements of a batch, without comments, literals and repeated blanks."""
     bare = F.regexp_replace(sql, QUOTED, " $1 ")
     tidy = F.regexp_replace(F.regexp_replace(bare, r"\s+", " "), r" ?\. ?", ".")
-    return F.filter(F.transform(F.split(tidy, ";"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(tidy, ";"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def _parts(statement: Column) -> Column:
@@ -47,7 +47,7 @@ def _parts(statement: Column) -> Column:
     return F.struct(
         statement.alias("text"),
         F.upper(F.regexp_extract(statement, VERB, 1)).alias("operation"),
-        F.transform(targets, F.trim).alias("names"),
+        F.transform(targets, lambda n: F.trim(n)).alias("names"),
         F.regexp_replace(statement, IDENTIFIER, "").rlike(UNCLOSED).alias("unclosed"),
     )
 

@@ -16,7 +16,7 @@ def value_set_drift(column: str, name: str = "value_set_drift") -> Check:
         counts = side_counts(prod, sbx, [column])
         return counts.where((F.col("sbx_n") > 0) & (F.col("prod_n") == 0)).select(
             F.col(column).alias("new_value"), F.lit("not present in production").alias("issue")
-        )
+        ).orderBy("new_value")
 
     return Check(name, compare, f"no new values of {column}")
 

@@ -7,7 +7,7 @@ styles: rows carrying a ``status`` of PASS / FAIL, or violation rows (none = PAS
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from drydock.operators.sides import pair_row
 
 RowsFn = Callable[[DataFrame, DataFrame], DataFrame]
-OutputsFn = Callable[[], Mapping[str, Column]]
+ColumnsFn = Callable[[], Mapping[str, Column]]
 
 
 @dataclass(frozen=True)
@@ -40,15 +40,16 @@ class ScalarCheck(Check):
 
     ``measures`` are computed once per side; ``outputs`` turns the resulting
     ``prod_<m>`` / ``sbx_<m>`` columns into the check's columns. Several scalar
-    checks over one pair of tables can therefore share a single pass.
+    checks over one pair of tables can therefore share a single pass. Both are
+    functions, so that a check can be defined before there is a Spark session.
     """
 
     compare: RowsFn | None = None
-    measures: Mapping[str, Column] = field(default_factory=dict)
-    outputs: OutputsFn | None = None
+    measures: ColumnsFn = dict
+    outputs: ColumnsFn = dict
 
     def rows(self, prod: DataFrame, sbx: DataFrame) -> DataFrame:
-        return pair_row(prod, sbx, self.measures).select(
+        return pair_row(prod, sbx, self.measures()).select(
             *[value.alias(name) for name, value in self.outputs().items()]
         )
 

@@ -47,7 +47,7 @@ def sum_comparison(
     return ScalarCheck(
         name,
         description=f"sum of {column} within {pct}% of production",
-        measures={f"sum_{column}": exact_sum(column, scale)},
+        measures=lambda: {f"sum_{column}": exact_sum(column, scale)},
         outputs=lambda: _drift(column, pct, "sum", abs_denominator),
     )
 
@@ -60,11 +60,15 @@ def mean_drift(
     name: str = "mean_drift",
 ) -> ScalarCheck:
     """The column's mean drifts by at most ``pct`` percent (signed base, as for sums)."""
-    mean = exact_sum(column, scale) / F.nullif(F.count(column), F.lit(0))
+
+    def measures():
+        rows = F.nullif(F.count(column), F.lit(0))
+        return {f"avg_{column}": exact_sum(column, scale) / rows}
+
     return ScalarCheck(
         name,
         description=f"mean of {column} within {pct}% of production",
-        measures={f"avg_{column}": mean},
+        measures=measures,
         outputs=lambda: _drift(column, pct, "avg", abs_denominator),
     )
 
@@ -88,6 +92,6 @@ def min_max_bounds(
     return ScalarCheck(
         name,
         description=f"{column} stays within production's range (maximum x {headroom})",
-        measures={f"min_{column}": F.min(column), f"max_{column}": F.max(column)},
+        measures=lambda: {f"min_{column}": F.min(column), f"max_{column}": F.max(column)},
         outputs=outputs,
     )

@@ -30,7 +30,7 @@ def row_count_comparison(
     return ScalarCheck(
         name,
         description=description or f"row count within {pct}% of production",
-        measures={"rows": F.count(F.lit(1))},
+        measures=lambda: {"rows": F.count(F.lit(1))},
         outputs=outputs,
     )
 

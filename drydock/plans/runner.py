@@ -98,7 +98,7 @@ def grade_scalars(
     checks: Sequence[tuple[int, ScalarCheck]], prod: DataFrame, sbx: DataFrame
 ) -> DataFrame:
     """Graded rows of many scalar checks from one pass over each table."""
-    measures = {name: agg for _, check in checks for name, agg in check.measures.items()}
+    measures = {name: agg for _, check in checks for name, agg in check.measures().items()}
     row = pair_row(prod, sbx, measures)
 
     def graded(position: int, check: ScalarCheck) -> Column:
@@ -125,7 +125,7 @@ def failed_check(
     spark: SparkSession, check: Check, position: int, error: Exception
 ) -> DataFrame:
     """The graded row of a check that could not be run."""
-    message = str(error)
+    message = str(error).split("\n", 1)[0]
     row = (position, check.name, "FAIL", f"Query error: {message}", check.expected, message)
     return spark.createDataFrame([row], GRADED)
 
