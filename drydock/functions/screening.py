@@ -37,7 +37,7 @@ DDL = ["ALTER", "DROP", "CREATE", "CREATE OR REPLACE", "TRUNCATE"]
 def split_statements(sql: Column) -> Column:
     """The statements of a batch, without comments, literals and repeated blanks."""
     bare = F.regexp_replace(sql, QUOTED, " $1 ")
-    tidy = F.regexp_replace(F.regexp_replace(bare, r"\s+", " "), r" ?\. ?", ".")
+    tidy = F.regexp_replace(F.regexp_replace(bare, r"\s{2,}|[^\S ]", " "), r" \. ?|\. ", ".")
     return F.filter(F.transform(F.split(tidy, ";"), lambda s: F.trim(s)), lambda s: s != "")
 
 

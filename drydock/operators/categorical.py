@@ -21,14 +21,17 @@ def value_set_drift(column: str, name: str = "value_set_drift") -> Check:
     return Check(name, compare, f"no new values of {column}")
 
 
-def share_of_total(counts: DataFrame, count_column: str) -> Column:
-    """Each count as a percentage of their sum.
+def share_of_total(counts: DataFrame, *count_columns: str) -> list[Column]:
+    """Each count as a percentage of its column's sum.
 
-    The total is a scalar subquery, not a window over all rows: that window would
-    bring every group into one task.
+    The totals are one scalar subquery, not windows over all rows: those would bring
+    every group into one task. The subquery reads the same columns as the counts, so
+    the shuffle behind them is done once.
     """
-    total = counts.agg(F.sum(count_column)).scalar()
-    return F.round(F.col(count_column) * F.lit(100.0) / F.nullif(total, F.lit(0)), 2)
+    total = counts.agg(F.struct(*[F.sum(c).alias(c) for c in count_columns])).scalar()
+    return [
+        F.round(F.col(c) * F.lit(100.0) / F.nullif(total[c], F.lit(0)), 2) for c in count_columns
+    ]
 
 
 def distribution_shift(
@@ -42,10 +45,11 @@ def distribution_shift(
 
     def compare(prod: DataFrame, sbx: DataFrame) -> DataFrame:
         counts = side_counts(prod, sbx, [column])
+        prod_share, sbx_share = share_of_total(counts, "prod_n", "sbx_n")
         shares = counts.select(
             F.col(column).alias("category_value"),
-            F.coalesce(share_of_total(counts, "prod_n"), F.lit(0.0)).alias("prod_pct"),
-            F.coalesce(share_of_total(counts, "sbx_n"), F.lit(0.0)).alias("sbx_pct"),
+            F.coalesce(prod_share, F.lit(0.0)).alias("prod_pct"),
+            F.coalesce(sbx_share, F.lit(0.0)).alias("sbx_pct"),
         )
         shift = F.abs(F.col("sbx_pct") - F.col("prod_pct"))
         return shares.select(

@@ -29,7 +29,12 @@ SCHEMAS = {
         " result string, expected string, detail string, run_at timestamp, run_date date"
     ),
 }
-PARTITIONS = {"quality_results": ["run_date"]}
+# The folders in which a reader finds the few rows it wants without listing the rest.
+PARTITIONS = {
+    "sandboxes": ["sandbox_name"],
+    "transformations": ["sandbox_name"],
+    "quality_results": ["run_date"],
+}
 
 
 class Ledger:
@@ -43,15 +48,14 @@ class Ledger:
         """Add rows; a handful of records becomes one small file."""
         if not isinstance(rows, DataFrame):
             rows = self.spark.createDataFrame(list(rows), SCHEMAS[table]).coalesce(1)
-        rows.write.mode("append").partitionBy(*PARTITIONS.get(table, [])).parquet(
-            f"{self.root}/{table}"
-        )
+        rows.write.mode("append").partitionBy(*PARTITIONS[table]).parquet(f"{self.root}/{table}")
 
-    def read(self, table: str) -> DataFrame:
-        """All rows ever appended (none if the ledger has not been started)."""
-        schema = SCHEMAS[table]
+    def read(self, table: str, folder: str | None = None) -> DataFrame:
+        """All rows ever appended, or those of one partition; none if there are none yet."""
+        schema, base = SCHEMAS[table], f"{self.root}/{table}"
+        path = f"{base}/{PARTITIONS[table][0]}={folder}" if folder else base
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/{table}")
+            return self.spark.read.schema(schema).option("basePath", base).parquet(path)
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise

@@ -20,6 +20,7 @@ from drydock.plans.ledger import Ledger
 RESULT_ROWS = 10
 DETAIL_ROWS = 3
 NO_ROWS = "(no violations found)"
+TRAILING = r"r'(\.\d+?)0*$', '$1'"  # zeros after the last decimal place but one
 
 GRADED = "position int, `check` string, status string, result string, expected string, detail string"
 
@@ -52,19 +53,26 @@ def _failing(df: DataFrame, strict: bool = False) -> Column:
     return F.coalesce(value == "FAIL", F.lit(False))
 
 
-def _shown(name: str, value: Column, data_type: T.DataType) -> Column:
-    """``name=value``, with doubles written out instead of in powers of ten."""
-    text = value.cast("string")
-    if isinstance(data_type, (T.DoubleType, T.FloatType)):
-        plain = F.regexp_replace(value.cast("decimal(38,6)").cast("string"), r"(\.\d+?)0*$", "$1")
-        text = F.when(F.abs(value).between(1e7, 1e15), plain).otherwise(text)
-    return F.concat(F.lit(f"{name}="), F.coalesce(text, F.lit("None")))
+def row_text(schema: T.StructType, within: str = "") -> Column:
+    """A row as ``a=1, b=x``; doubles are written out instead of in powers of ten.
+
+    ``within`` names a struct column that holds the fields. One SQL expression: wide
+    rows would need hundreds of calls to build it column by column.
+    """
+    def shown(field: T.StructField) -> str:
+        value = f"{within}.{_quoted(field.name)}" if within else _quoted(field.name)
+        text = f"cast({value} as string)"
+        if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+            plain = f"regexp_replace(cast(cast({value} as decimal(38,6)) as string), {TRAILING})"
+            text = f"if(abs({value}) between 1e7 and 1e15, {plain}, {text})"
+        label = field.name.replace("\\", "\\\\").replace("'", "\\'")
+        return f"concat('{label}=', coalesce({text}, 'None'))"
+
+    return F.expr(f"concat_ws(', ', {', '.join(map(shown, schema))})")
 
 
-def row_text(schema: T.StructType) -> Column:
-    """A row as ``a=1, b=x``."""
-    parts = [_shown(f.name, F.col(f"`{f.name}`"), f.dataType) for f in schema]
-    return F.concat_ws(", ", *parts)
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def _first_rows(df: DataFrame, limit: int) -> Column:
@@ -99,16 +107,15 @@ def grade_scalars(
 ) -> DataFrame:
     """Graded rows of many scalar checks from one pass over each table."""
     measures = {name: agg for _, check in checks for name, agg in check.measures().items()}
-    row = pair_row(prod, sbx, measures)
+    outputs = pair_row(prod, sbx, measures).select([
+        F.struct(*[v.alias(name) for name, v in check.outputs().items()]).alias(f"_{position}")
+        for position, check in checks
+    ])
 
     def graded(position: int, check: ScalarCheck) -> Column:
-        outputs = check.outputs()
-        types = {f.name: f.dataType for f in row.select(
-            *[value.alias(name) for name, value in outputs.items()]).schema}
-        text = F.concat_ws(
-            ", ", *[_shown(name, value, types[name]) for name, value in outputs.items()]
-        )
-        status = outputs["status"]
+        column = f"_{position}"
+        status = F.col(f"{column}.status")
+        text = row_text(outputs.schema[column].dataType, within=column)
         return F.struct(
             F.lit(position).alias("position"),
             F.lit(check.name).alias("check"),
@@ -118,7 +125,7 @@ def grade_scalars(
             F.when(status == "FAIL", text).otherwise("").alias("detail"),
         )
 
-    return row.select(F.inline(F.array(*[graded(p, c) for p, c in checks])))
+    return outputs.select(F.inline(F.array(*[graded(p, c) for p, c in checks])))
 
 
 def failed_check(
@@ -139,21 +146,34 @@ def plan_suite(prod: DataFrame, sbx: DataFrame, checks: Sequence[Check]) -> Data
     """
     if not checks:
         raise ValueError("no quality checks defined")
-    frames, scalars = [], []
-    for position, check in enumerate(checks):
-        try:
-            if isinstance(check, ScalarCheck):
-                check.rows(prod, sbx)
-                scalars.append((position, check))
-            else:
-                frames.append(grade(check, prod, sbx, position))
-        except PySparkException as error:
-            frames.append(failed_check(prod.sparkSession, check, position, error))
-    if scalars:
-        frames.insert(0, grade_scalars(scalars, prod, sbx))
+    numbered = list(enumerate(checks))
+    frames = _try_grade(
+        [(p, c) for p, c in numbered if isinstance(c, ScalarCheck)], grade_scalars, prod, sbx
+    )
+    for position, check in numbered:
+        if not isinstance(check, ScalarCheck):
+            frames += _try_grade([(position, check)], _grade_one, prod, sbx)
     return reduce(DataFrame.unionByName, frames)
 
 
+def _grade_one(checks, prod: DataFrame, sbx: DataFrame) -> DataFrame:
+    [(position, check)] = checks
+    return grade(check, prod, sbx, position)
+
+
+def _try_grade(checks, how, prod: DataFrame, sbx: DataFrame) -> list[DataFrame]:
+    """Grade checks together; if they don't analyse, single out those that fail."""
+    if not checks:
+        return []
+    try:
+        return [how(checks, prod, sbx)]
+    except PySparkException as error:
+        if len(checks) == 1:
+            [(position, check)] = checks
+            return [failed_check(prod.sparkSession, check, position, error)]
+    return [frame for one in checks for frame in _try_grade([one], how, prod, sbx)]
+
+
 def run_checks(
     prod: DataFrame,
     sbx: DataFrame,
@@ -187,7 +207,7 @@ def run_checks(
     ]
     ledger = ledger or Ledger(spark)
     ledger.append("quality_results", records)
-    return ledger.read("quality_results").where(F.col("run_id") == run["run_id"])
+    return ledger.read("quality_results", str(run_at.date())).where(F.col("run_id") == run["run_id"])
 
 
 def _run_alone(prod: DataFrame, sbx: DataFrame, check: Check, position: int) -> list:

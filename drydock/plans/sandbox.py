@@ -85,7 +85,8 @@ class SandboxStore:
 
     def get(self, sandbox_name: str) -> Sandbox:
         """The named sandbox's latest version, or an error if there is none."""
-        rows = self.current().where(F.col("sandbox_name") == sandbox_name).head(1)
+        name = validate_identifier(sandbox_name, "sandbox")
+        rows = self._newest(self.ledger.read("sandboxes", name)).head(1)
         if not rows:
             raise ValueError(f"no sandbox named {sandbox_name!r}; create it first")
         row = rows[0].asDict()
@@ -101,26 +102,31 @@ class SandboxStore:
 
     def current(self) -> DataFrame:
         """One ledger row per sandbox that has not been dropped."""
-        versions = self.ledger.read("sandboxes")
+        return self._newest(self.ledger.read("sandboxes"))
+
+    def _newest(self, versions: DataFrame) -> DataFrame:
         newest = latest_per_key(
             versions, ["sandbox_name"], "recorded_at", F.desc("dropped"), F.desc("version")
         )
         return newest.where(~F.col("dropped")).drop("dropped", "recorded_at")
 
-    def read(self, sandbox_name: str) -> DataFrame:
-        """The rows of the current version."""
-        sandbox = self.get(sandbox_name)
-        schema = ", ".join(f"`{name}` {data_type}" for name, data_type in sandbox.columns)
+    def _resolve(self, sandbox: Sandbox | str) -> Sandbox:
+        return sandbox if isinstance(sandbox, Sandbox) else self.get(sandbox)
+
+    def read(self, sandbox: Sandbox | str) -> DataFrame:
+        """The rows of a sandbox: of its current version by name, or of the given version."""
+        version = self._resolve(sandbox)
+        schema = ", ".join(f"`{name}` {data_type}" for name, data_type in version.columns)
         reader = self.spark.read.schema(schema)
-        if sandbox.files is None:
-            return reader.parquet(sandbox.path)
-        if len(sandbox.files) > 1:  # keeps partition columns, which live in folder names
-            reader = reader.option("basePath", sandbox.path)
-        return reader.parquet(*sandbox.files)
+        if version.files is None:
+            return reader.parquet(version.path)
+        if len(version.files) > 1:  # keeps partition columns, which live in folder names
+            reader = reader.option("basePath", version.path)
+        return reader.parquet(*version.files)
 
     def commit(
         self,
-        sandbox_name: str,
+        sandbox: Sandbox | str,
         df: DataFrame,
         operation: str = "REPLACE",
         statement: str | None = None,
@@ -128,10 +134,10 @@ class SandboxStore:
         """Write the next version of a sandbox and log the change that led to it.
 
         Chain any number of rewrites lazily and commit once: each commit costs a
-        full write, and cuts the plan's lineage.
+        full write, and cuts the plan's lineage. Of two commits on top of the same
+        version the second fails, because its version has been written.
         """
-        guard_target(sandbox_name, self.prefix, self.audit)
-        old = self.get(sandbox_name)
+        old = self._resolve(sandbox)
         new = self._write(
             df,
             sandbox_name=old.sandbox_name,
@@ -144,25 +150,26 @@ class SandboxStore:
 
     def transform(
         self,
-        sandbox_name: str,
+        sandbox: Sandbox | str,
         change: Callable[[DataFrame], DataFrame],
         operation: str,
         statement: str | None = None,
     ) -> Sandbox:
-        """Apply a rewrite to the current version and commit the result."""
-        guard_target(sandbox_name, self.prefix, self.audit)
-        return self.commit(sandbox_name, change(self.read(sandbox_name)), operation, statement)
+        """Apply a rewrite and commit the result."""
+        old = self._resolve(sandbox)
+        guard_target(old.sandbox_name, self.prefix, self.audit)
+        return self.commit(old, change(self.read(old)), operation, statement)
 
-    def truncate(self, sandbox_name: str) -> Sandbox:
+    def truncate(self, sandbox: Sandbox | str) -> Sandbox:
         """An empty next version with the same columns."""
-        return self.transform(sandbox_name, lambda df: df.limit(0), "TRUNCATE")
+        return self.transform(sandbox, lambda df: df.limit(0), "TRUNCATE")
 
-    def drop(self, sandbox_name: str) -> None:
+    def drop(self, sandbox: Sandbox | str) -> None:
         """Retire a sandbox in the ledger, then remove the files it owns."""
-        guard_target(sandbox_name, self.prefix, self.audit)
-        old = self.get(sandbox_name)
+        old = self._resolve(sandbox)
+        guard_target(old.sandbox_name, self.prefix, self.audit)
         self._record(**old.__dict__, dropped=True)
-        delete_path(self.spark, f"{self.root}/sandboxes/{sandbox_name}")
+        delete_path(self.spark, f"{self.root}/sandboxes/{old.sandbox_name}")
 
     def _write(
         self, df: DataFrame, sandbox_name: str, source_table: str, created_at: datetime, version: int

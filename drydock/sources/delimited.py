@@ -42,16 +42,29 @@ def _separator(header: str) -> str:
     return max(SEPARATORS, key=header.count)
 
 
-def _fits(column: Column, data_type: str) -> Column:
-    """Whether all values can be read as the type."""
-    parsed = column.rlike(TEXT_FORMS[data_type]) & column.try_cast(data_type).isNotNull()
-    return F.coalesce(F.every(column.isNull() | parsed), F.lit(True))
+def _kind(column: Column) -> Column:
+    """A bit for the narrowest type that can read the value; NULL for no value."""
+    bit = F.when(column.isNull(), F.lit(None))
+    for i, (data_type, form) in enumerate(TEXT_FORMS.items()):
+        fits = column.rlike(form) & column.try_cast(data_type).isNotNull()
+        bit = bit.when(fits, F.lit(1 << i))
+    return bit.otherwise(F.lit(1 << len(TEXT_FORMS)))
+
+
+def _common_type(kinds: int | None) -> str:
+    """The type that reads every value, given the bits of all their kinds."""
+    for widest, *narrower in (["boolean"], ["bigint"], ["double", "bigint"], ["date"],
+                              ["timestamp_ntz", "date"]):
+        allowed = sum(1 << i for i, t in enumerate(TEXT_FORMS) if t in [widest, *narrower])
+        if kinds and not kinds & ~allowed:
+            return widest
+    return "string"
 
 
 def infer_schema(spark: SparkSession, path: str, sep: str, multiline: bool) -> T.StructType | None:
     """Column types from all values, in one pass; None if lines have the wrong shape.
 
-    The first of boolean, bigint, double, date, timestamp that fits every value is
+    The first of boolean, bigint, double, date, timestamp that reads every value is
     taken, else (or if there are no values) string.
     """
     names = _reader(spark, sep, multiline).csv(path).columns
@@ -61,20 +74,12 @@ def infer_schema(spark: SparkSession, path: str, sep: str, multiline: bool) -> T
         .option("columnNameOfCorruptRecord", CORRUPT).schema(text).csv(path)
     )
     facts = [F.count(CORRUPT).alias("malformed")]
-    for i, name in enumerate(names):
-        value = F.col(f"`{name}`")
-        facts.append(F.count(value).alias(f"n_{i}"))
-        facts += [_fits(value, t).alias(f"{t}_{i}") for t in TEXT_FORMS]
+    facts += [F.bit_or(_kind(F.col(f"`{n}`"))).alias(f"kinds_{i}") for i, n in enumerate(names)]
     found = raw.agg(*facts).first()
     if found["malformed"]:
         return None
     return T.StructType([
-        T.StructField(
-            name,
-            T.DataType.fromDDL(
-                next((t for t in TEXT_FORMS if found[f"n_{i}"] and found[f"{t}_{i}"]), "string")
-            ),
-        )
+        T.StructField(name, T.DataType.fromDDL(_common_type(found[f"kinds_{i}"])))
         for i, name in enumerate(names)
     ])
 

@@ -195,7 +195,8 @@ def share_of_total(spark, sf_dir):
     counts = load(spark, sf_dir, "events").groupBy("event_type").agg(
         F.count(F.lit(1)).alias("n")
     )
-    return counts.select("event_type", "n", categorical.share_of_total(counts, "n").alias("pct"))
+    (share,) = categorical.share_of_total(counts, "n")
+    return counts.select("event_type", "n", share.alias("pct"))
 
 
 def top_violations(spark, sf_dir):

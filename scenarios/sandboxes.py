@@ -13,7 +13,7 @@ from scenarios.base import MARKED_UP, Scenario, load, marked_up, orders, trimmed
 def clone(table):
     def run(spark, sf_dir):
         store = SandboxStore(spark)
-        return store.read(store.create(table, load(spark, sf_dir, table)).sandbox_name)
+        return store.read(store.create(table, load(spark, sf_dir, table)))
 
     return run
 
@@ -22,25 +22,24 @@ def pin(spark, sf_dir):
     """A snapshot that copies nothing, read through a lazy change."""
     store = SandboxStore(spark)
     sandbox = store.pin("orders", f"{sf_dir}/orders.parquet")
-    return marked_up(store.read(sandbox.sandbox_name))
+    return marked_up(store.read(sandbox))
 
 
 def replace(spark, sf_dir):
     """Two committed changes on top of a clone."""
     store = SandboxStore(spark)
-    name = store.create("orders", orders(spark, sf_dir)).sandbox_name
-    store.transform(name, marked_up, "UPDATE")
-    store.transform(name, trimmed, "DELETE")
-    return store.read(name)
+    sandbox = store.create("orders", orders(spark, sf_dir))
+    sandbox = store.transform(sandbox, marked_up, "UPDATE")
+    sandbox = store.transform(sandbox, trimmed, "DELETE")
+    return store.read(sandbox.sandbox_name)
 
 
 def truncate(spark, sf_dir):
     """Row counts of the clone and of its truncated version."""
     store = SandboxStore(spark)
-    name = store.create("orders", orders(spark, sf_dir)).sandbox_name
-    before = store.read(name)
-    store.truncate(name)
-    after = store.read(name)
+    sandbox = store.create("orders", orders(spark, sf_dir))
+    before = store.read(sandbox)
+    after = store.read(store.truncate(sandbox))
     return before.agg(F.count(F.lit(1)).alias("n_before")).withColumn(
         "n_after", after.agg(F.count(F.lit(1))).scalar()
     ).withColumn("n_columns", F.lit(len(after.columns)))
