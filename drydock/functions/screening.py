@@ -115,8 +115,9 @@ def screen_log(
 def screen_statements(log: DataFrame, id_column: str, sql_column: str, **names: str) -> DataFrame:
     """One row per statement: id, position, finding and the verdict of its batch."""
     screened = screen_log(log, sql_column, **names)
-    return screened.select(
-        id_column, F.col("verdict").alias("batch_verdict"), F.posexplode("findings")
-    ).select(
-        id_column, (F.col("pos") + 1).alias("statement_no"), "col.*", "batch_verdict"
-    )
+    # An inner explode would make the optimizer filter on the findings before it, and so
+    # compute them twice.
+    each = screened.select(
+        id_column, F.col("verdict").alias("batch_verdict"), F.posexplode_outer("findings")
+    ).where(F.col("pos").isNotNull())
+    return each.select(id_column, (F.col("pos") + 1).alias("statement_no"), "col.*", "batch_verdict")

@@ -76,9 +76,16 @@ def _quoted(name: str) -> str:
 
 
 def _first_rows(df: DataFrame, limit: int) -> Column:
-    """The first rows' texts (at most ``limit`` of them) as a scalar subquery."""
-    texts = df.select(row_text(df.schema).alias("text")).limit(limit)
-    return texts.agg(F.concat_ws("; ", F.collect_list("text"))).scalar()
+    """The first rows' texts (at most ``limit`` of them) as a scalar subquery.
+
+    The limit sits right on the check's sort, which makes it a top-k; the row numbers
+    keep the order while the few texts are gathered.
+    """
+    texts = df.limit(limit).select(
+        F.monotonically_increasing_id().alias("i"), row_text(df.schema).alias("text")
+    )
+    ordered = F.sort_array(F.collect_list(F.struct("i", "text")))["text"]
+    return texts.agg(F.concat_ws("; ", ordered)).scalar()
 
 
 def _with_rest(text: Column, count: Column, limit: int) -> Column:
