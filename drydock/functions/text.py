@@ -21,7 +21,7 @@ def rewrite_to_production(
     are replaced as well.
     """
     def whole_name(name: Column) -> Column:
-        escaped = F.regexp_replace(name, r"\.", r"\\\\.")
+        escaped = F.regexp_replace(name, r"\.", r"\\.")
         return F.concat(F.lit(r"(?i)\b"), escaped, F.lit(r"\b"))
 
     qualified = F.concat_ws(".", schema, sandbox_name)

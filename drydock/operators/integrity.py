@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from drydock.operators.check import Check
-from drydock.operators.sides import side_counts
+from drydock.operators.sides import distinct_keys, on_key, side_counts
 
 
 def uniqueness_on_keys(*keys: str, name: str = "uniqueness_on_keys") -> Check:
@@ -63,10 +63,8 @@ def referential_completeness(
 
     def compare(prod: DataFrame, sbx: DataFrame) -> DataFrame:
         if limit is None:
-            kept = sbx.select(key).distinct()
-            return prod.select(key).join(kept, key, "left_anti").select(
-                F.col(key).alias("missing_from_sandbox")
-            )
+            lost = prod.join(distinct_keys(sbx, [key]), on_key([key]), "left_anti")
+            return lost.select(F.col(key).alias("missing_from_sandbox"))
         first = F.col("missing_from_sandbox").asc_nulls_first()
         lost = (
             side_counts(prod, sbx, [key])

@@ -1,7 +1,7 @@
-"""Bringing two tables together without joining their rows.
+"""Bringing two tables together without one task getting a hot key or a whole table.
 
-Both helpers reduce each side before anything is shuffled, so neither a hot key
-nor a huge table ends up in one task.
+``pair_row`` and ``side_counts`` reduce each side before anything is shuffled.
+``distinct_keys`` is for the joins that do need whole rows.
 """
 
 from __future__ import annotations
@@ -48,3 +48,19 @@ def side_counts(prod: DataFrame, sbx: DataFrame, keys: Sequence[str]) -> DataFra
         .agg(F.sum("_p").alias("prod_n"), F.sum("_s").alias("sbx_n"))
         .drop("_null_side")
     )
+
+
+def distinct_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The distinct keys, as one struct column ``_key``.
+
+    Adaptive execution splits a hot key of a join only if both inputs come straight
+    from a shuffle made for that join. Keys made distinct by their own columns would be
+    joined where they lie; keys made distinct as a struct are shuffled again when
+    they are joined on its fields, so the other side's hot keys can be split.
+    """
+    return df.select(F.struct(*keys).alias("_key")).distinct()
+
+
+def on_key(left: Sequence[str], right: Sequence[str] | None = None) -> list[Column]:
+    """Join conditions of columns with the fields of ``_key``."""
+    return [F.col(mine) == F.col(f"_key.{key}") for mine, key in zip(left, right or left)]

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from drydock.operators.sides import distinct_keys, on_key
+
 Value = Column | int | float | str | bool | None
 
 
@@ -96,9 +98,8 @@ def merge(
     if insert is False:
         return kept
 
-    source_keys = source.select(*keys).distinct()
-    taken = df.select(*keys).distinct().join(source_keys, keys, "left_semi")
-    fresh = source.join(taken, keys, "left_anti").alias("s")
+    taken = distinct_keys(df, keys).join(distinct_keys(source, keys), "_key", "left_semi")
+    fresh = source.join(taken, on_key(keys), "left_anti").alias("s")
     values = {c: F.col(f"s.`{c}`") for c in source.columns} if insert is True else insert
     rows = fresh.select(
         [_as_column(values.get(f.name)).cast(f.dataType).alias(f.name) for f in df.schema]
@@ -114,11 +115,10 @@ def _merge_matched(
     update_where: Column | None,
     delete_where: Column | None,
 ) -> DataFrame:
-    per_key = source.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(
+    per_key = source.groupBy(F.struct(*keys).alias("_key")).agg(
         F.first(F.struct(*source.columns)).alias("s"), F.count(F.lit(1)).alias("_copies")
     )
-    same_key = [F.col(f"t.{k}") == F.col(f"_k_{k}") for k in keys]
-    joined = df.alias("t").join(per_key, same_key, "left")
+    joined = df.alias("t").join(per_key, on_key([f"t.{k}" for k in keys], keys), "left")
     matched = F.when(
         F.col("_copies") > 1,
         F.raise_error("MERGE: a target row matches more than one source row").cast("boolean"),
@@ -172,18 +172,17 @@ def update_from_join(
 ) -> DataFrame:
     """Assign columns from the lookup row with an equal key; other rows stay as they are.
 
-    ``on`` maps table columns to lookup columns. Expressions name ``t.<column>`` and
-    ``s.<column>``. If the lookup repeats a key, its first row in ``order`` (default:
+    ``on`` maps table columns to lookup columns. Expressions (``order`` included) name
+    ``t.<column>`` and ``s.<column>``. If the lookup repeats a key, its first row in ``order`` (default:
     all its columns) is used, so rows never fan out.
     """
     _require(df, set)
-    unique = deduplicate(lookup, list(on.values()), list(order) or lookup.columns)
-    side = unique.select(
-        F.struct(*lookup.columns).alias("s"),
-        *[F.col(c).alias(f"_k_{c}") for c in on.values()],
+    keyed = lookup.select(
+        F.struct(*on.values()).alias("_key"), F.struct(*lookup.columns).alias("s")
     )
-    same_key = [F.col(f"t.{mine}") == F.col(f"_k_{theirs}") for mine, theirs in on.items()]
-    joined = df.alias("t").join(side, same_key, "left")
+    first = [F.col(f"s.{c}") if isinstance(c, str) else c for c in order or lookup.columns]
+    side = deduplicate(keyed, ["_key"], first)
+    joined = df.alias("t").join(side, on_key([f"t.{c}" for c in on], list(on.values())), "left")
     found = F.col("s").isNotNull()
 
     def new_value(field: T.StructField) -> Column:
@@ -198,14 +197,9 @@ def update_from_join(
 
 def flag_members(df: DataFrame, members: DataFrame, on: Mapping[str, str], flag: str) -> DataFrame:
     """Add a boolean column: whether the row's key occurs among ``members``."""
-    side = members.select(
-        *[F.col(theirs).alias(f"_k_{theirs}") for theirs in on.values()]
-    ).distinct()
-    same_key = [F.col(mine) == F.col(f"_k_{theirs}") for mine, theirs in on.items()]
-    found = F.col(f"_k_{next(iter(on.values()))}").isNotNull()
-    return df.join(side, same_key, "left").select(
-        *df.columns, found.alias(flag)
-    )
+    side = distinct_keys(members, list(on.values()))
+    joined = df.join(side, on_key(list(on), list(on.values())), "left")
+    return joined.select(*df.columns, F.col("_key").isNotNull().alias(flag))
 
 
 def _require(df: DataFrame, assignments: Mapping[str, object]) -> None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from drydock.operators.check import Check, ScalarCheck, pass_if
-from drydock.operators.sides import side_counts
+from drydock.operators.sides import distinct_keys, on_key, side_counts
 
 
 def row_count_comparison(
@@ -52,8 +52,8 @@ def new_rows_inspection(
 
     def compare(prod: DataFrame, sbx: DataFrame) -> DataFrame:
         if limit is None:
-            known = prod.select(key).distinct()
-            return sbx.join(known, key, "left_anti").withColumn("status", F.lit("PASS"))
+            new = sbx.join(distinct_keys(prod, [key]), on_key([key]), "left_anti")
+            return new.withColumn("status", F.lit("PASS"))
         first = F.col(key).asc_nulls_first()
         wanted = (
             side_counts(prod, sbx, [key])

@@ -8,7 +8,7 @@ from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -190,35 +190,31 @@ def run_checks(
     ledger: Ledger | None = None,
     run_id: str | None = None,
 ) -> DataFrame:
-    """Run a suite and return its results (one row per check), recorded if a ledger is given.
+    """Run a suite, record its results (one row per check) in the ledger, and return them.
 
     Checks are advisory. If the shared job fails at run time, the checks are run one
     by one, so that only the broken ones are marked FAIL.
     """
     spark = prod.sparkSession
     try:
-        graded = plan_suite(prod, sbx, checks).collect()
+        graded = sorted(plan_suite(prod, sbx, checks).collect(), key=lambda row: row["position"])
     except PySparkException:
-        graded = [
-            row for position, check in enumerate(checks)
-            for row in _run_alone(prod, sbx, check, position)
-        ]
+        graded = [_run_alone(prod, sbx, check) for check in checks]
     run_at = datetime.now(timezone.utc)
     run = dict(
         run_id=run_id or str(uuid.uuid4()), sandbox_name=sandbox_name,
         source_table=source_table, run_at=run_at, run_date=run_at.date(),
     )
     records = [
-        {**run, **{k: v for k, v in row.asDict().items() if k != "position"}}
-        for row in sorted(graded, key=lambda r: r["position"])
+        {**run, **{k: v for k, v in row.asDict().items() if k != "position"}} for row in graded
     ]
     ledger = ledger or Ledger(spark)
     ledger.append("quality_results", records)
     return ledger.read("quality_results", str(run_at.date())).where(F.col("run_id") == run["run_id"])
 
 
-def _run_alone(prod: DataFrame, sbx: DataFrame, check: Check, position: int) -> list:
+def _run_alone(prod: DataFrame, sbx: DataFrame, check: Check) -> Row:
     try:
-        return [plan_suite(prod, sbx, [check]).first().asDict() | {"position": position}]
+        return plan_suite(prod, sbx, [check]).first()
     except PySparkException as error:
-        return failed_check(prod.sparkSession, check, position, error).collect()
+        return failed_check(prod.sparkSession, check, 0, error).first()
