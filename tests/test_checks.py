@@ -86,6 +86,24 @@ def test_exact_sum_does_not_depend_on_order(spark):
         assert row["prod_sum"] == 100.0
 
 
+@settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.too_slow])
+@given(
+    st.lists(
+        st.one_of(
+            st.none(),
+            st.floats(-1e15, 1e15),
+            st.integers(-(10**7), 10**7).map(lambda n: n / 1000),  # ties among them
+            st.integers(-(10**6), 10**6).map(lambda n: n / 100),
+        ),
+        max_size=30,
+    )
+)
+def test_exact_sum_equals_decimal_sum(spark, values):
+    df = one_column(spark, values)
+    fast = df.agg(numeric.exact_sum("x", 2)).first()[0]
+    assert fast == df.agg(F.sum(F.col("x").cast("decimal(18,2)")).cast("double")).first()[0]
+
+
 @pytest.mark.parametrize(
     ("prod", "sbx", "wanted"),
     [
