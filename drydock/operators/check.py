@@ -26,6 +26,9 @@ class Check:
     compare: RowsFn
     description: str = ""
 
+    def __post_init__(self):
+        object.__setattr__(self, "name", self.name or "unnamed_check")
+
     @property
     def expected(self) -> str:
         return self.description or self.name

@@ -8,7 +8,7 @@ becomes visible only when its write has finished.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -23,7 +23,7 @@ from drydock.operators.guard import (
     guard_target,
     validate_identifier,
 )
-from drydock.operators.transforms import latest_per_key
+from drydock.operators.transforms import deduplicate, latest_per_key
 from drydock.plans.ledger import Ledger
 from drydock.workspace import delete_path, workspace_root
 
@@ -38,6 +38,7 @@ class Sandbox:
     version: int
     path: str
     files: list[str] | None
+    partition_by: list[str]
     n_rows: int
     columns: list[tuple[str, str]]
 
@@ -59,9 +60,16 @@ class SandboxStore:
         self.prefix, self.audit = prefix, audit
         self.ledger = Ledger(spark, self.root)
 
-    def create(self, source_table: str, prod: DataFrame) -> Sandbox:
-        """Copy a production table: all its rows, in one pass that also counts them."""
-        return self._write(prod, **self._first_version(source_table))
+    def create(
+        self, source_table: str, prod: DataFrame, partition_by: Sequence[str] = ()
+    ) -> Sandbox:
+        """Copy a production table: all its rows, in one pass that also counts them.
+
+        Name the table's partition columns to keep them as folders in every version,
+        so that filters on them go on skipping files.
+        """
+        first = self._first_version(source_table)
+        return self._write(prod, partition_by=list(partition_by), **first)
 
     def pin(self, source_table: str, path: str) -> Sandbox:
         """Snapshot a parquet table without copying it, by recording its present files.
@@ -74,7 +82,8 @@ class SandboxStore:
         guard_target(first["sandbox_name"], self.prefix, self.audit)
         files = sorted(table.inputFiles())
         return self._record(
-            **first, path=path, files=files, n_rows=table.count(), columns=_columns(table)
+            **first, path=path, files=files, partition_by=[], n_rows=table.count(),
+            columns=_columns(table),
         )
 
     def _first_version(self, source_table: str) -> dict:
@@ -105,8 +114,8 @@ class SandboxStore:
         return self._newest(self.ledger.read("sandboxes"))
 
     def _newest(self, versions: DataFrame) -> DataFrame:
-        newest = latest_per_key(
-            versions, ["sandbox_name"], "recorded_at", F.desc("dropped"), F.desc("version")
+        newest = deduplicate(
+            versions, ["sandbox_name"], [F.desc("dropped"), F.desc("version")]
         )
         return newest.where(~F.col("dropped")).drop("dropped", "recorded_at")
 
@@ -118,11 +127,12 @@ class SandboxStore:
         version = self._resolve(sandbox)
         schema = ", ".join(f"`{name}` {data_type}" for name, data_type in version.columns)
         reader = self.spark.read.schema(schema)
-        if version.files is None:
-            return reader.parquet(version.path)
-        if len(version.files) > 1:  # keeps partition columns, which live in folder names
+        files = version.files or [version.path]
+        if not files[0].endswith(version.path):
+            # partition columns live in the folder names between the table and its files
             reader = reader.option("basePath", version.path)
-        return reader.parquet(*version.files)
+        rows = reader.parquet(*files)
+        return rows.select([F.col(f"`{name}`") for name, _ in version.columns])
 
     def commit(
         self,
@@ -144,6 +154,7 @@ class SandboxStore:
             source_table=old.source_table,
             created_at=old.created_at,
             version=old.version + 1,
+            partition_by=old.partition_by,
         )
         self._log(new, operation, statement)
         return new
@@ -172,17 +183,23 @@ class SandboxStore:
         delete_path(self.spark, f"{self.root}/sandboxes/{old.sandbox_name}")
 
     def _write(
-        self, df: DataFrame, sandbox_name: str, source_table: str, created_at: datetime, version: int
+        self,
+        df: DataFrame,
+        sandbox_name: str,
+        source_table: str,
+        created_at: datetime,
+        version: int,
+        partition_by: list[str],
     ) -> Sandbox:
         guard_target(sandbox_name, self.prefix, self.audit)
         path = f"{self.root}/sandboxes/{sandbox_name}/v={version}"
         written = Observation()
         rows = df.observe(written, F.count(F.lit(1)).alias("n_rows"))
-        rows.write.mode("errorifexists").parquet(path)
+        rows.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
         return self._record(
             sandbox_name=sandbox_name, source_table=source_table, created_at=created_at,
-            version=version, path=path, files=None, n_rows=written.get["n_rows"],
-            columns=_columns(df),
+            version=version, path=path, files=None, partition_by=partition_by,
+            n_rows=written.get["n_rows"], columns=_columns(df),
         )
 
     def _record(self, dropped: bool = False, **fields) -> Sandbox:

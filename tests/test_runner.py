@@ -116,6 +116,11 @@ def test_broken_checks_fail_alone(spark, orders, tmp_path):
     assert rows_of(run_summary(run)) == [("r1", 4, 2, False)]
 
 
+def test_defaults_of_a_check(orders):
+    row = grade(Check("", lambda _p, s: s.limit(0)), orders, orders).first()
+    assert (row["check"], row["expected"]) == ("unnamed_check", "unnamed_check")
+
+
 def test_no_checks(orders):
     with pytest.raises(ValueError, match="no quality checks"):
         plan_suite(orders, orders, [])

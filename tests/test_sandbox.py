@@ -3,7 +3,7 @@ from __future__ import annotations
 import os
 
 import pytest
-from conftest import rows_of
+from conftest import final_plan, rows_of
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -45,18 +45,32 @@ def test_types_survive(spark, store):
     assert store.read(store.create("t", df)).schema.simpleString() == df.schema.simpleString()
 
 
-def test_pinned_snapshot_copies_nothing(spark, store, tmp_path, orders):
+@pytest.mark.parametrize("rows", ["true", "order_id in (3, 4)", "order_id = 4"])
+def test_pinned_snapshot_copies_nothing(spark, store, tmp_path, orders, rows):
     path = str(tmp_path / "prod")
-    orders.repartition(3).write.partitionBy("status").parquet(path)
+    orders.where(rows).repartition(3).write.partitionBy("status").parquet(path)
     sandbox = store.pin("orders", path)
     orders.write.partitionBy("status").mode("append").parquet(path)
     pinned = store.read(sandbox.sandbox_name)
-    assert pinned.count() == sandbox.n_rows == 5
-    assert rows_of(pinned.select(orders.columns)) == rows_of(orders)
+    assert pinned.count() == sandbox.n_rows
+    assert rows_of(pinned.select(orders.columns)) == rows_of(orders.where(rows))
     assert not os.path.exists(f"{store.root}/sandboxes")
     changed = store.transform(sandbox, lambda df: T.delete(df, F.col("amount") < 50), "DELETE")
-    assert (changed.version, changed.n_rows) == (1, 3)
-    assert store.read(changed.sandbox_name).count() == 3
+    wanted = orders.where(rows).where("amount >= 50").count()
+    assert (changed.version, changed.n_rows) == (1, wanted)
+    assert store.read(changed.sandbox_name).count() == wanted
+
+
+def test_partition_folders_survive_changes(store, orders):
+    sandbox = store.create("orders", orders, partition_by=["status"])
+    changed = store.transform(
+        sandbox, lambda df: T.update(df, {"amount": F.col("amount") + 1}), "UPDATE"
+    )
+    for version in (sandbox, changed):
+        df = store.read(version).where("status = 'completed'")
+        assert df.columns == orders.columns
+        assert "PartitionFilters: [isnotnull(status" in final_plan(df)
+        assert df.count() == 2
 
 
 def test_versions_and_log(store, orders):
@@ -119,7 +133,7 @@ def test_only_sandboxes_are_written(spark, tmp_path, orders):
     store.prefix = "sbx_"
     record = store._record(
         sandbox_name="orders", source_table="orders", created_at=None, version=0,
-        path="x", files=None, n_rows=0, columns=[],
+        path="x", files=None, partition_by=[], n_rows=0, columns=[],
     )
     for write in (
         lambda: store.commit(record, orders),
