@@ -64,7 +64,8 @@ def insert(df: DataFrame, rows: DataFrame) -> DataFrame:
     if unknown:
         raise ValueError(f"columns not in the table: {unknown}")
     casts = [
-        (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+        (F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None))
+        .cast(f.dataType).alias(f.name)
         for f in df.schema
     ]
     return df.unionByName(rows.select(casts))

@@ -69,7 +69,7 @@ class SandboxStore:
         so that filters on them go on skipping files.
         """
         first = self._first_version(source_table)
-        return self._write(prod, partition_by=list(partition_by), **first)
+        return self._record(self._write(prod, partition_by=list(partition_by), **first))
 
     def pin(self, source_table: str, path: str) -> Sandbox:
         """Snapshot a parquet table without copying it, by recording its present files.
@@ -81,10 +81,11 @@ class SandboxStore:
         first = self._first_version(source_table)
         guard_target(first["sandbox_name"], self.prefix, self.audit)
         files = sorted(table.inputFiles())
-        return self._record(
+        pinned = Sandbox(
             **first, path=path, files=files, partition_by=[], n_rows=table.count(),
             columns=_columns(table),
         )
+        return self._record(pinned)
 
     def _first_version(self, source_table: str) -> dict:
         bare = validate_identifier(source_table, "source table").split(".")[-1]
@@ -144,8 +145,9 @@ class SandboxStore:
         """Write the next version of a sandbox and log the change that led to it.
 
         Chain any number of rewrites lazily and commit once: each commit costs a
-        full write, and cuts the plan's lineage. Of two commits on top of the same
-        version the second fails, because its version has been written.
+        full write, and cuts the plan's lineage. A commit on top of a version that is
+        no longer the current one is refused. Every attempt has its own folder, so that
+        one that was cut short can be repeated.
         """
         old = self._resolve(sandbox)
         new = self._write(
@@ -156,6 +158,9 @@ class SandboxStore:
             version=old.version + 1,
             partition_by=old.partition_by,
         )
+        if self.get(old.sandbox_name).version != old.version:
+            raise ValueError(f"{old.sandbox_name} has moved on from version {old.version}")
+        self._record(new)
         self._log(new, operation, statement)
         return new
 
@@ -179,7 +184,7 @@ class SandboxStore:
         """Retire a sandbox in the ledger, then remove the files it owns."""
         old = self._resolve(sandbox)
         guard_target(old.sandbox_name, self.prefix, self.audit)
-        self._record(**old.__dict__, dropped=True)
+        self._record(old, dropped=True)
         delete_path(self.spark, f"{self.root}/sandboxes/{old.sandbox_name}")
 
     def _write(
@@ -192,20 +197,21 @@ class SandboxStore:
         partition_by: list[str],
     ) -> Sandbox:
         guard_target(sandbox_name, self.prefix, self.audit)
-        path = f"{self.root}/sandboxes/{sandbox_name}/v={version}"
+        path = f"{self.root}/sandboxes/{sandbox_name}/v={version}/{uuid.uuid4().hex}"
         written = Observation()
         rows = df.observe(written, F.count(F.lit(1)).alias("n_rows"))
         rows.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
-        return self._record(
+        return Sandbox(
             sandbox_name=sandbox_name, source_table=source_table, created_at=created_at,
             version=version, path=path, files=None, partition_by=partition_by,
             n_rows=written.get["n_rows"], columns=_columns(df),
         )
 
-    def _record(self, dropped: bool = False, **fields) -> Sandbox:
+    def _record(self, sandbox: Sandbox, dropped: bool = False) -> Sandbox:
         now = datetime.now(timezone.utc)
-        self.ledger.append("sandboxes", [{**fields, "dropped": dropped, "recorded_at": now}])
-        return Sandbox(**fields)
+        entry = {**sandbox.__dict__, "dropped": dropped, "recorded_at": now}
+        self.ledger.append("sandboxes", [entry])
+        return sandbox
 
     def _log(self, sandbox: Sandbox, operation: str, statement: str | None) -> None:
         entry = dict(

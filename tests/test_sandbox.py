@@ -11,7 +11,7 @@ from drydock import workspace
 from drydock.operators import transforms as T
 from drydock.operators.guard import ProductionWriteBlocked
 from drydock.plans.ledger import Ledger
-from drydock.plans.sandbox import SandboxStore
+from drydock.plans.sandbox import Sandbox, SandboxStore
 
 
 @pytest.fixture
@@ -96,11 +96,20 @@ def test_versions_and_log(store, orders):
 def test_second_commit_on_one_version_fails(store, orders):
     sandbox = store.create("orders", orders)
     store.commit(sandbox, orders.limit(1))
-    with pytest.raises(PySparkException, match="PATH_ALREADY_EXISTS"):
+    with pytest.raises(ValueError, match="moved on from version 0"):
         store.commit(sandbox, orders.limit(2))
     assert store.get(sandbox.sandbox_name).n_rows == 1
 
 
+def test_a_failed_commit_can_be_repeated(store, orders):
+    sandbox = store.create("orders", orders)
+    broken = orders.withColumn("amount", F.raise_error(F.lit("boom")).cast("double"))
+    with pytest.raises(PySparkException, match="boom"):
+        store.commit(sandbox, broken)
+    assert store.read(sandbox.sandbox_name).count() == 5
+    assert store.commit(sandbox, orders.limit(2)).version == 1
+
+
 def test_truncate_and_drop(store, orders):
     sandbox = store.create("orders", orders)
     empty = store.truncate(sandbox)
@@ -131,7 +140,7 @@ def test_latest_for_table(store, orders):
 def test_only_sandboxes_are_written(spark, tmp_path, orders):
     store = SandboxStore(spark, root=str(tmp_path), prefix="")
     store.prefix = "sbx_"
-    record = store._record(
+    record = Sandbox(
         sandbox_name="orders", source_table="orders", created_at=None, version=0,
         path="x", files=None, partition_by=[], n_rows=0, columns=[],
     )
