@@ -76,7 +76,7 @@ def _quoted(name: str) -> str:
 
 
 def _first_rows(df: DataFrame, limit: int) -> Column:
-    """The first rows' texts (at most ``limit`` of them) as a scalar subquery.
+    """The texts of the first rows, at most ``limit`` of them, as an array.
 
     The limit sits right on the check's sort, which makes it a top-k; the row numbers
     keep the order while the few texts are gathered.
@@ -84,11 +84,12 @@ def _first_rows(df: DataFrame, limit: int) -> Column:
     texts = df.limit(limit).select(
         F.monotonically_increasing_id().alias("i"), row_text(df.schema).alias("text")
     )
-    ordered = F.sort_array(F.collect_list(F.struct("i", "text")))["text"]
-    return texts.agg(F.concat_ws("; ", ordered)).scalar()
+    return texts.agg(F.sort_array(F.collect_list(F.struct("i", "text")))["text"]).scalar()
 
 
-def _with_rest(text: Column, count: Column, limit: int) -> Column:
+def _quote(texts: Column, limit: int, count: Column) -> Column:
+    """Up to ``limit`` texts, and how many of ``count`` rows that leaves out."""
+    text = F.concat_ws("; ", F.slice(texts, 1, limit))
     rest = F.concat(F.lit(" ... ("), (count - limit).cast("string"), F.lit(" more rows)"))
     return F.concat(text, F.when(count > limit, rest).otherwise(""))
 
@@ -96,10 +97,13 @@ def _with_rest(text: Column, count: Column, limit: int) -> Column:
 def grade(check: Check, prod: DataFrame, sbx: DataFrame, position: int = 0) -> DataFrame:
     """A check's graded row. Counts are taken on the cluster; only a few rows are quoted."""
     rows = check.rows(prod, sbx)
-    failing = rows.where(_failing(rows)) if status_column(rows) else rows
-    result = _with_rest(_first_rows(rows, RESULT_ROWS), F.col("n_rows"), RESULT_ROWS)
-    detail = _with_rest(_first_rows(failing, DETAIL_ROWS), F.col("n_failed"), DETAIL_ROWS)
-    return evaluate(rows).select(
+    shown = failing = _first_rows(rows, RESULT_ROWS)
+    if status_column(rows):
+        failing = _first_rows(rows.where(_failing(rows)), DETAIL_ROWS)
+    quoted = evaluate(rows).select("*", shown.alias("shown"), failing.alias("failing"))
+    result = _quote(F.col("shown"), RESULT_ROWS, F.col("n_rows"))
+    detail = _quote(F.col("failing"), DETAIL_ROWS, F.col("n_failed"))
+    return quoted.select(
         F.lit(position).alias("position"),
         F.lit(check.name).alias("check"),
         "status",

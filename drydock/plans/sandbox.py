@@ -96,8 +96,9 @@ class SandboxStore:
     def get(self, sandbox_name: str) -> Sandbox:
         """The named sandbox's latest version, or an error if there is none."""
         name = validate_identifier(sandbox_name, "sandbox")
-        rows = self._newest(self.ledger.read("sandboxes", name)).head(1)
-        if not rows:
+        versions = self.ledger.read("sandboxes", name)
+        rows = versions.orderBy(F.desc("dropped"), F.desc("version")).head(1)
+        if not rows or rows[0]["dropped"]:
             raise ValueError(f"no sandbox named {sandbox_name!r}; create it first")
         row = rows[0].asDict()
         return Sandbox(**{f: row[f] for f in Sandbox.__dataclass_fields__})
@@ -112,11 +113,8 @@ class SandboxStore:
 
     def current(self) -> DataFrame:
         """One ledger row per sandbox that has not been dropped."""
-        return self._newest(self.ledger.read("sandboxes"))
-
-    def _newest(self, versions: DataFrame) -> DataFrame:
         newest = deduplicate(
-            versions, ["sandbox_name"], [F.desc("dropped"), F.desc("version")]
+            self.ledger.read("sandboxes"), ["sandbox_name"], [F.desc("dropped"), F.desc("version")]
         )
         return newest.where(~F.col("dropped")).drop("dropped", "recorded_at")
 

@@ -38,10 +38,6 @@ def _header(spark: SparkSession, path: str) -> str:
     return lines[0][0]
 
 
-def _separator(header: str) -> str:
-    return max(SEPARATORS, key=header.count)
-
-
 def _kind(column: Column) -> Column:
     """A bit for the narrowest type that can read the value; NULL for no value."""
     bit = F.when(column.isNull(), F.lit(None))
@@ -97,10 +93,12 @@ def read_delimited(
     it. ``multiline`` (line breaks inside quotes) makes every file one task, so it is
     tried only if lines read singly are malformed. Malformed input is an error.
     """
-    sep = sep or _separator(_header(spark, path))
+    if schema is None or sep is None:
+        header = _header(spark, path)
+        sep = sep or max(SEPARATORS, key=header.count)
     if schema is None:
         tries = [False, True] if multiline is None else [multiline]
-        if multiline is None and sep not in _header(spark, path):
+        if multiline is None and sep not in header:
             tries = [True]  # one column: a broken line could not be told from a short one
         for multiline in tries:
             schema = infer_schema(spark, path, sep, multiline)
