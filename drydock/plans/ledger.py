@@ -1,4 +1,4 @@
-"""Append-only ledgers: sandbox versions, applied changes, check results.
+"""Append-only ledgers: sandbox versions (with the changes that made them), check results.
 
 A ledger is a parquet folder; the current state is always derived from its rows.
 """
@@ -18,11 +18,8 @@ SCHEMAS = {
     "sandboxes": (
         "sandbox_name string, source_table string, created_at timestamp, version int, path string,"
         " files array<string>, partition_by array<string>, n_rows bigint, dropped boolean, recorded_at timestamp,"
-        " columns array<struct<column_name: string, data_type: string>>"
-    ),
-    "transformations": (
-        "sandbox_name string, seq int, operation string, statement string,"
-        " prod_statement string, applied_at timestamp"
+        " columns array<struct<column_name: string, data_type: string>>,"
+        " operation string, statement string"
     ),
     "quality_results": (
         "run_id string, sandbox_name string, source_table string, `check` string, status string,"
@@ -32,7 +29,6 @@ SCHEMAS = {
 # The folders in which a reader finds the few rows it wants without listing the rest.
 PARTITIONS = {
     "sandboxes": ["sandbox_name"],
-    "transformations": ["sandbox_name"],
     "quality_results": ["run_date"],
 }
 

@@ -116,7 +116,20 @@ class SandboxStore:
         newest = deduplicate(
             self.ledger.read("sandboxes"), ["sandbox_name"], [F.desc("dropped"), F.desc("version")]
         )
-        return newest.where(~F.col("dropped")).drop("dropped", "recorded_at")
+        return newest.where(~F.col("dropped")).drop(
+            "dropped", "recorded_at", "operation", "statement"
+        )
+
+    def transformations(self, sandbox_name: str | None = None) -> DataFrame:
+        """The changes applied to one or all sandboxes, also as production statements."""
+        versions = self.ledger.read("sandboxes", sandbox_name)
+        prod_statement = rewrite_to_production(
+            F.col("statement"), F.lit(self.schema), F.col("sandbox_name"), F.col("source_table")
+        )
+        return versions.where(~F.col("dropped") & (F.col("version") > 0)).select(
+            "sandbox_name", F.col("version").alias("seq"), "operation", "statement",
+            prod_statement.alias("prod_statement"), F.col("recorded_at").alias("applied_at"),
+        )
 
     def _resolve(self, sandbox: Sandbox | str) -> Sandbox:
         return sandbox if isinstance(sandbox, Sandbox) else self.get(sandbox)
@@ -140,7 +153,7 @@ class SandboxStore:
         operation: str = "REPLACE",
         statement: str | None = None,
     ) -> Sandbox:
-        """Write the next version of a sandbox and log the change that led to it.
+        """Write the next version of a sandbox and record the change that led to it.
 
         Chain any number of rewrites lazily and commit once: each commit costs a
         full write, and cuts the plan's lineage. A commit on top of a version that is
@@ -158,9 +171,7 @@ class SandboxStore:
         )
         if self.get(old.sandbox_name).version != old.version:
             raise ValueError(f"{old.sandbox_name} has moved on from version {old.version}")
-        self._record(new)
-        self._log(new, operation, statement)
-        return new
+        return self._record(new, operation=operation, statement=statement)
 
     def transform(
         self,
@@ -205,28 +216,19 @@ class SandboxStore:
             n_rows=written.get["n_rows"], columns=_columns(df),
         )
 
-    def _record(self, sandbox: Sandbox, dropped: bool = False) -> Sandbox:
-        now = datetime.now(timezone.utc)
-        entry = {**sandbox.__dict__, "dropped": dropped, "recorded_at": now}
-        self.ledger.append("sandboxes", [entry])
-        return sandbox
-
-    def _log(self, sandbox: Sandbox, operation: str, statement: str | None) -> None:
+    def _record(
+        self,
+        sandbox: Sandbox,
+        dropped: bool = False,
+        operation: str | None = None,
+        statement: str | None = None,
+    ) -> Sandbox:
         entry = dict(
-            sandbox_name=sandbox.sandbox_name, seq=sandbox.version, operation=operation,
-            statement=statement, applied_at=datetime.now(timezone.utc),
-        )
-        rows = self.spark.createDataFrame(
-            [entry],
-            "sandbox_name string, seq int, operation string, statement string, applied_at timestamp",
-        )
-        prod_statement = rewrite_to_production(
-            F.col("statement"), F.lit(self.schema), F.col("sandbox_name"),
-            F.lit(sandbox.source_table),
-        )
-        self.ledger.append(
-            "transformations", rows.withColumn("prod_statement", prod_statement).coalesce(1)
+            sandbox.__dict__, dropped=dropped, operation=operation, statement=statement,
+            recorded_at=datetime.now(timezone.utc),
         )
+        self.ledger.append("sandboxes", [entry])
+        return sandbox
 
 
 def _columns(df: DataFrame) -> list[tuple[str, str]]:

@@ -85,12 +85,13 @@ def test_versions_and_log(store, orders):
     current = store.get(name)
     assert (current.version, current.n_rows) == (2, 4)
     assert store.read(name).agg(F.sum("amount")).first()[0] == pytest.approx(2 * 1275.49)
-    log = store.ledger.read("transformations").orderBy("seq").collect()
+    log = store.transformations(name).orderBy("seq").collect()
     assert [(r["seq"], r["operation"], r["prod_statement"]) for r in log] == [
         (1, "UPDATE", "UPDATE analytics.orders SET amount = amount * 2"),
         (2, "DELETE", "DELETE FROM orders WHERE order_id = 1"),
     ]
     assert store.read(sandbox).count() == 5  # an old version can still be read
+    assert store.transformations().count() == 2
 
 
 def test_second_commit_on_one_version_fails(store, orders):
