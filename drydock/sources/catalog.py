@@ -58,6 +58,14 @@ def column_list(tables: Mapping[str, DataFrame]) -> list[tuple[str, str, str, bo
     ]
 
 
+def columns(spark: SparkSession, tables: Mapping[str, DataFrame]) -> DataFrame:
+    """The columns of all tables as rows: the input of the data dictionary."""
+    return spark.createDataFrame(
+        column_list(tables),
+        "table_name string, column_name string, data_type string, nullable boolean, position int",
+    )
+
+
 def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     """``table_name, row_count`` of many tables in one job."""
     counts = [
@@ -74,23 +82,19 @@ def list_tables(
 ) -> DataFrame:
     """``table_name, row_count, columns`` of the production tables, by name."""
     shown = {name: tables[name] for name in production_names(tables, prefix, audit)}
-    columns = {name: [] for name in shown}
+    texts = {name: [] for name in shown}
     for table, column, data_type, _, _ in column_list(shown):
-        columns[table].append(f"{column} ({data_type})")
+        texts[table].append(f"{column} ({data_type})")
     text = F.create_map(
-        *[F.lit(part) for name in shown for part in (name, ", ".join(columns[name]))]
+        *[F.lit(part) for name in shown for part in (name, ", ".join(texts[name]))]
     )
     return row_counts(shown).withColumn("columns", text[F.col("table_name")]).orderBy("table_name")
 
 
 def describe_table(name: str, df: DataFrame) -> DataFrame:
     """``column_name, data_type, nullable, position, row_count`` of one table."""
-    spark = df.sparkSession
-    columns = spark.createDataFrame(
-        [row[1:] for row in column_list({name: df})],
-        "column_name string, data_type string, nullable boolean, position int",
-    )
-    return columns.withColumn("row_count", row_count(df).scalar())
+    described = columns(df.sparkSession, {name: df}).drop("table_name")
+    return described.withColumn("row_count", row_count(df).scalar())
 
 
 def row_count(df: DataFrame) -> DataFrame:

@@ -64,11 +64,13 @@ def drift_sql(kind, column, base="{p}"):
     total = sql_sum(column)
     value = total if kind == "sum" else f"{total} / NULLIF(COUNT({column}), 0)"
     p, s = f"prod_{kind}", f"sbx_{kind}"
-    drift = f"ABS({s} - {p}) / NULLIF({base.format(p=p)}, 0) * 100"
     return f"""
-        SELECT {p}, {s}, ROUND({drift}, 2) AS drift_pct,
-               CASE WHEN {drift} <= 10 THEN 'PASS' ELSE 'FAIL' END AS status
-        FROM (SELECT {value} AS {p} FROM prod), (SELECT {value} AS {s} FROM sbx)"""
+        SELECT {p}, {s}, ROUND(drift, 2) AS drift_pct,
+               IF(COALESCE(drift <= 10, FALSE), 'PASS', 'FAIL') AS status
+        FROM (
+            SELECT *, ABS({s} - {p}) / NULLIF({base.format(p=p)}, 0) * 100 AS drift
+            FROM (SELECT (SELECT {value} FROM prod) AS {p}, (SELECT {value} FROM sbx) AS {s})
+        )"""
 
 
 def pair(prod, sbx):
@@ -78,45 +80,76 @@ def pair(prod, sbx):
 ORDERS = "SELECT * FROM orders"
 
 
+def counts_sql(pct):
+    return f"""
+        SELECT prod_row_count, sbx_row_count, row_diff, ROUND(change, 2) AS pct_change,
+               IF(COALESCE(ABS(change) <= {pct}, FALSE), 'PASS', 'FAIL') AS status
+        FROM (
+            SELECT *, sbx_row_count - prod_row_count AS row_diff,
+                   row_diff * 100.0::DOUBLE / NULLIF(prod_row_count, 0) AS change
+            FROM (SELECT (SELECT COUNT(*) FROM prod) AS prod_row_count,
+                         (SELECT COUNT(*) FROM sbx) AS sbx_row_count)
+        )"""
+
+
 def row_count_sql(sbx, pct):
-    return f"""{pair(ORDERS, sbx)}
-        SELECT p.n AS prod_row_count, s.n AS sbx_row_count, s.n - p.n AS row_diff,
-               ROUND((s.n - p.n) * 100.0::DOUBLE / NULLIF(p.n, 0), 2) AS pct_change,
-               CASE WHEN ABS((s.n - p.n) * 100.0::DOUBLE / NULLIF(p.n, 0)) <= {pct}
-                    THEN 'PASS' ELSE 'FAIL' END AS status
-        FROM (SELECT COUNT(*) AS n FROM prod) p, (SELECT COUNT(*) AS n FROM sbx) s"""
+    return f"{pair(ORDERS, sbx)} {counts_sql(pct)}"
 
 
 def bounds_sql(column):
+    def bound(function, table):
+        return f"(SELECT {function}({column}) FROM {table})"
+
     return f"""
-        SELECT prod_min, prod_max, sbx_min, sbx_max,
-               CASE WHEN sbx_min >= prod_min AND sbx_max <= prod_max * 1.1::DOUBLE
-                    THEN 'PASS' ELSE 'FAIL' END AS status
-        FROM (SELECT MIN({column}) AS prod_min, MAX({column}) AS prod_max FROM prod),
-             (SELECT MIN({column}) AS sbx_min, MAX({column}) AS sbx_max FROM sbx)"""
+        SELECT *, IF(COALESCE(prod_min <= sbx_min AND prod_max * 1.1::DOUBLE >= sbx_max, FALSE),
+                     'PASS', 'FAIL') AS status
+        FROM (SELECT {bound("MIN", "prod")} AS prod_min, {bound("MAX", "prod")} AS prod_max,
+                     {bound("MIN", "sbx")} AS sbx_min, {bound("MAX", "sbx")} AS sbx_max)"""
 
 
 def new_values_sql(column):
     return f"""
-        SELECT s.v AS new_value, 'not present in production' AS issue
-        FROM (SELECT DISTINCT {column} AS v FROM sbx) s
-        LEFT JOIN (SELECT DISTINCT {column} AS v FROM prod) p ON s.v = p.v
-        WHERE p.v IS NULL"""
+        SELECT DISTINCT {column} AS new_value, 'not present in production' AS issue
+        FROM sbx WHERE NOT EXISTS (SELECT 1 FROM prod WHERE prod.{column} = sbx.{column})"""
 
 
 def shift_sql(column):
-    def share(table, name):
-        return f"""(SELECT {column} AS v,
-            ROUND(COUNT(*) * 100.0::DOUBLE / SUM(COUNT(*)) OVER (), 2) AS {name}
-            FROM {table} GROUP BY {column})"""
-
-    shift = "ABS(COALESCE(sbx_pct, 0) - COALESCE(prod_pct, 0))"
+    """Shares per side, brought together by a pivot in which NULL keeps its side."""
     return f"""
-        SELECT COALESCE(p.v, s.v) AS category_value, COALESCE(prod_pct, 0) AS prod_pct,
-               COALESCE(sbx_pct, 0) AS sbx_pct, ROUND({shift}, 2) AS shift_pct,
-               CASE WHEN {shift} <= 5 THEN 'PASS' ELSE 'FAIL' END AS status
-        FROM {share("prod", "prod_pct")} p
-        FULL OUTER JOIN {share("sbx", "sbx_pct")} s ON p.v = s.v"""
+        SELECT category_value, prod_pct, sbx_pct, ROUND(ABS(prod_pct - sbx_pct), 2) AS shift_pct,
+               IF(ABS(prod_pct - sbx_pct) > 5, 'FAIL', 'PASS') AS status
+        FROM (
+            SELECT v AS category_value,
+                   COALESCE(MAX(pct) FILTER (WHERE side = 1), 0) AS prod_pct,
+                   COALESCE(MAX(pct) FILTER (WHERE side = 2), 0) AS sbx_pct
+            FROM (
+                SELECT side, v, ROUND(n * 100.0::DOUBLE / SUM(n) OVER (PARTITION BY side), 2) AS pct
+                FROM (SELECT side, v, COUNT(*) AS n
+                      FROM (SELECT 1 AS side, {column} AS v FROM prod
+                            UNION ALL SELECT 2, {column} FROM sbx)
+                      GROUP BY side, v)
+            )
+            GROUP BY v, IF(v IS NULL, side, 0)
+        )"""
+
+
+def new_rows_sql(limit=""):
+    return f"""{pair(ORDERS, EXTENDED)}
+        SELECT *, 'PASS' AS status FROM sbx
+        WHERE NOT EXISTS (SELECT 1 FROM prod WHERE prod.o_orderkey = sbx.o_orderkey) {limit}"""
+
+
+def orphans_sql(children, fk, parents, pk):
+    return f"""
+        SELECT {fk} AS orphaned_fk_value, COUNT(*) AS orphaned_count FROM {children} child
+        WHERE NOT EXISTS (SELECT 1 FROM {parents} parent WHERE parent.{pk} = child.{fk})
+        GROUP BY {fk}"""
+
+
+LOST_KEYS = """
+    SELECT o_orderkey AS missing_from_sandbox FROM prod
+    WHERE NOT EXISTS (SELECT 1 FROM sbx WHERE sbx.o_orderkey = prod.o_orderkey)
+    ORDER BY o_orderkey LIMIT 50"""
 
 
 BESPOKE = """
@@ -157,17 +190,10 @@ SCENARIOS = {
     ),
     "c2_new_rows_inspection": Scenario(
         on_orders(volume.new_rows_inspection("o_orderkey"), extended),
-        f"""{pair(ORDERS, EXTENDED)}
-        SELECT sbx.*, 'PASS' AS status
-        FROM sbx LEFT JOIN prod ON sbx.o_orderkey = prod.o_orderkey
-        WHERE prod.o_orderkey IS NULL ORDER BY sbx.o_orderkey LIMIT 50""",
+        new_rows_sql("ORDER BY o_orderkey LIMIT 50"),
     ),
     "c2_all_new_rows": Scenario(
-        on_orders(volume.new_rows_inspection("o_orderkey", limit=None), extended),
-        f"""{pair(ORDERS, EXTENDED)}
-        SELECT sbx.*, 'PASS' AS status
-        FROM sbx LEFT JOIN prod ON sbx.o_orderkey = prod.o_orderkey
-        WHERE prod.o_orderkey IS NULL""",
+        on_orders(volume.new_rows_inspection("o_orderkey", limit=None), extended), new_rows_sql()
     ),
     "c3_mean_drift": Scenario(
         on_orders(numeric.mean_drift("o_totalprice", scale=2), marked_up),
@@ -226,31 +252,20 @@ SCENARIOS = {
         FROM ({DUPLICATED}) GROUP BY o_orderkey HAVING COUNT(*) > 1""",
     ),
     "c9_foreign_key_integrity": Scenario(
-        orphan_check,
-        f"""
-        SELECT o_custkey AS orphaned_fk_value, COUNT(*) AS orphaned_count
-        FROM ({ORPHANED}) LEFT JOIN customer ON o_custkey = c_custkey
-        WHERE c_custkey IS NULL GROUP BY o_custkey""",
+        orphan_check, orphans_sql(f"({ORPHANED})", "o_custkey", "customer", "c_custkey")
     ),
     "c9_documents_without_labels": Scenario(
-        unlabelled,
-        """
-        SELECT d.doc_id AS orphaned_fk_value, COUNT(*) AS orphaned_count
-        FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
-        WHERE l.doc_id IS NULL GROUP BY d.doc_id""",
+        unlabelled, orphans_sql("documents", "doc_id", "labels", "doc_id")
     ),
     "c10_referential_completeness": Scenario(
         on_orders(integrity.referential_completeness("o_orderkey"), trimmed),
-        f"""{pair(ORDERS, TRIMMED)}
-        SELECT prod.o_orderkey AS missing_from_sandbox
-        FROM prod LEFT JOIN sbx ON prod.o_orderkey = sbx.o_orderkey
-        WHERE sbx.o_orderkey IS NULL ORDER BY prod.o_orderkey LIMIT 50""",
+        f"{pair(ORDERS, TRIMMED)} {LOST_KEYS}",
     ),
     "c10_all_lost_keys": Scenario(
         lost_documents,
         """
-        SELECT d.doc_id AS missing_from_sandbox
-        FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.doc_id IS NULL""",
+        SELECT doc_id AS missing_from_sandbox FROM documents d
+        WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""",
     ),
     "c11_null_check": Scenario(
         on_orders(integrity.null_check("o_orderstatus"), relabelled),

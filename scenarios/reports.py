@@ -21,7 +21,17 @@ from scenarios.base import (
     relabelled,
     trimmed,
 )
-from scenarios.checks import ORDERS, new_values_sql, pair, shift_sql, sql_sum
+from scenarios.checks import (
+    LOST_KEYS,
+    ORDERS,
+    bounds_sql,
+    counts_sql,
+    drift_sql,
+    new_values_sql,
+    orphans_sql,
+    pair,
+    shift_sql,
+)
 from scenarios.sandboxes import RESULTS_LOG, results_log
 
 
@@ -109,37 +119,15 @@ def graded_sql(position, name, expected, rows, columns, order, status=True):
 COUNT_COLUMNS = ("prod_row_count", "sbx_row_count", "row_diff", "pct_change", "status")
 
 
-def counts_sql(pct):
-    return f"""
-        SELECT p.n AS prod_row_count, s.n AS sbx_row_count, s.n - p.n AS row_diff,
-               ROUND((s.n - p.n) * 100.0::DOUBLE / NULLIF(p.n, 0), 2) AS pct_change,
-               CASE WHEN ABS((s.n - p.n) * 100.0::DOUBLE / NULLIF(p.n, 0)) <= {pct}
-                    THEN 'PASS' ELSE 'FAIL' END AS status
-        FROM (SELECT COUNT(*) AS n FROM prod) p, (SELECT COUNT(*) AS n FROM sbx) s"""
-
-
-SUM_SQL = f"""
-    SELECT prod_sum, sbx_sum, ROUND(ABS(sbx_sum - prod_sum) / NULLIF(prod_sum, 0) * 100, 2)
-               AS drift_pct,
-           CASE WHEN ABS(sbx_sum - prod_sum) / NULLIF(prod_sum, 0) * 100 <= 10
-                THEN 'PASS' ELSE 'FAIL' END AS status
-    FROM (SELECT {sql_sum("o_totalprice")} AS prod_sum FROM prod),
-         (SELECT {sql_sum("o_totalprice")} AS sbx_sum FROM sbx)"""
-BOUNDS_SQL = """
-    SELECT prod_min, prod_max, sbx_min, sbx_max,
-           CASE WHEN sbx_min >= prod_min AND sbx_max <= prod_max * 1.1::DOUBLE
-                THEN 'PASS' ELSE 'FAIL' END AS status
-    FROM (SELECT MIN(o_totalprice) AS prod_min, MAX(o_totalprice) AS prod_max FROM prod),
-         (SELECT MIN(o_totalprice) AS sbx_min, MAX(o_totalprice) AS sbx_max FROM sbx)"""
-
 GRADED = [
     graded_sql(0, "row_count_match", "row counts match", counts_sql(0), COUNT_COLUMNS, "1"),
     graded_sql(1, "row_count_comparison", "row count within 10% of production", counts_sql(10),
                COUNT_COLUMNS, "1"),
-    graded_sql(2, "sum_comparison", "sum of o_totalprice within 10% of production", SUM_SQL,
-               ("prod_sum", "sbx_sum", "drift_pct", "status"), "1"),
+    graded_sql(2, "sum_comparison", "sum of o_totalprice within 10% of production", drift_sql("sum", "o_totalprice"),
+                              ("prod_sum", "sbx_sum", "drift_pct", "status"), "1"),
     graded_sql(3, "min_max_bounds",
-               "o_totalprice stays within production''s range (maximum x 1.1)", BOUNDS_SQL,
+               "o_totalprice stays within production''s range (maximum x 1.1)",
+               bounds_sql("o_totalprice"),
                ("prod_min", "prod_max", "sbx_min", "sbx_max", "status"), "1"),
     graded_sql(4, "value_set_drift", "no new values of o_orderstatus",
                new_values_sql("o_orderstatus"), ("new_value", "issue"),
@@ -153,14 +141,10 @@ GRADED = [
                " GROUP BY o_orderkey HAVING COUNT(*) > 1",
                ("duplicate_value", "occurrences"), "occurrences DESC, duplicate_value", False),
     graded_sql(7, "foreign_key_integrity", "every o_custkey exists as c_custkey",
-               "SELECT o_custkey AS orphaned_fk_value, COUNT(*) AS orphaned_count FROM sbx"
-               " LEFT JOIN customer ON o_custkey = c_custkey WHERE c_custkey IS NULL"
-               " GROUP BY o_custkey",
+               orphans_sql("sbx", "o_custkey", "customer", "c_custkey"),
                ("orphaned_fk_value", "orphaned_count"), "orphaned_count DESC", False),
     graded_sql(8, "referential_completeness", "no o_orderkey lost",
-               "SELECT prod.o_orderkey AS missing_from_sandbox FROM prod LEFT JOIN sbx"
-               " ON prod.o_orderkey = sbx.o_orderkey WHERE sbx.o_orderkey IS NULL"
-               " ORDER BY prod.o_orderkey LIMIT 50",
+               LOST_KEYS,
                ("missing_from_sandbox",), "missing_from_sandbox", False),
 ]
 SUITE_SQL = (

@@ -47,7 +47,7 @@ def truncate(spark, sf_dir):
 
 def results_log(events):
     """Check results read off the event table: one run per user and day."""
-    day = F.date_format("ts", "yyyy-MM-dd")
+    day = F.to_date("ts").cast("string")
     return events.select(
         F.concat(F.lit("sbx_"), F.col("user_id").cast("string")).alias("sandbox_name"),
         F.concat_ws("/", F.col("user_id").cast("string"), day).alias("run_id"),

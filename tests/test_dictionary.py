@@ -4,7 +4,13 @@ import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
-from drydock.functions.dictionary import description_for, undocumented, update_dictionary
+from drydock.functions.dictionary import (
+    describe_columns,
+    description_for,
+    undocumented,
+    update_dictionary,
+)
+from drydock.sources.catalog import columns
 
 EXPECTED = {
     "id": "Unique identifier for this record.",
@@ -49,6 +55,16 @@ def test_description(described, name):
     )
 
 
+def test_dictionary_of_a_catalog(spark, orders):
+    tables = {"orders": orders, "part": spark.sql("SELECT 1 AS id, 2.0 AS unit_cost")}
+    rows = describe_columns(columns(spark, tables)).collect()
+    assert [tuple(r) for r in rows][3:] == [
+        ("orders", "amount", "DOUBLE", "Monetary value in the record's currency."),
+        ("part", "id", "INTEGER", "Unique identifier for this record."),
+        ("part", "unit_cost", "DECIMAL(2,1)", "Monetary value in the record's currency."),
+    ]
+
+
 def test_upkeep(spark):
     schema = "table_name string, column_name string, data_type string"
     columns = spark.createDataFrame(
