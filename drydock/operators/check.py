@@ -57,6 +57,10 @@ class ScalarCheck(Check):
         )
 
 
+# Up to this many listed keys are broadcast or multiplied out; longer listings are joined.
+LISTED_KEYS = 1000
+
+
 def pass_if(condition: Column) -> Column:
     """PASS when the condition is true; FAIL when it is false or NULL."""
     return F.when(condition, F.lit("PASS")).otherwise(F.lit("FAIL"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drydock.operators.check import Check
+from drydock.operators.check import LISTED_KEYS, Check
 from drydock.operators.sides import distinct_keys, on_key, side_counts
 
 
@@ -62,10 +62,11 @@ def referential_completeness(
     """Keys of production rows that the sandbox no longer has, one per lost row."""
 
     def compare(prod: DataFrame, sbx: DataFrame) -> DataFrame:
-        if limit is None:
-            lost = prod.join(distinct_keys(sbx, [key]), on_key([key]), "left_anti")
-            return lost.select(F.col(key).alias("missing_from_sandbox"))
         first = F.col("missing_from_sandbox").asc_nulls_first()
+        if limit is None or limit > LISTED_KEYS:
+            lost = prod.join(distinct_keys(sbx, [key]), on_key([key]), "left_anti")
+            listed = lost.select(F.col(key).alias("missing_from_sandbox"))
+            return listed.orderBy(first).limit(limit) if limit else listed
         lost = (
             side_counts(prod, sbx, [key])
             .where((F.col("prod_n") > 0) & (F.col("sbx_n") == 0))

@@ -39,8 +39,8 @@ def _units(value: Column, scale: int) -> Column:
     return F.when(plain, nearest.cast("bigint")).otherwise(exact)
 
 
-def _drift(column: str, pct: float, kind: str, abs_denominator: bool):
-    prod, sbx = F.col(f"prod_{kind}_{column}"), F.col(f"sbx_{kind}_{column}")
+def _drift(measure: str, pct: float, kind: str, abs_denominator: bool):
+    prod, sbx = F.col(f"prod_{measure}"), F.col(f"sbx_{measure}")
     base = F.abs(prod) if abs_denominator else prod
     drift = F.abs(sbx - prod) / F.nullif(base, F.lit(0.0)) * 100
     return {
@@ -63,11 +63,12 @@ def sum_comparison(
     The drift is divided by the signed production sum, so a negative baseline
     always passes; ``abs_denominator=True`` divides by its magnitude instead.
     """
+    measure = f"sum_{column}_{scale}"
     return ScalarCheck(
         name,
         description=f"sum of {column} within {pct}% of production",
-        measures=lambda: {f"sum_{column}": exact_sum(column, scale)},
-        outputs=lambda: _drift(column, pct, "sum", abs_denominator),
+        measures=lambda: {measure: exact_sum(column, scale)},
+        outputs=lambda: _drift(measure, pct, "sum", abs_denominator),
     )
 
 
@@ -79,16 +80,17 @@ def mean_drift(
     name: str = "mean_drift",
 ) -> ScalarCheck:
     """The column's mean drifts by at most ``pct`` percent (signed base, as for sums)."""
+    measure = f"avg_{column}_{scale}"
 
     def measures():
         rows = F.nullif(F.count(column), F.lit(0))
-        return {f"avg_{column}": exact_sum(column, scale) / rows}
+        return {measure: exact_sum(column, scale) / rows}
 
     return ScalarCheck(
         name,
         description=f"mean of {column} within {pct}% of production",
         measures=measures,
-        outputs=lambda: _drift(column, pct, "avg", abs_denominator),
+        outputs=lambda: _drift(measure, pct, "avg", abs_denominator),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from drydock.operators.check import Check, ScalarCheck, pass_if
+from drydock.operators.check import LISTED_KEYS, Check, ScalarCheck, pass_if
 from drydock.operators.sides import distinct_keys, on_key, side_counts
 
 
@@ -45,16 +45,17 @@ def new_rows_inspection(
 ) -> Check:
     """Sandbox rows whose key is not in production; informational, always PASS.
 
-    Only keys are shuffled. The first ``limit`` new keys (at most ``limit`` rows,
-    hence safe to broadcast) then pick their full rows out of a second scan.
-    Rows with a NULL key are always new and listed first.
+    For a short listing only keys are shuffled: the first ``limit`` new keys, few enough
+    to broadcast, then pick their full rows out of a second scan. A long or unlimited one
+    is an anti join. Rows with a NULL key are always new and listed first.
     """
 
     def compare(prod: DataFrame, sbx: DataFrame) -> DataFrame:
-        if limit is None:
-            new = sbx.join(distinct_keys(prod, [key]), on_key([key]), "left_anti")
-            return new.withColumn("status", F.lit("PASS"))
         first = F.col(key).asc_nulls_first()
+        if limit is None or limit > LISTED_KEYS:
+            new = sbx.join(distinct_keys(prod, [key]), on_key([key]), "left_anti")
+            listed = new.orderBy(first).limit(limit) if limit else new
+            return listed.withColumn("status", F.lit("PASS"))
         wanted = (
             side_counts(prod, sbx, [key])
             .where((F.col("prod_n") == 0) & (F.col("sbx_n") > 0))

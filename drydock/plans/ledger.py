@@ -17,7 +17,8 @@ from drydock.workspace import workspace_root
 SCHEMAS = {
     "sandboxes": (
         "sandbox_name string, source_table string, created_at timestamp, version int, path string,"
-        " files array<string>, partition_by array<string>, n_rows bigint, dropped boolean, recorded_at timestamp,"
+        " files array<string>, partition_by array<string>, n_rows bigint, dropped boolean,"
+        " recorded_at timestamp,"
         " columns array<struct<column_name: string, data_type: string>>,"
         " operation string, statement string"
     ),

@@ -167,7 +167,7 @@ def test_foreign_key(spark, conf, threshold):
     assert [tuple(r) for r in rows] == [(9, 2), (None, 1), (8, 1)]
 
 
-@pytest.mark.parametrize("limit", [50, None])
+@pytest.mark.parametrize("limit", [50, None, 2000])
 def test_completeness_lists_every_lost_row(spark, limit):
     prod = spark.createDataFrame([(k,) for k in (3, 1, 1, 2, None)], "k int")
     sbx = spark.createDataFrame([(2,), (None,)], "k int")
@@ -181,7 +181,7 @@ def test_completeness_limit_counts_copies(spark):
     assert [r[0] for r in rows.collect()] == [0, 0, 0, 0, 1, 1]
 
 
-@pytest.mark.parametrize("limit", [50, None])
+@pytest.mark.parametrize("limit", [50, None, 2000])
 def test_new_rows(spark, orders, limit):
     new = spark.createDataFrame(
         [(7, 1, "x", 1.0), (7, 2, "x", 1.0), (None, 3, "x", 1.0)], orders.schema
@@ -193,10 +193,14 @@ def test_new_rows(spark, orders, limit):
     ]
 
 
-def test_new_rows_limit_and_order(spark):
-    prod, sbx = spark.range(100), spark.range(-500, 200)
-    rows = volume.new_rows_inspection("id", limit=3).rows(prod, sbx).collect()
-    assert [r["id"] for r in rows] == [-500, -499, -498]
+@pytest.mark.parametrize("limit", [3, 2000])
+def test_listings_have_a_limit_and_an_order(spark, limit):
+    small, large = spark.range(100), spark.range(-3000, 200)
+    wanted = list(range(-3000, -3000 + limit))
+    new = volume.new_rows_inspection("id", limit=limit).rows(small, large)
+    assert [r["id"] for r in new.collect()] == wanted
+    lost = integrity.referential_completeness("id", limit=limit).rows(large, small)
+    assert [r[0] for r in lost.collect()] == wanted
 
 
 def test_null_check_and_profile(spark):

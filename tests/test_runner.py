@@ -96,6 +96,17 @@ def test_fused_suite_equals_single_checks(spark, orders):
     }
 
 
+def test_one_column_summed_in_two_ways(orders):
+    checks = [
+        numeric.sum_comparison("amount", scale=0, name="whole"),
+        numeric.sum_comparison("amount", scale=2, name="cents"),
+        numeric.sum_comparison("amount", name="plain"),
+    ]
+    texts = {r["check"]: r["result"] for r in plan_suite(orders, orders, checks).collect()}
+    assert texts["whole"].startswith("prod_sum=1376.0")
+    assert texts["cents"].startswith("prod_sum=1375.49")
+
+
 def test_broken_checks_fail_alone(spark, orders, tmp_path):
     ledger = Ledger(spark, str(tmp_path))
     checks = [

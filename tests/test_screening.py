@@ -109,7 +109,8 @@ def test_very_long_texts(spark):
     ],
 )
 def test_rewrite(spark, statement, wanted):
-    df = spark.createDataFrame([(statement, "analytics", "sbx_o_1", "orders")], "q string, s string, b string, p string")
+    row = (statement, "analytics", "sbx_o_1", "orders")
+    df = spark.createDataFrame([row], "q string, s string, b string, p string")
     assert df.select(rewrite_to_production(df.q, df.s, df.b, df.p)).first()[0] == wanted
 
 
