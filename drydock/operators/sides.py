@@ -50,17 +50,22 @@ def side_counts(prod: DataFrame, sbx: DataFrame, keys: Sequence[str]) -> DataFra
     )
 
 
-def distinct_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The distinct keys, as one struct column ``_key``.
+def key_columns(keys: Sequence[str]) -> list[Column]:
+    """The keys as ``_k_<key>``, and their hash ``_h``, for one side of a join.
 
     Adaptive execution splits a hot key of a join only if both inputs come straight
-    from a shuffle made for that join. Keys made distinct by their own columns would be
-    joined where they lie; keys made distinct as a struct are shuffled again when
-    they are joined on its fields, so the other side's hot keys can be split.
+    from a shuffle made for that join. A side grouped by exactly its keys would be
+    joined where it lies. Grouped by keys and hash it holds the same groups, but is
+    shuffled again for a join on the keys, so the other side's hot keys can be split.
     """
-    return df.select(F.struct(*keys).alias("_key")).distinct()
+    return [*[F.col(k).alias(f"_k_{k}") for k in keys], F.hash(*keys).alias("_h")]
+
+
+def distinct_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The distinct keys of one side of a join."""
+    return df.select(key_columns(keys)).distinct()
 
 
 def on_key(left: Sequence[str], right: Sequence[str] | None = None) -> list[Column]:
-    """Join conditions of columns with the fields of ``_key``."""
-    return [F.col(mine) == F.col(f"_key.{key}") for mine, key in zip(left, right or left)]
+    """Join conditions of columns with the key columns of the other side."""
+    return [F.col(mine) == F.col(f"_k_{key}") for mine, key in zip(left, right or left)]

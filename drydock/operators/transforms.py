@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from drydock.operators.sides import distinct_keys, on_key
+from drydock.operators.sides import distinct_keys, key_columns, on_key
 
 Value = Column | int | float | str | bool | None
 
@@ -99,7 +99,8 @@ def merge(
     if insert is False:
         return kept
 
-    taken = distinct_keys(df, keys).join(distinct_keys(source, keys), "_key", "left_semi")
+    source_keys = distinct_keys(source, keys)
+    taken = distinct_keys(df, keys).join(source_keys, source_keys.columns, "left_semi")
     fresh = source.join(taken, on_key(keys), "left_anti").alias("s")
     values = {c: F.col(f"s.`{c}`") for c in source.columns} if insert is True else insert
     rows = fresh.select(
@@ -116,7 +117,7 @@ def _merge_matched(
     update_where: Column | None,
     delete_where: Column | None,
 ) -> DataFrame:
-    per_key = source.groupBy(F.struct(*keys).alias("_key")).agg(
+    per_key = source.groupBy(key_columns(keys)).agg(
         F.first(F.struct(*source.columns)).alias("s"), F.count(F.lit(1)).alias("_copies")
     )
     joined = df.alias("t").join(per_key, on_key([f"t.{k}" for k in keys], keys), "left")
@@ -178,12 +179,11 @@ def update_from_join(
     all its columns) is used, so rows never fan out.
     """
     _require(df, set)
-    keyed = lookup.select(
-        F.struct(*on.values()).alias("_key"), F.struct(*lookup.columns).alias("s")
-    )
+    theirs = list(on.values())
+    keyed = lookup.select(*key_columns(theirs), F.struct(*lookup.columns).alias("s"))
     first = [F.col(f"s.{c}") if isinstance(c, str) else c for c in order or lookup.columns]
-    side = deduplicate(keyed, ["_key"], first)
-    joined = df.alias("t").join(side, on_key([f"t.{c}" for c in on], list(on.values())), "left")
+    side = deduplicate(keyed, [f"_k_{c}" for c in theirs] + ["_h"], first)
+    joined = df.alias("t").join(side, on_key([f"t.{c}" for c in on], theirs), "left")
     found = F.col("s").isNotNull()
 
     def new_value(field: T.StructField) -> Column:
@@ -200,7 +200,7 @@ def flag_members(df: DataFrame, members: DataFrame, on: Mapping[str, str], flag:
     """Add a boolean column: whether the row's key occurs among ``members``."""
     side = distinct_keys(members, list(on.values()))
     joined = df.join(side, on_key(list(on), list(on.values())), "left")
-    return joined.select(*df.columns, F.col("_key").isNotNull().alias(flag))
+    return joined.select(*df.columns, F.col("_h").isNotNull().alias(flag))
 
 
 def _require(df: DataFrame, assignments: Mapping[str, object]) -> None:
