@@ -57,6 +57,7 @@ def key_columns(keys: Sequence[str]) -> list[Column]:
     from a shuffle made for that join. A side grouped by exactly its keys would be
     joined where it lies. Grouped by keys and hash it holds the same groups, but is
     shuffled again for a join on the keys, so the other side's hot keys can be split.
+    The hash depends on the keys' types and must not be joined on.
     """
     return [*[F.col(k).alias(f"_k_{k}") for k in keys], F.hash(*keys).alias("_h")]
 

@@ -99,9 +99,9 @@ def merge(
     if insert is False:
         return kept
 
-    source_keys = distinct_keys(source, keys)
-    taken = distinct_keys(df, keys).join(source_keys, source_keys.columns, "left_semi")
-    fresh = source.join(taken, on_key(keys), "left_anti").alias("s")
+    source_keys = source.select(*keys).distinct()
+    taken = df.select(*keys).distinct().join(source_keys, keys, "left_semi")
+    fresh = source.join(distinct_keys(taken, keys), on_key(keys), "left_anti").alias("s")
     values = {c: F.col(f"s.`{c}`") for c in source.columns} if insert is True else insert
     rows = fresh.select(
         [_as_column(values.get(f.name)).cast(f.dataType).alias(f.name) for f in df.schema]

@@ -76,6 +76,17 @@ def test_merge_updates_and_inserts(tables):
     )
 
 
+@pytest.mark.parametrize("key_type", ["bigint", "decimal(10,0)", "double", "string"])
+def test_merge_keys_of_different_types(tables, key_type):
+    target, source = tables
+    source = source.withColumn("k", F.col("k").cast(key_type))
+    merged = merge(target, source, update={"v": F.col("s.v")}, insert=True)
+    assert merged.schema == target.schema
+    assert rows_of(merged) == sorted(
+        [(1, "a"), (2, "B"), (2, "B"), (None, "n"), (3, "C"), (None, "N")], key=repr
+    )
+
+
 def test_merge_deletes_before_it_updates(tables):
     merged = merge(
         *tables, update={"v": F.concat(F.col("t.v"), F.col("s.v"))},
