@@ -7,11 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drydock.llm import kd_sharding, licenses, line_dedup
+from drydock.llm import decontamination, kd_sharding, language_id, licenses, line_dedup, minhash, pieces
 from drydock.llm.common import load
 
 MIN_DOCS = 10
 SHARDS = 8
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(load(spark, sf_dir, "documents"), width=2, percent=80)
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = pieces.load_model(TOKENIZER)
+    docs = load(spark, sf_dir, "documents").withColumn("ids", pieces.encode(F.col("text"), model))
+    docs = docs.withColumn("decoded", pieces.decode(F.col("ids"), model))
+    return docs.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
+    )
 
 
 def op4_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +41,31 @@ def op4_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "score", F.round("similarity", 6).alias("similarity"), "first_word", "end_word")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents (their source is the host) and web pages, with one model for both."""
+    docs, pages = load(spark, sf_dir, "documents"), load(spark, sf_dir, "pages")
+    table = language_id.fit(
+        docs.select("text", F.col("lang").alias("label")), language_id.LANGUAGES, language_id.SAMPLE_ROWS
+    )
+    page = language_id.page_columns(F.col("html"), F.col("url"))
+    rows = docs.select(
+        "doc_id", F.lit(None).cast("long").alias("page_id"), "text", F.col("lang").alias("declared"),
+        F.col("source").alias("host"), F.lit(None).cast("string").alias("suffix"),
+    ).unionByName(pages.select(
+        F.lit(None).cast("long").alias("doc_id"), "page_id", *[c.alias(n) for n, c in page.items()]
+    ))
+    rows = rows.withColumn("id", F.struct("doc_id", "page_id"))
+    found = language_id.identify(
+        rows, table, "id", "text", F.col("declared"), F.col("host"), F.col("suffix")
+    )
+    return found.select("id.doc_id", "id.page_id", "lang", F.round("probability", 6).alias("probability"), "kept")
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(load(spark, sf_dir, "documents"))
     return found.withColumn("notices", F.array_join("notices", ","))
@@ -86,7 +131,11 @@ LINE_DEDUP_SQL = f"""
     FROM marked GROUP BY r, doc_id"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash": op1_minhash,
+    "op2_sentencepiece": op2_sentencepiece,
     "op4_kd_sharding": op4_kd_sharding,
+    "op5_decontamination": op5_decontamination,
+    "op8_language_id": op8_language_id,
     "op9_license_scan": op9_license_scan,
     "op10_line_dedup": op10_line_dedup,
 }
