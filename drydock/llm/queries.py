@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drydock.llm import decontamination, kd_sharding, language_id, licenses, line_dedup, minhash, pieces
+from drydock.llm import ann, decontamination, kd_sharding, language_id, licenses, line_dedup, lm_scoring, minhash, pieces, suffix_dedup
 from drydock.llm.common import load
 
 MIN_DOCS = 10
@@ -34,6 +34,18 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeated_spans(load(spark, sf_dir, "documents"), length=50)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, span: total + span["end"] - span["start"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op4_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     dimensions = [kd_sharding.coordinate(F.col("source")), kd_sharding.coordinate(F.col("lang")), F.col("doc_id")]
@@ -46,6 +58,14 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "score", F.round("similarity", 6).alias("similarity"), "first_word", "end_word")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(load(spark, sf_dir, "documents"))
+
+
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents (their source is the host) and web pages, with one model for both."""
     docs, pages = load(spark, sf_dir, "documents"), load(spark, sf_dir, "pages")
@@ -133,8 +153,11 @@ LINE_DEDUP_SQL = f"""
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_kd_sharding": op4_kd_sharding,
     "op5_decontamination": op5_decontamination,
+    "op6_lm_scoring": op6_lm_scoring,
+    "op7_nearest": op7_nearest,
     "op8_language_id": op8_language_id,
     "op9_license_scan": op9_license_scan,
     "op10_line_dedup": op10_line_dedup,
