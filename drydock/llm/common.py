@@ -46,5 +46,16 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def inline_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of a few literal rows, made in the plan itself."""
+    fields = [field.split() for field in schema.split(", ")]
+    structs = [
+        F.struct(*[F.lit(x).cast(kind).alias(name) for x, (name, kind) in zip(row, fields, strict=True)])
+        for row in rows
+    ]
+    kind = f"array<struct<{','.join(f'{name}:{kind}' for name, kind in fields)}>>"
+    return spark.range(1).select(F.inline(F.array(*structs).cast(kind)))
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

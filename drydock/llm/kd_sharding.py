@@ -22,7 +22,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from drydock.llm.common import stored
+from drydock.llm.common import inline_table, stored
 
 BINS = 1024
 #: Hashes that serve as coordinates are below this.
@@ -90,14 +90,16 @@ def _points(df: DataFrame, id_col: str, text_col: str, dimensions: list[Column])
         F.crc32(body).alias("text_crc32"),
         F.array(*at).alias("at"),
         F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("string"), F.crc32(body)), 2).alias("tie"),
+        F.lit(1).cast("long").alias("node"),
     )
 
 
 def _placed(points: DataFrame, levels: list[list[Node]]) -> DataFrame:
-    """Points with their node below the cuts made so far; a node without a cut is a leaf."""
-    out = points.withColumn("node", F.lit(1).cast("long"))
+    """Points moved from the root below the cuts made so far; a node without a cut is a leaf."""
+    out = points
     for cuts in levels:
-        table = points.sparkSession.createDataFrame(
+        table = inline_table(
+            points.sparkSession,
             [(n.number, n.dimension, n.value, n.lo) for n in cuts],
             "node long, dimension int, value long, tie_cut long",
         )
@@ -108,13 +110,14 @@ def _placed(points: DataFrame, levels: list[list[Node]]) -> DataFrame:
         child = F.when(F.col("dimension").isNull(), F.col("node")).otherwise(
             2 * F.col("node") + goes_right.cast("long")
         )
-        out = out.join(F.broadcast(table), "node", "left").select(*points.columns, child.alias("node"))
+        out = out.join(F.broadcast(table), "node", "left").withColumn("node", child).select(*points.columns)
     return out
 
 
 def _histograms(placed: DataFrame, cutting: list[Node]) -> dict[int, list[tuple[int, int]]]:
     """Bytes per node and bin of the range in which the node's median lies."""
-    table = placed.sparkSession.createDataFrame(
+    table = inline_table(
+        placed.sparkSession,
         [(n.number, n.dimension, n.in_ties, n.value, n.lo, n.hi, n.width) for n in cutting],
         "node long, dimension int, in_ties boolean, value long, lo long, hi long, width long",
     )

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drydock.llm.common import text_key
+from drydock.llm.common import inline_table, text_key
 
 # Spellings that mean the same, in the order in which they are replaced.
 EQUIVALENT = [
@@ -102,7 +102,7 @@ def digest(text: Column) -> Column:
 def known_licenses(spark: SparkSession, notices: dict[str, list[str]] = NOTICES) -> DataFrame:
     """``license_id, digest``, one row for each digest."""
     rows = [(name, text) for name, texts in notices.items() for text in texts]
-    table = spark.createDataFrame(rows, "license_id string, text string")
+    table = inline_table(spark, rows, "license_id string, text string")
     return table.select("license_id", digest(F.col("text")).alias("digest")).groupBy("digest").agg(
         F.min("license_id").alias("license_id")
     )
