@@ -5,7 +5,8 @@ salt with a secondary sort by document and position, so that one streaming pass
 partition sees every occurrence of a line in order: it counts documents and takes the
 first occurrence. The salt (from the document) splits a line that a third of all
 documents hold; the salted groups, at most ``salts`` rows a line, are then summed. What
-comes back is one keep bitmap per document in run-length form, never text.
+comes back is one keep bitmap per document in run-length form, never text. The rows are
+written once, for they are read by several steps and cost a pass over all texts.
 
 Defined cases: a NULL or empty text is one empty line; a row is known by its id (NULL is
 an id like any other) and its text, so repeated rows count as one document and all get the
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from drydock.llm.common import BLANKS, ascii_lower, text_key
+from drydock.llm.common import BLANKS, ascii_lower, stored, text_key
 
 SALTS = 64
 GROUP = ["h1", "h2", "salt"]
@@ -82,7 +83,7 @@ def keep_bitmaps(
     ``min_docs`` documents. ``keep_first`` keeps its first occurrence by document and position;
     otherwise every occurrence goes.
     """
-    lines = _hashed_lines(df, id_col, text_col, min_chars, salts)
+    lines = stored(_hashed_lines(df, id_col, text_col, min_chars, salts), "lines")
     groups = _streamed_groups(lines)
     repeated = (
         groups.groupBy("h1", "h2")
