@@ -1,16 +1,18 @@
 """Screening a log of SQL text: what each statement does, to what, and whether it may.
 
-This classifies rows of a query-history table with built-in column functions and no
-shuffle. It is best effort, and anything it cannot read is not waved through; the
-barrier that actually protects production is the typed guard in front of every sink.
+This classifies rows of a query-history table with built-in column functions; only the
+verdict on a whole batch, which its id names, brings statements together. It is best
+effort, and anything it cannot read is not waved through; the barrier that actually
+protects production is the typed guard in front of every sink.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from drydock.operators.guard import AUDIT_TABLE, SANDBOX_PREFIX, writable
+from drydock.operators.guard import AUDIT_TABLE, SANDBOX_PREFIX
+from drydock.operators.sides import named
 
 # String literals and comments, or (group 1) a quoted identifier, which is kept.
 QUOTED = r"""'[^']*'|--[^\n]*|/\*[\s\S]*?\*/|("[^"]*"|`[^`]*`)"""
@@ -31,6 +33,7 @@ WRITES = r"(?i)\b(INSERT|UPDATE|DELETE|MERGE|INTO)\b"
 
 # Verbs that must name a sandbox or the audit table.
 GUARDED = ["INSERT", "UPDATE", "DELETE", "MERGE", "DROP", "ALTER", "TRUNCATE", "CREATE OR REPLACE"]
+FOUND = ("operation", "target", "verdict", "is_read", "is_ddl")
 DDL = ["ALTER", "DROP", "CREATE", "CREATE OR REPLACE", "TRUNCATE"]
 
 
@@ -41,83 +44,96 @@ def split_statements(sql: Column) -> Column:
     return F.filter(F.transform(F.split(tidy, ";"), lambda s: F.trim(s)), lambda s: s != "")
 
 
-def _parts(statement: Column) -> Column:
-    """The text, verb and target names of one split statement, each read once."""
-    targets = F.split(F.regexp_extract(statement, WRITE, 2), ",")
-    return F.struct(
-        statement.alias("text"),
-        F.upper(F.regexp_extract(statement, VERB, 1)).alias("operation"),
-        F.transform(targets, lambda n: F.trim(n)).alias("names"),
-        F.regexp_replace(statement, IDENTIFIER, "").rlike(UNCLOSED).alias("unclosed"),
+def _statements(log: DataFrame, id_column: str, sql_column: str) -> DataFrame:
+    """The statements of a log, one per row: batch id, ``_pos``, ``_text`` and ``_doubt``.
+
+    A batch without statements keeps one row, whose ``_pos`` is NULL. Exploding first lets all
+    that follows be plain column functions, which compile. A backslash before a quote ends the
+    literal in one dialect and not in another, so such a batch is in doubt.
+    """
+    doubt = F.coalesce(named(sql_column).contains("\\'"), F.lit(False))
+    return log.select(
+        named(id_column),
+        doubt.alias("_doubt"),
+        F.posexplode_outer(split_statements(named(sql_column))).alias("_pos", "_text"),
     )
 
 
-def _judge(part: Column, prefix: str, audit: str) -> Column:
-    operation = part["operation"]
-    target = F.array_join(
-        F.transform(part["names"], lambda n: F.lower(F.regexp_replace(n, "[\"`]", ""))), ","
+def _judged(
+    log: DataFrame, id_column: str, sql_column: str, prefix: str = SANDBOX_PREFIX, audit: str = AUDIT_TABLE
+) -> DataFrame:
+    """One row per statement with what is found about it.
+
+    blocked: a guarded verb outside sandboxes, or text that cannot be read.
+    review: verbs the rules don't know, plain CREATE elsewhere, WITH around a write.
+    """
+    text, operation, target = F.col("_text"), F.col("operation"), F.col("target")
+    names = F.regexp_replace(F.regexp_extract(text, WRITE, 2), "[\"`]", "")
+    read = (
+        _statements(log, id_column, sql_column)
+        .withColumn("operation", F.upper(F.regexp_extract(text, VERB, 1)))
+        .withColumn("target", F.lower(F.regexp_replace(F.trim(names), " ?, ?", ",")))
+        .withColumn("_unclosed", F.regexp_replace(text, IDENTIFIER, "").rlike(UNCLOSED))
     )
-    safe = (target != "") & F.forall(part["names"], lambda n: writable(n, prefix, audit))
-    is_read = ((operation == "SELECT") & ~part["text"].rlike(INTO)) | (
-        (operation == "WITH") & ~part["text"].rlike(WRITES)
+    safe = target.rlike(_all_writable(prefix, audit))
+    is_read = ((operation == "SELECT") & ~text.rlike(INTO)) | (
+        (operation == "WITH") & ~text.rlike(WRITES)
     )
     verdict = (
-        F.when(part["unclosed"], "blocked")
+        F.when(F.col("_unclosed"), "blocked")
         .when(operation.isin(GUARDED), F.when(safe, "allow").otherwise("blocked"))
         .when(is_read, "allow")
         .when((operation == "CREATE") & safe, "allow")
         .otherwise("review")
     )
-    return F.struct(
-        operation.alias("operation"),
-        target.alias("target"),
-        verdict.alias("verdict"),
-        is_read.alias("is_read"),
-        operation.isin(DDL).alias("is_ddl"),
+    return (
+        read.withColumn("verdict", verdict)
+        .withColumn("is_read", is_read)
+        .withColumn("is_ddl", operation.isin(DDL))
     )
 
 
-def findings(sql: Column, prefix: str = SANDBOX_PREFIX, audit: str = AUDIT_TABLE) -> Column:
-    """``array<struct(operation, target, verdict, is_read, is_ddl)>``, one per statement.
+def _all_writable(prefix: str, audit: str) -> str:
+    """A pattern for lists of names that all are sandboxes or the audit table."""
+    table = rf"(?:\Q{prefix.lower()}\E[^.,]*|\Q{audit.lower()}\E)"
+    name = rf"(?:[^.,]+\.)*{table}"
+    return rf"^{name}(?:,{name})*$"
 
-    blocked: a guarded verb outside sandboxes, or text that cannot be read.
-    review: verbs the rules don't know, plain CREATE elsewhere, WITH around a write.
-    """
-    parts = F.transform(split_statements(sql), _parts)
-    return F.transform(parts, lambda p: _judge(p, prefix, audit))
 
-
-def screen_log(
-    log: DataFrame,
-    sql_column: str,
-    prefix: str = SANDBOX_PREFIX,
-    audit: str = AUDIT_TABLE,
-) -> DataFrame:
-    """Add ``findings`` (one struct per statement) and the batch ``verdict`` to a log.
-
-    A batch is as bad as its worst statement; an empty batch is allowed. A backslash
-    before a quote ends the literal in one dialect and not in another, so such text
+def _batch_verdict(worst: Column, doubt: Column) -> Column:
+    """A batch is as bad as its worst statement, and an empty batch is allowed; one in doubt
     is at best left for review.
     """
-    def any_verdict(value: str) -> Column:
-        return F.exists("findings", lambda f: f["verdict"] == value)
-
-    worst = (
-        F.when(any_verdict("blocked"), "blocked")
-        .when(any_verdict("review") | F.col(sql_column).contains("\\'"), "review")
-        .otherwise("allow")
+    rank = F.greatest(F.coalesce(worst, F.lit(0)), doubt.cast("int"))
+    return F.when(rank == 2, "blocked").when(rank == 1, "review").otherwise("allow")
+
+
+def _rank(verdict: Column) -> Column:
+    return F.when(verdict == "blocked", 2).when(verdict == "review", 1).otherwise(0)
+
+
+def screen_log(log: DataFrame, id_column: str, sql_column: str, **names: str) -> DataFrame:
+    """One row per id: ``findings`` (one struct per statement) and the batch ``verdict``."""
+    finding = F.struct((F.col("_pos") + 1).alias("statement_no"), *FOUND)
+    found = F.when(F.col("_pos").isNotNull(), finding)
+    rank = F.when(F.col("_pos").isNotNull(), _rank(F.col("verdict")))
+    return (
+        _judged(log, id_column, sql_column, **names)
+        .groupBy(named(id_column))
+        .agg(
+            F.sort_array(F.collect_list(found)).alias("findings"),
+            _batch_verdict(F.max(rank), F.max("_doubt")).alias("verdict"),
+        )
     )
-    return log.withColumn(
-        "findings", findings(F.col(sql_column), prefix, audit)
-    ).withColumn("verdict", worst)
 
 
 def screen_statements(log: DataFrame, id_column: str, sql_column: str, **names: str) -> DataFrame:
     """One row per statement: id, position, finding and the verdict of its batch."""
-    screened = screen_log(log, sql_column, **names)
-    # An inner explode would make the optimizer filter on the findings before it, and so
-    # compute them twice.
-    each = screened.select(
-        id_column, F.col("verdict").alias("batch_verdict"), F.posexplode_outer("findings")
-    ).where(F.col("pos").isNotNull())
-    return each.select(id_column, (F.col("pos") + 1).alias("statement_no"), "col.*", "batch_verdict")
+    worst = F.max(_rank(F.col("verdict"))).over(Window.partitionBy(named(id_column)))
+    judged = _judged(log, id_column, sql_column, **names).where(F.col("_pos").isNotNull())
+    return judged.select(
+        named(id_column),
+        (F.col("_pos") + 1).alias("statement_no"),
+        *FOUND,
+        _batch_verdict(worst, F.col("_doubt")).alias("batch_verdict"),
+    )

@@ -12,19 +12,24 @@ def slug(text: Column, max_len: int = 40) -> Column:
     return F.substring(F.trim(dashed, F.lit("-")), 1, max_len)
 
 
-def rewrite_to_production(
-    statement: Column, schema: Column, sandbox_name: Column, source_table: Column
-) -> Column:
-    """Replace a sandbox's name by its production table's, whatever its case.
+def replay_on(statement: Column, sandbox: Column, production: Column, schema: Column) -> Column:
+    """A statement written for a sandbox, as it reads for its production table.
 
-    ``schema.sandbox`` goes first, then the bare name. Names inside string literals
-    are replaced as well.
+    One pattern finds the sandbox's name, whatever its case, with its schema or without.
+    The text between the finds is kept, and each find becomes the production table's name, with
+    the schema where one stood. All names are taken literally. Names inside string literals are
+    replaced as well.
     """
-    def whole_name(name: Column) -> Column:
-        escaped = F.regexp_replace(name, r"\.", r"\\.")
-        return F.concat(F.lit(r"(?i)\b"), escaped, F.lit(r"\b"))
-
-    qualified = F.concat_ws(".", schema, sandbox_name)
-    production = F.concat_ws(".", schema, source_table)
-    once = F.regexp_replace(statement, whole_name(qualified), production)
-    return F.regexp_replace(once, whole_name(sandbox_name), source_table)
+    def literally(name: Column) -> Column:
+        return F.concat(F.lit(r"\Q"), F.replace(name, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+
+    pattern = F.concat(
+        F.lit(r"(?i)(?<!\w)("), literally(schema), F.lit(r"\.)?(?<!\w)"), literally(sandbox), F.lit(r"(?!\w)")
+    )
+    kept = F.split(statement, pattern, -1)
+    names = F.transform(
+        F.regexp_extract_all(statement, pattern, F.lit(1)),
+        lambda prefix: F.when(prefix == "", production).otherwise(F.concat_ws(".", schema, production)),
+    )
+    pairs = F.zip_with(kept, names, lambda text, name: F.array(text, name))
+    return F.array_join(F.flatten(pairs), "")

@@ -1,8 +1,9 @@
-"""Write guard: only sandboxes and the audit table may be written."""
+"""Table names, and the write guard: only sandboxes and the audit table may be written."""
 
 from __future__ import annotations
 
-import re
+import string
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,34 +13,56 @@ SANDBOX_PREFIX = "sbx_"
 AUDIT_TABLE = "qg_quality_results"
 DEFAULT_SCHEMA = "analytics"
 
-_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*")
+LETTERS = frozenset(string.ascii_letters + "_")
+QUOTES = "`\"'"
 
 
 class ProductionWriteBlocked(Exception):
     """A write was aimed at something that is neither a sandbox nor the audit table."""
 
 
-def validate_identifier(name: str, label: str = "identifier") -> str:
-    """Return the trimmed name, or raise if it is not a plain (dotted) identifier."""
-    trimmed = name.strip()
-    if not trimmed:
-        raise ValueError(f"{label} must not be empty")
-    if not _NAME.fullmatch(trimmed):
-        raise ValueError(
-            f"Invalid {label} {trimmed!r}: use letters, digits, underscores and dots only"
-        )
-    return trimmed
+@dataclass(frozen=True)
+class TableName:
+    """A table's name in its parts, the table itself last."""
+
+    parts: tuple[str, ...]
+
+    @classmethod
+    def plain(cls, text: str, what: str = "identifier") -> TableName:
+        """A name that needs no quotes: ASCII letters, digits and underscores between dots.
+
+        Blanks around it are dropped. Anything else is an error that calls it ``what``.
+        """
+        name = cls(tuple(text.strip().split(".")))
+        odd = set("".join(name.parts)) - LETTERS - set(string.digits)
+        if name.parts == ("",):
+            raise ValueError(f"{what} must not be empty")
+        if odd or name.parts[0][:1] not in LETTERS:
+            raise ValueError(f"{what} {str(name)!r} is not a plain name")
+        return name
+
+    @classmethod
+    def quoted(cls, text: str) -> TableName:
+        """A name as SQL writes it, with or without quotes."""
+        return cls(tuple(part.strip().strip(QUOTES) for part in text.split(".")))
+
+    def __str__(self) -> str:
+        return ".".join(self.parts)
+
+    @property
+    def table(self) -> str:
+        return self.parts[-1]
 
+    def is_sandbox(self, prefix: str = SANDBOX_PREFIX) -> bool:
+        return self.table.casefold().startswith(prefix.casefold())
 
-def is_writable(name: str, prefix: str = SANDBOX_PREFIX, audit: str = AUDIT_TABLE) -> bool:
-    """Whether the last part of a table name is a sandbox or the audit table."""
-    bare = name.strip().split(".")[-1].strip("`\"'").lower()
-    return bare.startswith(prefix.lower()) or bare == audit.lower()
+    def may_be_written(self, prefix: str = SANDBOX_PREFIX, audit: str = AUDIT_TABLE) -> bool:
+        return self.is_sandbox(prefix) or self.table.casefold() == audit.casefold()
 
 
 def guard_target(name: str, prefix: str = SANDBOX_PREFIX, audit: str = AUDIT_TABLE) -> str:
     """Called by every sink before any job starts."""
-    if not is_writable(name, prefix, audit):
+    if not TableName.quoted(name).may_be_written(prefix, audit):
         raise ProductionWriteBlocked(
             f"write to {name!r} refused: create a sandbox ({prefix}*) and change that instead"
         )
@@ -47,6 +70,7 @@ def guard_target(name: str, prefix: str = SANDBOX_PREFIX, audit: str = AUDIT_TAB
 
 
 def writable(name: Column, prefix: str = SANDBOX_PREFIX, audit: str = AUDIT_TABLE) -> Column:
-    """Column form of :func:`is_writable`."""
-    bare = F.lower(F.regexp_replace(F.element_at(F.split(name, r"\."), -1), "[`\"']", ""))
+    """Column form of :meth:`TableName.may_be_written`."""
+    last = F.element_at(F.split(name, r"\."), -1)
+    bare = F.lower(F.translate(last, QUOTES, ""))
     return bare.startswith(prefix.lower()) | (bare == audit.lower())

@@ -5,27 +5,27 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from drydock.functions import screening
-from drydock.functions.text import rewrite_to_production, slug
+from drydock.functions.text import replay_on, slug
 from scenarios.base import Scenario, load, orders
 
-# One statement form per status and priority; {k} is the order's key.
+# One statement form per status and priority, each for a rule of the screening; {k} is the order's key.
 FORMS = {
-    ("F", "1-URGENT"): "UPDATE analytics.orders SET status = 'archived' WHERE id = {k}",
-    ("F", "2-HIGH"): "UPDATE sbx_orders_{k} SET note = 'a; DROP TABLE orders -- b'",
-    ("F", "3-MEDIUM"): "INSERT INTO analytics.sbx_orders_{k} VALUES (1, 'it''s')",
-    ("F", "4-NOT SPECIFIED"): "delete from orders where id = {k} -- tidy; up",
-    ("F", "5-LOW"): "/* nightly; job */ TRUNCATE TABLE sbx_orders, orders",
-    ("O", "1-URGENT"): "DROP TABLE IF EXISTS SBX_ORDERS_{k}",
-    ("O", "2-HIGH"): 'ALTER TABLE "analytics"."orders" ADD COLUMN region VARCHAR',
-    ("O", "3-MEDIUM"): "MERGE INTO orders AS t USING new_{k} AS s ON t.id = s.id "
-    "WHEN MATCHED THEN UPDATE SET x = s.x",
-    ("O", "4-NOT SPECIFIED"): "CREATE OR REPLACE TABLE orders AS SELECT {k}",
-    ("O", "5-LOW"): "CREATE TABLE sbx_test_{k} AS SELECT 1; CREATE TABLE scratch AS SELECT 1",
-    ("P", "1-URGENT"): "WITH r AS (SELECT * FROM orders) SELECT * FROM r WHERE id = {k};",
-    ("P", "2-HIGH"): "UPDATE sbx_orders SET x = 1; UPDATE orders SET x = {k}",
-    ("P", "3-MEDIUM"): "COPY orders TO 'f_{k}.csv'",
-    ("P", "4-NOT SPECIFIED"): "INSERT INTO QG_QUALITY_RESULTS VALUES ({k}); SELECT 'open",
-    ("P", "5-LOW"): "WITH d AS (SELECT {k} AS id) DELETE FROM orders USING d",
+    ("F", "1-URGENT"): "UPDATE analytics.lineitem SET l_tax = 0 WHERE l_orderkey = {k}",
+    ("F", "2-HIGH"): "UPDATE sbx_part_{k} SET p_name = 'x; TRUNCATE part -- y'",
+    ("F", "3-MEDIUM"): "INSERT INTO analytics.sbx_part_{k} SELECT 'don''t', {k}",
+    ("F", "4-NOT SPECIFIED"): "delete from lineitem where l_orderkey = {k} -- one; two",
+    ("F", "5-LOW"): "/* every; week */ TRUNCATE TABLE sbx_part, part",
+    ("O", "1-URGENT"): "DROP TABLE IF EXISTS SBX_PART_{k}",
+    ("O", "2-HIGH"): 'ALTER TABLE "analytics"."part" DROP COLUMN p_size',
+    ("O", "3-MEDIUM"): "MERGE INTO part USING feed_{k} ON part.p_partkey = feed_{k}.p_partkey "
+    "WHEN MATCHED THEN DELETE",
+    ("O", "4-NOT SPECIFIED"): "CREATE OR REPLACE TABLE part AS SELECT p_name FROM old_{k}",
+    ("O", "5-LOW"): "CREATE TABLE sbx_crates_{k} AS SELECT 2; CREATE TABLE crates AS SELECT 2",
+    ("P", "1-URGENT"): "WITH big AS (SELECT * FROM part) SELECT * FROM big WHERE p_size = {k};",
+    ("P", "2-HIGH"): "UPDATE sbx_part SET p_size = 1; UPDATE part SET p_size = {k}",
+    ("P", "3-MEDIUM"): "VACUUM part RETAIN {k} HOURS",
+    ("P", "4-NOT SPECIFIED"): "INSERT INTO QG_QUALITY_RESULTS SELECT {k}; SELECT 'never",
+    ("P", "5-LOW"): "WITH few AS (SELECT {k} AS k) DELETE FROM part USING few",
 }
 
 
@@ -115,9 +115,7 @@ def rewrites(spark, sf_dir):
     log = orders(spark, sf_dir).select("o_orderkey", sandbox.alias("sandbox"), statement.alias("text"))
     return log.select(
         "o_orderkey",
-        rewrite_to_production(
-            F.col("text"), F.lit("analytics"), F.col("sandbox"), F.lit("orders")
-        ).alias("prod_statement"),
+        replay_on(F.col("text"), F.col("sandbox"), F.lit("orders"), F.lit("analytics")).alias("prod_statement"),
     )
 
 

@@ -1,68 +1,77 @@
 from __future__ import annotations
 
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
 from drydock.functions import screening
-from drydock.functions.text import rewrite_to_production, slug
+from drydock.functions.text import replay_on, slug
+
+# Guarded forms by verb; each is tried on names that may be written and on others.
+FORMS = {
+    "INSERT": ["INSERT INTO {t} SELECT k FROM feed", "insert overwrite table {t} values (4)"],
+    "UPDATE": ["UPDATE {t} SET weight = weight + 1", "UPDATE\n\t{t}\nSET  weight = 2"],
+    "DELETE": ["DELETE FROM {t} WHERE weight > 9"],
+    "MERGE": ["MERGE INTO {t} USING feed ON {t}.k = feed.k WHEN MATCHED THEN DELETE"],
+    "DROP": ["DROP TABLE {t}", "drop view if exists {t}", "DROP/* now */TABLE/**/{t}"],
+    "ALTER": ["ALTER TABLE {t} DROP COLUMN weight"],
+    "TRUNCATE": ["TRUNCATE TABLE {t}", "TRUNCATE {t}"],
+    "CREATE OR REPLACE": ["CREATE OR REPLACE TABLE {t} AS SELECT k FROM feed"],
+}
+NAMES = {
+    "sbx_parcels": True, "SBX_Parcels": True, "depot.sbx_parcels": True, '"sbx_parcels"': True,
+    "`depot` . `sbx_parcels`": True, "qg_quality_results": True, "depot.QG_Quality_Results": True,
+    "parcels": False, "depot.parcels": False, '"parcels"': False, "`depot` . `parcels`": False,
+    "sbx_depot.parcels": False, "old_sbx_parcels": False,
+}
+
+
+def shown(name):
+    return name.replace(" . ", ".").translate({ord(c): None for c in "`\""}).lower()
+
 
+GUARDED = [
+    (form.format(t=name), "allow" if ok else "blocked", [(verb, shown(name), "allow" if ok else "blocked")])
+    for (verb, forms), (name, ok) in itertools.product(FORMS.items(), NAMES.items())
+    for form in forms
+]
 # text, batch verdict, (operation, target, verdict) of each statement
-CASES = [
-    ("INSERT INTO db.orders VALUES (1)", "blocked", [("INSERT", "db.orders", "blocked")]),
-    ("UPDATE orders SET x = 1 WHERE id = 1", "blocked", [("UPDATE", "orders", "blocked")]),
-    ("DELETE FROM orders", "blocked", [("DELETE", "orders", "blocked")]),
-    ("DROP TABLE orders", "blocked", [("DROP", "orders", "blocked")]),
-    ("ALTER TABLE orders ADD COLUMN r STRING", "blocked", [("ALTER", "orders", "blocked")]),
-    ("TRUNCATE TABLE orders", "blocked", [("TRUNCATE", "orders", "blocked")]),
-    ("TRUNCATE sbx_a, orders", "blocked", [("TRUNCATE", "sbx_a,orders", "blocked")]),
-    ("TRUNCATE TABLE sbx_a , sbx_b", "allow", [("TRUNCATE", "sbx_a,sbx_b", "allow")]),
-    ("MERGE INTO orders t USING n s ON t.id = s.id WHEN MATCHED THEN DELETE", "blocked",
-     [("MERGE", "orders", "blocked")]),
-    ("create or replace table orders as select 1", "blocked",
-     [("CREATE OR REPLACE", "orders", "blocked")]),
-    ('UPDATE "orders" SET x = 1', "blocked", [("UPDATE", "orders", "blocked")]),
-    ("UPDATE `db` . `orders` SET x = 1", "blocked", [("UPDATE", "db.orders", "blocked")]),
-    ("UPDATE\n\tsbx_orders\nSET x = 1", "allow", [("UPDATE", "sbx_orders", "allow")]),
-    ("INSERT INTO db.sbx_orders VALUES (1)", "allow", [("INSERT", "db.sbx_orders", "allow")]),
-    ("INSERT OVERWRITE TABLE sbx_o SELECT 1", "allow", [("INSERT", "sbx_o", "allow")]),
-    ("DELETE FROM SBX_orders", "allow", [("DELETE", "sbx_orders", "allow")]),
-    ("DROP TABLE IF EXISTS sbx_orders", "allow", [("DROP", "sbx_orders", "allow")]),
-    ("CREATE OR REPLACE TABLE sbx_o AS SELECT 1", "allow",
-     [("CREATE OR REPLACE", "sbx_o", "allow")]),
-    ("CREATE TABLE sbx_o AS SELECT 1", "allow", [("CREATE", "sbx_o", "allow")]),
-    ("CREATE TABLE IF NOT EXISTS other (id INT)", "review", [("CREATE", "other", "review")]),
-    ("INSERT INTO QG_QUALITY_RESULTS VALUES (1)", "allow",
-     [("INSERT", "qg_quality_results", "allow")]),
-    ("SELECT * FROM orders WHERE s = 'DROP TABLE x; --'", "allow", [("SELECT", "", "allow")]),
-    ("(SELECT 1) UNION (SELECT 2)", "allow", [("SELECT", "", "allow")]),
-    ("SELECT * INTO copy FROM orders", "review", [("SELECT", "", "review")]),
-    ("WITH c AS (SELECT 1) SELECT * FROM c", "allow", [("WITH", "", "allow")]),
-    ("WITH c AS (SELECT 1) DELETE FROM orders", "review", [("WITH", "", "review")]),
-    ("COPY orders TO 'f'", "review", [("COPY", "", "review")]),
-    ("GARBLE THINGS", "review", [("GARBLE", "", "review")]),
-    ("DELETE", "blocked", [("DELETE", "", "blocked")]),
-    ("SELECT 'never closed", "blocked", [("SELECT", "", "blocked")]),
-    ('SELECT "never closed', "blocked", [("SELECT", "", "blocked")]),
-    ("SELECT 1 /* never closed", "blocked", [("SELECT", "", "blocked")]),
-    (r"SELECT '\'; DROP TABLE orders; --'", "blocked", None),
-    (r"SELECT 'a\' AS x", "review", [("SELECT", "", "allow")]),
+SPECIAL = [
+    ("TRUNCATE sbx_parcels, parcels", "blocked", [("TRUNCATE", "sbx_parcels,parcels", "blocked")]),
+    ("TRUNCATE TABLE sbx_a , depot.sbx_b", "allow", [("TRUNCATE", "sbx_a,depot.sbx_b", "allow")]),
+    ("CREATE TABLE sbx_crates AS SELECT k FROM feed", "allow", [("CREATE", "sbx_crates", "allow")]),
+    ("CREATE TABLE IF NOT EXISTS crates (k INT)", "review", [("CREATE", "crates", "review")]),
+    ("SELECT k FROM parcels WHERE note = 'TRUNCATE parcels; --'", "allow", [("SELECT", "", "allow")]),
+    ("(SELECT k FROM a) EXCEPT (SELECT k FROM b)", "allow", [("SELECT", "", "allow")]),
+    ("SELECT k INTO crates FROM parcels", "review", [("SELECT", "", "review")]),
+    ("WITH heavy AS (SELECT k FROM parcels) SELECT k FROM heavy", "allow", [("WITH", "", "allow")]),
+    ("WITH heavy AS (SELECT k FROM feed) UPDATE parcels SET k = 0", "review", [("WITH", "", "review")]),
+    ("VACUUM parcels", "review", [("VACUUM", "", "review")]),
+    ("nonsense 1 2 3", "review", [("NONSENSE", "", "review")]),
+    ("UPDATE", "blocked", [("UPDATE", "", "blocked")]),
+    ("SELECT 'open", "blocked", [("SELECT", "", "blocked")]),
+    ('SELECT "open', "blocked", [("SELECT", "", "blocked")]),
+    ("SELECT k /* open", "blocked", [("SELECT", "", "blocked")]),
+    (r"SELECT '\'; TRUNCATE parcels; --'", "blocked", None),
+    (r"SELECT 'ends in a backslash\' AS k", "review", [("SELECT", "", "allow")]),
     ("", "allow", []),
-    ("-- only a comment", "allow", []),
-    (" ; ;; ", "allow", []),
-    ("/* a; b */ UPDATE sbx_a SET x = '--;' -- c; d\n; UPDATE b SET x = 1", "blocked",
-     [("UPDATE", "sbx_a", "allow"), ("UPDATE", "b", "blocked")]),
-    ("UPDATE sbx_a SET x = 'it''s; fine'; SELECT 1", "allow",
-     [("UPDATE", "sbx_a", "allow"), ("SELECT", "", "allow")]),
-    ("DROP/**/TABLE/**/orders", "blocked", [("DROP", "orders", "blocked")]),
-    ('UPDATE sbx_a SET "a--b" = 1; DROP TABLE orders', "blocked",
-     [("UPDATE", "sbx_a", "allow"), ("DROP", "orders", "blocked")]),
+    ("-- nothing but a remark", "allow", []),
+    (";; ; ", "allow", []),
+    ("/* x; y */ DELETE FROM sbx_a WHERE k = '--;' -- z; w\n; DELETE FROM b", "blocked",
+     [("DELETE", "sbx_a", "allow"), ("DELETE", "b", "blocked")]),
+    ("DELETE FROM sbx_a WHERE note = 'don''t; stop'; SELECT 2", "allow",
+     [("DELETE", "sbx_a", "allow"), ("SELECT", "", "allow")]),
+    ('UPDATE sbx_a SET "k--k" = 3; DROP TABLE parcels', "blocked",
+     [("UPDATE", "sbx_a", "allow"), ("DROP", "parcels", "blocked")]),
 ]
+CASES = GUARDED + SPECIAL
 
 
 @pytest.fixture(scope="module")
 def screened(spark):
     log = spark.createDataFrame(list(enumerate(c[0] for c in CASES)), "id int, sql string")
-    return {r["id"]: r for r in screening.screen_log(log, "sql").collect()}
+    return {r["id"]: r for r in screening.screen_log(log, "id", "sql").collect()}
 
 
 @pytest.mark.parametrize("i", range(len(CASES)), ids=[c[0][:40] for c in CASES])
@@ -82,42 +91,54 @@ def test_rows_per_statement(spark):
     assert [(r["id"], r["statement_no"], r["operation"], r["is_read"], r["is_ddl"]) for r in rows] == [
         (1, 1, "SELECT", True, False), (1, 2, "DROP", False, True)
     ]
+    batches = {r["id"]: r["verdict"] for r in screening.screen_log(log, "id", "sql").collect()}
+    assert batches == {1: "allow", 2: "allow", 3: "allow"}
 
 
 def test_very_long_texts(spark):
     """Patterns must not recurse per character."""
     long = spark.range(1).select(
+        "id",
         F.concat(F.lit("UPDATE sbx_a SET x = '"), F.repeat(F.lit("a'';--"), 200000),
                  F.lit("' /* "), F.repeat(F.lit("b "), 200000), F.lit("*/; SELECT "),
                  F.repeat(F.lit('"c", '), 100000), F.lit("1")).alias("sql")
     )
-    row = screening.screen_log(long, "sql").first()
+    row = screening.screen_log(long, "id", "sql").first()
     assert (row["verdict"], len(row["findings"])) == ("allow", 2)
 
 
+SANDBOX = "sbx_crate_7"
+
+
+@pytest.mark.parametrize("before", ["", "x = ", "(", "SELECT k FROM ", "'"])
+@pytest.mark.parametrize("after", ["", " WHERE k = 1", ")", ".k", ";"])
 @pytest.mark.parametrize(
-    ("statement", "wanted"),
+    ("name", "wanted"),
     [
-        ("UPDATE analytics.sbx_o_1 SET s = 1", "UPDATE analytics.orders SET s = 1"),
-        ("UPDATE sbx_o_1 SET s = 1", "UPDATE orders SET s = 1"),
-        ("UPDATE Analytics.SBX_O_1 SET s = 1", "UPDATE analytics.orders SET s = 1"),
-        ("UPDATE analytics.sbx_o_1 SET t = (SELECT sum(a) FROM analytics.sbx_o_1)",
-         "UPDATE analytics.orders SET t = (SELECT sum(a) FROM analytics.orders)"),
-        ("ALTER TABLE sbx_o_1 ADD COLUMN r STRING", "ALTER TABLE orders ADD COLUMN r STRING"),
-        ("SELECT * FROM sbx_o_10, xsbx_o_1", "SELECT * FROM sbx_o_10, xsbx_o_1"),
-        ("SELECT * FROM analyticsXsbx_o_1", "SELECT * FROM analyticsXsbx_o_1"),
+        (SANDBOX, "crate"), (SANDBOX.upper(), "crate"), (f"depot.{SANDBOX}", "depot.crate"),
+        (f"DEPOT.{SANDBOX}", "depot.crate"), (f"other.{SANDBOX}", "other.crate"),
+        (f"{SANDBOX}1", None), (f"x{SANDBOX}", None), (f"depotx{SANDBOX}", None), (f"{SANDBOX}_8", None),
     ],
 )
-def test_rewrite(spark, statement, wanted):
-    row = (statement, "analytics", "sbx_o_1", "orders")
-    df = spark.createDataFrame([row], "q string, s string, b string, p string")
-    assert df.select(rewrite_to_production(df.q, df.s, df.b, df.p)).first()[0] == wanted
+def test_replay_in_any_surroundings(spark, before, after, name, wanted):
+    text = f"{before}{name}{after} and {before}{name}{after}"
+    kept = text.replace(name, wanted or name)
+    df = spark.createDataFrame([(text, SANDBOX, "crate", "depot")], "q string, b string, p string, s string")
+    assert df.select(replay_on(df.q, df.b, df.p, df.s)).first()[0] == kept
+
+
+def test_replay_takes_names_literally(spark):
+    rows = [("UPDATE d.sbx_a.b SET x", "sbx_a.b", r"we$1ird\name", "d"),
+            ("UPDATE dXsbx_aXb SET x", "sbx_a.b", "t", "d"), (None, "sbx_a", "t", "d")]
+    df = spark.createDataFrame(rows, "q string, b string, p string, s string")
+    got = [r[0] for r in df.select(replay_on(df.q, df.b, df.p, df.s)).collect()]
+    assert got == [r"UPDATE d.we$1ird\name SET x", "UPDATE dXsbx_aXb SET x", None]
 
 
 @pytest.mark.parametrize(
     ("text", "wanted"),
-    [("Apply 10% off!", "apply-10-off"), ("--hello--", "hello"), ("", ""), ("!@#", ""),
-     ("Ab  CD", "ab-cd")],
+    [("Weigh 20% more!", "weigh-20-more"), ("..crates..", "crates"), ("", ""), ("?&/", ""),
+     ("Up  DOWN", "up-down")],
 )
 def test_slug(spark, text, wanted):
     df = spark.createDataFrame([(text,)], "t string")
