@@ -11,9 +11,11 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 from drydock.session import local_session
+from drydock.workspace import delete_path
 from scenarios import ALL
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -59,7 +61,11 @@ def timed(spark, name: str) -> float:
 
 
 def main() -> None:
-    spark = local_session(CPUS, shuffle_partitions=int(CPUS), app_name="bench")
+    workspace = tempfile.mkdtemp(prefix="bench-")
+    spark = local_session(
+        CPUS, shuffle_partitions=int(CPUS), app_name="bench",
+        **{"spark.drydock.workspace": workspace, "spark.sql.warehouse.dir": workspace},
+    )
     names = list(ALL) if "--all" in sys.argv else HEADLINE
     seconds = {}
     for name in names:
@@ -72,6 +78,7 @@ def main() -> None:
         "queries": seconds,
         "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf"),
     }))
+    delete_path(spark, workspace)
 
 
 if __name__ == "__main__":

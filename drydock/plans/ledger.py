@@ -17,14 +17,15 @@ from drydock.workspace import workspace_root
 SCHEMAS = {
     "sandboxes": (
         "sandbox_name string, source_table string, created_at timestamp, version int, path string,"
-        " files array<string>, partition_by array<string>, n_rows bigint, dropped boolean,"
+        " partition_by array<string>, n_rows bigint, dropped boolean,"
         " recorded_at timestamp,"
         " columns array<struct<column_name: string, data_type: string>>,"
         " operation string, statement string"
     ),
     "quality_results": (
-        "run_id string, sandbox_name string, source_table string, `check` string, status string,"
-        " result string, expected string, detail string, run_at timestamp, run_date date"
+        "run_id string, sandbox_name string, sandbox_version int, source_table string,"
+        " `check` string, definition string, status string, result string, expected string,"
+        " detail string, run_at timestamp, run_date date"
     ),
 }
 # The folders in which a reader finds the few rows it wants without listing the rest.

@@ -8,25 +8,36 @@ becomes visible only when its write has finished.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from drydock.functions.text import rewrite_to_production
+from drydock.functions.text import replay_on
+from drydock.operators import transforms
 from drydock.operators.guard import (
     AUDIT_TABLE,
     DEFAULT_SCHEMA,
     SANDBOX_PREFIX,
+    TableName,
     guard_target,
-    validate_identifier,
 )
+from drydock.operators.sides import named
 from drydock.operators.transforms import deduplicate, latest_per_key
 from drydock.plans.ledger import Ledger
 from drydock.workspace import delete_path, workspace_root
 
+class _Order:
+    """The order of a sandbox's records, the one that counts first; made when it is used."""
+
+    def __iter__(self):
+        return iter([F.desc("dropped"), F.desc("version"), F.asc("recorded_at"), F.asc("path")])
+
+
+NEWEST = _Order()
+
 
 @dataclass(frozen=True)
 class Sandbox:
@@ -37,7 +48,6 @@ class Sandbox:
     created_at: datetime
     version: int
     path: str
-    files: list[str] | None
     partition_by: list[str]
     n_rows: int
     columns: list[tuple[str, str]]
@@ -56,7 +66,7 @@ class SandboxStore:
     ):
         self.spark = spark
         self.root = (root or workspace_root(spark)).rstrip("/")
-        self.schema = validate_identifier(schema, "schema")
+        self.schema = str(TableName.plain(schema, "schema"))
         self.prefix, self.audit = prefix, audit
         self.ledger = Ledger(spark, self.root)
 
@@ -71,33 +81,20 @@ class SandboxStore:
         first = self._first_version(source_table)
         return self._record(self._write(prod, partition_by=list(partition_by), **first))
 
-    def pin(self, source_table: str, path: str) -> Sandbox:
-        """Snapshot a parquet table without copying it, by recording its present files.
-
-        Files added later don't show. Files must not be deleted while the sandbox is
-        in use: right where production only ever appends.
-        """
-        table = self.spark.read.parquet(path)
-        first = self._first_version(source_table)
-        guard_target(first["sandbox_name"], self.prefix, self.audit)
-        files = sorted(table.inputFiles())
-        pinned = Sandbox(
-            **first, path=path, files=files, partition_by=[], n_rows=table.count(),
-            columns=_columns(table),
-        )
-        return self._record(pinned)
-
     def _first_version(self, source_table: str) -> dict:
-        bare = validate_identifier(source_table, "source table").split(".")[-1]
+        bare = TableName.plain(source_table, "source table").table
         now = datetime.now(timezone.utc)
         name = f"{self.prefix}{bare}_{now:%Y%m%d_%H%M%S}_{uuid.uuid4().hex[:6]}"
         return dict(sandbox_name=name, source_table=bare, created_at=now, version=0)
 
     def get(self, sandbox_name: str) -> Sandbox:
-        """The named sandbox's latest version, or an error if there is none."""
-        name = validate_identifier(sandbox_name, "sandbox")
-        versions = self.ledger.read("sandboxes", name)
-        rows = versions.orderBy(F.desc("dropped"), F.desc("version")).head(1)
+        """The named sandbox's latest version, or an error if there is none.
+
+        Of two records of one version the earlier counts (then the smaller path), so that
+        everybody sees the same one.
+        """
+        name = str(TableName.plain(sandbox_name, "sandbox"))
+        rows = self.ledger.read("sandboxes", name).orderBy(*NEWEST).head(1)
         if not rows or rows[0]["dropped"]:
             raise ValueError(f"no sandbox named {sandbox_name!r}; create it first")
         row = rows[0].asDict()
@@ -113,9 +110,7 @@ class SandboxStore:
 
     def current(self) -> DataFrame:
         """One ledger row per sandbox that has not been dropped."""
-        newest = deduplicate(
-            self.ledger.read("sandboxes"), ["sandbox_name"], [F.desc("dropped"), F.desc("version")]
-        )
+        newest = deduplicate(self.ledger.read("sandboxes"), ["sandbox_name"], NEWEST)
         return newest.where(~F.col("dropped")).drop(
             "dropped", "recorded_at", "operation", "statement"
         )
@@ -123,10 +118,13 @@ class SandboxStore:
     def transformations(self, sandbox_name: str | None = None) -> DataFrame:
         """The changes applied to one or all sandboxes, also as production statements."""
         versions = self.ledger.read("sandboxes", sandbox_name)
-        prod_statement = rewrite_to_production(
-            F.col("statement"), F.lit(self.schema), F.col("sandbox_name"), F.col("source_table")
+        changes = deduplicate(
+            versions.where(~F.col("dropped") & (F.col("version") > 0)), ["sandbox_name", "version"], NEWEST
+        )
+        prod_statement = replay_on(
+            F.col("statement"), F.col("sandbox_name"), F.col("source_table"), F.lit(self.schema)
         )
-        return versions.where(~F.col("dropped") & (F.col("version") > 0)).select(
+        return changes.select(
             "sandbox_name", F.col("version").alias("seq"), "operation", "statement",
             prod_statement.alias("prod_statement"), F.col("recorded_at").alias("applied_at"),
         )
@@ -138,13 +136,8 @@ class SandboxStore:
         """The rows of a sandbox: of its current version by name, or of the given version."""
         version = self._resolve(sandbox)
         schema = ", ".join(f"`{name}` {data_type}" for name, data_type in version.columns)
-        reader = self.spark.read.schema(schema)
-        files = version.files or [version.path]
-        if not files[0].endswith(version.path):
-            # partition columns live in the folder names between the table and its files
-            reader = reader.option("basePath", version.path)
-        rows = reader.parquet(*files)
-        return rows.select([F.col(f"`{name}`") for name, _ in version.columns])
+        rows = self.spark.read.schema(schema).parquet(version.path)
+        return rows.select([named(name) for name, _ in version.columns])
 
     def commit(
         self,
@@ -157,10 +150,13 @@ class SandboxStore:
 
         Chain any number of rewrites lazily and commit once: each commit costs a
         full write, and cuts the plan's lineage. A commit on top of a version that is
-        no longer the current one is refused. Every attempt has its own folder, so that
-        one that was cut short can be repeated.
+        no longer the current one is refused, before it writes if that is known by then; what a
+        refused commit has written is removed. Every attempt has its own folder, so that one that
+        was cut short can be repeated.
         """
         old = self._resolve(sandbox)
+        guard_target(old.sandbox_name, self.prefix, self.audit)
+        self._require_current(old)
         new = self._write(
             df,
             sandbox_name=old.sandbox_name,
@@ -169,25 +165,72 @@ class SandboxStore:
             version=old.version + 1,
             partition_by=old.partition_by,
         )
-        if self.get(old.sandbox_name).version != old.version:
-            raise ValueError(f"{old.sandbox_name} has moved on from version {old.version}")
-        return self._record(new, operation=operation, statement=statement)
+        try:
+            self._require_current(old)
+            self._record(new, operation=operation, statement=statement)
+            if self.get(old.sandbox_name).path != new.path:
+                raise ValueError(f"{old.sandbox_name} has moved on from version {old.version}")
+        except ValueError:
+            delete_path(self.spark, new.path)
+            raise
+        return new
+
+    def _require_current(self, sandbox: Sandbox) -> None:
+        if self.get(sandbox.sandbox_name).path != sandbox.path:
+            raise ValueError(f"{sandbox.sandbox_name} has moved on from version {sandbox.version}")
 
     def transform(
+        self, sandbox: Sandbox | str, change: Callable[[DataFrame], DataFrame], operation: str
+    ) -> Sandbox:
+        """Apply any rewrite and commit the result; it is logged without a statement."""
+        return self._changed(sandbox, change, operation)
+
+    def _changed(
         self,
         sandbox: Sandbox | str,
         change: Callable[[DataFrame], DataFrame],
         operation: str,
         statement: str | None = None,
     ) -> Sandbox:
-        """Apply a rewrite and commit the result."""
         old = self._resolve(sandbox)
         guard_target(old.sandbox_name, self.prefix, self.audit)
         return self.commit(old, change(self.read(old)), operation, statement)
 
+    # Changes given as SQL expressions: the log's statement is written from the same arguments.
+
+    def update(
+        self, sandbox: Sandbox | str, set: Mapping[str, str], where: str | None = None
+    ) -> Sandbox:
+        """Assign columns, each by an SQL expression, on the rows where ``where`` is true."""
+        old = self._resolve(sandbox)
+        values = {name: F.expr(value) for name, value in set.items()}
+        assigned = ", ".join(f"{name} = {value}" for name, value in set.items())
+        statement = f"UPDATE {self._full(old)} SET {assigned}" + (f" WHERE {where}" if where else "")
+        return self._changed(old, lambda df: transforms.update(df, values, where), "UPDATE", statement)
+
+    def delete(self, sandbox: Sandbox | str, where: str) -> Sandbox:
+        """Drop the rows where ``where`` is true."""
+        old = self._resolve(sandbox)
+        statement = f"DELETE FROM {self._full(old)} WHERE {where}"
+        return self._changed(old, lambda df: transforms.delete(df, where), "DELETE", statement)
+
+    def add_column(
+        self, sandbox: Sandbox | str, name: str, data_type: str, default: str = "NULL"
+    ) -> Sandbox:
+        """Append a column holding one default value, an SQL expression."""
+        old = self._resolve(sandbox)
+        statement = f"ALTER TABLE {self._full(old)} ADD COLUMN {name} {data_type} DEFAULT {default}"
+        return self._changed(
+            old, lambda df: transforms.add_column(df, name, data_type, F.expr(default)), "ALTER", statement
+        )
+
+    def _full(self, sandbox: Sandbox) -> str:
+        return f"{self.schema}.{sandbox.sandbox_name}"
+
     def truncate(self, sandbox: Sandbox | str) -> Sandbox:
         """An empty next version with the same columns."""
-        return self.transform(sandbox, lambda df: df.limit(0), "TRUNCATE")
+        old = self._resolve(sandbox)
+        return self._changed(old, lambda df: df.limit(0), "TRUNCATE", f"TRUNCATE TABLE {self._full(old)}")
 
     def drop(self, sandbox: Sandbox | str) -> None:
         """Retire a sandbox in the ledger, then remove the files it owns."""
@@ -196,6 +239,19 @@ class SandboxStore:
         self._record(old, dropped=True)
         delete_path(self.spark, f"{self.root}/sandboxes/{old.sandbox_name}")
 
+    def vacuum(self, sandbox: Sandbox | str, keep: int = 1) -> int:
+        """Remove the files of all versions but the last ``keep``; their record stays.
+
+        Returns how many were removed. Nobody may still be reading them.
+        """
+        old = self._resolve(sandbox)
+        guard_target(old.sandbox_name, self.prefix, self.audit)
+        if keep < 1:
+            raise ValueError("the current version must be kept")
+        folder = f"{self.root}/sandboxes/{old.sandbox_name}"
+        stale = range(0, old.version + 1 - keep)
+        return sum(delete_path(self.spark, f"{folder}/v={version}") for version in stale)
+
     def _write(
         self,
         df: DataFrame,
@@ -212,7 +268,7 @@ class SandboxStore:
         rows.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
         return Sandbox(
             sandbox_name=sandbox_name, source_table=source_table, created_at=created_at,
-            version=version, path=path, files=None, partition_by=partition_by,
+            version=version, path=path, partition_by=partition_by,
             n_rows=written.get["n_rows"], columns=_columns(df),
         )
 

@@ -13,11 +13,14 @@ from drydock.operators.guard import (
     AUDIT_TABLE,
     DEFAULT_SCHEMA,
     SANDBOX_PREFIX,
-    is_writable,
-    validate_identifier,
+    ProductionWriteBlocked,
+    TableName,
 )
 from drydock.workspace import workspace_root
 
+#: Marks tables that a loader may drop and make again.
+RECREATED = "drydock.recreated"
+
 # SQL names of Spark types in listings.
 SQL_TYPES = {
     "tinyint": "TINYINT",
@@ -46,7 +49,7 @@ def production_names(
     names, prefix: str = SANDBOX_PREFIX, audit: str = AUDIT_TABLE
 ) -> list[str]:
     """Sorted table names without sandboxes and the audit table (case is ignored)."""
-    return sorted(n for n in names if n and not is_writable(n, prefix, audit))
+    return sorted(n for n in names if n and not TableName.quoted(n).may_be_written(prefix, audit))
 
 
 def column_list(tables: Mapping[str, DataFrame]) -> list[tuple[str, str, str, bool, int]]:
@@ -107,11 +110,11 @@ class Catalog:
 
     def __init__(self, spark: SparkSession, schema: str = DEFAULT_SCHEMA, root: str | None = None):
         self.spark = spark
-        self.schema = validate_identifier(schema, "schema")
+        self.schema = str(TableName.plain(schema, "schema"))
         self.root = root
 
     def _full(self, table: str) -> str:
-        return f"{self.schema}.{validate_identifier(table, 'table')}"
+        return f"{self.schema}.{TableName.plain(table, 'table')}"
 
     def ensure_schema(self) -> None:
         root = (self.root or workspace_root(self.spark)).rstrip("/")
@@ -139,7 +142,17 @@ class Catalog:
         return self.table(table)
 
     def recreate(self, table: str, df: DataFrame) -> DataFrame:
-        """Drop and create, for loaders that may run many times."""
+        """Drop and create, for loaders that may run many times.
+
+        Only tables that were made by this method, which marks them, are ever dropped.
+        """
         self.ensure_schema()
-        self.spark.sql(f"DROP TABLE IF EXISTS {self._full(table)}")
-        return self.create(table, df)
+        full = self._full(table)
+        if self.exists(table):
+            marks = self.spark.sql(f"SHOW TBLPROPERTIES {full} ('{RECREATED}')").first()
+            if marks["value"] != "true":
+                raise ProductionWriteBlocked(f"{full} was not made by a loader; it is kept")
+            self.spark.sql(f"DROP TABLE {full}")
+        self.create(table, df)
+        self.spark.sql(f"ALTER TABLE {full} SET TBLPROPERTIES ('{RECREATED}' = 'true')")
+        return self.table(table)

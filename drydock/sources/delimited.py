@@ -16,10 +16,12 @@ SEPARATORS = (",", "\t", "|", ";")
 TEXT_FORMS = {
     "boolean": r"(?i)^(true|false)$",
     "bigint": r"^[+-]?(0|[1-9][0-9]*)$",
-    "double": r"^[+-]?((0|[1-9][0-9]*)(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$",
+    "decimal(38,0)": r"^[+-]?(0|[1-9][0-9]*)$",
+    "double": r"^[+-]?((0|[1-9][0-9]*)\.[0-9]*|\.[0-9]+|(0|[1-9][0-9]*)(\.[0-9]*)?[eE][+-]?[0-9]+)$",
     "date": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$",
     "timestamp_ntz": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?)?$",
 }
+PLAUSIBLE = r"^[-+.0-9TtFf]"
 CORRUPT = "_malformed_line"
 SAFE_SOURCE = re.compile(r"([a-z][a-z0-9+.-]*:/)?/[^\s'\";<>]+")
 
@@ -39,18 +41,23 @@ def _header(spark: SparkSession, path: str) -> str:
 
 
 def _kind(column: Column) -> Column:
-    """A bit for the narrowest type that can read the value; NULL for no value."""
-    bit = F.when(column.isNull(), F.lit(None))
+    """A bit for the narrowest type that can read the value; NULL for no value.
+
+    One look at the first characters rules out most forms, and a value is cast only if the
+    pattern of that type fits.
+    """
+    text = F.lit(1 << len(TEXT_FORMS))
+    bit = F.when(column.isNull(), F.lit(None)).when(~column.rlike(PLAUSIBLE), text)
     for i, (data_type, form) in enumerate(TEXT_FORMS.items()):
         fits = column.rlike(form) & column.try_cast(data_type).isNotNull()
         bit = bit.when(fits, F.lit(1 << i))
-    return bit.otherwise(F.lit(1 << len(TEXT_FORMS)))
+    return bit.otherwise(text)
 
 
 def _common_type(kinds: int | None) -> str:
     """The type that reads every value, given the bits of all their kinds."""
-    for widest, *narrower in (["boolean"], ["bigint"], ["double", "bigint"], ["date"],
-                              ["timestamp_ntz", "date"]):
+    for widest, *narrower in (["boolean"], ["bigint"], ["decimal(38,0)", "bigint"],
+                              ["double", "bigint"], ["date"], ["timestamp_ntz", "date"]):
         allowed = sum(1 << i for i, t in enumerate(TEXT_FORMS) if t in [widest, *narrower])
         if kinds and not kinds & ~allowed:
             return widest
@@ -60,8 +67,9 @@ def _common_type(kinds: int | None) -> str:
 def infer_schema(spark: SparkSession, path: str, sep: str, multiline: bool) -> T.StructType | None:
     """Column types from all values, in one pass; None if lines have the wrong shape.
 
-    The first of boolean, bigint, double, date, timestamp that reads every value is
-    taken, else (or if there are no values) string.
+    The first of boolean, bigint, decimal, double, date, timestamp that reads every value
+    without loss is taken, else (or if there are no values) string. Whole numbers beyond bigint
+    are decimals, and text if there are broken numbers beside them.
     """
     names = _reader(spark, sep, multiline).csv(path).columns
     text = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
@@ -85,29 +93,25 @@ def read_delimited(
     path: str,
     schema: T.StructType | str | None = None,
     sep: str | None = None,
-    multiline: bool | None = None,
+    multiline: bool = False,
 ) -> DataFrame:
     """A headed CSV / TSV file or folder as a DataFrame.
 
     Give a schema for large inputs: without one the data is read once more to infer
-    it. ``multiline`` (line breaks inside quotes) makes every file one task, so it is
-    tried only if lines read singly are malformed. Malformed input is an error.
+    it. ``multiline`` (line breaks inside quotes) makes every file one task, so it must be
+    asked for. Malformed input is an error.
     """
     if schema is None or sep is None:
         header = _header(spark, path)
         sep = sep or max(SEPARATORS, key=header.count)
     if schema is None:
-        tries = [False, True] if multiline is None else [multiline]
-        if multiline is None and sep not in header:
-            tries = [True]  # one column: a broken line could not be told from a short one
-        for multiline in tries:
-            schema = infer_schema(spark, path, sep, multiline)
-            if schema is not None:
-                break
-        else:
-            raise ValueError(f"{path} has lines that do not fit its header")
+        schema = infer_schema(spark, path, sep, multiline)
+        if schema is None:
+            raise ValueError(
+                f"{path} has lines that do not fit its header; with line breaks inside quotes, ask for multiline"
+            )
     return (
-        _reader(spark, sep, bool(multiline)).option("mode", "FAILFAST").schema(schema).csv(path)
+        _reader(spark, sep, multiline).option("mode", "FAILFAST").schema(schema).csv(path)
     )
 
 
@@ -117,7 +121,7 @@ def ingest_csv(
     source: str,
     schema: T.StructType | str | None = None,
     sep: str | None = None,
-    multiline: bool | None = None,
+    multiline: bool = False,
 ) -> DataFrame:
     """Load a delimited file into a new table; an existing table is refused."""
     if not SAFE_SOURCE.fullmatch(source):

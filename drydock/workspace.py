@@ -2,32 +2,21 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
-ROOT_CONF = "spark.checkpoint.dir"
-
-
-@functools.cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="drydock-")
+#: Names the workspace; without it everything lies below Spark's warehouse folder.
+ROOT_CONF = "spark.drydock.workspace"
 
 
 def workspace_root(spark: SparkSession) -> str:
-    """The shared folder named by the cluster in ``spark.checkpoint.dir``.
+    """A lasting folder that all executors reach.
 
-    Every executor must see it, so a machine-local folder is used only when the
-    whole session is one machine; elsewhere a missing setting is an error.
+    Not the checkpoint folder: clusters clear that, and these tables are meant to stay.
     """
     root = spark.conf.get(ROOT_CONF, None)
-    if root:
-        return root.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise ValueError(f"set {ROOT_CONF} to a folder that all executors can reach")
-    return _local_folder()
+    return (root or spark.conf.get("spark.sql.warehouse.dir") + "/drydock").rstrip("/")
 
 
 def fresh_path(spark: SparkSession, *parts: str) -> str:

@@ -7,21 +7,33 @@ import uuid
 from pyspark.sql import functions as F
 
 from drydock.operators import transforms as T
-from drydock.plans.query import query
+from drydock.plans.query import previewed, query
 from drydock.sources import catalog as C
 from drydock.sources.delimited import ingest_csv
 from drydock.sources.rows import values
-from drydock.workspace import fresh_path
+from drydock.workspace import delete_path, fresh_path
 from scenarios.base import TABLES, Scenario, load, orders
 
 
 def csv_roundtrip(spark, sf_dir):
-    """Orders, with a customer code that has a leading zero, through a CSV folder."""
+    """Orders, with a code that has a leading zero and a 20-digit id, through a CSV folder."""
     path = fresh_path(spark, "csv")
     code = F.concat(F.lit("0"), F.col("o_custkey").cast("string"))
-    rows = orders(spark, sf_dir).withColumn("o_custcode", code)
+    serial = F.concat(F.lit("1234567890"), F.lpad(F.col("o_orderkey").cast("string"), 10, "0"))
+    rows = orders(spark, sf_dir).withColumn("o_custcode", code).withColumn("o_serial", serial)
     rows.write.option("header", True).csv(path)
-    return ingest_csv(C.Catalog(spark), f"orders_{uuid.uuid4().hex}", path)
+    table = ingest_csv(C.Catalog(spark), f"orders_{uuid.uuid4().hex}", path)
+    delete_path(spark, path)
+    return table.withColumn("o_serial", F.col("o_serial").cast("string"))
+
+
+def one_column_csv(spark, sf_dir):
+    """The order keys alone, counted after a round trip through a CSV folder."""
+    path = fresh_path(spark, "csv")
+    orders(spark, sf_dir).select("o_orderkey").write.option("header", True).csv(path)
+    table = ingest_csv(C.Catalog(spark), f"keys_{uuid.uuid4().hex}", path)
+    delete_path(spark, path)
+    return table.agg(F.count("o_orderkey").alias("n"), F.sum("o_orderkey").alias("total"))
 
 
 def all_tables(spark, sf_dir):
@@ -101,7 +113,14 @@ COLUMNS = " UNION ALL ".join(
 SCENARIOS = {
     "s2_csv_roundtrip": Scenario(
         csv_roundtrip,
-        "SELECT *, '0' || CAST(o_custkey AS VARCHAR) AS o_custcode FROM orders",
+        """
+        SELECT *, '0' || CAST(o_custkey AS VARCHAR) AS o_custcode,
+               '1234567890' || lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS o_serial
+        FROM orders""",
+    ),
+    "s2_csv_one_column": Scenario(
+        one_column_csv,
+        "SELECT COUNT(*) AS n, CAST(SUM(o_orderkey) AS BIGINT) AS total FROM orders",
     ),
     "s3_list_tables": Scenario(list_production, COUNTS),
     "s4_table_row_counts": Scenario(
@@ -121,8 +140,10 @@ SCENARIOS = {
         "SELECT COUNT(*) AS row_count FROM lineitem",
     ),
     "s8_filtered_preview": Scenario(
-        lambda spark, d: orders(spark, d).where("o_orderstatus = 'F'").orderBy("o_orderkey").limit(50),
-        "SELECT * FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 50",
+        lambda spark, d: previewed(
+            orders(spark, d).where("o_orderstatus = 'F'").orderBy("o_orderkey"), 50
+        ),
+        "SELECT * FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 51",
     ),
     "s9_insert_values": Scenario(
         insert_values,

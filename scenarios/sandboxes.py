@@ -18,19 +18,22 @@ def clone(table):
     return run
 
 
-def pin(spark, sf_dir):
-    """A snapshot that copies nothing, read through a lazy change."""
+def changes(spark, sf_dir):
+    """The log of a sandbox changed by SQL expressions, with its statements for production."""
     store = SandboxStore(spark)
-    sandbox = store.pin("orders", f"{sf_dir}/orders.parquet")
-    return marked_up(store.read(sandbox))
+    sandbox = store.create("nation", load(spark, sf_dir, "nation"))
+    sandbox = store.update(sandbox, {"n_name": "upper(n_name)"}, "n_regionkey > 1")
+    sandbox = store.delete(sandbox, "n_nationkey = 2")
+    log = store.transformations(sandbox.sandbox_name).select("seq", "operation", "prod_statement")
+    return log.withColumn("n_rows", F.lit(sandbox.n_rows))
 
 
 def replace(spark, sf_dir):
-    """Two committed changes on top of a clone."""
+    """Two changes on top of a clone, chained and committed once."""
     store = SandboxStore(spark)
     sandbox = store.create("orders", orders(spark, sf_dir))
-    sandbox = store.transform(sandbox, marked_up, "UPDATE")
-    sandbox = store.transform(sandbox, trimmed, "DELETE")
+    sandbox = store.transform(sandbox, lambda df: trimmed(marked_up(df)), "REPLACE")
+    store.vacuum(sandbox)
     return store.read(sandbox.sandbox_name)
 
 
@@ -69,7 +72,16 @@ RESULTS_LOG = """
 SCENARIOS = {
     "k1_sandbox_clone": Scenario(clone("lineitem"), "SELECT * FROM lineitem"),
     "k1_clone_array_column": Scenario(clone("embeddings"), "SELECT * FROM embeddings"),
-    "k1_pinned_snapshot": Scenario(pin, MARKED_UP),
+    "k5_change_log": Scenario(
+        changes,
+        """
+        SELECT seq, operation, prod_statement,
+               (SELECT COUNT(*) FROM nation WHERE n_nationkey <> 2) AS n_rows
+        FROM (VALUES
+            (1, 'UPDATE', 'UPDATE analytics.nation SET n_name = upper(n_name) WHERE n_regionkey > 1'),
+            (2, 'DELETE', 'DELETE FROM analytics.nation WHERE n_nationkey = 2')
+        ) v(seq, operation, prod_statement)""",
+    ),
     "k3_replace_sandbox": Scenario(
         replace,
         f"""

@@ -11,8 +11,12 @@ from drydock.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(8, shuffle_partitions=4, app_name="tests")
+def spark(tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("workspace"))
+    session = local_session(
+        8, shuffle_partitions=4, app_name="tests",
+        **{"spark.drydock.workspace": folder, "spark.sql.warehouse.dir": folder},
+    )
     yield session
     session.stop()
 

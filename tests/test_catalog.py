@@ -6,6 +6,7 @@ import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
+from drydock.operators.guard import ProductionWriteBlocked
 from drydock.sources import catalog as C
 from drydock.sources.delimited import ingest_csv, read_delimited
 from drydock.sources.rows import load_demo, values
@@ -49,7 +50,7 @@ def test_create_only(spark, catalog):
     with pytest.raises(Exception, match="ALREADY_EXISTS"):
         catalog.create("t", spark.range(4))
     assert catalog.table("t").count() == 3
-    with pytest.raises(ValueError, match="Invalid table"):
+    with pytest.raises(ValueError, match="table .* is not a plain name"):
         catalog.exists("t; DROP TABLE t")
 
 
@@ -72,6 +73,13 @@ def test_demo_tables_load_repeatedly(catalog):
     assert types(orders) == ["bigint", "bigint", "double", "string", "timestamp_ntz"]
 
 
+def test_loaders_drop_only_what_they_made(spark, catalog):
+    catalog.create("customers", spark.range(7))
+    with pytest.raises(ProductionWriteBlocked, match="is kept"):
+        load_demo(catalog)
+    assert catalog.table("customers").count() == 7
+
+
 def test_values(spark):
     df = values(spark, [(1, "a"), (2, None)], "id bigint, name string")
     assert rows_of(df) == [(1, "a"), (2, None)]
@@ -103,11 +111,31 @@ def test_separators(spark, tmp_path, sep):
 
 def test_line_breaks_inside_quotes(spark, tmp_path):
     path = write(tmp_path, "t.csv", 'id,note,n\n1,"two\nlines",5\n2,one,6\n')
-    assert rows_of(read_delimited(spark, path)) == [(1, "two\nlines", 5), (2, "one", 6)]
+    with pytest.raises(ValueError, match="ask for multiline"):
+        read_delimited(spark, path)
+    assert rows_of(read_delimited(spark, path, multiline=True)) == [(1, "two\nlines", 5), (2, "one", 6)]
     last = write(tmp_path, "last.csv", 'id,note\n1,"two\nlines"\n2,one\n')
-    assert rows_of(read_delimited(spark, last)) == [(1, "two\nlines"), (2, "one")]
+    assert rows_of(read_delimited(spark, last, multiline=True)) == [(1, "two\nlines"), (2, "one")]
     single = write(tmp_path, "single.csv", 'note\n"two\nlines"\none\n')
-    assert rows_of(read_delimited(spark, single)) == [("one",), ("two\nlines",)]
+    assert rows_of(read_delimited(spark, single, multiline=True)) == [("one",), ("two\nlines",)]
+
+
+def test_whole_numbers_beyond_bigint(spark, tmp_path):
+    path = write(tmp_path, "big.csv", "id,n\n12345678901234567890,1\n12345678901234567891,2.5\n")
+    df = read_delimited(spark, path)
+    assert types(df) == ["decimal(38,0)", "double"]
+    assert sorted(int(r["id"]) for r in df.collect()) == [12345678901234567890, 12345678901234567891]
+    path = write(tmp_path, "mixed.csv", "id,n\n12345678901234567890,1\n1.5,2\n")
+    assert types(read_delimited(spark, path)) == ["string", "bigint"]
+
+
+def test_one_column_is_split_into_tasks(spark, tmp_path, conf):
+    path = str(tmp_path / "one")
+    spark.range(200000).coalesce(1).write.csv(path, header=True)
+    conf(files__maxPartitionBytes="200k", files__openCostInBytes="1k")
+    df = read_delimited(spark, path)
+    assert (types(df), df.count()) == (["bigint"], 200000)
+    assert df.rdd.getNumPartitions() > 3
 
 
 def test_malformed_input_is_an_error(spark, tmp_path):

@@ -45,22 +45,6 @@ def test_types_survive(spark, store):
     assert store.read(store.create("t", df)).schema.simpleString() == df.schema.simpleString()
 
 
-@pytest.mark.parametrize("rows", ["true", "order_id in (3, 4)", "order_id = 4"])
-def test_pinned_snapshot_copies_nothing(spark, store, tmp_path, orders, rows):
-    path = str(tmp_path / "prod")
-    orders.where(rows).repartition(3).write.partitionBy("status").parquet(path)
-    sandbox = store.pin("orders", path)
-    orders.write.partitionBy("status").mode("append").parquet(path)
-    pinned = store.read(sandbox.sandbox_name)
-    assert pinned.count() == sandbox.n_rows
-    assert rows_of(pinned.select(orders.columns)) == rows_of(orders.where(rows))
-    assert not os.path.exists(f"{store.root}/sandboxes")
-    changed = store.transform(sandbox, lambda df: T.delete(df, F.col("amount") < 50), "DELETE")
-    wanted = orders.where(rows).where("amount >= 50").count()
-    assert (changed.version, changed.n_rows) == (1, wanted)
-    assert store.read(changed.sandbox_name).count() == wanted
-
-
 def test_partition_folders_survive_changes(store, orders):
     sandbox = store.create("orders", orders, partition_by=["status"])
     changed = store.transform(
@@ -76,30 +60,74 @@ def test_partition_folders_survive_changes(store, orders):
 def test_versions_and_log(store, orders):
     sandbox = store.create("orders", orders)
     name = sandbox.sandbox_name
-    store.transform(
-        name, lambda df: T.update(df, {"amount": F.col("amount") * 2}), "UPDATE",
-        f"UPDATE analytics.{name.upper()} SET amount = amount * 2",
-    )
-    store.transform(name, lambda df: T.delete(df, F.col("order_id") == 1), "DELETE",
-                    f"DELETE FROM {name} WHERE order_id = 1")
+    store.update(name, {"amount": "amount * 2", "status": "upper(status)"})
+    store.delete(name, "order_id = 1")
+    store.add_column(name, "region", "string", "'EMEA'")
+    store.transform(name, lambda df: df.where("order_id < 5"), "REPLACE")
     current = store.get(name)
-    assert (current.version, current.n_rows) == (2, 4)
-    assert store.read(name).agg(F.sum("amount")).first()[0] == pytest.approx(2 * 1275.49)
+    assert (current.version, current.n_rows) == (4, 3)
+    assert store.read(name).agg(F.sum("amount")).first()[0] == pytest.approx(2 * 1270.49)
     log = store.transformations(name).orderBy("seq").collect()
     assert [(r["seq"], r["operation"], r["prod_statement"]) for r in log] == [
-        (1, "UPDATE", "UPDATE analytics.orders SET amount = amount * 2"),
-        (2, "DELETE", "DELETE FROM orders WHERE order_id = 1"),
+        (1, "UPDATE", "UPDATE analytics.orders SET amount = amount * 2, status = upper(status)"),
+        (2, "DELETE", "DELETE FROM analytics.orders WHERE order_id = 1"),
+        (3, "ALTER", "ALTER TABLE analytics.orders ADD COLUMN region string DEFAULT 'EMEA'"),
+        (4, "REPLACE", None),
     ]
     assert store.read(sandbox).count() == 5  # an old version can still be read
-    assert store.transformations().count() == 2
+    assert store.transformations().count() == 4
+
+
+def test_statements_say_what_was_done(store, orders):
+    """Replaying the logged expressions on production gives the sandbox."""
+    sandbox = store.create("orders", orders)
+    changed = store.update(sandbox, {"amount": "amount + 1"}, "status = 'completed'")
+    statement = store.ledger.read("sandboxes", sandbox.sandbox_name).where("version = 1").first()["statement"]
+    where = statement.split(" WHERE ")[1]
+    value = statement.split("amount = ")[1].split(" WHERE ")[0]
+    replayed = T.update(orders, {"amount": F.expr(value)}, where)
+    assert rows_of(replayed) == rows_of(store.read(changed))
+
+
+def test_vacuum_keeps_the_last_versions(store, orders):
+    sandbox = store.create("orders", orders)
+    folder = f"{store.root}/sandboxes/{sandbox.sandbox_name}"
+    for _ in range(3):
+        store.delete(sandbox.sandbox_name, "order_id = 1")
+    assert store.vacuum(sandbox.sandbox_name, keep=2) == 2
+    assert sorted(os.listdir(folder)) == ["v=2", "v=3"]
+    assert store.vacuum(sandbox.sandbox_name) == 1
+    assert store.read(sandbox.sandbox_name).count() == 4
+    with pytest.raises(ValueError, match="must be kept"):
+        store.vacuum(sandbox.sandbox_name, keep=0)
 
 
 def test_second_commit_on_one_version_fails(store, orders):
     sandbox = store.create("orders", orders)
     store.commit(sandbox, orders.limit(1))
+    folder = f"{store.root}/sandboxes/{sandbox.sandbox_name}"
     with pytest.raises(ValueError, match="moved on from version 0"):
         store.commit(sandbox, orders.limit(2))
     assert store.get(sandbox.sandbox_name).n_rows == 1
+    assert len(os.listdir(f"{folder}/v=1")) == 1  # nothing was written
+
+
+def test_of_two_commits_at_once_one_counts(store, orders, monkeypatch):
+    sandbox = store.create("orders", orders)
+    folder = f"{store.root}/sandboxes/{sandbox.sandbox_name}"
+    record = store._record
+
+    def after_another(new, **entry):
+        monkeypatch.setattr(store, "_record", record)
+        store.commit(sandbox, orders.limit(2))
+        return record(new, **entry)
+
+    monkeypatch.setattr(store, "_record", after_another)
+    with pytest.raises(ValueError, match="moved on from version 0"):
+        store.commit(sandbox, orders.limit(1))
+    assert store.get(sandbox.sandbox_name).n_rows == 2
+    assert len(os.listdir(f"{folder}/v=1")) == 1  # the refused one is gone
+    assert [r["seq"] for r in store.transformations().collect()] == [1]
 
 
 def test_a_failed_commit_can_be_repeated(store, orders):
@@ -143,7 +171,7 @@ def test_only_sandboxes_are_written(spark, tmp_path, orders):
     store.prefix = "sbx_"
     record = Sandbox(
         sandbox_name="orders", source_table="orders", created_at=None, version=0,
-        path="x", files=None, partition_by=[], n_rows=0, columns=[],
+        path="x", partition_by=[], n_rows=0, columns=[],
     )
     for write in (
         lambda: store.commit(record, orders),
@@ -155,19 +183,16 @@ def test_only_sandboxes_are_written(spark, tmp_path, orders):
     assert not os.path.exists(tmp_path / "sandboxes")
 
 
-def test_workspace_is_the_shared_folder(spark, monkeypatch):
-    named = {"spark.checkpoint.dir": "hdfs://shared/work/", "spark.master": "yarn"}
+def test_workspace_outlives_checkpoints():
+    settings = {"spark.checkpoint.dir": "hdfs://shared/work", "spark.sql.warehouse.dir": "hdfs://lake/"}
 
     class Session:
         class conf:
-            get = staticmethod(lambda key, default=None: named.get(key, default))
-
-    assert workspace.workspace_root(Session) == "hdfs://shared/work"
-    del named["spark.checkpoint.dir"]
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        workspace.workspace_root(Session)
-    named["spark.master"] = "local[2]"
-    assert workspace.workspace_root(Session) == workspace.workspace_root(Session)
+            get = staticmethod(lambda key, default=None: settings.get(key, default))
+
+    assert workspace.workspace_root(Session) == "hdfs://lake//drydock"
+    settings[workspace.ROOT_CONF] = "hdfs://tables/drydock/"
+    assert workspace.workspace_root(Session) == "hdfs://tables/drydock"
 
 
 def test_empty_ledger(spark, tmp_path):
