@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from drydock.operators.check import Check, pass_if
-from drydock.operators.sides import side_counts
+from drydock.operators.check import Check, defined, pass_if
+from drydock.operators.sides import named, side_counts
 
 
 def value_set_drift(column: str, name: str = "value_set_drift") -> Check:
@@ -15,10 +15,12 @@ def value_set_drift(column: str, name: str = "value_set_drift") -> Check:
     def compare(prod: DataFrame, sbx: DataFrame) -> DataFrame:
         counts = side_counts(prod, sbx, [column])
         return counts.where((F.col("sbx_n") > 0) & (F.col("prod_n") == 0)).select(
-            F.col(column).alias("new_value"), F.lit("not present in production").alias("issue")
+            named(column).alias("new_value"), F.lit("not present in production").alias("issue")
         ).orderBy("new_value")
 
-    return Check(name, compare, f"no new values of {column}")
+    return Check(
+        name, compare, f"no new values of {column}", defined("value_set_drift", column=column)
+    )
 
 
 def share_of_total(counts: DataFrame, *count_columns: str) -> list[Column]:
@@ -47,7 +49,7 @@ def distribution_shift(
         counts = side_counts(prod, sbx, [column])
         prod_share, sbx_share = share_of_total(counts, "prod_n", "sbx_n")
         shares = counts.select(
-            F.col(column).alias("category_value"),
+            named(column).alias("category_value"),
             F.coalesce(prod_share, F.lit(0.0)).alias("prod_pct"),
             F.coalesce(sbx_share, F.lit(0.0)).alias("sbx_pct"),
         )
@@ -56,4 +58,5 @@ def distribution_shift(
             "*", F.round(shift, 2).alias("shift_pct"), pass_if(shift <= points).alias("status")
         ).orderBy(F.desc("shift_pct"), "category_value", "prod_pct")
 
-    return Check(name, compare, f"shares of {column} within {points} points of production")
+    definition = defined("distribution_shift", column=column, points=points)
+    return Check(name, compare, f"shares of {column} within {points} points of production", definition)

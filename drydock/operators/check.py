@@ -15,16 +15,21 @@ from pyspark.sql import functions as F
 from drydock.operators.sides import pair_row
 
 RowsFn = Callable[[DataFrame, DataFrame], DataFrame]
+ListFn = Callable[[DataFrame, DataFrame, "int | None"], DataFrame]
 ColumnsFn = Callable[[], Mapping[str, Column]]
 
 
 @dataclass(frozen=True)
 class Check:
-    """A named comparison of production with sandbox."""
+    """A named comparison of production with sandbox.
+
+    ``definition`` is what a ledger keeps of it: the check with its parameters, or its SQL.
+    """
 
     name: str
     compare: RowsFn
     description: str = ""
+    definition: str = ""
 
     def __post_init__(self):
         object.__setattr__(self, "name", self.name or "unnamed_check")
@@ -57,8 +62,30 @@ class ScalarCheck(Check):
         )
 
 
-# Up to this many listed keys are broadcast or multiplied out; longer listings are joined.
-LISTED_KEYS = 1000
+@dataclass(frozen=True)
+class KeyCheck(Check):
+    """A check that follows from how often each key stands on either side.
+
+    ``listed`` gives its rows in a total order, the first ``limit`` or (None) all; ``totals`` one
+    row ``n_rows, n_failed`` over all of them, so that a verdict never counts a cut listing.
+    Several such checks over the same ``keys`` read one shuffle. A check that could do with
+    less than that when it runs alone has a ``shared`` form for suites.
+    """
+
+    compare: RowsFn | None = None
+    keys: tuple[str, ...] = ()
+    limit: int | None = None
+    listed: ListFn | None = None
+    totals: RowsFn | None = None
+    shared: Check | None = None
+
+    def rows(self, prod: DataFrame, sbx: DataFrame) -> DataFrame:
+        return self.listed(prod, sbx, self.limit)
+
+
+def defined(check: str, **parameters: object) -> str:
+    """A check and its parameters as text, for the ledger."""
+    return f"{check}({', '.join(f'{name}={value!r}' for name, value in parameters.items())})"
 
 
 def pass_if(condition: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from drydock.operators.check import ScalarCheck, pass_if
+from drydock.operators.check import ScalarCheck, defined, pass_if
+from drydock.operators.sides import named
 
 
 def exact_sum(column: str, scale: int | None) -> Column:
@@ -13,34 +14,22 @@ def exact_sum(column: str, scale: int | None) -> Column:
 
     A sum of doubles depends on the order of addition, so it can differ between
     two runs over the same data. With ``scale`` the addends are rounded half up to that
-    many places and the sum is exact and repeatable. It adds whole units in two
-    halves of 32 bits: several times faster than adding decimals, and safe from
-    overflow at any number of rows.
+    many places and added as decimals, which is exact and repeatable. What a
+    decimal cannot hold (NaN, the infinities, magnitudes of ``10 ** (28 - scale)`` and more) is
+    added as a double, so it shows in the result; so is all, should the decimal sum overflow.
     """
+    value = named(column).cast("double")
     if scale is None:
-        return F.sum(F.col(column).cast("double"))
-    units = _units(F.col(column), scale)
-    high = F.sum(F.shiftright(units, 32)).cast("decimal(20,0)")
-    low = F.sum(units.bitwiseAND(F.lit(2**32 - 1))).cast("decimal(20,0)")
-    total = high * F.lit(2**32).cast("decimal(10,0)") + low
-    return (total / F.lit(10**scale)).cast("double")
-
-
-def _units(value: Column, scale: int) -> Column:
-    """The value as a whole number of ``10**-scale``, rounded half up.
-
-    Binary arithmetic is enough unless the value is huge or close to a tie; only
-    those go through a decimal.
-    """
-    scaled = value.cast("double") * 10**scale
-    nearest = F.rint(scaled)
-    plain = (F.abs(scaled) < 1e12) & (F.abs(scaled - nearest) < 0.49)
-    exact = (value.cast(f"decimal(18,{scale})") * 10**scale).cast("bigint")
-    return F.when(plain, nearest.cast("bigint")).otherwise(exact)
+        return F.sum(value)
+    held = F.abs(value) < 10.0 ** (28 - scale)
+    exact = F.try_sum(F.when(held, named(column).cast(f"decimal(28,{scale})"))).cast("double")
+    whole = F.coalesce(exact, F.sum(F.when(held, value)))
+    rest = F.sum(F.when(~held, value))
+    return F.when(rest.isNull(), whole).otherwise(F.coalesce(whole, F.lit(0.0)) + rest)
 
 
 def _drift(measure: str, pct: float, kind: str, abs_denominator: bool):
-    prod, sbx = F.col(f"prod_{measure}"), F.col(f"sbx_{measure}")
+    prod, sbx = named(f"prod_{measure}"), named(f"sbx_{measure}")
     base = F.abs(prod) if abs_denominator else prod
     drift = F.abs(sbx - prod) / F.nullif(base, F.lit(0.0)) * 100
     return {
@@ -67,6 +56,7 @@ def sum_comparison(
     return ScalarCheck(
         name,
         description=f"sum of {column} within {pct}% of production",
+        definition=defined("sum_comparison", column=column, pct=pct, scale=scale, abs_denominator=abs_denominator),
         measures=lambda: {measure: exact_sum(column, scale)},
         outputs=lambda: _drift(measure, pct, "sum", abs_denominator),
     )
@@ -83,12 +73,13 @@ def mean_drift(
     measure = f"avg_{column}_{scale}"
 
     def measures():
-        rows = F.nullif(F.count(column), F.lit(0))
+        rows = F.nullif(F.count(named(column)), F.lit(0))
         return {measure: exact_sum(column, scale) / rows}
 
     return ScalarCheck(
         name,
         description=f"mean of {column} within {pct}% of production",
+        definition=defined("mean_drift", column=column, pct=pct, scale=scale, abs_denominator=abs_denominator),
         measures=measures,
         outputs=lambda: _drift(measure, pct, "avg", abs_denominator),
     )
@@ -100,8 +91,8 @@ def min_max_bounds(
     """Minimum not below production's, maximum at most ``headroom`` times production's."""
 
     def outputs():
-        prod_min, sbx_min = F.col(f"prod_min_{column}"), F.col(f"sbx_min_{column}")
-        prod_max, sbx_max = F.col(f"prod_max_{column}"), F.col(f"sbx_max_{column}")
+        prod_min, sbx_min = named(f"prod_min_{column}"), named(f"sbx_min_{column}")
+        prod_max, sbx_max = named(f"prod_max_{column}"), named(f"sbx_max_{column}")
         return {
             "prod_min": prod_min,
             "prod_max": prod_max,
@@ -113,6 +104,9 @@ def min_max_bounds(
     return ScalarCheck(
         name,
         description=f"{column} stays within production's range (maximum x {headroom})",
-        measures=lambda: {f"min_{column}": F.min(column), f"max_{column}": F.max(column)},
+        definition=defined("min_max_bounds", column=column, headroom=headroom),
+        measures=lambda: {
+            f"min_{column}": F.min(named(column)), f"max_{column}": F.max(named(column))
+        },
         outputs=outputs,
     )

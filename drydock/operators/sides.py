@@ -14,6 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def named(column: str) -> Column:
+    """A top-level column by its literal name, whatever characters that holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def pair_row(prod: DataFrame, sbx: DataFrame, measures: Mapping[str, Column]) -> DataFrame:
     """One row with ``prod_<m>`` and ``sbx_<m>`` for every aggregate ``m``.
 
@@ -25,7 +30,7 @@ def pair_row(prod: DataFrame, sbx: DataFrame, measures: Mapping[str, Column]) ->
         for tag, side in (("prod", prod), ("sbx", sbx))
     ]
     both = one_row[0].unionByName(one_row[1], allowMissingColumns=True)
-    return both.agg(*[F.max(name).alias(name) for name in both.columns])
+    return both.agg(*[F.max(named(name)).alias(name) for name in both.columns])
 
 
 def side_counts(prod: DataFrame, sbx: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -38,13 +43,13 @@ def side_counts(prod: DataFrame, sbx: DataFrame, keys: Sequence[str]) -> DataFra
     """
     def tagged(side: DataFrame, in_prod: int) -> DataFrame:
         return side.select(
-            *keys, F.lit(in_prod).alias("_p"), F.lit(1 - in_prod).alias("_s")
+            *map(named, keys), F.lit(in_prod).alias("_p"), F.lit(1 - in_prod).alias("_s")
         )
 
     rows = tagged(prod, 1).unionByName(tagged(sbx, 0))
-    any_null = reduce(or_, [F.col(k).isNull() for k in keys])
+    any_null = reduce(or_, [named(k).isNull() for k in keys])
     return (
-        rows.groupBy(*keys, F.when(any_null, F.col("_p")).alias("_null_side"))
+        rows.groupBy(*map(named, keys), F.when(any_null, F.col("_p")).alias("_null_side"))
         .agg(F.sum("_p").alias("prod_n"), F.sum("_s").alias("sbx_n"))
         .drop("_null_side")
     )
@@ -59,7 +64,9 @@ def key_columns(keys: Sequence[str]) -> list[Column]:
     shuffled again for a join on the keys, so the other side's hot keys can be split.
     The hash depends on the keys' types and must not be joined on.
     """
-    return [*[F.col(k).alias(f"_k_{k}") for k in keys], F.hash(*keys).alias("_h")]
+    return [
+        *[named(k).alias(f"_k_{k}") for k in keys], F.hash(*map(named, keys)).alias("_h")
+    ]
 
 
 def distinct_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -67,6 +74,12 @@ def distinct_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.select(key_columns(keys)).distinct()
 
 
-def on_key(left: Sequence[str], right: Sequence[str] | None = None) -> list[Column]:
-    """Join conditions of columns with the key columns of the other side."""
-    return [F.col(mine) == F.col(f"_k_{key}") for mine, key in zip(left, right or left)]
+def on_key(
+    left: Sequence[str], right: Sequence[str] | None = None, alias: str | None = None
+) -> list[Column]:
+    """Join conditions of columns (of a table alias) with the key columns of the other side."""
+    def mine(column: str) -> Column:
+        name = "`" + column.replace("`", "``") + "`"
+        return F.col(f"{alias}.{name}" if alias else name)
+
+    return [mine(column) == named(f"_k_{key}") for column, key in zip(left, right or left)]

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from drydock.operators.sides import distinct_keys, key_columns, on_key
+from drydock.operators.sides import distinct_keys, key_columns, named, on_key
 
 Value = Column | int | float | str | bool | None
 
@@ -20,20 +20,25 @@ def _as_column(value: Value) -> Column:
     return value if isinstance(value, Column) else F.lit(value)
 
 
+def _condition(condition: Column | str) -> Column:
+    """A predicate, also as the text of an SQL expression."""
+    return F.expr(condition) if isinstance(condition, str) else condition
+
+
 def _true(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
 
-def update(df: DataFrame, set: Mapping[str, Value], where: Column | None = None) -> DataFrame:
+def update(df: DataFrame, set: Mapping[str, Value], where: Column | str | None = None) -> DataFrame:
     """Assign columns on the rows where the predicate is true.
 
     All right-hand sides see the old row, and columns keep their types.
     """
     _require(df, set)
-    hit = F.lit(True) if where is None else where
+    hit = F.lit(True) if where is None else _condition(where)
 
     def new_value(field: T.StructField) -> Column:
-        old = F.col(f"`{field.name}`")
+        old = named(field.name)
         if field.name not in set:
             return old
         new = _as_column(set[field.name]).cast(field.dataType)
@@ -53,9 +58,9 @@ def money(column: str | Column, scale: int = 2) -> Column:
     return col.cast(f"decimal(18,{scale})")
 
 
-def delete(df: DataFrame, where: Column) -> DataFrame:
+def delete(df: DataFrame, where: Column | str) -> DataFrame:
     """Drop the rows where the predicate is true; NULL keeps the row."""
-    return df.where(~_true(where))
+    return df.where(~_true(_condition(where)))
 
 
 def insert(df: DataFrame, rows: DataFrame) -> DataFrame:
@@ -79,30 +84,38 @@ def merge(
     update_where: Column | None = None,
     delete_where: Column | None = None,
     insert: Mapping[str, Value] | bool = False,
+    leave_out: Sequence[str] = (),
 ) -> DataFrame:
     """MERGE the source into the table on equal, non-NULL keys.
 
     Expressions name target columns ``t.<column>`` and source columns
     ``s.<column>``. A matched row is deleted if ``delete_where`` holds, else updated
     if ``update_where`` (default: always) holds. ``insert=True`` adds unmatched source
-    rows by column name. A target row matching several source rows fails the query.
+    rows by column name; source columns that the table lacks must be named in ``leave_out``.
+    A target row matching several source rows fails the query, whatever is read of it.
 
-    The table is the streamed side of a left join against a source that is unique
-    per key: it is not shuffled when the source is small, and a hot key in the
-    table can be split when it is not. Unmatched source rows are found from keys.
+    The table is the streamed side of a left join: it is not shuffled when the source is
+    small, and a hot key in the table can be split when it is not. Of the source only
+    columns in use are read, once for the matches and once for what is inserted.
     """
     _require(df, update or {})
     keys = list(on)
+    if insert is True:
+        surplus = [c for c in source.columns if c not in df.columns and c not in leave_out]
+        if surplus:
+            raise ValueError(f"columns not in the table: {surplus}; name them in leave_out")
+    elif insert:
+        _require(df, insert)
     kept = df
     if update or delete_where is not None:
         kept = _merge_matched(df, source, keys, update or {}, update_where, delete_where)
     if insert is False:
         return kept
 
-    source_keys = source.select(*keys).distinct()
-    taken = df.select(*keys).distinct().join(source_keys, keys, "left_semi")
-    fresh = source.join(distinct_keys(taken, keys), on_key(keys), "left_anti").alias("s")
-    values = {c: F.col(f"s.`{c}`") for c in source.columns} if insert is True else insert
+    fresh = source.join(distinct_keys(df, keys), on_key(keys), "left_anti").alias("s")
+    values = insert
+    if insert is True:
+        values = {c: F.col(f"s.`{c}`") for c in source.columns if c not in leave_out}
     rows = fresh.select(
         [_as_column(values.get(f.name)).cast(f.dataType).alias(f.name) for f in df.schema]
     )
@@ -117,17 +130,23 @@ def _merge_matched(
     update_where: Column | None,
     delete_where: Column | None,
 ) -> DataFrame:
-    per_key = source.groupBy(key_columns(keys)).agg(
-        F.first(F.struct(*source.columns)).alias("s"), F.count(F.lit(1)).alias("_copies")
-    )
-    joined = df.alias("t").join(per_key, on_key([f"t.{k}" for k in keys], keys), "left")
-    matched = F.when(
-        F.col("_copies") > 1,
-        F.raise_error("MERGE: a target row matches more than one source row").cast("boolean"),
-    ).otherwise(F.col("_copies").isNotNull())
+    """The table's rows after the matched part of a merge.
 
-    deleted = matched & _true(delete_where) if delete_where is not None else matched & F.lit(False)
+    How often a key stands in the source is counted beside its rows, so only the columns that
+    expressions use are carried. The check for several matches is part of the filter: it
+    cannot be pruned with the columns.
+    """
+    keyed = source.select("*", *key_columns(keys))
+    each = Window.partitionBy(*[named(f"_k_{k}") for k in keys], "_h")
+    counted = keyed.withColumn("_copies", F.count(F.lit(1)).over(each)).alias("s")
+    joined = df.alias("t").join(counted, on_key(keys, alias="t"), "left")
+    matched = F.col("_copies").isNotNull()
+    deleted = matched & _true(delete_where) if delete_where is not None else F.lit(False)
     updated = matched & _true(update_where) if update_where is not None else matched
+    unique = F.when(
+        F.col("_copies") > 1,
+        F.raise_error("MERGE: a target row matches more than one source row").cast("boolean"),
+    ).otherwise(~deleted)
 
     def new_value(field: T.StructField) -> Column:
         old = F.col(f"t.`{field.name}`")
@@ -136,7 +155,7 @@ def _merge_matched(
         new = _as_column(update[field.name]).cast(field.dataType)
         return F.when(updated, new).otherwise(old).alias(field.name)
 
-    return joined.where(~deleted).select([new_value(f) for f in df.schema])
+    return joined.where(unique).select([new_value(f) for f in df.schema])
 
 
 def add_column(df: DataFrame, name: str, data_type: str, default: Value = None) -> DataFrame:
@@ -175,16 +194,26 @@ def update_from_join(
     """Assign columns from the lookup row with an equal key; other rows stay as they are.
 
     ``on`` maps table columns to lookup columns. Expressions (``order`` included) name
-    ``t.<column>`` and ``s.<column>``. If the lookup repeats a key, its first row in ``order`` (default:
-    all its columns) is used, so rows never fan out.
+    ``t.<column>`` and ``s.<column>``. If the lookup repeats a key, its first row in ``order`` is
+    used, so rows never fan out. Without an order all columns of the lookup decide, which
+    must then all be read; a repeated key is an error instead if ``order`` is None.
     """
     _require(df, set)
     theirs = list(on.values())
-    keyed = lookup.select(*key_columns(theirs), F.struct(*lookup.columns).alias("s"))
-    first = [F.col(f"s.{c}") if isinstance(c, str) else c for c in order or lookup.columns]
-    side = deduplicate(keyed, [f"_k_{c}" for c in theirs] + ["_h"], first)
-    joined = df.alias("t").join(side, on_key([f"t.{c}" for c in on], theirs), "left")
-    found = F.col("s").isNotNull()
+    keyed = lookup.select("*", *key_columns(theirs)).alias("s")
+    group = Window.partitionBy(*[named(f"_k_{c}") for c in theirs], "_h")
+    if order is None:
+        side = keyed.withColumn("_copies", F.count(F.lit(1)).over(group)).alias("s")
+        unique = F.when(
+            F.col("_copies") > 1,
+            F.raise_error("UPDATE: a row matches more than one lookup row").cast("boolean"),
+        ).otherwise(True)
+    else:
+        first = [F.col(f"s.`{c}`") if isinstance(c, str) else c for c in order or lookup.columns]
+        side = keyed.withColumn("_rank", F.row_number().over(group.orderBy(*first)))
+        side, unique = side.where(F.col("_rank") == 1).alias("s"), F.lit(True)
+    joined = df.alias("t").join(side, on_key(list(on), theirs, alias="t"), "left").where(unique)
+    found = F.col("s._h").isNotNull()
 
     def new_value(field: T.StructField) -> Column:
         old = F.col(f"t.`{field.name}`")
@@ -200,7 +229,7 @@ def flag_members(df: DataFrame, members: DataFrame, on: Mapping[str, str], flag:
     """Add a boolean column: whether the row's key occurs among ``members``."""
     side = distinct_keys(members, list(on.values()))
     joined = df.join(side, on_key(list(on), list(on.values())), "left")
-    return joined.select(*df.columns, F.col("_h").isNotNull().alias(flag))
+    return joined.select(*map(named, df.columns), F.col("_h").isNotNull().alias(flag))
 
 
 def _require(df: DataFrame, assignments: Mapping[str, object]) -> None:

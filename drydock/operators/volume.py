@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from drydock.operators.check import LISTED_KEYS, Check, ScalarCheck, pass_if
-from drydock.operators.sides import distinct_keys, on_key, side_counts
+from drydock.operators.check import KeyCheck, ScalarCheck, defined, pass_if
+from drydock.operators.sides import named, side_counts
 
 
 def row_count_comparison(
@@ -30,6 +30,7 @@ def row_count_comparison(
     return ScalarCheck(
         name,
         description=description or f"row count within {pct}% of production",
+        definition=defined("row_count_comparison", pct=pct),
         measures=lambda: {"rows": F.count(F.lit(1))},
         outputs=outputs,
     )
@@ -42,32 +43,40 @@ def row_count_match(name: str = "row_count_match") -> ScalarCheck:
 
 def new_rows_inspection(
     key: str, limit: int | None = 50, name: str = "new_rows_inspection"
-) -> Check:
+) -> KeyCheck:
     """Sandbox rows whose key is not in production; informational, always PASS.
 
-    For a short listing only keys are shuffled: the first ``limit`` new keys, few enough
-    to broadcast, then pick their full rows out of a second scan. A long or unlimited one
-    is an anti join. Rows with a NULL key are always new and listed first.
+    New keys come from pre-aggregated counts; only for those that can be listed are whole rows
+    looked up, in a second scan. Rows are in the order of the key (NULL, which is always new,
+    first) and then of all other columns.
     """
 
-    def compare(prod: DataFrame, sbx: DataFrame) -> DataFrame:
-        first = F.col(key).asc_nulls_first()
-        if limit is None or limit > LISTED_KEYS:
-            new = sbx.join(distinct_keys(prod, [key]), on_key([key]), "left_anti")
-            listed = new.orderBy(first).limit(limit) if limit else new
-            return listed.withColumn("status", F.lit("PASS"))
-        wanted = (
-            side_counts(prod, sbx, [key])
-            .where((F.col("prod_n") == 0) & (F.col("sbx_n") > 0))
-            .orderBy(first)
-            .limit(limit)
-            .select(F.col(key).alias("_new_key"))
-        )
-        rows = sbx.join(F.broadcast(wanted), F.col(key).eqNullSafe(F.col("_new_key")), "left_semi")
-        ties = [f.name for f in sbx.schema if f.name != key and _orderable(f.dataType)]
-        return rows.orderBy(first, *ties).limit(limit).withColumn("status", F.lit("PASS"))
-
-    return Check(name, compare, "rows added by the change, for review")
+    def new_keys(prod: DataFrame, sbx: DataFrame) -> DataFrame:
+        return side_counts(prod, sbx, [key]).where((F.col("prod_n") == 0) & (F.col("sbx_n") > 0))
+
+    def listed(prod: DataFrame, sbx: DataFrame, limit: int | None) -> DataFrame:
+        first = named(key).asc_nulls_first()
+        wanted = new_keys(prod, sbx).select(named(key).alias("_new_key"))
+        if limit is not None:
+            wanted = wanted.orderBy(F.col("_new_key").asc_nulls_first()).limit(limit)
+        rows = sbx.join(wanted, named(key).eqNullSafe(F.col("_new_key")), "left_semi")
+        ties = [named(f.name) for f in sbx.schema if f.name != key and _orderable(f.dataType)]
+        rows = rows.orderBy(first, *ties)
+        return (rows if limit is None else rows.limit(limit)).withColumn("status", F.lit("PASS"))
+
+    def totals(prod: DataFrame, sbx: DataFrame) -> DataFrame:
+        n = F.coalesce(F.sum("sbx_n"), F.lit(0)).cast("long")
+        return new_keys(prod, sbx).agg(n.alias("n_rows")).withColumn("n_failed", F.lit(0).cast("long"))
+
+    return KeyCheck(
+        name,
+        description="rows added by the change, for review",
+        definition=defined("new_rows_inspection", key=key, limit=limit),
+        keys=(key,),
+        limit=limit,
+        listed=listed,
+        totals=totals,
+    )
 
 
 def _orderable(data_type: T.DataType) -> bool:

@@ -16,9 +16,14 @@ def query(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame]) -> Dat
     The text is placed in a subquery, where Spark's grammar admits queries only: a
     statement that writes is refused when it is parsed.
     """
+    text = f"SELECT * FROM (\n{sql.strip().rstrip(';')}\n)"
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
-    return spark.sql(f"SELECT * FROM (\n{sql.strip().rstrip(';')}\n)")
+    try:
+        return spark.sql(text)  # the plan holds the tables; their names are not needed any more
+    finally:
+        for name in tables:
+            spark.catalog.dropTempView(name)
 
 
 def sql_check(
@@ -29,7 +34,7 @@ def sql_check(
     def compare(prod: DataFrame, sbx: DataFrame) -> DataFrame:
         return query(prod.sparkSession, sql, {prod_name: prod, sbx_name: sbx, **others})
 
-    return Check(name, compare, description)
+    return Check(name, compare, description, sql)
 
 
 @dataclass(frozen=True)
@@ -38,7 +43,12 @@ class Preview:
     truncated: bool
 
 
+def previewed(df: DataFrame, n: int = 50) -> DataFrame:
+    """What a preview fetches: one row more than it shows; the limit is part of the plan."""
+    return df.limit(n + 1)
+
+
 def preview(df: DataFrame, n: int = 50) -> Preview:
-    """The first ``n`` rows, and whether there are more; the limit is part of the plan."""
-    rows = df.limit(n + 1).collect()
+    """The first ``n`` rows, and whether there are more."""
+    rows = previewed(df, n).collect()
     return Preview(rows[:n], len(rows) > n)

@@ -3,24 +3,34 @@
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Sequence
 from datetime import datetime, timezone
 from functools import reduce
 
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from drydock.operators.check import Check, ScalarCheck
+from drydock.operators.check import Check, KeyCheck, ScalarCheck
 from drydock.operators.sides import pair_row
 from drydock.plans.ledger import Ledger
 
-# How many rows a result and a failure detail quote.
+# How many rows a result and a failure detail quote, and the texts around them.
 RESULT_ROWS = 10
 DETAIL_ROWS = 3
 NO_ROWS = "(no violations found)"
-TRAILING = r"r'(\.\d+?)0*$', '$1'"  # zeros after the last decimal place but one
+MORE_ROWS = " more rows)"
+QUERY_ERROR = "Query error: "
+# A double's shortest text without its power of ten: s is the text, d its digits, e the power.
+PLAIN = (
+    "transform(array({text}), s -> if(instr(s, 'E') = 0, s, transform(array(struct("
+    "regexp_replace(replace(replace(substring_index(s, 'E', 1), '-', ''), '.', ''), '(?<=.)0+$', '') as d,"
+    " cast(substring_index(s, 'E', -1) as int) as e)), p -> concat(if(startswith(s, '-'), '-', ''),"
+    " case when p.e < 0 then concat('0.', repeat('0', -p.e - 1), p.d)"
+    " when length(p.d) <= p.e + 1 then concat(rpad(p.d, p.e + 1, '0'), '.0')"
+    " else concat(substring(p.d, 1, p.e + 1), '.', substring(p.d, p.e + 2)) end))[0]))[0]"
+)
 
 GRADED = "position int, `check` string, status string, result string, expected string, detail string"
 
@@ -54,7 +64,7 @@ def _failing(df: DataFrame, strict: bool = False) -> Column:
 
 
 def row_text(schema: T.StructType, within: str = "") -> Column:
-    """A row as ``a=1, b=x``; doubles are written out instead of in powers of ten.
+    """A row as ``a=1, b=x``; numbers are written out in full, never in powers of ten.
 
     ``within`` names a struct column that holds the fields. One SQL expression: wide
     rows would need hundreds of calls to build it column by column.
@@ -63,8 +73,7 @@ def row_text(schema: T.StructType, within: str = "") -> Column:
         value = f"{within}.{_quoted(field.name)}" if within else _quoted(field.name)
         text = f"cast({value} as string)"
         if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            plain = f"regexp_replace(cast(cast({value} as decimal(38,6)) as string), {TRAILING})"
-            text = f"if(abs({value}) between 1e7 and 1e15, {plain}, {text})"
+            text = PLAIN.format(text=text)
         label = field.name.replace("\\", "\\\\").replace("'", "\\'")
         return f"concat('{label}=', coalesce({text}, 'None'))"
 
@@ -90,17 +99,26 @@ def _first_rows(df: DataFrame, limit: int) -> Column:
 def _quote(texts: Column, limit: int, count: Column) -> Column:
     """Up to ``limit`` texts, and how many of ``count`` rows that leaves out."""
     text = F.concat_ws("; ", F.slice(texts, 1, limit))
-    rest = F.concat(F.lit(" ... ("), (count - limit).cast("string"), F.lit(" more rows)"))
+    rest = F.concat(F.lit(" ... ("), (count - limit).cast("string"), F.lit(MORE_ROWS))
     return F.concat(text, F.when(count > limit, rest).otherwise(""))
 
 
 def grade(check: Check, prod: DataFrame, sbx: DataFrame, position: int = 0) -> DataFrame:
-    """A check's graded row. Counts are taken on the cluster; only a few rows are quoted."""
-    rows = check.rows(prod, sbx)
+    """A check's graded row. Counts are taken on the cluster; only a few rows are quoted.
+
+    Counts are over all rows of the check's result, also where its listing is cut.
+    """
+    if isinstance(check, KeyCheck):
+        rows, counts = check.listed(prod, sbx, RESULT_ROWS), check.totals(prod, sbx)
+        status = F.when(F.col("n_failed") > 0, "FAIL").otherwise("PASS")
+        counts = counts.select(status.alias("status"), "n_rows", "n_failed")
+    else:
+        rows = check.rows(prod, sbx)
+        counts = evaluate(rows)
     shown = failing = _first_rows(rows, RESULT_ROWS)
     if status_column(rows):
         failing = _first_rows(rows.where(_failing(rows)), DETAIL_ROWS)
-    quoted = evaluate(rows).select("*", shown.alias("shown"), failing.alias("failing"))
+    quoted = counts.select("*", shown.alias("shown"), failing.alias("failing"))
     result = _quote(F.col("shown"), RESULT_ROWS, F.col("n_rows"))
     detail = _quote(F.col("failing"), DETAIL_ROWS, F.col("n_failed"))
     return quoted.select(
@@ -142,9 +160,9 @@ def grade_scalars(
 def failed_check(
     spark: SparkSession, check: Check, position: int, error: Exception
 ) -> DataFrame:
-    """The graded row of a check that could not be run."""
-    message = str(error).split("\n", 1)[0]
-    row = (position, check.name, "FAIL", f"Query error: {message}", check.expected, message)
+    """The graded row of a check that could not be run, with the whole error."""
+    message = str(error)
+    row = (position, check.name, "FAIL", QUERY_ERROR + message, check.expected, message)
     return spark.createDataFrame([row], GRADED)
 
 
@@ -152,12 +170,16 @@ def plan_suite(prod: DataFrame, sbx: DataFrame, checks: Sequence[Check]) -> Data
     """Graded rows of all checks, as one lazy DataFrame.
 
     Scalar checks share a single aggregation. The others are unioned, so that Spark
-    runs them side by side and checks over the same key reuse one shuffle. A check
-    that does not even analyse (say, for a missing column) becomes a FAIL row.
+    runs them side by side and checks over the same key reuse one shuffle. A check that
+    cannot be built (say, for a missing column) becomes a FAIL row.
     """
     if not checks:
         raise ValueError("no quality checks defined")
-    numbered = list(enumerate(checks))
+    keyed = Counter(c.keys for c in checks if isinstance(c, KeyCheck))
+    numbered = [
+        (p, c.shared if isinstance(c, KeyCheck) and c.shared and keyed[c.keys] > 1 else c)
+        for p, c in enumerate(checks)
+    ]
     frames = _try_grade(
         [(p, c) for p, c in numbered if isinstance(c, ScalarCheck)], grade_scalars, prod, sbx
     )
@@ -173,12 +195,15 @@ def _grade_one(checks, prod: DataFrame, sbx: DataFrame) -> DataFrame:
 
 
 def _try_grade(checks, how, prod: DataFrame, sbx: DataFrame) -> list[DataFrame]:
-    """Grade checks together; if they don't analyse, single out those that fail."""
+    """Grade checks together; if they cannot be built, single out those that fail.
+
+    Checks are anybody's code, so any exception counts against its check only.
+    """
     if not checks:
         return []
     try:
         return [how(checks, prod, sbx)]
-    except PySparkException as error:
+    except Exception as error:
         if len(checks) == 1:
             [(position, check)] = checks
             return [failed_check(prod.sparkSession, check, position, error)]
@@ -193,24 +218,29 @@ def run_checks(
     source_table: str,
     ledger: Ledger | None = None,
     run_id: str | None = None,
+    sandbox_version: int | None = None,
 ) -> DataFrame:
     """Run a suite, record its results (one row per check) in the ledger, and return them.
 
     Checks are advisory. If the shared job fails at run time, the checks are run one
-    by one, so that only the broken ones are marked FAIL.
+    by one, so that only the broken ones are marked FAIL. With each result the ledger keeps
+    what was run (the check's definition) and on which version of the sandbox.
     """
     spark = prod.sparkSession
     try:
         graded = sorted(plan_suite(prod, sbx, checks).collect(), key=lambda row: row["position"])
-    except PySparkException:
+    except Exception:
+        if not checks:
+            raise
         graded = [_run_alone(prod, sbx, check) for check in checks]
     run_at = datetime.now(timezone.utc)
     run = dict(
-        run_id=run_id or str(uuid.uuid4()), sandbox_name=sandbox_name,
+        run_id=run_id or str(uuid.uuid4()), sandbox_name=sandbox_name, sandbox_version=sandbox_version,
         source_table=source_table, run_at=run_at, run_date=run_at.date(),
     )
     records = [
-        {**run, **{k: v for k, v in row.asDict().items() if k != "position"}} for row in graded
+        {**run, "definition": check.definition, **{k: v for k, v in row.asDict().items() if k != "position"}}
+        for check, row in zip(checks, graded, strict=True)
     ]
     ledger = ledger or Ledger(spark)
     ledger.append("quality_results", records)
@@ -220,5 +250,5 @@ def run_checks(
 def _run_alone(prod: DataFrame, sbx: DataFrame, check: Check) -> Row:
     try:
         return plan_suite(prod, sbx, [check]).first()
-    except PySparkException as error:
+    except Exception as error:
         return failed_check(prod.sparkSession, check, 0, error).first()

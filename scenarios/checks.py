@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from drydock.operators import categorical, integrity, numeric, volume
+from drydock.operators import transforms as T
 from drydock.plans.query import sql_check
 from scenarios.base import (
     DUPLICATED,
@@ -38,8 +42,8 @@ def unchanged(df):
 
 
 def overdrawn(spark, sf_dir):
-    """Customers in debt, and the same with a tenth of the debt forgiven: a negative base."""
-    prod = load(spark, sf_dir, "customer").where("c_acctbal < 0")
+    """All customers as debtors, and the same with a fifth of the debt forgiven: a negative base."""
+    prod = load(spark, sf_dir, "customer").withColumn("c_acctbal", -F.abs("c_acctbal"))
     less = F.round(
         F.col("c_acctbal").cast("decimal(18,2)") * F.lit("0.80").cast("decimal(3,2)"), 2
     ).cast("double")
@@ -47,7 +51,7 @@ def overdrawn(spark, sf_dir):
 
 
 OVERDRAWN = """
-    WITH prod AS (SELECT * FROM customer WHERE c_acctbal < 0),
+    WITH prod AS (SELECT * REPLACE (-ABS(c_acctbal) AS c_acctbal) FROM customer),
     sbx AS (
         SELECT * REPLACE (CAST(ROUND(CAST(c_acctbal AS DECIMAL(18,2))
                           * CAST(0.80 AS DECIMAL(3,2)), 2) AS DOUBLE) AS c_acctbal)
@@ -55,6 +59,72 @@ OVERDRAWN = """
     )"""
 
 
+def corrupted(df):
+    """Odd values in a few orders: not a number, infinite, and beyond 64-bit cents."""
+    price = F.when(F.col("o_orderkey") % 1000 == 1, F.lit(1e17)).otherwise(F.col("o_totalprice"))
+    price = F.when(F.col("o_orderkey") % 1000 == 2, F.lit(float("inf"))).otherwise(price)
+    return T.update(df, {"o_totalprice": price})
+
+
+def nan_and_infinite(check, kind):
+    """The verdict over prices of which some are infinite and then some NaN as well."""
+    def run(spark, sf_dir):
+        prod = orders(spark, sf_dir)
+        infinite = corrupted(prod)
+        nan = T.update(infinite, {"o_totalprice": float("nan")}, F.col("o_orderkey") % 1000 == 3)
+        huge = infinite.where(F.col("o_totalprice") < float("inf"))
+        cases = {"huge": huge, "infinite": infinite, "nan": nan}
+        rows = [
+            check.rows(prod, sbx).select(
+                F.lit(name).alias("case"),
+                F.col(f"prod_{kind}"),
+                F.isnan(f"sbx_{kind}").alias("is_nan"),
+                (F.col(f"sbx_{kind}") == float("inf")).alias("is_infinite"),
+                F.when(F.col(f"sbx_{kind}") < 1e300, F.col(f"sbx_{kind}")).alias(f"sbx_{kind}"),
+                "status",
+            )
+            for name, sbx in cases.items()
+        ]
+        return reduce(DataFrame.unionByName, rows)
+
+    return run
+
+
+def nan_and_infinite_sql(kind):
+    total = "CAST(SUM(CAST({} AS DECIMAL(28,2))) AS DOUBLE)"
+    value = total if kind == "sum" else total + " / COUNT(*)"
+    huge = "CASE WHEN o_orderkey % 1000 = 1 THEN 1e17::DOUBLE ELSE o_totalprice END"
+    prod = f"(SELECT {value.format('o_totalprice')} FROM orders)"
+    sbx = f"(SELECT {value.format(huge)} FROM orders WHERE o_orderkey % 1000 <> 2)"
+    return f"""
+        SELECT "case", {prod} AS prod_{kind}, "case" = 'nan' AS is_nan, "case" = 'infinite' AS is_infinite,
+               CASE WHEN "case" = 'huge' THEN {sbx} END AS sbx_{kind}, 'FAIL' AS status
+        FROM (VALUES ('huge'), ('infinite'), ('nan')) v("case")"""
+
+
+def repeated_keys(df):
+    """Every key three times over, in rows that differ elsewhere."""
+    copies = [df.withColumn("o_custkey", F.col("o_custkey") + i) for i in range(3)]
+    return reduce(DataFrame.unionByName, copies).withColumn("o_orderkey", -F.col("o_orderkey") - 1)
+
+
+REPEATED = """
+    SELECT * REPLACE (-o_orderkey - 1 AS o_orderkey, o_custkey + i AS o_custkey)
+    FROM orders, range(3) t(i)"""
+
+
+def long_listing(spark, sf_dir):
+    """A listing longer than a thousand rows, cut inside the rows of one key."""
+    prod = orders(spark, sf_dir)
+    sbx = prod.unionByName(repeated_keys(prod))
+    return volume.new_rows_inspection("o_orderkey", limit=1003).rows(prod, sbx)
+
+
+def long_lost_listing(spark, sf_dir):
+    prod = orders(spark, sf_dir)
+    return integrity.referential_completeness("o_orderkey", limit=1003).rows(repeated_keys(prod), prod)
+
+
 def sql_sum(column):
     return f"CAST(SUM(CAST({column} AS DECIMAL(18,2))) AS DOUBLE)"
 
@@ -195,6 +265,26 @@ SCENARIOS = {
     "c2_all_new_rows": Scenario(
         on_orders(volume.new_rows_inspection("o_orderkey", limit=None), extended), new_rows_sql()
     ),
+    "c2_long_listing": Scenario(
+        long_listing,
+        f"""
+        SELECT * EXCLUDE (i), 'PASS' AS status FROM (
+            SELECT -o_orderkey - 1 AS o_orderkey, o_custkey + i AS o_custkey,
+                   o_orderstatus, o_totalprice, o_orderdate, o_orderpriority, i
+            FROM orders, range(3) t(i)
+        ) ORDER BY o_orderkey, o_custkey LIMIT 1003""",
+    ),
+    "c10_long_listing": Scenario(
+        long_lost_listing,
+        f"SELECT o_orderkey AS missing_from_sandbox FROM ({REPEATED}) ORDER BY o_orderkey LIMIT 1003",
+    ),
+    "c3_mean_drift_odd_values": Scenario(
+        nan_and_infinite(numeric.mean_drift("o_totalprice", scale=2), "avg"), nan_and_infinite_sql("avg")
+    ),
+    "c4_sum_comparison_odd_values": Scenario(
+        nan_and_infinite(numeric.sum_comparison("o_totalprice", scale=2), "sum"),
+        nan_and_infinite_sql("sum"),
+    ),
     "c3_mean_drift": Scenario(
         on_orders(numeric.mean_drift("o_totalprice", scale=2), marked_up),
         f"{pair(ORDERS, MARKED_UP)} {drift_sql('avg', 'o_totalprice')}",

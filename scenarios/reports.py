@@ -7,13 +7,16 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drydock.functions.dictionary import RULES, describe_columns, update_dictionary
+from drydock.functions.dictionary import describe_columns, update_dictionary
 from drydock.operators import categorical, integrity, numeric, volume
+from drydock.operators import transforms as T
 from drydock.operators.check import Check
-from drydock.plans.ledger import run_summary
-from drydock.plans.runner import evaluate, plan_suite
+from drydock.plans.ledger import Ledger, run_summary
+from drydock.plans.runner import evaluate, plan_suite, run_checks
+from drydock.workspace import fresh_path
 from scenarios.base import (
     RELABELLED,
+    TRIMMED,
     Scenario,
     load,
     marked_up,
@@ -56,18 +59,34 @@ def suite(customers):
         integrity.uniqueness_on_keys("o_orderkey"),
         integrity.foreign_key_integrity("o_custkey", customers, "c_custkey"),
         integrity.referential_completeness("o_orderkey"),
-        Check("no_column", lambda _prod, sbx: sbx.select("o_missing"), "cannot run"),
+        volume.new_rows_inspection("o_orderkey"),
+        Check("no_column", lambda _prod, sbx: T.update(sbx, {"o_missing": 1}), "cannot run"),
     ]
 
 
 def run_suite(spark, sf_dir):
     prod = orders(spark, sf_dir)
-    graded = plan_suite(prod, changed(prod), suite(load(spark, sf_dir, "customer")))
-    quoted = F.col("check") != "no_column"
-    return graded.select(
-        "position", "check", "status", "expected",
-        F.when(quoted, F.col("result")).alias("result"),
-        F.when(quoted, F.col("detail")).alias("detail"),
+    return plan_suite(prod, changed(prod), suite(load(spark, sf_dir, "customer")))
+
+
+def run_failing_suite(spark, sf_dir):
+    """Recorded results of a suite in which one check fails only when it runs."""
+    prod = orders(spark, sf_dir)
+    breaks = F.raise_error(F.concat(F.lit("odd order "), F.max("o_orderkey").cast("string")))
+    checks = [
+        volume.row_count_match(),
+        Check("at_run_time", lambda _prod, sbx: sbx.agg(breaks.cast("string").alias("status"))),
+        integrity.referential_completeness("o_orderkey"),
+    ]
+    root = fresh_path(spark, "suites")
+    results = run_checks(
+        prod, trimmed(prod), checks, "sbx_orders", "orders", Ledger(spark, root), sandbox_version=2
+    )
+    # Of the recorded error, which names Spark's call as well, what the check itself raised.
+    raised = F.nullif(F.regexp_extract("detail", r"odd order \d+", 0), F.lit(""))
+    first = F.regexp_extract("detail", r"^\D*\d+", 0)
+    return results.select(
+        "check", "status", "definition", "sandbox_version", F.coalesce(raised, first).alias("detail")
     )
 
 
@@ -144,14 +163,20 @@ GRADED = [
                orphans_sql("sbx", "o_custkey", "customer", "c_custkey"),
                ("orphaned_fk_value", "orphaned_count"), "orphaned_count DESC", False),
     graded_sql(8, "referential_completeness", "no o_orderkey lost",
-               LOST_KEYS,
+               LOST_KEYS.replace("ORDER BY o_orderkey LIMIT 50", ""),
                ("missing_from_sandbox",), "missing_from_sandbox", False),
+    graded_sql(9, "new_rows_inspection", "rows added by the change, for review",
+               "SELECT *, 'PASS' AS status FROM sbx"
+               " WHERE NOT EXISTS (SELECT 1 FROM prod WHERE prod.o_orderkey = sbx.o_orderkey)",
+               ("o_orderkey", "status"), "o_orderkey"),
 ]
 SUITE_SQL = (
     f"{pair(ORDERS, CHANGED)}, "
     + ", ".join(rows for rows, _ in GRADED)
     + " UNION ALL ".join(graded for _, graded in GRADED)
-    + """ UNION ALL SELECT 9, 'no_column', 'FAIL', 'cannot run', NULL, NULL"""
+    + """ UNION ALL SELECT 10, 'no_column', 'FAIL', 'cannot run',
+        'Query error: columns not in the table: [''o_missing'']',
+        'columns not in the table: [''o_missing'']'"""
 )
 
 EVALUATE_SQL = f"""
@@ -229,32 +254,33 @@ WAREHOUSE_COLUMNS = f"""
     FROM part"""
 
 
-def _rule_sql(kind, words, template):
-    name = "lower(column_name)"
-    tests = {
-        "is": [f"{name} = '{w}'" for w in words],
-        "ends": [f"ends_with({name}, '{w}')" for w in words],
-        "is_or_ends": [f"{name} = '{w}' OR ends_with({name}, '_{w}')" for w in words],
-        "has": [f"contains({name}, '{w}')" for w in words],
-        "flag": [f"starts_with({name}, 'is_')", f"starts_with({name}, 'has_')",
-                 f"contains({name}, 'flag')"],
-        "count": [*[f"{name} = '{w}'" for w in words], f"ends_with({name}, '_count')",
-                  f"starts_with({name}, 'count_')"],
-    }[kind]
-    subject = f"replace({name}, '_', ' ')"
-    if words == ("_id",):
-        subject = f"replace(left({name}, -3), '_', ' ')"
-    elif "_at" in words:
-        cut = f"replace(replace(replace({name}, '_at', ''), '_date', ''), '_time', '')"
-        subject = f"trim(replace({cut}, '_', ' '))"
-    text = "'" + template.replace("'", "''").replace("{}", f"' || {subject} || '") + "'"
-    return f"WHEN {' OR '.join(tests)} THEN {text}"
-
-
-DESCRIPTION = (
-    "CASE " + " ".join(_rule_sql(*rule) for rule in RULES)
-    + " ELSE '_What does `' || column_name || '` represent? What values can it have?_' END"
-)
+# Written out by hand, so that a wrong word or order in the rules shows.
+DESCRIPTION = """
+    CASE
+    WHEN n = 'id' THEN 'Unique identifier for this record.'
+    WHEN n LIKE '%\\_id' ESCAPE '\\'
+        THEN 'Reference to the associated ' || replace(substring(n, 1, length(n) - 3), '_', ' ') || '.'
+    WHEN n = 'status' OR n LIKE '%\\_status' ESCAPE '\\' THEN 'Current status of the record.'
+    WHEN regexp_matches(n, 'amount|price|cost|revenue|total|value')
+        THEN 'Monetary value in the record''s currency.'
+    WHEN n IN ('created_at', 'created_on', 'creation_date') THEN 'Timestamp when the record was created.'
+    WHEN n IN ('updated_at', 'modified_at', 'last_updated')
+        THEN 'Timestamp of the most recent update to this record.'
+    WHEN n IN ('deleted_at', 'deleted_on') THEN 'Soft-delete timestamp; NULL when the record is active.'
+    WHEN regexp_matches(n, '_(at|date|time)$')
+        THEN 'Timestamp recording when '
+             || trim(replace(regexp_replace(regexp_replace(regexp_replace(
+                    n, '_at', '', 'g'), '_date', '', 'g'), '_time', '', 'g'), '_', ' '))
+             || ' occurred.'
+    WHEN regexp_matches(n, 'type|kind|category') THEN 'Categorical classification of the record.'
+    WHEN regexp_matches(n, '^is_|^has_|flag') THEN 'Boolean flag.'
+    WHEN regexp_matches(n, 'pct|percent|rate|ratio') THEN 'Ratio or percentage value.'
+    WHEN n IN ('count', 'qty', 'quantity') OR regexp_matches(n, '_count$|^count_') THEN 'Numeric count.'
+    WHEN regexp_matches(n, 'name|title|label|desc') THEN 'Human-readable label or name.'
+    WHEN regexp_matches(n, 'email|phone|address') THEN 'Contact field: ' || replace(n, '_', ' ') || '.'
+    WHEN n IN ('country', 'region', 'city', 'state', 'zip', 'postal_code')
+        THEN 'Geographic field: ' || replace(n, '_', ' ') || '.'
+    ELSE '_What does `' || column_name || '` represent? What values can it have?_' END"""
 
 
 def documented_columns(parts):
@@ -273,6 +299,21 @@ def dictionary_update(spark, sf_dir):
 SCENARIOS = {
     "r1_evaluate_checks": Scenario(evaluate_checks, EVALUATE_SQL),
     "r3_run_suite": Scenario(run_suite, SUITE_SQL),
+    "r3_suite_failing_at_run_time": Scenario(
+        run_failing_suite,
+        f"""
+        WITH lost AS (SELECT o_orderkey FROM orders
+                      WHERE o_orderpriority = '5-LOW' AND o_totalprice < 100000),
+        kept AS ({TRIMMED})
+        SELECT * FROM (VALUES
+            ('row_count_match', 'FAIL', 'row_count_comparison(pct=0)',
+             'prod_row_count=' || CAST((SELECT COUNT(*) FROM orders) AS VARCHAR)),
+            ('at_run_time', 'FAIL', '', 'odd order ' || CAST((SELECT MAX(o_orderkey) FROM kept) AS VARCHAR)),
+            ('referential_completeness', 'FAIL',
+             'referential_completeness(key=''o_orderkey'', limit=50)',
+             'missing_from_sandbox=' || CAST((SELECT MIN(o_orderkey) FROM lost) AS VARCHAR))
+        ) v("check", status, definition, detail), (SELECT 2 AS sandbox_version)""",
+    ),
     "r4_run_summary": Scenario(
         lambda spark, d: run_summary(results_log(load(spark, d, "events"))),
         f"""
@@ -284,7 +325,7 @@ SCENARIOS = {
         lambda spark, d: describe_columns(warehouse_columns(load(spark, d, "part"))),
         f"""
         SELECT table_name, column_name, data_type, {DESCRIPTION} AS description
-        FROM ({WAREHOUSE_COLUMNS})""",
+        FROM (SELECT *, lower(column_name) AS n FROM ({WAREHOUSE_COLUMNS}))""",
     ),
     "r6_dictionary_new_columns": Scenario(
         dictionary_update,
@@ -294,7 +335,8 @@ SCENARIOS = {
         FROM ({WAREHOUSE_COLUMNS}) WHERE p_retailprice < 1000
         UNION ALL
         SELECT table_name, column_name, data_type, {DESCRIPTION}
-        FROM ({WAREHOUSE_COLUMNS}) WHERE NOT p_retailprice < 1000""",
+        FROM (SELECT *, lower(column_name) AS n FROM ({WAREHOUSE_COLUMNS}))
+        WHERE NOT p_retailprice < 1000""",
     ),
     "a1_share_of_total": Scenario(
         share_of_total,

@@ -59,6 +59,7 @@ def merge_orders(spark, sf_dir):
         update={"o_totalprice": F.col("s.o_totalprice"), "o_orderstatus": F.lit("M")},
         delete_where=F.col("s.withdrawn"),
         insert=True,
+        leave_out=["withdrawn"],
     )
 
 
@@ -102,6 +103,7 @@ def nation_into_segment(spark, sf_dir):
         load(spark, sf_dir, "nation").where("n_regionkey <> 0"),
         on={"c_nationkey": "n_nationkey"},
         set={"c_mktsegment": F.concat_ws("/", F.col("t.c_mktsegment"), F.col("s.n_name"))},
+        order=["n_nationkey"],
     )
 
 

@@ -86,6 +86,42 @@ def test_exact_sum_does_not_depend_on_order(spark):
         assert row["prod_sum"] == 100.0
 
 
+@pytest.mark.parametrize("scale", [0, 2, None])
+def test_sums_show_what_is_not_finite(spark, scale):
+    nan, inf = float("nan"), float("inf")
+    for values, wanted in (
+        ([1.5, nan, 2.0], nan), ([1.5, inf], inf), ([-inf, 1.0], -inf), ([inf, -inf], nan), ([nan], nan),
+        ([1e17, 1.0], 1e17 + 1.0), ([1e300, 1.0], 1e300), ([-1e25, 1e25, 3.0], 3.0), ([None, inf], inf),
+    ):
+        df = one_column(spark, values)
+        found = df.agg(numeric.exact_sum("x", scale)).first()[0]
+        assert found == wanted or (found != found and wanted != wanted), (values, found)
+    bad = one_column(spark, [1.0, nan])
+    assert status(numeric.sum_comparison("x", scale=scale), one_column(spark, [1.0]), bad) == "FAIL"
+    assert status(numeric.mean_drift("x", scale=scale), one_column(spark, [1.0]), bad) == "FAIL"
+
+
+def test_sums_hold_many_rows():
+    """A decimal(38, s) sum of decimal(28, s) addends has room for 10 billion of the largest."""
+    assert 10**10 * (10**28 - 1) < 10**38
+    # and for 10**12 rows of money up to 10**16 units either way
+    assert 10**12 * 10**16 * 100 < 10**38
+
+
+def test_names_with_dots_and_blanks(spark):
+    df = spark.createDataFrame([(1, 2.0, "x")], "`a.b` int, `c d` double, `e``f` string")
+    other = spark.createDataFrame([(2, 3.0, "y")], "`a.b` int, `c d` double, `e``f` string")
+    for check in (
+        numeric.sum_comparison("c d", scale=2), numeric.mean_drift("c d"), numeric.min_max_bounds("c d"),
+        categorical.value_set_drift("e`f"), categorical.distribution_shift("e`f"),
+        integrity.uniqueness_on_keys("a.b"), integrity.uniqueness_on_keys("a.b", "c d"),
+        integrity.foreign_key_integrity("a.b", df, "a.b"), integrity.referential_completeness("a.b"),
+        integrity.null_check("a.b"), volume.new_rows_inspection("a.b"),
+    ):
+        check.rows(df, other).collect()
+    assert {r["column_name"] for r in integrity.null_profile(df).collect()} == set(df.columns)
+
+
 @settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.too_slow])
 @given(
     st.lists(

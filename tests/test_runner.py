@@ -61,10 +61,18 @@ def test_texts_of_violations(spark):
     )
 
 
-def test_large_doubles_are_written_out(spark):
-    df = spark.createDataFrame([(12345678.5, 1e7, 0.5, -2e9)], "a double, b double, c double, d double")
+def test_numbers_are_written_out(spark):
+    values = [12345678.5, 1e7, 0.5, -2e9, 1e15, 123456789012345680.0, -1.25e-7, 1e300, 0.001, 3.0]
+    fields = ", ".join(f"c{i} double" for i in range(len(values)))
+    df = spark.createDataFrame([tuple(values)], fields)
     text = grade(fixed(df), df, df).first()["result"]
-    assert text == "a=12345678.5, b=10000000.0, c=0.5, d=-2000000000.0"
+    shown = [part.split("=")[1] for part in text.split(", ")]
+    assert shown[:7] == ["12345678.5", "10000000.0", "0.5", "-2000000000.0", "1" + "0" * 15 + ".0",
+                         "123456789012345680.0", "-0.000000125"]
+    assert shown[7] == "1" + "0" * 300 + ".0"
+    assert [float(x) for x in shown] == values
+    odd = spark.sql("SELECT double('NaN') AS a, double('-Infinity') AS b, CAST(NULL AS double) AS c")
+    assert grade(fixed(odd), odd, odd).first()["result"] == "a=NaN, b=-Infinity, c=None"
 
 
 def all_checks(customers):
@@ -108,23 +116,60 @@ def test_one_column_summed_in_two_ways(orders):
 
 
 def test_broken_checks_fail_alone(spark, orders, tmp_path):
-    ledger = Ledger(spark, str(tmp_path))
+    """Whatever breaks, and whenever: every check has its row, and the others are graded."""
+    damaged = tmp_path / "damaged"
+    orders.write.parquet(str(damaged))
+    broken_file = spark.read.parquet(str(damaged))
+    for file in damaged.glob("*.parquet"):
+        file.write_bytes(b"PAR1 this is no parquet file")
+
+    def raises(_prod, _sbx):
+        raise ValueError("first line\nsecond line")
+
     checks = [
         numeric.sum_comparison("no_such_column", name="missing"),
         numeric.sum_comparison("amount"),
         Check("at_run_time", lambda _p, s: s.select(F.raise_error(F.lit("boom")).alias("status"))),
+        Check("value_error", raises),
+        Check("bad_update", lambda _p, s: update(s, {"nope": 1})),
+        Check("damaged_file", lambda _p, _s: broken_file.where("amount < 0")),
+        Check("assertion", lambda _p, s: s.where(F.assert_true(F.col("amount") < 0, "too much").isNull())),
+        Check("bad_cast", lambda _p, s: s.where(F.col("status").cast("int") > 1)),
         integrity.null_check("amount"),
     ]
-    run = run_checks(orders, orders, checks, "sbx_orders", "orders", ledger, run_id="r1")
+    ledger = Ledger(spark, str(tmp_path))
+    run = run_checks(orders, orders, checks, "sbx_orders", "orders", ledger, run_id="r1", sandbox_version=3)
     rows = {r["check"]: r for r in run.collect()}
-    assert {name: r["status"] for name, r in rows.items()} == {
-        "missing": "FAIL", "sum_comparison": "PASS", "at_run_time": "FAIL", "null_check": "PASS"
+    assert list(rows) and {name: r["status"] for name, r in rows.items()} == {
+        c.name: "PASS" if c.name in ("sum_comparison", "null_check") else "FAIL" for c in checks
     }
     assert "no_such_column" in rows["missing"]["result"]
     assert rows["missing"]["result"].startswith("Query error: ")
     assert "boom" in rows["at_run_time"]["detail"]
+    assert rows["value_error"]["detail"] == "first line\nsecond line"
+    assert "nope" in rows["bad_update"]["detail"] and "too much" in rows["assertion"]["detail"]
     assert rows["at_run_time"]["expected"] == "at_run_time"
-    assert rows_of(run_summary(run)) == [("r1", 4, 2, False)]
+    assert rows_of(run_summary(run)) == [("r1", 9, 7, False)]
+    assert {r["sandbox_version"] for r in rows.values()} == {3}
+    assert rows["sum_comparison"]["definition"] == (
+        "sum_comparison(column='amount', pct=10, scale=None, abs_denominator=False)"
+    )
+
+
+def test_counts_of_cut_listings_are_whole(spark):
+    prod = spark.range(2000).select((F.col("id") % 700).alias("k"), "id")
+    sbx = prod.where("k < 100")
+    checks = [
+        integrity.referential_completeness("k"), volume.new_rows_inspection("k"),
+        integrity.uniqueness_on_keys("k"),
+    ]
+    lost = prod.where("k >= 100").count()
+    rows = {r["check"]: r for r in plan_suite(prod, sbx, checks).collect()}
+    assert rows["referential_completeness"]["detail"].endswith(f"({lost - 3} more rows)")
+    assert rows["uniqueness_on_keys"]["result"].endswith("(90 more rows)")
+    back = {r["check"]: r for r in plan_suite(sbx, prod, checks).collect()}
+    assert back["new_rows_inspection"]["result"].endswith(f"({lost - 10} more rows)")
+    assert back["new_rows_inspection"]["status"] == "PASS"
 
 
 def test_defaults_of_a_check(orders):

@@ -110,11 +110,32 @@ def test_merge_refuses_ambiguous_matches(spark, tables):
     twice = source.unionByName(spark.createDataFrame([(2, "BB"), (4, "D"), (4, "DD")], source.schema))
     with pytest.raises(PySparkException, match="more than one source row"):
         merge(target, twice, update={"v": F.col("s.v")}).collect()
+    with pytest.raises(PySparkException, match="more than one source row"):
+        merge(target, twice, update={"v": F.col("s.v")}).count()
     unmatched = twice.where("k <> 2")  # repeated source keys that match nothing are inserted
     merged = merge(target, unmatched, update={"v": F.col("s.v")}, insert=True)
     assert rows_of(merged.where("k = 4")) == [(4, "D"), (4, "DD")]
 
 
+def test_merge_refuses_unknown_columns(tables):
+    target, source = tables
+    with pytest.raises(ValueError, match="vv"):
+        merge(target, source, insert={"k": F.col("s.k"), "vv": F.col("s.v")})
+    wider = source.withColumn("note", F.lit("x"))
+    with pytest.raises(ValueError, match="leave_out"):
+        merge(target, wider, insert=True)
+    assert merge(target, wider, insert=True, leave_out=["note"]).count() == 6
+
+
+def test_names_with_dots(spark):
+    df = spark.createDataFrame([(1, 2), (None, 3)], "`a.b` int, `c d` int")
+    changed = T.update(df, {"a.b": F.lit(5)}, "`c d` = 3")
+    assert rows_of(changed) == [(1, 2), (5, 3)]
+    assert rows_of(T.flag_members(df, df, {"a.b": "a.b"}, "in")) == sorted(
+        [(1, 2, True), (None, 3, False)], key=repr
+    )
+
+
 def test_add_column(orders):
     changed = T.add_column(orders, "region", "string", "EMEA")
     assert changed.where("region = 'EMEA'").count() == 5
@@ -140,6 +161,8 @@ def test_update_from_join_never_fans_out(spark):
     lookup = spark.createDataFrame([(1, "B"), (1, "A"), (None, "N")], "id int, w string")
     changed = T.update_from_join(df, lookup, {"k": "id"}, {"v": F.concat("t.v", "s.w")})
     assert changed.schema == df.schema
+    with pytest.raises(PySparkException, match="more than one lookup row"):
+        T.update_from_join(df, lookup, {"k": "id"}, {"v": F.col("s.w")}, order=None).count()
     assert rows_of(changed) == sorted([(1, "xA"), (1, "yA"), (2, "z"), (None, "n")], key=repr)
 
 
