@@ -65,7 +65,7 @@ def buckets(turned: np.ndarray) -> np.ndarray:
 
 def probes(turned: np.ndarray, number: int) -> np.ndarray:
     """The nearest signed axes of each row, nearest first."""
-    both = np.stack((turned, -turned), axis=2).reshape(len(turned), -1)
+    both = np.stack((turned, -turned), axis=2).reshape(len(turned), 2 * turned.shape[1])
     return np.argsort(-both, axis=1, kind="stable")[:, :number]
 
 

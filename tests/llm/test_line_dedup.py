@@ -1,0 +1,85 @@
+from __future__ import annotations
+
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+from odd import no_docs, odd_docs  # noqa: F401
+
+from drydock.llm import line_dedup as L
+
+BLANKS = " \t\n\x0b\x0c\r"
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def key(line):
+    return line.strip(BLANKS).translate(LOWER)
+
+
+def brute(rows, min_docs, min_chars, keep_first):
+    """Which line positions each distinct (id, text) loses."""
+    docs = {(i, t or "") for i, t in rows}
+    order = sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0))
+    held, first = defaultdict(set), {}
+    for doc in order:
+        for pos, line in enumerate(doc[1].split("\n")):
+            if len(key(line)) >= min_chars:
+                held[key(line)].add(doc)
+                first.setdefault(key(line), (doc, pos))
+    lost = {}
+    for doc in docs:
+        lost[doc] = [
+            pos for pos, line in enumerate(doc[1].split("\n"))
+            if len(held.get(key(line), ())) >= min_docs
+            and not (keep_first and first[key(line)] == (doc, pos))
+        ]
+    return lost
+
+
+ROWS = [
+    (1, "Menu\nalpha\nFooter"), (2, " menu \nbeta\nfooter\nfooter"), (3, "MENU\ngamma\n\n"),
+    (4, None), (5, ""), (None, "menu\nonly null id"), (7, "\n\n"), (8, "menu"), (8, "menu"), (9, "a\n" * 50 + "menu"),
+]
+
+
+@pytest.mark.parametrize(("min_docs", "min_chars", "keep_first"), [
+    (2, 1, True), (2, 1, False), (3, 1, False), (4, 5, True), (2, 0, False),
+])
+def test_against_brute_force(spark, min_docs, min_chars, keep_first):
+    df = spark.createDataFrame(ROWS, "doc_id bigint, text string")
+    options = dict(min_docs=min_docs, min_chars=min_chars, keep_first=keep_first, salts=3)
+    wanted = brute(ROWS, **{k: v for k, v in options.items() if k != "salts"})
+    kept = Counter(
+        (r.doc_id, r.text or "") for r in L.drop_repeated_lines(df, **options).collect()
+    )
+    assert kept == Counter(
+        (i, "\n".join(x for p, x in enumerate((t or "").split("\n")) if p not in wanted[i, t or ""]))
+        for i, t in ROWS
+    )
+    counted = sorted((str(r.doc_id), r.n_lines, r.n_dropped) for r in L.line_dedup(df, **options).collect())
+    assert counted == sorted(
+        (str(i), len((t or "").split("\n")), len(wanted[i, t or ""])) for i, t in ROWS
+    )
+
+
+def test_bitmaps_are_runs(spark):
+    df = spark.createDataFrame([(1, "a\nb\nc\nd\ne"), (2, "b\nd"), (3, "x")], "doc_id bigint, text string")
+    rows = {r.doc_id: [tuple(k) for k in r.keep] for r in L.line_dedup(df, keep_first=False).collect()}
+    assert rows == {1: [(0, 1), (2, 1), (4, 1)], 2: [], 3: [(0, 1)]}
+
+
+def test_odd_texts_and_columns(odd_docs, no_docs):
+    kept = L.drop_repeated_lines(odd_docs, min_docs=2, keep_first=False)
+    assert kept.columns == odd_docs.columns and kept.schema == odd_docs.schema
+    assert kept.count() == odd_docs.count()
+    texts = Counter(r.text for r in kept.collect())
+    assert texts["a"] == 0 and texts["x" * 20000] == 1  # "a" stands in several documents
+    assert L.drop_repeated_lines(no_docs).count() == 0
+    assert L.kept_digests(odd_docs).count() == odd_docs.count()
+
+
+def test_a_hot_line_is_split(spark):
+    df = spark.range(3000).selectExpr("id AS doc_id", "concat('hot\\n', id) AS text")
+    groups = L._streamed_groups(L._hashed_lines(df, "doc_id", "text", 1, 16))
+    hot = groups.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.sum("docs").alias("docs"))
+    assert hot.orderBy(F.desc("docs")).first()[2:] == (16, 3000)

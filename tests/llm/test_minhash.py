@@ -1,0 +1,178 @@
+from __future__ import annotations
+
+import random
+import re
+from collections import Counter
+from itertools import combinations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from odd import no_docs, odd_docs  # noqa: F401
+
+from drydock.llm import minhash as M
+from drydock.llm.components import components
+from drydock.llm.words import words_of
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def words(text):
+    return re.findall("[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+
+
+def shingles(text, width):
+    w = words(text)
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def brute(rows, width, percent=80):
+    """Per (id, text): set size and smallest linked id; nodes are whole rows."""
+    rows = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    sets = [shingles(t, width) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in combinations(range(len(rows)), 2):
+        a, b = sets[i], sets[j]
+        if a and b and 100 * len(a & b) >= percent * len(a | b):
+            x, y = sorted((find(i), find(j)))
+            parent[y] = x
+    return {(d, t): (len(sets[i]), rows[find(i)][0]) for i, (d, t) in enumerate(rows)}
+
+
+def vocabulary_text(rng, n):
+    return [f"w{rng.randint(0, 400)}" for _ in range(n)]
+
+
+def corpus(seed):
+    rng = random.Random(seed)
+    rows, n = [], 0
+    for _ in range(30):
+        base = vocabulary_text(rng, rng.randint(1, 120))
+        rows.append((n, " ".join(base)))
+        n += 1
+        for _ in range(rng.choice([0, 0, 1, 2, 6])):
+            copy = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 15))):
+                copy[rng.randrange(len(copy))] = f"w{rng.randint(0, 400)}"
+            rows.append((n, "  ".join(copy).upper() if rng.random() < 0.2 else " ".join(copy)))
+            n += 1
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize(("seed", "width"), [(1, 2), (2, 5), (3, 1)])
+def test_components_against_brute_force(spark, seed, width):
+    rows = corpus(seed)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = M.near_duplicates(df, width=width).collect()
+    wanted = brute(rows, width)
+    got = {(r.doc_id, dict(rows)[r.doc_id]): (r.n_shingles, r.component_id) for r in found}
+    assert got == wanted
+    assert {r.doc_id for r in found if r.leads} == {c for _, c in wanted.values()}
+
+
+def test_large_buckets_with_several_components(spark, monkeypatch):
+    """With one coarse band everything meets in a few buckets; no link may be lost there."""
+    rows = corpus(5)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    monkeypatch.setattr(
+        M, "band_keys", lambda signatures, bands, rows: np.zeros((len(signatures), 1), np.uint64)
+    )
+    monkeypatch.setattr(M, "PART", 8)
+    monkeypatch.setattr(M, "HITS", 500)
+    got = {r.doc_id: r.component_id for r in M.near_duplicates(df, width=2, bands=1).collect()}
+    assert got == {d: c for (d, _), (_, c) in brute(rows, 2).items()}
+
+
+def test_links_at_the_very_threshold(spark):
+    base = [f"w{i}" for i in range(18)]  # one-word shingles: 18 of 20 + 20 - 18 -> 18 / 22
+    rows = [(1, " ".join(base + ["a", "b"])), (2, " ".join(base + ["c", "d"])),
+            (3, " ".join(base[:16] + ["e", "f"])), (4, " ".join(f"v{i}" for i in range(4))),
+            (5, " ".join(f"v{i}" for i in range(5)))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in M.near_duplicates(df, width=1).collect()}
+    assert got == {d: c for (d, _), (_, c) in brute(rows, 1).items()}
+    assert got[5] == 4  # 4 of 5: exactly 0.8
+
+
+def test_min_and_max_estimate_the_similarity():
+    """Both halves of a signature collide with probability J, and together vary less."""
+    rng = np.random.default_rng(0)
+    common, own = rng.integers(0, 2**63, 300, np.uint64), rng.integers(0, 2**63, 200, np.uint64)
+    sets = [np.unique(np.concatenate((common, own[:100]))), np.unique(np.concatenate((common, own[100:])))]
+    signatures = M.min_max_signatures(sets, 600)
+    same = signatures[0] == signatures[1]
+    assert abs(same[:600].mean() - 0.6) < 0.08 and abs(same[600:].mean() - 0.6) < 0.08
+    assert abs(same.mean() - 0.6) < 0.06
+
+
+def test_words_are_those_of_the_contract():
+    text = "A b\tB\x0bc\x1cd  é É 漢字 \x85x"
+    hashes, offsets = words_of([text, None, "", "a"])
+    assert offsets.tolist() == [0, len(words(text)), len(words(text)), len(words(text)), len(words(text)) + 1]
+    ids = {}
+    assert [ids.setdefault(w, i) for i, w in enumerate(words(text))] == [
+        hashes.tolist().index(h) for h in hashes[:-1].tolist()
+    ]
+    assert hashes[-1] == hashes[0]
+
+
+def test_long_texts_are_cut_between_words(monkeypatch):
+    text = " ".join(f"word{i}" for i in range(5000))
+    whole = words_of([text, "x y"])
+    monkeypatch.setattr("drydock.llm.words.PIECE", 1000)
+    cut = words_of([text, "x y"])
+    assert np.array_equal(whole[0], cut[0]) and np.array_equal(whole[1], cut[1])
+
+
+def test_odd_texts_and_columns(odd_docs, no_docs):
+    rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
+    wanted = brute(rows, 5)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in M.near_duplicates(odd_docs).collect())
+    # Rows without words stand alone; a NULL id is smaller than all others.
+    expected = Counter((d, wanted[d, t][0], wanted[d, t][1]) for d, t in rows)
+    assert got == expected
+    kept = M.drop_near_duplicates(odd_docs)
+    assert kept.schema == odd_docs.schema
+    groups = {wanted[r][1] if wanted[r][0] else r for r in rows}
+    assert kept.count() == len({(d, t or "") if not wanted[d, t][0] else wanted[d, t][1] for d, t in rows}) and groups
+    assert M.drop_near_duplicates(no_docs).count() == 0
+
+
+def test_one_of_each_group_stays(spark):
+    text = " ".join(f"w{i}" for i in range(100))
+    near = text.replace("w50", "other")
+    df = spark.createDataFrame([(3, near), (2, text), (2, text), (9, "alone " * 9), (7, text)], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in M.drop_near_duplicates(df).collect()) == [2, 9]
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (102, 101), (200, 200), (300, 301), (300, 301)]
+    df = spark.createDataFrame(edges, "u bigint, v bigint")
+    got = {r.node: r.root for r in components(df).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100, 300: 300, 301: 300}
+    assert components(df.limit(0)).count() == 0
+
+
+def test_a_group_of_near_copies_costs_its_size(spark, monkeypatch):
+    """1,000 near copies: pairs that are compared stay in proportion, all end in one component."""
+    df = spark.range(1000).select(
+        F.col("id").alias("doc_id"),
+        F.concat_ws(" ", F.expr("transform(sequence(0, 99), i -> concat('w', i))"), F.col("id").cast("string")).alias("text"),
+    )
+    compared = []
+    linked = M._linked
+    monkeypatch.setattr(M, "PART", 100)
+    M._linked = lambda pairs, *rest: compared.append(pairs.count()) or linked(pairs, *rest)
+    try:
+        rows = M.near_duplicates(df, width=2).collect()
+    finally:
+        M._linked = linked
+    assert {r.component_id for r in rows} == {0}
+    assert sum(compared) < 26 * 1000

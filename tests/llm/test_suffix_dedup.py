@@ -1,0 +1,131 @@
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from odd import no_docs, odd_docs  # noqa: F401
+
+from drydock.llm import suffix_dedup as S
+
+
+def brute(rows, length):
+    """Per (id, text): removed spans, by comparing all strings of all earlier documents."""
+    seen = {}
+    for d, text in rows:
+        b = (text or "").encode()
+        key = S.LAST if d is None else d
+        for s in range(len(b) - length + 1):
+            seen[b[s : s + length]] = min(seen.get(b[s : s + length], key), key)
+    out = {}
+    for d, text in rows:
+        b = (text or "").encode()
+        key = S.LAST if d is None else d
+        gone = bytearray(len(b))
+        for s in range(len(b) - length + 1):
+            if seen[b[s : s + length]] < key:
+                gone[s : s + length] = b"\1" * length
+        spans, start = [], None
+        for i, g in enumerate([*gone, 0]):
+            if g and start is None:
+                start = i
+            if not g and start is not None:
+                spans.append((start, i))
+                start = None
+        out[d, text] = (len(b), spans, bytes(c for c, g in zip(b, gone, strict=True) if not g))
+    return out
+
+
+def check(spark, rows, length=50):
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    wanted = brute(rows, length)
+    keyed = df.select("doc_id", S.text_key(F.col("text")).alias("k"), "text").collect()
+    texts = {(r.doc_id, r.k): (r.doc_id, r.text) for r in keyed}
+    got = S.repeated_spans(df, length=length).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        _, text = texts[r.doc_id, r.tkey]
+        assert (r.n_bytes, [tuple(x) for x in r.spans], bytes(r.kept)) == wanted[r.doc_id, text], (r.doc_id, text)
+
+
+def pieces(seed, alphabet, n):
+    rng = random.Random(seed)
+    passages = ["".join(rng.choice(alphabet) for _ in range(rng.randint(20, 160))) for _ in range(8)]
+    rows = []
+    for d in rng.sample(range(1000), n):
+        text = ""
+        for _ in range(rng.randint(0, 6)):
+            p = rng.choice(passages)
+            a, b = sorted((rng.randint(0, len(p)), rng.randint(0, len(p))))
+            text += p[a:b] if rng.random() < 0.5 else p
+            text += "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30)))
+        rows.append((d, text))
+    return rows
+
+
+@pytest.mark.parametrize(("seed", "alphabet"), [(1, "abcdefghij "), (2, "ab"), (3, "漢字é x"), (4, "a")])
+def test_against_brute_force(spark, seed, alphabet):
+    check(spark, pieces(seed, alphabet, 60))
+
+
+@pytest.mark.parametrize("length", [17, 30, 79])
+def test_other_lengths(spark, length):
+    check(spark, pieces(5, "abcd", 40), length)
+    with pytest.raises(ValueError, match="length"):
+        S.repeated_spans(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), length=16)
+
+
+def test_edges(spark):
+    p = "0123456789" * 5
+    q = "".join(chr(97 + i * 7 % 26) for i in range(50))
+    rows = [
+        (1, p), (2, p), (3, p[:49]), (4, "x" + p), (5, p + "y"), (6, "x" + p + "y" + p), (7, q[:25] + "-" + q[25:]),
+        (8, q), (9, "z" + q + q + "z"), (10, None), (11, ""), (None, p), (13, p), (13, p + q), (2, p),
+    ]
+    check(spark, list(dict.fromkeys(rows)))
+    df = spark.createDataFrame([(4, p), (4, p), (4, p)], "doc_id bigint, text string")
+    assert all(r.kept == p.encode() for r in S.repeated_spans(df).collect())  # one id does not repeat itself
+
+
+def test_odd_texts_and_columns(odd_docs, no_docs):
+    rows = S.repeated_spans(odd_docs).collect()
+    assert len(rows) == odd_docs.count()
+    by_id = {(r.doc_id, r.n_bytes): r for r in rows}
+    assert by_id[9, 20000].spans == [] and by_id[0, 0].kept == b""
+    assert S.repeated_spans(no_docs).count() == 0
+
+
+def test_suffix_sort_by_common_extensions():
+    rng = np.random.default_rng(1)
+    for width in (1, 7, 34):
+        n = 400
+        group = np.sort(rng.integers(0, 30, n)).astype(np.uint64)
+        body = rng.integers(0, 2, (n, width)).astype(np.uint8)
+        sizes = rng.integers(0, width + 1, n)
+        body[np.arange(width)[None, :] >= sizes[:, None]] = 0
+        order, common = S.suffix_sort(group, body, sizes)
+        wanted, wanted_common = S._sorted_by_bytes(group, body, sizes)
+        assert np.array_equal(order, wanted) and np.array_equal(common, wanted_common)
+
+
+def test_collisions_are_found_by_the_bytes(monkeypatch):
+    """With hashes that are all equal, neighbours' extensions are wrong, and bytes decide."""
+    rng = np.random.default_rng(2)
+    group, body = np.zeros(50, np.uint64), rng.integers(0, 3, (50, 12)).astype(np.uint8)
+    sizes = np.full(50, 12)
+    monkeypatch.setattr(S, "_powers", lambda base, n: (np.zeros(n, np.uint64), np.zeros(n, np.uint64)))
+    order, common = S.suffix_sort(group, body, sizes)
+    wanted, wanted_common = S._sorted_by_bytes(group, body, sizes)
+    assert np.array_equal(order, wanted) and np.array_equal(common, wanted_common)
+
+
+def test_copies_in_one_chunk_send_each_anchor_once(spark):
+    text = "".join(chr(97 + i * i % 26) for i in range(500))
+    import pyarrow as pa
+
+    def table(n):
+        return pa.table({"doc": list(range(n)), "tkey": [0] * n, "body": [text.encode()] * n})
+
+    one, many = S.Chunk(table(1), 50), S.Chunk(table(200), 50)
+    assert len(one.hashes) == len(many.hashes) > 0
