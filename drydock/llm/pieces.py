@@ -41,7 +41,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Characters indexed by one suffix array.
 INDEXED = 1 << 18
 #: Segments that a worker remembers, and verdicts on pairs of tokens.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 VERDICTS = 2_000_000
 #: What a unigram model's unknown character scores below its worst piece (fixed by the format).
 UNKNOWN_PENALTY = 10.0
@@ -84,21 +84,18 @@ def load_model(path: str) -> Model:
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
     """Positions sorted by their next ``depth`` codes, by prefix doubling."""
     n = len(codes)
-    _, rank = np.unique(codes, return_inverse=True)
-    rank = rank.astype(np.int64)
-    order, seen = np.argsort(rank, kind="stable"), 1
-    while seen < depth:
-        second = np.zeros(n, np.int64)
-        second[: n - seen] = rank[seen:] + 1
-        key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
+    ahead = np.concatenate((codes, np.zeros(2, codes.dtype)))
+    key, seen = (ahead[:n] << 42) | (ahead[1 : n + 1] << 21) | ahead[2:], 3  # codes have 21 bits
+    while True:
+        order = np.argsort(key)
         ordered = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
+        if seen >= depth or rank.max(initial=0) == n - 1:
+            return order
+        key = rank * (n + 1)
+        key[: max(0, n - seen)] += rank[seen:] + 1
         seen *= 2
-        if rank.max(initial=0) == n - 1:
-            break
-    return order
 
 
 def _bound(codes, suffixes, at, lo, hi, wanted, right: bool) -> np.ndarray:
@@ -240,15 +237,16 @@ class Encoder:
         tokens = np.concatenate((tokens, np.array(extra, np.int64)))
         return starts, lengths, at, tokens
 
-    def _relaxed(self, segments: list[str]) -> list[list[int]]:
-        """Tokens of each segment."""
+    def _relaxed(self, segments: list[str]) -> list[bytes]:
+        """The ids of each segment."""
         starts, lengths, at, tokens = self._edges(segments)
         size = int(starts[-1] + lengths[-1] + 2)
         # A node is a position in its own segment; a segment's end is the place of its separator.
         first = np.repeat(starts, lengths + 1)
         ends = at + self.token_lengths[tokens]
         steps = ends - first[at]
-        order = np.lexsort((at, steps))
+        small = steps.max(initial=0) < 1 << 16
+        order = np.argsort(steps.astype(np.uint16) if small else steps, kind="stable")
         at, tokens, ends, steps = at[order], tokens[order], ends[order], steps[order]
         last = np.full(size, -1, np.int64)
         bounds = np.searchsorted(steps, np.arange(1, int(steps.max(initial=0)) + 2))
@@ -274,7 +272,7 @@ class Encoder:
             last[ends[a:b][good]] = tokens[a:b][good]
         return self._traced(segments, starts, starts + lengths, last)
 
-    def _traced(self, segments, starts, ends, last) -> list[list[int]]:
+    def _traced(self, segments, starts, ends, last) -> list[bytes]:
         now, owners, taken = ends.copy(), [], []
         open_ = np.arange(len(segments))
         lost = np.zeros(len(segments), bool)
@@ -287,13 +285,26 @@ class Encoder:
             now[open_] -= self.token_lengths[token]
             open_ = open_[now[open_] > starts[open_]]
         owner, token = np.concatenate(owners)[::-1], np.concatenate(taken)[::-1]
-        order = np.argsort(owner, kind="stable")
-        parts = np.split(token[order], np.cumsum(np.bincount(owner, minlength=len(segments)))[:-1])
+        token = token[np.argsort(owner, kind="stable")]
+        bounds = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(segments)))))
+        return self._as_bytes(segments, token, bounds, lost)
+
+    def _as_bytes(self, segments, token, bounds, lost) -> list[bytes]:
+        """Ids of each segment as 32-bit numbers. Segments with characters outside the vocabulary,
+        and those the relaxation could not reach, are put together one by one.
+        """
+        plain = token < len(self.ids)
+        blob = self.ids[np.where(plain, token, 0)].astype(np.int32).tobytes()
+        out = [blob[4 * a : 4 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        odd = lost.copy()
+        odd[np.searchsorted(bounds, np.flatnonzero(~plain), side="right") - 1] = True
         index = {s: i for i, s in enumerate(self.spelled)} if lost.any() else {}
-        return [
-            [index[p] for p in self.merged(segments[i])] if lost[i] else part.tolist()
-            for i, part in enumerate(parts)
-        ]
+        for i in np.flatnonzero(odd).tolist():
+            tokens = token[bounds[i] : bounds[i + 1]].tolist()
+            if lost[i]:
+                tokens = [index[p] for p in self.merged(segments[i])]
+            out[i] = np.array(self._ids_of(tokens), np.int32).tobytes()
+        return out
 
     def _ids_of(self, tokens: list[int]) -> list[int]:
         out: list[int] = []
@@ -318,8 +329,7 @@ class Encoder:
             self._remember(group)
 
     def _remember(self, segments: list[str]) -> None:
-        for segment, tokens in zip(segments, self._relaxed(segments), strict=True):
-            self.remembered[segment] = np.array(self._ids_of(tokens), np.int32).tobytes()
+        self.remembered.update(zip(segments, self._relaxed(segments), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
         cut = [None if t is None else self.segments(self.normalised(t)) for t in texts]
