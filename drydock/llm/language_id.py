@@ -108,7 +108,8 @@ def text_scores(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray,
 def fit(labelled: DataFrame, languages: tuple[str, ...], sample_rows: int) -> np.ndarray:
     """Log-likelihoods of trigram hashes, one column per language, from ``(text, label)`` rows.
 
-    The sample is drawn by a hash of the text, so that it is the same for the same rows.
+    A text counts each of its trigrams once, so that no repetitive text shapes a language. The
+    sample is drawn by a hash of the text, so that it is the same for the same rows.
     """
     rows = labelled.where(F.col("label").isin(*languages))
     n = rows.count()
@@ -122,8 +123,9 @@ def fit(labelled: DataFrame, languages: tuple[str, ...], sample_rows: int) -> np
             for language in set(labels):
                 own = [t for t, x in zip(texts, labels, strict=True) if x == language]
                 for parts, _ in _cut(own):
-                    found = np.bincount(trigrams(parts)[0], minlength=HASHES)
-                    totals[language] = totals.get(language, 0) + found
+                    hashes, owner = trigrams(parts)
+                    once = np.unique(owner * HASHES + hashes) % HASHES
+                    totals[language] = totals.get(language, 0) + np.bincount(once, minlength=HASHES)
         for language, sums in totals.items():
             hashes = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays(

@@ -43,8 +43,8 @@ ENGLISH = "The whole of that thing was in the hands of the other"
 def test_short_texts_follow_the_other_evidence(spark, table):
     rows = [(i, ENGLISH, "en", "big.example.com", "com") for i in range(30)]
     rows += [(100 + i, "von der verschen und die einung mit der", "de", "netz.example.de", "de") for i in range(30)]
-    rows += [(200, "an", None, "netz.example.de", "de"), (201, "an", None, "big.example.com", "com"),
-             (202, "an", None, "new.example.de", "de"), (203, "an", "de", None, None), (204, "an", "en-GB", None, None)]
+    rows += [(200, "q", None, "netz.example.de", "de"), (201, "q", None, "big.example.com", "com"),
+             (202, "q", None, "new.example.de", "de"), (203, "q", "de", None, None), (204, "q", "en-GB", None, None)]
     found = identified(spark, rows, table)
     assert [found[i].lang for i in (200, 201, 202, 203, 204)] == ["de", "en", "de", "de", "en"]
 

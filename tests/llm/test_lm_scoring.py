@@ -79,7 +79,7 @@ def test_probabilities_sum_to_one(spark):
     df = spark.createDataFrame(sentences(100), "doc_id bigint, text string")
     docs = df.select(F.col("doc_id").alias("doc"), L.held_out(F.col("doc_id")).alias("held"), "text")
     encoded = L.stored(L._encoded(docs), "encoded")
-    counted = L.stored(L._counted(encoded), "counted")
+    counted = L.stored(L._counted(encoded, 7), "counted")
     classes = L._classes(counted, 7)
     model = L.fit(L._classified(encoded, counted, classes), classes, rounds=1)
     normalisers = model.normalisers()
@@ -90,7 +90,9 @@ def test_probabilities_sum_to_one(spark):
         assert math.isclose(np.exp(logs).sum(), 1.0, rel_tol=1e-9)
         # empty classes have next to nothing
         assert np.exp(logs)[0, classes.masses == 0].sum() < 1e-6
-    counts = [r["count"] for r in counted.where("first").collect() if r["count"] > 0]
+    counts = [
+        n for r in counted.where("chunk IS NULL").collect() for n, k in zip(r.numbers, r.times, strict=True) for _ in range(k)
+    ]
     assert math.isclose(classes.masses.sum(), sum(c + 0.5 for c in counts) + 0.5)
     assert (classes.tokens, classes.types) == (sum(counts), len(counts))
 

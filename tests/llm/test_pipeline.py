@@ -26,7 +26,7 @@ def stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     junk = spark.createDataFrame(
         [(10**6, "#### 1234 %%%", "en", "src0", 13), (10**6 + 1, None, "en", "src0", None),
-         (10**6 + 2, "qxzv jkqx vvwq zzxk " * 40, "en", "src0", 800)],
+         (10**6 + 2, "qxzv jkqx vvwq zzxk " * 40, "xx", "src0", 800)],
         docs.schema,
     )
     docs = stored(docs.unionByName(junk), "input")

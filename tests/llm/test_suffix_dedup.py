@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from odd import no_docs, odd_docs  # noqa: F401
@@ -69,6 +70,30 @@ def test_against_brute_force(spark, seed, alphabet):
     check(spark, pieces(seed, alphabet, 60))
 
 
+def test_slices_and_blocks_do_not_matter(spark, monkeypatch):
+    rows = pieces(6, "abcd ", 60)
+    table = {"doc": [d for d, _ in rows], "tkey": [0] * 60, "body": [t.encode() for _, t in rows]}
+    whole = S.Chunk(pa.table(table), 50)
+    monkeypatch.setattr(S, "SLICE", 37)
+    cut = S.Chunk(pa.table(table), 50)
+    for name in ("place", "owner", "entry", "lo", "hi", "hashes", "contexts", "first"):
+        assert np.array_equal(getattr(whole, name), getattr(cut, name)), name
+    rng = np.random.default_rng(1)
+    n = 300
+    group, doc = np.sort(rng.integers(0, 60, n)).astype(np.uint64), rng.integers(0, 50, n)
+    body = rng.integers(0, 2, (n, 2 * 50 - S.GRAM)).astype(np.uint8)
+    body[:, :60] = 7
+    sides = np.full(n, 50 - S.GRAM), np.full(n, 50)
+    masks = S.repeated_strings(group, body, *sides, doc, 50)
+    monkeypatch.setattr(S, "BLOCK", 10)
+    assert np.array_equal(masks, S.repeated_strings(group, body, *sides, doc, 50)) and masks.any()
+
+
+def test_planes():
+    values = np.sort(np.random.default_rng(0).integers(0, 2**63, 100).astype(np.uint64) * np.uint64(2))
+    assert np.array_equal(S._from_planes(S._planes(values)), values)
+
+
 @pytest.mark.parametrize("length", [17, 30, 79])
 def test_other_lengths(spark, length):
     check(spark, pieces(5, "abcd", 40), length)
@@ -122,8 +147,6 @@ def test_collisions_are_found_by_the_bytes(monkeypatch):
 
 def test_copies_in_one_chunk_send_each_anchor_once(spark):
     text = "".join(chr(97 + i * i % 26) for i in range(500))
-    import pyarrow as pa
-
     def table(n):
         return pa.table({"doc": list(range(n)), "tkey": [0] * n, "body": [text.encode()] * n})
 
