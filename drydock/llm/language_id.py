@@ -43,6 +43,8 @@ HASHES = 1 << 15
 SAMPLE_ROWS = 4000
 #: Trigrams, at most, whose evidence is taken as independent, and the weight of each.
 EVIDENCE, WEIGHT = 200, 0.25
+#: What a trigram counts that no labelled text of a language has.
+UNSEEN = 0.1
 #: Rows as much as which the wider group's prior counts.
 SMOOTHING = 10.0
 #: A declared language counts as right this often before rows are looked at.
@@ -137,7 +139,7 @@ def fit(labelled: DataFrame, languages: tuple[str, ...], sample_rows: int) -> np
         rows.where(drawn).select("text", "label").mapInArrow(count, "label string, hash long, n long")
         .groupBy("label", "hash").agg(F.sum("n").alias("n")).collect()
     )  # at most HASHES rows for each language
-    counts = np.full((HASHES, len(languages)), 0.5)
+    counts = np.full((HASHES, len(languages)), UNSEEN)
     for label, key, number in counted:
         counts[key, languages.index(label)] += number
     return np.log(counts / counts.sum(axis=0))
