@@ -168,7 +168,7 @@ def test_rewrites_prune_and_push(big):
 def test_screening_reads_each_statement_once(spark):
     log = spark.range(10).select("id", F.lit("SELECT 1").alias("sql"))
     plan = final_plan(screening.screen_statements(log, "id", "sql"))
-    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.count("Exchange hashpartitioning") <= 1
     assert plan.count("regexp_extract") <= 2 and "lambdafunction(regexp_extract" not in plan
 
 
