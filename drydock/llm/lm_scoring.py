@@ -14,8 +14,9 @@ then averaged by tokens, on the cluster. That is repeated ``ROUNDS`` times.
 
 Counts cover the whole corpus. Documents become chunks (one row each) of word codes with the
 chunk's own dictionary, so a word meets its count once per chunk and not once per token, however
-frequent it is, and texts are read only once. What reaches the driver is the frequencies of
-counts, the ``SHORTLIST`` words and the model.
+frequent it is, and texts are read only once. Dictionaries travel as sorted, packed arrays, a
+range of word hashes to a group, and only counts come back. What reaches the driver is the
+frequencies of counts, the ``SHORTLIST`` words and the model.
 
 Defined cases: a NULL or empty text is one token, the end; a NULL id counts as the empty
 string where documents are held out; repeated rows are documents of their own; without any
@@ -45,6 +46,8 @@ RATE = 0.05
 ROUNDS = 2
 #: Characters whose words share a dictionary.
 CHUNK = 2 << 20
+#: Words of chunks' dictionaries that meet in one group, about.
+GROUP = 1 << 20
 #: The hash that stands for the end of a text.
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 
@@ -66,7 +69,7 @@ def _encoded(docs: DataFrame) -> DataFrame:
                 hashes, offsets = words_of(texts[a:b])
                 hashes = np.insert(hashes, offsets[1:], END)
                 lengths = np.diff(offsets) + 1
-                words, codes = np.unique(hashes, return_inverse=True)
+                words, codes = np.unique(hashes, return_inverse=True)  # ascending, as they are dealt
                 learnt = np.repeat(~held[a:b], lengths)
                 counts = np.bincount(codes[learnt], minlength=len(words))
                 width = np.uint16 if len(words) <= 1 << 16 else np.uint32
@@ -101,28 +104,90 @@ def _arrow_type(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
 
-def _counted(encoded: DataFrame) -> DataFrame:
-    """Every word of every chunk with its count in all training tokens.
+def _planes(values: np.ndarray) -> bytes:
+    """64-bit values byte by byte, the highest first: what they have in common compresses."""
+    return np.ascontiguousarray(values.astype(">u8").view(np.uint8).reshape(-1, 8).T).tobytes()
 
-    Words are dealt once by hash, for the sums and for their way back. ``first`` marks one row of
-    each word, which carries its hash.
+
+def _from_planes(blob: bytes) -> np.ndarray:
+    rows = np.frombuffer(blob, np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(rows.T).view(">u8").ravel().astype(np.uint64)
+
+
+def _counted(encoded: DataFrame, shortlist: int) -> DataFrame:
+    """The counts of all chunks' words in all training tokens.
+
+    Rows with a ``chunk`` answer it: from its word number ``start`` on, ``totals`` and ``ranks`` (the
+    word's place among the most frequent of its group, or -1). The other rows, one for each
+    group of words, have the ``top`` words of the group and how many words have each count.
     """
-    words = (
-        encoded.select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "w"))
-        .select("chunk", "pos", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-        .repartition("word")
+    size, tasks = encoded.agg(F.sum(F.size("words"))).first()[0], _tasks(encoded)
+    groups = max(2 * tasks, (size or 0) // GROUP)
+
+    def deal(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            for chunk, words, counts in zip(*[frame.column(c).to_pylist() for c in ("chunk", "words", "counts")], strict=True):
+                words = np.sort(np.array(words, np.int64).view(np.uint64))
+                counts = np.array(counts, np.uint64)
+                group = (((words >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)).astype(np.int64)
+                kinds, first = np.unique(group, return_index=True)
+                last = np.append(first[1:], len(words))
+                yield pa.RecordBatch.from_pydict({
+                    "group": kinds,
+                    "chunk": np.full(len(kinds), chunk),
+                    "start": first,
+                    "words": [_planes(words[a:b]) for a, b in zip(first, last, strict=True)],
+                    "counts": [_planes(counts[a:b]) for a, b in zip(first, last, strict=True)],
+                })
+
+    def total(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        words = np.concatenate([_from_planes(r["words"]) for r in rows])
+        counts = np.concatenate([_from_planes(r["counts"]) for r in rows])
+        distinct, where = np.unique(words, return_inverse=True)
+        sums = np.zeros(len(distinct), np.uint64)
+        np.add.at(sums, where, counts)
+        best = np.lexsort((distinct, -sums.astype(np.int64)))[:shortlist]
+        best = best[sums[best] > 0]
+        rank = np.full(len(distinct), -1, np.int16)
+        rank[best] = np.arange(len(best))
+        number, times = np.unique(sums[sums > 0], return_counts=True)
+        out, at = [], 0
+        for r in rows:
+            own = where[at : at + len(r["words"]) // 8]
+            at += len(own)
+            out.append((r["group"], r["chunk"], r["start"], _planes(sums[own]), rank[own].tobytes(), [], [], [], []))
+        out.append((
+            rows[0]["group"], None, None, None, None, distinct[best].view(np.int64).tolist(),
+            sums[best].astype(np.int64).tolist(), number.astype(np.int64).tolist(), times.tolist(),
+        ))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+
+    long = pa.list_(pa.int64())
+    arrow = pa.schema([
+        ("group", pa.int64()), ("chunk", pa.int64()), ("start", pa.int64()), ("totals", pa.binary()),
+        ("ranks", pa.binary()), ("top", long), ("top_counts", long), ("numbers", long), ("times", long),
+    ])
+    dealt = encoded.select("chunk", "words", "counts").mapInArrow(
+        deal, "group long, chunk long, start long, words binary, counts binary"
     )
-    at = F.struct("chunk", "pos", "n")
-    sums = words.groupBy("word").agg(F.sum("n").alias("count"), F.min(at).alias("at"))
-    first = at == F.col("at")
-    return words.join(sums, "word").select(
-        "chunk", "pos", "n", "count", first.alias("first"), F.when(first, F.col("word")).alias("word")
+    return dealt.groupBy("group").applyInArrow(
+        total,
+        "group long, chunk long, start long, totals binary, ranks binary, top array<long>, "
+        "top_counts array<long>, numbers array<long>, times array<long>",
     )
 
 
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 @dataclass
 class Classes:
-    """How words fall into classes, and the smoothed mass of each class."""
+    """How words fall into classes, and the smoothed mass of each class.
+
+    ``shortlist`` has the words with a class of their own as (group, rank in it), ascending.
+    """
 
     shortlist: np.ndarray
     masses: np.ndarray
@@ -138,31 +203,43 @@ class Classes:
         """Words of like frequency share a level: two to each doubling, none for unseen words."""
         return np.floor(2 * np.log2(np.maximum(count, 1))).astype(np.int64)
 
-    def of(self, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.shortlist, words)
+    @staticmethod
+    def place(group: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        return group * (1 << 16) + rank
+
+    def of(self, places: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Classes of words, given their place (-1: none) and count."""
+        at = np.searchsorted(self.shortlist, places)
         at[at == len(self.shortlist)] = 0
-        own = self.shortlist[at] == words if len(self.shortlist) else np.zeros(len(words), bool)
+        own = self.shortlist[at] == places if len(self.shortlist) else np.zeros(len(places), bool)
         shared = len(self.shortlist) + self.level(counts)
         return np.where(counts == 0, self.number - 1, np.where(own, at, shared))
 
 
 def _classes(counted: DataFrame, shortlist: int) -> Classes:
-    kinds = counted.where(F.col("first") & (F.col("count") > 0))
-    frequencies = np.array(
-        [tuple(r) for r in kinds.groupBy("count").agg(F.count("*")).collect()], np.int64
-    ).reshape(-1, 2)  # distinct counts: their number grows as the root of the tokens
-    top = kinds.orderBy(F.desc("count"), "word").limit(shortlist).select("word", "count").collect()
-    words = np.array([r[0] for r in top], np.int64).view(np.uint64)
-    order = np.argsort(words)
-    counts = np.array([r[1] for r in top], np.int64)[order]
+    kinds = counted.where(F.col("chunk").isNull())
+    each = kinds.select(F.explode(F.arrays_zip("numbers", "times")).alias("x")).groupBy("x.numbers").agg(F.sum("x.times"))
+    frequencies = np.array([tuple(r) for r in each.collect()], np.int64).reshape(-1, 2)
+    # Distinct counts: their number grows as the root of the tokens.
+    top = (
+        kinds.select("group", F.posexplode(F.arrays_zip("top", "top_counts")).alias("rank", "x"))
+        .orderBy(F.desc("x.top_counts"), "x.top")
+        .limit(shortlist)
+        .select("group", "rank", "x.top_counts")
+        .collect()
+    )
+    rows = np.array([tuple(r) for r in top], np.int64).reshape(-1, 3)
+    places = Classes.place(rows[:, 0], rows[:, 1])
+    order = np.argsort(places)
+    counts = rows[order, 2]
     levels = Classes.level(frequencies[:, 0])
-    masses = np.zeros(len(words) + int(levels.max(initial=-1)) + 2)
-    masses[: len(words)] = counts + 0.5
-    np.add.at(masses, len(words) + levels, (frequencies[:, 0] + 0.5) * frequencies[:, 1])
-    np.subtract.at(masses, len(words) + Classes.level(counts), counts + 0.5)
+    masses = np.zeros(len(rows) + int(levels.max(initial=-1)) + 2)
+    masses[: len(rows)] = counts + 0.5
+    np.add.at(masses, len(rows) + levels, (frequencies[:, 0] + 0.5) * frequencies[:, 1])
+    np.subtract.at(masses, len(rows) + Classes.level(counts), counts + 0.5)
     masses[-1] = 0.5
     return Classes(
-        words[order], np.round(2 * masses) / 2, int((frequencies[:, 0] * frequencies[:, 1]).sum()),
+        places[order], np.round(2 * masses) / 2, int((frequencies[:, 0] * frequencies[:, 1]).sum()),
         int(frequencies[:, 1].sum()),
     )
 
@@ -173,13 +250,16 @@ def _classified(encoded: DataFrame, counted: DataFrame, classes: Classes) -> Dat
 
     def classify(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
-        words = np.array(row["words"], np.int64).view(np.uint64)
-        counts = np.zeros(len(words), np.int64)
-        counts[right.column("pos").to_numpy()] = right.column("count").to_numpy()
+        answers = sorted(right.to_pylist(), key=lambda r: r["start"])
+        counts = np.concatenate([_from_planes(r["totals"]) for r in answers]).astype(np.int64)
+        ranks = [np.frombuffer(r["ranks"], np.int16).astype(np.int64) for r in answers]
+        places = np.concatenate([
+            np.where(rank < 0, -1, Classes.place(r["group"], rank)) for r, rank in zip(answers, ranks, strict=True)
+        ])
         lengths = np.array(row["lengths"], np.int64)
-        codes = np.frombuffer(row["codes"], np.uint16 if len(words) <= 1 << 16 else np.uint32)
+        codes = np.frombuffer(row["codes"], np.uint16 if len(counts) <= 1 << 16 else np.uint32)
         starts = np.cumsum(lengths) - lengths
-        kinds = classes.of(words, counts)
+        kinds = classes.of(places, counts)
         smooth = np.log10(counts + 0.5)
         inside = smooth - np.log10(classes.masses[kinds])
         return pa.Table.from_pydict(
@@ -201,8 +281,8 @@ def _classified(encoded: DataFrame, counted: DataFrame, classes: Classes) -> Dat
         ("known", pa.list_(pa.int64())), ("base", pa.list_(pa.float64())), ("inside", pa.list_(pa.float64())),
         ("classes", pa.binary()),
     ])
-    left = encoded.select("chunk", "ids", "held", "lengths", "codes", "words")
-    right = counted.select("chunk", "pos", "count")
+    left = encoded.select("chunk", "ids", "held", "lengths", "codes")
+    right = counted.where(F.col("chunk").isNotNull()).select("chunk", "start", "group", "totals", "ranks")
     return left.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(
         classify,
         f"ids array<{kind}>, held array<boolean>, lengths array<long>, known array<long>, "
@@ -397,7 +477,7 @@ def score_documents(
     )
     kind = docs.schema["doc"].dataType.simpleString()
     encoded = stored(_encoded(docs), "encoded")
-    counted = stored(_counted(encoded), "counted")
+    counted = stored(_counted(encoded, shortlist), "counted")
     classes = _classes(counted, shortlist)
     classified = stored(_classified(encoded, counted, classes), "classified")
     model = fit(classified, classes, rounds)
