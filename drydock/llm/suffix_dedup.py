@@ -28,6 +28,8 @@ others; an empty table gives no rows; other columns are left alone.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,11 +42,15 @@ LENGTH = 50
 GRAM = 16
 #: Bytes of text in a chunk, and bytes of text whose anchors meet in one group, about.
 CHUNK = 2 << 20
-GROUP = 16 << 20
+GROUP = 8 << 20
+#: Bytes that are hashed at once, and surroundings that are sorted at once.
+SLICE = 1 << 19
+BLOCK = 1 << 14
 LAST = np.iinfo(np.int64).max
 BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 
 
+@lru_cache(maxsize=4)
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, np.uint64(base)), np.full(n, np.uint64(pow(base, -1, 1 << 64)))
     up[0] = down[0] = 1
@@ -92,45 +98,57 @@ class Chunk:
         self._find()
 
     def _find(self) -> None:
-        n, side, length = len(self.bytes), self.side, self.length
-        self.place = self.owner = self.entry = np.zeros(0, np.int64)
-        self.hashes = self.contexts = np.zeros(0, np.uint64)
-        self.first = np.zeros(0, np.int64)
+        found = [self._anchors(at) for at in range(0, len(self.bytes), SLICE)]
+        found = found or [self._nothing()]
+        place, owner, self.lo, self.hi, hashes, around = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.lexsort((owner, around, hashes))
+        sorted_hashes, sorted_around = hashes[order], around[order]
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (sorted_hashes[1:] != sorted_hashes[:-1]) | (sorted_around[1:] != sorted_around[:-1])
+        entry = np.empty(len(order), np.int64)
+        entry[order] = np.cumsum(fresh) - 1
+        self.place, self.owner, self.entry = place, owner, entry
+        self.hashes, self.contexts = sorted_hashes[fresh], sorted_around[fresh]
+        self.sample = order[fresh]
+        self.first = owner[self.sample]
+
+    @staticmethod
+    def _nothing() -> tuple:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+
+    def _anchors(self, begin: int) -> tuple:
+        """Anchors that begin in one slice of the bytes, with their owners, surroundings and hashes.
+
+        What is read reaches as far before and behind the slice as the windows around its anchors.
+        """
+        side, length = self.side, self.length
+        low, high = max(0, begin - side), min(len(self.bytes), begin + SLICE + length)
+        n = high - low
         if n < length:
-            return
-        values = self.bytes.astype(np.uint64) + np.uint64(1)
-        up, down = _powers(BASES[0], n + 1)
+            return self._nothing()
+        values = self.bytes[low:high].astype(np.uint64) + np.uint64(1)
+        up, down = _powers(BASES[0], SLICE + 2 * (side + length))
         total = prefix_hashes(values, up)
         grams = mix((total[GRAM:] - total[:-GRAM]) * down[: n - GRAM + 1])
         # Windows that reach into the next document have no anchors.
-        inside = np.zeros(n - length + 2, np.int64)
-        long_ = np.flatnonzero(self.sizes >= length)
-        np.add.at(inside, self.starts[long_], 1)
-        np.add.at(inside, self.ends[long_] - length + 1, -1)
-        whole = np.cumsum(inside)[:-1] > 0
+        starts = np.arange(low, high - length + 1)
+        owners = np.searchsorted(self.ends, starts, side="right")
+        whole = starts + length <= self.ends[owners]
         least = np.where(whole, _sliding(grams, side + 1, least=True), np.uint64(0))
         padded = np.concatenate((np.zeros(side, np.uint64), least, np.zeros(side, np.uint64)))
         most = _sliding(padded, side + 1, least=False)
-        place = np.flatnonzero((most == grams) & (grams > 0))
+        place = np.flatnonzero((most == grams) & (grams > 0)) + low
+        place = place[(place >= begin) & (place < begin + SLICE)]
         owner = np.searchsorted(self.ends, place, side="right")
         lo = np.maximum(self.starts[owner], place - side)
         hi = np.minimum(self.ends[owner], place + length)
-        around = (total[hi] - total[lo]) * down[lo]
-        up2, down2 = _powers(BASES[1], n + 1)
+        around = (total[hi - low] - total[lo - low]) * down[lo - low]
+        up2, down2 = _powers(BASES[1], SLICE + 2 * (side + length))
         total2 = prefix_hashes(values, up2)
-        around = mix(around) ^ mix((total2[hi] - total2[lo]) * down2[lo] + np.uint64(7))
+        around = mix(around) ^ mix((total2[hi - low] - total2[lo - low]) * down2[lo - low] + np.uint64(7))
         around = mix(around + ((place - lo) * 1024 + (hi - place)).astype(np.uint64))
-        hashes = grams[place]
-        order = np.lexsort((owner, around, hashes))
-        sorted_hashes, sorted_around = hashes[order], around[order]
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = (sorted_hashes[1:] != sorted_hashes[:-1]) | (sorted_around[1:] != sorted_around[:-1])
-        entry = np.empty(len(order), np.int64)
-        entry[order] = np.cumsum(fresh) - 1
-        self.place, self.owner, self.entry, self.lo, self.hi = place, owner, entry, lo, hi
-        self.hashes, self.contexts = sorted_hashes[fresh], sorted_around[fresh]
-        self.sample = order[fresh]
-        self.first = owner[self.sample]
+        return place, owner, lo, hi, grams[place - low], around
 
     def surroundings(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bytes around the first anchor of each entry, and how many are there on each side."""
@@ -185,7 +203,7 @@ def suffix_sort(group: np.ndarray, body: np.ndarray, sizes: np.ndarray) -> tuple
     up, down = _powers(BASES[0], body.shape[1] + 1)
     totals = np.zeros((n, body.shape[1] + 1), np.uint64)
     np.cumsum((body.astype(np.uint64) + np.uint64(1)) * up[: body.shape[1]], axis=1, out=totals[:, 1:])
-    filled = np.concatenate((body, np.zeros((n, 1), np.uint8)), axis=1).astype(np.int64) + 1
+    filled = np.concatenate((body, np.zeros((n, 1), np.uint8)), axis=1).astype(np.int16) + 1
 
     def before(a: np.ndarray, b: np.ndarray, ties: bool) -> np.ndarray:
         """Whether row a comes before row b; equal rows do if ``ties``."""
@@ -259,7 +277,21 @@ def repeated_strings(
 ) -> np.ndarray:
     """Per surroundings: bit o tells that the string starting o bytes before the anchor also
     stands in the same place around the same anchor of an earlier document.
+
+    Rows come sorted by group (the anchor), and are taken in blocks of whole groups.
     """
+    masks = np.empty(len(group), np.uint64)
+    ends = np.append(np.flatnonzero(group[1:] != group[:-1]) + 1, len(group))
+    at = 0
+    while at < len(group):
+        end = int(ends[min(np.searchsorted(ends, at + BLOCK), len(ends) - 1)])
+        rows = slice(at, end)
+        masks[rows] = _block_masks(group[rows], body[rows], left[rows], right[rows], doc[rows], length)
+        at = end
+    return masks
+
+
+def _block_masks(group, body, left, right, doc, length: int) -> np.ndarray:
     side = length - GRAM
     right_order, right_common = suffix_sort(group, body[:, side:], right)
     left_order, left_common = suffix_sort(group, body[:, side - 1 :: -1] if side else body[:, :0], left)
@@ -277,6 +309,16 @@ def repeated_strings(
     return masks
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Sorted 64-bit values byte by byte, the highest first: these repeat, and compress."""
+    return np.ascontiguousarray(values.astype(">u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _from_planes(blob: bytes) -> np.ndarray:
+    rows = np.frombuffer(blob, np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(rows.T).view(">u8").ravel().astype(np.uint64)
+
+
 def _u64(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values, np.uint64).tobytes()
 
@@ -336,7 +378,7 @@ def repeated_spans(
             docs_, local = np.unique(chunk.first[lo:hi], return_inverse=True)
             width = np.uint16 if len(docs_) <= 1 << 16 else np.uint32
             rows.append((
-                number, bucket, ANCHORS, lo, _u64(chunk.hashes[lo:hi]), _u64(chunk.contexts[lo:hi]),
+                number, bucket, ANCHORS, lo, _planes(chunk.hashes[lo:hi]), _u64(chunk.contexts[lo:hi]),
                 local.astype(width).tobytes(), _i64(chunk.ids[docs_]),
             ))
         return _sent(rows)
@@ -344,7 +386,7 @@ def repeated_spans(
     def compare(table: pa.Table) -> pa.Table:
         sent = table.to_pylist()
         bucket = sent[0]["bucket"]
-        hashes = np.concatenate([np.frombuffer(r["a"], np.uint64) for r in sent])
+        hashes = np.concatenate([_from_planes(r["a"]) for r in sent])
         around = np.concatenate([np.frombuffer(r["b"], np.uint64) for r in sent])
         docs_ = np.concatenate([_documents(r) for r in sent])
         sizes = [len(r["a"]) // 8 for r in sent]
