@@ -7,11 +7,12 @@ bands with a probability of 1e-6.
 
 Texts with equal sets collapse into one node first, so exact copies cost nothing further.
 In each bucket of a band the nodes are then compared with one node of it (a star, never all
-pairs). A bucket whose nodes end in one component has nothing left to tell. Buckets that still
-hold several components get another star around another node, and after ``STARS`` rounds all
-pairs across their components, the only pairs that can still change the result. So a large group
-costs its size, no candidate is dropped, and hot nodes meet in joins that adaptive
-execution can split.
+pairs), and once more with another. A bucket whose nodes end in one component has nothing left to
+tell. In those that still hold several components, the nodes outside the largest of them are
+compared with all others, as only links across components can still change the result. That
+is done in blocks of ``PART`` nodes, and what comes out is one link at most from a node to
+a component, never the pairs. So a group that hangs together costs its size, no candidate
+is dropped, and hot nodes meet in joins that adaptive execution can split.
 
 Defined cases: NULL, empty and blank texts have no shingles and are linked with nothing; a text of
 fewer words than a shingle is one shingle; a row is known by its id (NULL is an id like any
@@ -33,7 +34,9 @@ from drydock.llm.words import batches, mix, shingles_of, words_of
 
 BAND_ROWS = 4
 BANDS = 26
-STARS = 2
+#: Nodes of a bucket that are compared as one block, and matching shingles counted at once.
+PART = 512
+HITS = 1 << 21
 #: Shingles permuted at once; small enough for the processor's cache.
 BLOCK = 1 << 16
 
@@ -164,13 +167,127 @@ def _pairs(a, b) -> list:
 
 
 def _open_buckets(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members ``(key, node, root)`` of buckets whose nodes lie in several components."""
+    """Members ``(key, node, root)`` of buckets whose nodes lie in several components.
+
+    In a bucket of two nodes these have been compared, so nothing is open there.
+    """
     rooted = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = (
-        rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-        .where(F.col("low") != F.col("high")).select("key")
+        rooted.groupBy("key")
+        .agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"))
+        .where((F.col("low") != F.col("high")) & (F.col("members") > 2))
     )
-    return rooted.join(several, "key")
+    return rooted.join(several.select("key", "members"), "key")
+
+
+def _crossing_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``(u, v)`` between components of open buckets: from every node outside a bucket's
+    largest component, one link to each component in each block, if there is any.
+    """
+    sizes = members.groupBy("key", "root").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
+    parts = F.ceil(F.col("members") / PART).cast("int")
+    own = F.array(F.pmod(F.xxhash64("node"), parts).cast("int"))
+    every = F.sequence(F.lit(0), parts - 1)
+    here = members.select("key", "node", "root", F.lit(False).alias("asks"), F.explode(own).alias("part"))
+    outside = members.join(largest, "key").where(F.col("root") != F.col("largest"))
+    asking = outside.select("key", "node", "root", F.lit(True).alias("asks"), F.explode(every).alias("part"))
+    dealt = here.unionByName(asking).join(sets, "node")
+    blocks = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "asks", "node")
+
+    def compare(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, block = None, _Block()
+        for frame in frames:
+            keys = list(zip(frame.column("key").to_pylist(), frame.column("part").to_pylist(), strict=True))
+            asks = frame.column("asks").to_pylist()
+            nodes, roots = frame.column("node").to_pylist(), frame.column("root").to_pylist()
+            packed = frame.column("shingles").to_pylist()
+            found: list[tuple[bytes, bytes]] = []
+            at = 0
+            while at < len(keys):
+                if keys[at] != key:
+                    key, block = keys[at], _Block()
+                end = at
+                while end < len(keys) and keys[end] == key and asks[end] == asks[at]:
+                    end += 1
+                rows = slice(at, end)
+                if asks[at]:
+                    found += block.links(nodes[rows], roots[rows], packed[rows], percent)
+                else:
+                    block.add(nodes[rows], roots[rows], packed[rows])
+                at = end
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)], names=["u", "v"]
+            )
+
+    return blocks.select("key", "part", "asks", "node", "root", "shingles").mapInArrow(
+        compare, "u binary, v binary"
+    )
+
+
+class _Block:
+    """Sets of a block's nodes, by shingle, and the counting of common shingles with others."""
+
+    def __init__(self) -> None:
+        self.nodes: list[bytes] = []
+        self.roots: list[bytes] = []
+        self.packed: list[bytes] = []
+        self.shingles: np.ndarray | None = None
+
+    def add(self, nodes: list[bytes], roots: list[bytes], packed: list[bytes]) -> None:
+        self.nodes += nodes
+        self.roots += roots
+        self.packed += packed
+
+    def _index(self) -> None:
+        sets = [np.frombuffer(p, np.uint64) for p in self.packed]
+        self.sizes = np.array([len(x) for x in sets])
+        holders = np.repeat(np.arange(len(sets)), self.sizes)
+        every = np.concatenate(sets)
+        order = np.argsort(every, kind="stable")
+        self.holders = holders[order]
+        self.shingles, self.starts = np.unique(every[order], return_index=True)
+        self.counts = np.diff(np.append(self.starts, len(every)))
+
+    def links(self, nodes, roots, packed, percent: int) -> list[tuple[bytes, bytes]]:
+        if not self.nodes:
+            return []
+        if self.shingles is None:
+            self._index()
+        out, at = [], 0
+        while at < len(nodes):
+            sets, hits, end = [], 0, at
+            while end < len(nodes) and (end == at or hits < HITS):
+                shingles = np.frombuffer(packed[end], np.uint64)
+                place = np.searchsorted(self.shingles, shingles)
+                place[place == len(self.shingles)] = 0
+                place = place[self.shingles[place] == shingles]
+                hits += int(self.counts[place].sum())
+                sets.append((len(shingles), place))
+                end += 1
+            out += self._linked(sets, nodes[at:end], roots[at:end], percent)
+            at = end
+        return out
+
+    def _linked(self, sets, nodes, roots, percent: int) -> list[tuple[bytes, bytes]]:
+        width = len(self.nodes)
+        place = np.concatenate([p for _, p in sets])
+        asker = np.repeat(np.arange(len(sets)), [len(p) for _, p in sets])
+        counts = self.counts[place]
+        within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        holder = self.holders[np.repeat(self.starts[place], counts) + within]
+        pairs = np.repeat(asker, counts) * width + holder
+        common = np.bincount(pairs, minlength=len(sets) * width).reshape(len(sets), width)
+        total = np.array([n for n, _ in sets])[:, None] + self.sizes[None, :]
+        linked = (100 * common >= percent * (total - common)) & (common > 0)
+        out = []
+        for i in np.flatnonzero(linked.any(axis=1)):
+            seen = {roots[i]}
+            for j in np.flatnonzero(linked[i]):
+                if self.roots[j] not in seen:
+                    seen.add(self.roots[j])
+                    out.append((max(nodes[i], self.nodes[j]), min(nodes[i], self.nodes[j])))
+        return out
 
 
 def near_duplicates(
@@ -214,21 +331,16 @@ def near_duplicates(
     )
     links = stored(_linked(tried, sets, sizes, percent), "links")
     roots = components(links)
-    for turn in range(1, STARS + 1):
-        members = _open_buckets(buckets.select("key", "node"), roots)
-        if turn < STARS:
-            centre = F.min_by(F.struct("node", "root"), F.xxhash64(F.lit(turn), "node")).alias("centre")
-            centres = members.groupBy("key").agg(centre)
-            new = members.join(centres, "key").where(F.col("root") != F.col("centre.root"))
-            new = new.select(*_pairs("node", "centre.node"))
-        else:
-            other = members.select("key", F.col("node").alias("other"), F.col("root").alias("other_root"))
-            new = members.join(other, "key").where(F.col("root") > F.col("other_root"))
-            new = new.select(*_pairs("node", "other"))
-        new = stored(new.distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
-        found = stored(_linked(new, sets, sizes, percent), "links")
-        tried, links = tried.union(new), links.union(found)
-        roots = components(links)
+    members = _open_buckets(buckets.select("key", "node"), roots)
+    centre = F.min_by(F.struct("node", "root"), F.xxhash64("key", "node")).alias("centre")
+    centres = members.groupBy("key").agg(centre)
+    new = members.join(centres, "key").where(F.col("root") != F.col("centre.root"))
+    new = new.select(*_pairs("node", "centre.node")).distinct().join(tried, ["u", "v"], "left_anti")
+    links = links.union(stored(_linked(new, sets, sizes, percent), "links"))
+    roots = components(links)
+    members = stored(_open_buckets(buckets.select("key", "node"), roots), "members")
+    links = links.union(stored(_crossing_links(members, sets, percent).distinct(), "links"))
+    roots = components(links)
 
     least = (
         roots.join(nodes.select("node", "first"), "node").groupBy("root").agg(F.min("first").alias("lead"))
