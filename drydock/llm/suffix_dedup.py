@@ -148,7 +148,8 @@ class Chunk:
         total2 = prefix_hashes(values, up2)
         around = mix(around) ^ mix((total2[hi - low] - total2[lo - low]) * down2[lo - low] + np.uint64(7))
         around = mix(around + ((place - lo) * 1024 + (hi - place)).astype(np.uint64))
-        return place, owner, lo, hi, grams[place - low], around
+        # Least hashes are small ones: mixed once more, they are spread over all groups alike.
+        return place, owner, lo, hi, mix(grams[place - low] + np.uint64(1)), around
 
     def surroundings(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bytes around the first anchor of each entry, and how many are there on each side."""
