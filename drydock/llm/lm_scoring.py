@@ -1,22 +1,27 @@
 """LM scoring with a log-bilinear model, trained by noise-contrastive estimation in numpy.
 
-The model predicts the class of a token from the classes of the ``CONTEXT`` tokens before it: the
-context's vectors, each through the matrix of its place, add up to a prediction whose product
-with a class's vector, plus its bias, is the class's score. The most frequent words are
-classes of their own, all others share a class with words of like frequency, and words not
-seen in training share the last. In its class a word has the share of its smoothed count. As
-there are few classes, the normaliser of every context is found by batched matrix products,
-so the log-probabilities are normalised ones, over all words seen and one unseen.
-
-Training documents are all documents that are not held out. Every partition trains on all of its
-training tokens, from the same start, with noise drawn from the class frequencies; parameters are
-then averaged by tokens, on the cluster. That is repeated ``ROUNDS`` times.
+The model predicts the class of a token, and where a class has several words with vectors, the word
+in its class, from the ``CONTEXT`` tokens before it: the context's vectors, each through the matrix of
+its place, add up to a prediction whose product with a class's (or word's) vector, plus its
+bias, is the score. The ``SHORTLIST`` most frequent words are classes of their own. The words after
+them have vectors too, as many as ``GROWTH`` times the root of the training tokens, if they were seen
+``MIN_COUNT`` times: in the order of their counts they are dealt into classes of about the root of
+their number. In a context a word's vector is its class's plus its own. Only the rarest words share
+classes by like frequency, in which a word has the share of its smoothed count, and words not
+seen in training share the last. A token so costs two normalisers of about the root of the
+vocabulary, each found by batched matrix products, so the log-probabilities are normalised ones,
+over all words seen and one unseen.
+
+Training documents are all documents that are not held out. Every group of partitions trains on all of its
+training tokens, from the same start, with noise drawn from the class frequencies, and evenly from
+the word's class. Parameters are then averaged on the cluster, those of a class by tokens and those of
+a word by its own tokens. That is repeated ``ROUNDS`` times.
 
 Counts cover the whole corpus. Documents become chunks (one row each) of word codes with the
 chunk's own dictionary, so a word meets its count once per chunk and not once per token, however
 frequent it is, and texts are read only once. Dictionaries travel as sorted, packed arrays, a
 range of word hashes to a group, and only counts come back. What reaches the driver is the
-frequencies of counts, the ``SHORTLIST`` words and the model.
+frequencies of counts, the ``SHORTLIST`` words, the counts of words with vectors and the model.
 
 Defined cases: a NULL or empty text is one token, the end; a NULL id counts as the empty
 string where documents are held out; repeated rows are documents of their own; without any
@@ -26,6 +31,7 @@ training token all words are unseen; an empty table gives no rows; other columns
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import copy
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,12 +44,19 @@ from drydock.llm.common import stored
 from drydock.llm.words import batches, words_of
 
 SHORTLIST = 400
+#: Words with vectors for each root of a training token, and the count below which none has one.
+GROWTH = 8
+MIN_COUNT = 5
 CONTEXT = 2
 SIZE = 24
 NOISE = 25
+WORD_NOISE = 4
 BATCH = 4096
 RATE = 0.05
 ROUNDS = 2
+#: Rows of parameters that are averaged together, and contexts whose scores are held at once.
+ROWS = 512
+SCORED = 2048
 #: Characters whose words share a dictionary.
 CHUNK = 2 << 20
 #: Words of chunks' dictionaries that meet in one group, about.
@@ -118,7 +131,7 @@ def _counted(encoded: DataFrame, shortlist: int) -> DataFrame:
     """The counts of all chunks' words in all training tokens.
 
     Rows with a ``chunk`` answer it: from its word number ``start`` on, ``totals`` and ``ranks`` (the
-    word's place among the most frequent of its group, or -1). The other rows, one for each
+    word's place among the words of its group by count, or -1 where it can have no vector). The other rows, one for each
     group of words, have the ``top`` words of the group and how many words have each count.
     """
     size, tasks = encoded.agg(F.sum(F.size("words"))).first()[0], _tasks(encoded)
@@ -149,8 +162,10 @@ def _counted(encoded: DataFrame, shortlist: int) -> DataFrame:
         np.add.at(sums, where, counts)
         best = np.lexsort((distinct, -sums.astype(np.int64)))[:shortlist]
         best = best[sums[best] > 0]
-        rank = np.full(len(distinct), -1, np.int16)
-        rank[best] = np.arange(len(best))
+        rank = np.full(len(distinct), -1, np.int32)
+        ranked = np.lexsort((distinct, -sums.astype(np.int64)))
+        ranked = ranked[: max(len(best), int((sums >= MIN_COUNT).sum()))]
+        rank[ranked] = np.arange(len(ranked))
         number, times = np.unique(sums[sums > 0], return_counts=True)
         out, at = [], 0
         for r in rows:
@@ -186,13 +201,21 @@ def _tasks(df: DataFrame) -> int:
 class Classes:
     """How words fall into classes, and the smoothed mass of each class.
 
-    ``shortlist`` has the words with a class of their own as (group, rank in it), ascending.
+    ``units`` tells what a word is, given its place in its group (``starts`` has each group's first):
+    a class of its own, ``number + 1 + i`` for the i-th word with a vector in a larger class, or -1. The
+    latter are ``words``, by their counts, most frequent first; ``width`` of them are a class, from
+    class ``first`` on.
     """
 
-    shortlist: np.ndarray
+    starts: np.ndarray
+    units: np.ndarray
     masses: np.ndarray
     tokens: int
     types: int
+    levels: int
+    first: int
+    width: int
+    words: np.ndarray
 
     @property
     def number(self) -> int:
@@ -203,24 +226,27 @@ class Classes:
         """Words of like frequency share a level: two to each doubling, none for unseen words."""
         return np.floor(2 * np.log2(np.maximum(count, 1))).astype(np.int64)
 
-    @staticmethod
-    def place(group: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        return group * (1 << 16) + rank
+    def of(self, group: int, ranks: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Units of a group's words, given their ranks (-1: none) and counts."""
+        at = self.starts[group] + ranks
+        inside = (ranks >= 0) & (at < self.starts[group + 1])
+        own = np.full(len(ranks), -1, np.int64)
+        own[inside] = self.units[at[inside]]
+        shared = self.levels + self.level(counts)
+        return np.where(counts == 0, self.number - 1, np.where(own >= 0, own, shared))
 
-    def of(self, places: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Classes of words, given their place (-1: none) and count."""
-        at = np.searchsorted(self.shortlist, places)
-        at[at == len(self.shortlist)] = 0
-        own = self.shortlist[at] == places if len(self.shortlist) else np.zeros(len(places), bool)
-        shared = len(self.shortlist) + self.level(counts)
-        return np.where(counts == 0, self.number - 1, np.where(own, at, shared))
+    def split(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The class of each unit, and its number among the words (their number, if it is none)."""
+        word = units - (self.number + 1)
+        return np.where(word >= 0, self.first + word // self.width, units), np.where(word >= 0, word, len(self.words))
 
 
 def _classes(counted: DataFrame, shortlist: int) -> Classes:
     kinds = counted.where(F.col("chunk").isNull())
     each = kinds.select(F.explode(F.arrays_zip("numbers", "times")).alias("x")).groupBy("x.numbers").agg(F.sum("x.times"))
-    frequencies = np.array([tuple(r) for r in each.collect()], np.int64).reshape(-1, 2)
+    frequencies = np.array(sorted((tuple(r) for r in each.collect()), reverse=True), np.int64).reshape(-1, 2)
     # Distinct counts: their number grows as the root of the tokens.
+    tokens, types = int((frequencies[:, 0] * frequencies[:, 1]).sum()), int(frequencies[:, 1].sum())
     top = (
         kinds.select("group", F.posexplode(F.arrays_zip("top", "top_counts")).alias("rank", "x"))
         .orderBy(F.desc("x.top_counts"), "x.top")
@@ -229,39 +255,65 @@ def _classes(counted: DataFrame, shortlist: int) -> Classes:
         .collect()
     )
     rows = np.array([tuple(r) for r in top], np.int64).reshape(-1, 3)
-    places = Classes.place(rows[:, 0], rows[:, 1])
-    order = np.argsort(places)
-    counts = rows[order, 2]
+    most = max(shortlist, int(GROWTH * tokens**0.5))
+    enough = (np.cumsum(frequencies[:, 1]) <= most) & (frequencies[:, 0] >= MIN_COUNT)
+    least = int(frequencies[enough, 0].min(initial=np.iinfo(np.int64).max))
+    often = F.filter(F.arrays_zip("numbers", "times"), lambda x: x["numbers"] >= least)
+    groups = {r[0]: r[1] for r in kinds.select("group", often).collect()}
+    # Counts of the words that may have vectors, by group and rank there: descending.
+    counts_of = {
+        g: np.repeat(*(np.array([x[i] for x in found], np.int64) for i in (0, 1)))[::-1] for g, found in groups.items()
+    }
+    size = np.zeros(max(groups, default=-1) + 1, np.int64)
+    for g, counts in counts_of.items():
+        size[g] = len(counts)
+    with_vectors = size.copy()
+    np.maximum.at(size, rows[:, 0], rows[:, 1] + 1)
+    starts = np.concatenate(([0], np.cumsum(size)))
+    counts = np.zeros(starts[-1], np.int64)
+    for g, own in counts_of.items():
+        counts[starts[g] : starts[g] + with_vectors[g]] = own
+    listed = starts[rows[:, 0]] + rows[:, 1]
+    counts[listed] = 0
+    words = np.argsort(-counts, kind="stable")[: int((counts > 0).sum())]
+    width = max(32, int(np.ceil(len(words) ** 0.5)))
     levels = Classes.level(frequencies[:, 0])
-    masses = np.zeros(len(rows) + int(levels.max(initial=-1)) + 2)
-    masses[: len(rows)] = counts + 0.5
+    first = len(rows) + int(levels.max(initial=-1)) + 1
+    masses = np.zeros(first + -(-len(words) // width) + 1)
+    units = np.full(len(counts), -1, np.int64)
+    units[listed] = np.arange(len(rows))
+    units[words] = len(masses) + 1 + np.arange(len(words))
+    masses[: len(rows)] = rows[:, 2] + 0.5
     np.add.at(masses, len(rows) + levels, (frequencies[:, 0] + 0.5) * frequencies[:, 1])
-    np.subtract.at(masses, len(rows) + Classes.level(counts), counts + 0.5)
+    np.subtract.at(masses, len(rows) + Classes.level(rows[:, 2]), rows[:, 2] + 0.5)
+    np.subtract.at(masses, len(rows) + Classes.level(counts[words]), counts[words] + 0.5)
+    np.add.at(masses, first + np.arange(len(words)) // width, counts[words] + 0.5)
     masses[-1] = 0.5
     return Classes(
-        places[order], np.round(2 * masses) / 2, int((frequencies[:, 0] * frequencies[:, 1]).sum()),
-        int(frequencies[:, 1].sum()),
-    )
+        starts, units, np.round(2 * masses) / 2, tokens, types, len(rows), first, width, counts[words]
+    )
 
 
 def _classified(encoded: DataFrame, counted: DataFrame, classes: Classes) -> DataFrame:
-    """One row per chunk: each document's figures that need counts only, and its tokens' classes."""
+    """One row per chunk: each document's figures that need counts only, and its tokens' units."""
     total = classes.tokens + 0.5 * (classes.types + 1)
 
     def classify(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
         answers = sorted(right.to_pylist(), key=lambda r: r["start"])
         counts = np.concatenate([_from_planes(r["totals"]) for r in answers]).astype(np.int64)
-        ranks = [np.frombuffer(r["ranks"], np.int16).astype(np.int64) for r in answers]
-        places = np.concatenate([
-            np.where(rank < 0, -1, Classes.place(r["group"], rank)) for r, rank in zip(answers, ranks, strict=True)
-        ])
+        units, at = [], 0
+        for r in answers:
+            ranks = np.frombuffer(r["ranks"], np.int32).astype(np.int64)
+            units.append(classes.of(r["group"], ranks, counts[at : at + len(ranks)]))
+            at += len(ranks)
+        units = np.concatenate(units)
         lengths = np.array(row["lengths"], np.int64)
         codes = np.frombuffer(row["codes"], np.uint16 if len(counts) <= 1 << 16 else np.uint32)
         starts = np.cumsum(lengths) - lengths
-        kinds = classes.of(places, counts)
+        kinds, _ = classes.split(units)
         smooth = np.log10(counts + 0.5)
-        inside = smooth - np.log10(classes.masses[kinds])
+        inside = np.where(units < classes.number, smooth - np.log10(classes.masses[kinds]), 0.0)
         return pa.Table.from_pydict(
             {
                 "ids": [row["ids"]],
@@ -270,7 +322,7 @@ def _classified(encoded: DataFrame, counted: DataFrame, classes: Classes) -> Dat
                 "known": [np.add.reduceat((counts > 0).astype(np.int64)[codes], starts)],
                 "base": [np.add.reduceat(smooth[codes], starts) - lengths * np.log10(total)],
                 "inside": [np.add.reduceat(inside[codes], starts)],
-                "classes": [kinds.astype(np.uint16)[codes].tobytes()],
+                "units": [units.astype(np.uint32)[codes].tobytes()],
             },
             schema=arrow,
         )
@@ -279,21 +331,27 @@ def _classified(encoded: DataFrame, counted: DataFrame, classes: Classes) -> Dat
     arrow = pa.schema([
         ("ids", pa.list_(_arrow_type(kind))), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())),
         ("known", pa.list_(pa.int64())), ("base", pa.list_(pa.float64())), ("inside", pa.list_(pa.float64())),
-        ("classes", pa.binary()),
+        ("units", pa.binary()),
     ])
     left = encoded.select("chunk", "ids", "held", "lengths", "codes")
     right = counted.where(F.col("chunk").isNotNull()).select("chunk", "start", "group", "totals", "ranks")
     return left.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(
         classify,
         f"ids array<{kind}>, held array<boolean>, lengths array<long>, known array<long>, "
-        "base array<double>, inside array<double>, classes binary",
+        "base array<double>, inside array<double>, units binary",
     )
 
 
 class LogBilinear:
-    """Vectors of context and target classes, a matrix for each place of the context, biases."""
+    """Vectors of context and target classes, a matrix for each place of the context, biases.
 
-    def __init__(self, classes: int, frequencies: np.ndarray) -> None:
+    ``counts``: of the words with vectors of their own, dealt into classes of ``width``. A context's word
+    ``len(counts)`` is none, and adds nothing to its class's vector.
+    """
+
+    def __init__(
+        self, classes: int, frequencies: np.ndarray, counts: np.ndarray | None = None, width: int = 1
+    ) -> None:
         rng = np.random.default_rng(6)
         self.noise = np.maximum(frequencies, 1e-12)
         self.noise = self.noise / self.noise.sum()
@@ -301,33 +359,83 @@ class LogBilinear:
         self.places = np.stack([np.eye(SIZE)] * CONTEXT) / CONTEXT
         self.outputs = rng.normal(0, 0.1, (classes, SIZE))
         self.biases = np.log(self.noise)
+        counts = np.zeros(0) if counts is None else counts + 0.5
+        self.words, self.width = len(counts), width
+        self.own = np.concatenate((rng.normal(0, 0.1, (self.words, SIZE)), np.zeros((1, SIZE))))
+        self.word_outputs = rng.normal(0, 0.1, (self.words, SIZE))
+        masses = np.add.reduceat(counts, np.arange(0, self.words, width)) if self.words else counts
+        self.word_biases = np.log(counts / np.repeat(masses, width)[: self.words])
 
     def parameters(self) -> list[np.ndarray]:
-        return [self.inputs, self.places, self.outputs, self.biases]
+        shared = [self.inputs, self.places, self.outputs, self.biases]
+        return [*shared, self.own, self.word_outputs, self.word_biases] if self.words else shared
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([p.ravel() for p in self.parameters()])
+    def as_kind(self, kind: type) -> LogBilinear:
+        out = copy(self)
+        for name in ("noise", "inputs", "places", "outputs", "biases", "own", "word_outputs", "word_biases"):
+            setattr(out, name, getattr(self, name).astype(kind))
+        return out
 
-    def load(self, values: np.ndarray) -> None:
-        at = 0
-        for p in self.parameters():
-            p[...] = values[at : at + p.size].reshape(p.shape)
+    def rows(self) -> np.ndarray:
+        """All parameters as rows of one width: first those of classes, then one row for each word."""
+        shared = np.concatenate([p.ravel() for p in self.parameters()[:4]])
+        shared = np.pad(shared, (0, -len(shared) % (2 * SIZE + 1))).reshape(-1, 2 * SIZE + 1)
+        words = np.concatenate((self.own[: self.words], self.word_outputs, self.word_biases[:, None]), axis=1)
+        return np.concatenate((shared, words))
+
+    def load(self, rows: np.ndarray) -> None:
+        shared, at = rows[: len(rows) - self.words].ravel(), 0
+        for p in self.parameters()[:4]:
+            p[...] = shared[at : at + p.size].reshape(p.shape)
             at += p.size
+        words = rows[len(rows) - self.words :]
+        self.own[: self.words] = words[:, :SIZE]
+        self.word_outputs[...] = words[:, SIZE : 2 * SIZE]
+        self.word_biases[...] = words[:, -1]
 
-    def predicted(self, contexts: np.ndarray) -> np.ndarray:
-        return sum(self.inputs[contexts[:, i]] @ self.places[i] for i in range(CONTEXT))
+    def vectors(self, contexts: np.ndarray, words: np.ndarray | None, place: int) -> np.ndarray:
+        out = self.inputs[contexts[:, place]]
+        return out if words is None else out + self.own[words[:, place]]
+
+    def predicted(self, contexts: np.ndarray, words: np.ndarray | None = None) -> np.ndarray:
+        return sum(self.vectors(contexts, words, i) @ self.places[i] for i in range(CONTEXT))
 
     def normalisers(self) -> np.ndarray:
         """The log-normaliser of every pair of context classes, a row of contexts at a time."""
         placed = [self.inputs @ self.places[i] for i in range(CONTEXT)]
         out = np.empty((len(self.inputs), len(self.inputs)))
         for first in range(len(self.inputs)):
-            scores = (placed[0][first] + placed[1]) @ self.outputs.T + self.biases
-            top = scores.max(axis=1, keepdims=True)
-            out[first] = top[:, 0] + np.log(np.exp(scores - top).sum(axis=1))
+            out[first] = _log_sums((placed[0][first] + placed[1]) @ self.outputs.T + self.biases)
+        return out
+
+    def log_classes(self, predicted: np.ndarray) -> np.ndarray:
+        """The log-normaliser of the classes for each prediction."""
+        out = np.empty(len(predicted))
+        for at in range(0, len(predicted), SCORED):
+            out[at : at + SCORED] = _log_sums(predicted[at : at + SCORED] @ self.outputs.T + self.biases)
+        return out
+
+    def log_words(self, predicted: np.ndarray, where: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The log-probability of words in their classes; ``where`` has each one's prediction."""
+        out = np.empty(len(words))
+        cluster = words // self.width
+        order = np.argsort(cluster, kind="stable")
+        edges = np.flatnonzero(np.diff(cluster[order])) + 1
+        for chosen in np.split(order, edges) if len(order) else ():
+            lo = cluster[chosen[0]] * self.width
+            outputs, biases = self.word_outputs[lo : lo + self.width], self.word_biases[lo : lo + self.width]
+            for at in range(0, len(chosen), SCORED):
+                part = chosen[at : at + SCORED]
+                scores = predicted[where[part]] @ outputs.T + biases
+                out[part] = scores[np.arange(len(part)), words[part] - lo] - _log_sums(scores)
         return out
 
 
+def _log_sums(scores: np.ndarray) -> np.ndarray:
+    top = scores.max(axis=1, keepdims=True)
+    return top[:, 0] + np.log(np.exp(scores - top).sum(axis=1))
+
+
 class Trainer:
     """Noise-contrastive steps with rates that shrink as a parameter's gradients add up."""
 
@@ -339,32 +447,64 @@ class Trainer:
         self.seen[which][rows] += gradient * gradient
         self.model.parameters()[which][rows] -= RATE * gradient / np.sqrt(self.seen[which][rows])
 
-    def step(self, contexts: np.ndarray, targets: np.ndarray) -> None:
+    def step(
+        self,
+        contexts: np.ndarray,
+        targets: np.ndarray,
+        context_words: np.ndarray | None = None,
+        target_words: np.ndarray | None = None,
+    ) -> None:
         m = self.model
         noise = self.rng.choice(len(m.noise), NOISE, p=m.noise)
-        predicted = m.predicted(contexts)
+        predicted = m.predicted(contexts, context_words)
         expected = np.log(NOISE * m.noise)
         target = (predicted * m.outputs[targets]).sum(axis=1) + m.biases[targets] - expected[targets]
         other = predicted @ m.outputs[noise].T + m.biases[noise] - expected[noise]
         # Derivatives of the loss by the scores: 1 - p for what was seen, p for the noise.
         by_target = -1.0 / (1.0 + np.exp(np.clip(target, -30, 30)))
         by_noise = 1.0 / (1.0 + np.exp(np.clip(-other, -30, 30)))
-        scale = 1.0 / len(targets)
+        scale = predicted.dtype.type(1.0 / len(targets))
         by_prediction = by_target[:, None] * m.outputs[targets] + by_noise @ m.outputs[noise]
         rows = np.concatenate((targets, noise))
         vectors = np.concatenate((by_target[:, None] * predicted, by_noise.T @ predicted)) * scale
         biases = np.concatenate((by_target, by_noise.sum(axis=0))) * scale
         found, sums = _sum_by(rows, np.concatenate((vectors, biases[:, None]), axis=1))
-        to_inputs, gradients = [], []
-        for i in range(CONTEXT):
-            to_inputs.append(contexts[:, i])
-            gradients.append(by_prediction @ m.places[i].T * scale)
-        places = np.stack([m.inputs[contexts[:, i]].T @ by_prediction * scale for i in range(CONTEXT)])
-        inputs, input_sums = _sum_by(np.concatenate(to_inputs), np.concatenate(gradients))
-        self._move(0, inputs, input_sums)
-        self._move(1, slice(None), places)
-        self._move(2, found, sums[:, :-1])
-        self._move(3, found, sums[:, -1])
+        moves = []
+        if target_words is not None:
+            moves += self._words(predicted, by_prediction, target_words, scale)
+        gradients = [by_prediction @ m.places[i].T * scale for i in range(CONTEXT)]
+        places = np.stack([m.vectors(contexts, context_words, i).T @ by_prediction * scale for i in range(CONTEXT)])
+        gradients = np.concatenate(gradients)
+        moves += [(0, *_sum_by(contexts.T.ravel(), gradients))]
+        if context_words is not None:
+            words = context_words.T.ravel()
+            some = np.flatnonzero(words < m.words)
+            if len(some):
+                moves += [(4, *_sum_by(words[some], gradients[some]))]
+        moves += [(1, slice(None), places), (2, found, sums[:, :-1]), (3, found, sums[:, -1])]
+        for move in moves:
+            self._move(*move)
+
+    def _words(self, predicted, by_prediction, target_words, scale) -> list[tuple]:
+        """The same for words in their classes, whose noise are the class's words, all alike."""
+        m = self.model
+        here = np.flatnonzero(target_words < m.words)
+        if not len(here):
+            return []
+        words, given = target_words[here], predicted[here]
+        lo = words // m.width * m.width
+        size = np.minimum(m.width, m.words - lo)
+        noise = lo[:, None] + (self.rng.random((len(here), WORD_NOISE)) * size[:, None]).astype(np.int64)
+        both = np.concatenate((words[:, None], noise), axis=1)
+        vectors = m.word_outputs[both]
+        expected = np.log(WORD_NOISE / size).astype(given.dtype)[:, None]
+        scores = (vectors @ given[:, :, None])[:, :, 0] + m.word_biases[both] - expected
+        by_score = 1.0 / (1.0 + np.exp(np.clip(-scores, -30, 30)))
+        by_score[:, 0] -= 1.0
+        by_prediction[here] += (by_score[:, None, :] @ vectors)[:, 0]
+        by_vector = (by_score[:, :, None] * given[:, None, :]).reshape(-1, SIZE)
+        rows, sums = _sum_by(both.ravel(), np.concatenate((by_vector, by_score.reshape(-1, 1)), axis=1) * scale)
+        return [(5, rows, sums[:, :-1]), (6, rows, sums[:, -1])]
 
 
 def _sum_by(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -385,70 +525,98 @@ def contexts_of(classes: np.ndarray, lengths: np.ndarray, start: int) -> np.ndar
     return out
 
 
-def _round(classified: DataFrame, model: LogBilinear, turn: int) -> np.ndarray | None:
-    """Train in every partition and average, weighted by tokens."""
-    number = len(model.biases)
+def _round(classified: DataFrame, classes: Classes, model: LogBilinear, turn: int) -> None:
+    """Train in every group of partitions and average: rows of classes by tokens, rows of words by theirs."""
+    number, start = classes.number, model.as_kind(np.float32)
+    # Each trainer sends its parameters once, so their number follows the cores and not the input.
+    trainers = 2 * classified.sparkSession.sparkContext.defaultParallelism
 
     def train(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = LogBilinear(number, model.noise)
-        own.load(model.flat())
+        own = start.as_kind(np.float32)
         trainer = Trainer(own, (turn << 32) + TaskContext.get().partitionId())
-        weight = 0
+        tokens, seen = 0, np.zeros(own.words + 1, np.int64)
         for frame in frames:
             for row in frame.to_pylist():
                 lengths = np.array(row["lengths"], np.int64)
-                kinds = np.frombuffer(row["classes"], np.uint16).astype(np.int64)
+                kinds, words = classes.split(np.frombuffer(row["units"], np.uint32).astype(np.int64))
                 learnt = np.flatnonzero(np.repeat(~np.array(row["held"], bool), lengths))
                 contexts = contexts_of(kinds, lengths, number)
+                context_words = contexts_of(words, lengths, own.words)
                 trainer.rng.shuffle(learnt)
                 for at in range(0, len(learnt), BATCH):
                     batch = learnt[at : at + BATCH]
-                    trainer.step(contexts[batch], kinds[batch])
-                weight += len(learnt)
-        if weight:
-            yield pa.RecordBatch.from_pydict({"weight": [float(weight)], "values": [own.flat()]})
-
-    trained = classified.select("lengths", "held", "classes").mapInArrow(train, "weight double, values array<double>")
-    rows = (
-        trained.select("weight", F.posexplode("values").alias("at", "value"))
-        .groupBy("at")
-        .agg((F.sum(F.col("weight") * F.col("value")) / F.sum("weight")).alias("value"))
-        .collect()
+                    if own.words:
+                        trainer.step(contexts[batch], kinds[batch], context_words[batch], words[batch])
+                    else:
+                        trainer.step(contexts[batch], kinds[batch])
+                tokens += len(learnt)
+                seen += np.bincount(words[learnt], minlength=own.words + 1)
+        if tokens:
+            rows = own.rows()
+            weights = np.concatenate((np.full(len(rows) - own.words, tokens), seen[:-1])).astype(np.float64)
+            for at in range(0, len(rows), ROWS):
+                some = at + np.flatnonzero(weights[at : at + ROWS])
+                if len(some):
+                    yield pa.RecordBatch.from_pydict({
+                        "block": [at // ROWS], "rows": [_i64(some)], "weights": [weights[some].tobytes()],
+                        "vals": [rows[some].tobytes()],
+                    })
+
+    def average(table: pa.Table) -> pa.Table:
+        at = table.column("block")[0].as_py() * ROWS
+        weight, total = np.zeros(ROWS), np.zeros((ROWS, 2 * SIZE + 1))
+        for r in table.to_pylist():
+            here, own = np.frombuffer(r["rows"], np.int64) - at, np.frombuffer(r["weights"], np.float64)
+            weight[here] += own
+            total[here] += np.frombuffer(r["vals"], np.float32).reshape(len(here), -1) * own[:, None]
+        some = np.flatnonzero(weight)
+        means = (total[some] / weight[some, None]).astype(np.float32)
+        return pa.table({"rows": [_i64(some + at)], "vals": [means.tobytes()]})
+
+    trained = classified.select("lengths", "held", "units").coalesce(trainers).mapInArrow(
+        train, "block long, rows binary, weights binary, vals binary"
     )
-    if not rows:
-        return None
-    values = np.empty(len(rows))
-    for at, value in rows:
-        values[at] = value
-    return values
+    values = model.rows()
+    for here, means in trained.groupBy("block").applyInArrow(average, "rows binary, vals binary").collect():
+        values[np.frombuffer(here, np.int64)] = np.frombuffer(means, np.float32).reshape(-1, 2 * SIZE + 1)
+    model.load(values)
+
+
+def _i64(values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values, np.int64).tobytes()
 
 
 def fit(classified: DataFrame, classes: Classes, rounds: int = ROUNDS) -> LogBilinear:
-    model = LogBilinear(classes.number, classes.masses)
+    model = LogBilinear(classes.number, classes.masses, classes.words, classes.width)
     for turn in range(rounds):
-        values = _round(classified, model, turn)
-        if values is not None:
-            model.load(values)
+        _round(classified, classes, model, turn)
     return model
 
 
+def log_probabilities(model: LogBilinear, classes: Classes, units: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The natural log-probability of each token's unit; equal contexts are normalised once."""
+    kinds, words = classes.split(units)
+    contexts = contexts_of(units, lengths, classes.number)
+    pairs, where = np.unique(contexts[:, 0] << 32 | contexts[:, 1], return_inverse=True)
+    contexts, context_words = classes.split(np.stack((pairs >> 32, pairs & 0xFFFFFFFF), axis=1))
+    predicted = model.predicted(contexts, context_words)
+    logs = -model.log_classes(predicted)[where]
+    for at in range(0, len(units), BATCH):
+        cut = slice(at, at + BATCH)
+        logs[cut] += (predicted[where[cut]] * model.outputs[kinds[cut]]).sum(axis=1) + model.biases[kinds[cut]]
+    own = np.flatnonzero(words < model.words)
+    logs[own] += model.log_words(predicted, where[own], words[own])
+    return np.minimum(logs, 0.0)  # rounding apart, none is above
+
+
 def _scored(classified: DataFrame, classes: Classes, model: LogBilinear, kind: str) -> DataFrame:
-    normalisers = model.normalisers()
-    placed = [model.inputs @ model.places[i] for i in range(CONTEXT)]
-    outputs, biases, tokens = model.outputs, model.biases, classes.tokens
+    model, tokens = model.as_kind(np.float32), classes.tokens
 
     def score(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             for row in frame.to_pylist():
                 lengths = np.array(row["lengths"], np.int64)
-                kinds = np.frombuffer(row["classes"], np.uint16).astype(np.int64)
-                contexts = contexts_of(kinds, lengths, len(biases))
-                logs = np.empty(len(kinds))
-                for at in range(0, len(kinds), BATCH):
-                    c, w = contexts[at : at + BATCH], kinds[at : at + BATCH]
-                    predicted = placed[0][c[:, 0]] + placed[1][c[:, 1]]
-                    raw = (predicted * outputs[w]).sum(axis=1) + biases[w]
-                    logs[at : at + BATCH] = raw - normalisers[c[:, 0], c[:, 1]]
+                logs = log_probabilities(model, classes, np.frombuffer(row["units"], np.uint32).astype(np.int64), lengths)
                 by_model = np.add.reduceat(logs, np.cumsum(lengths) - lengths) / np.log(10)
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -145,3 +145,78 @@ def test_without_training_documents(spark):
     ids = [i for i in range(200) if held(i)][:5]
     df = spark.createDataFrame([(i, "a b") for i in ids], "doc_id bigint, text string")
     assert {(r.n_known, r.train_tokens) for r in check(df)} == {(0, 0)}
+
+
+def test_words_after_the_shortlist_have_vectors(spark):
+    """Their order tells, though they are of like frequency."""
+    df = spark.createDataFrame(sentences(600), "doc_id bigint, text string").repartition(3)
+    rows = L.score_documents(df, shortlist=4, rounds=4).where("held_out").collect()
+    assert sum(r.score - r.base_score for r in rows) / sum(r.n_tokens for r in rows) > 0.1
+
+
+def test_words_with_vectors_grow_with_the_tokens(spark, monkeypatch):
+    monkeypatch.setattr(L, "GROWTH", 0.5)
+    found = []
+    for n in (200, 800):
+        rows = [(d, " ".join(f"v{(d * 13 + i * i) % 997 % (3 + (d * 13 + i) % 97)}" for i in range(40))) for d in range(n)]
+        df = spark.createDataFrame(rows, "doc_id bigint, text string")
+        docs = df.select(F.col("doc_id").alias("doc"), L.held_out(F.col("doc_id")).alias("held"), "text")
+        counted = L.stored(L._counted(L.stored(L._encoded(docs), "encoded"), 3), "counted")
+        classes = L._classes(counted, 3)
+        found.append(len(classes.words))
+        assert (classes.words >= L.MIN_COUNT).all() and (np.diff(classes.words) <= 0).all()
+    assert found[1] > 1.5 * found[0] > 0
+
+
+def test_words_of_a_class_sum_to_one():
+    rng = np.random.default_rng(4)
+    model = L.LogBilinear(6, rng.random(6) + 0.1, np.arange(10, 0, -1), 4)
+    predicted = rng.normal(size=(3, L.SIZE))
+    for q in range(3):
+        logs = model.log_words(predicted, np.full(10, q), np.arange(10))
+        assert np.allclose(np.add.reduceat(np.exp(logs), [0, 4, 8]), 1.0)
+
+
+def test_gradients_of_words(monkeypatch):
+    """The same for words in classes, as a context and as a target."""
+    rng = np.random.default_rng(5)
+    model = L.LogBilinear(4, rng.random(4) + 0.1, np.arange(10, 0, -1), 4)
+    n = 30
+    contexts, targets = rng.integers(0, 5, (n, 2)), rng.integers(0, 4, n)
+    context_words, words = rng.integers(0, 11, (n, 2)), rng.integers(0, 11, n)
+    noise, share = rng.integers(0, 4, L.NOISE), rng.random((int((words < 10).sum()), L.WORD_NOISE))
+    trainer, moves = L.Trainer(model, 0), {}
+    fixed = {"choice": staticmethod(lambda *a, **k: noise), "random": staticmethod(lambda *a: share)}
+    monkeypatch.setattr(trainer, "rng", type("R", (), fixed))
+    monkeypatch.setattr(trainer, "_move", lambda which, rows, g: moves.__setitem__(which, (rows, g)))
+
+    def loss():
+        p = model.predicted(contexts, context_words)
+        expected = np.log(L.NOISE * model.noise)
+        seen = (p * model.outputs[targets]).sum(axis=1) + model.biases[targets] - expected[targets]
+        other = p @ model.outputs[noise].T + model.biases[noise] - expected[noise]
+        total = (np.log1p(np.exp(-seen)) + np.log1p(np.exp(other)).sum(axis=1)).sum()
+        for i, drawn in zip(np.flatnonzero(words < 10), share, strict=True):
+            lo = words[i] // 4 * 4
+            size = min(4, 10 - lo)
+            rows = [words[i], *(lo + (drawn * size).astype(int))]
+            s = model.word_outputs[rows] @ p[i] + model.word_biases[rows] - np.log(L.WORD_NOISE / size)
+            total += np.log1p(np.exp(-s[0])) + np.log1p(np.exp(s[1:])).sum()
+        return total / n
+
+    trainer.step(contexts, targets, context_words, words)
+    for which, parameter in enumerate(model.parameters()):
+        rows, gradient = moves[which]
+        full = np.zeros_like(parameter)
+        full[rows] = gradient
+        for _ in range(5):
+            at = tuple(rng.integers(0, s) for s in parameter.shape)
+            if which == 4:
+                at = (at[0] % 10, at[1])  # the last row stands for no word
+            old = parameter[at]
+            parameter[at] = old + 1e-5
+            up = loss()
+            parameter[at] = old - 1e-5
+            down = loss()
+            parameter[at] = old
+            assert math.isclose(full[at], (up - down) / 2e-5, rel_tol=1e-3, abs_tol=1e-7)
