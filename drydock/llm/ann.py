@@ -12,6 +12,9 @@ Buckets of more than ``PART`` vectors are split, and the queries that look into
 go to every part, so equal vectors, however many, are shared out and all of them are scored. Each
 task keeps the best ``k`` of a query over all its buckets, so little is merged at the end.
 
+Queries whose buckets hold fewer than ``k`` candidates, though there are more of their length, are
+compared with all vectors of that length, in blocks of ``PART``.
+
 Defined cases: vectors that are NULL, empty or zero, or hold NULL or non-finite components,
 and rows without an id, take no part; rows that repeat an id count once, with the least
 vector; vectors of different lengths are not compared; ties go to the smaller id; an
@@ -27,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from drydock.llm.common import stored
+
 TABLES = 8
 PROBES = 20
 PART = 4096
@@ -199,6 +204,42 @@ def _search(df: DataFrame, k: int) -> DataFrame:
     return df.mapInArrow(search, "query_id long, vec_id long, score double")
 
 
+def _whole(df: DataFrame) -> DataFrame:
+    """Rows ``(length, asks, id, vector)``, the vectors as the search reads them."""
+
+    def pack(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            blobs = [np.array(v, np.float64).tobytes() for v in frame.column("vector").to_pylist()]
+            columns = [frame.column(c) for c in ("length", "asks", "id")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(blobs, pa.binary())], names=["length", "asks", "id", "vector"])
+
+    return df.select("length", "asks", "id", "vector").mapInArrow(pack, "length int, asks boolean, id long, vector binary")
+
+
+def _completed(rows: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """The pairs, and for queries with fewer than they could have, the best of all vectors of their length."""
+    lengths = rows.groupBy("length").agg(F.count("*").alias("n"))
+    found = pairs.groupBy("query_id").agg(F.count("*").alias("found"))
+    asking = rows.where("asks").select("id", "length", "vector").join(lengths, "length")
+    short = asking.join(found, F.col("id") == F.col("query_id"), "left").where(
+        F.coalesce("found", F.lit(0)) < F.least(F.lit(k), F.col("n") - 1)
+    )
+    short = stored(short.select("length", F.lit(True).alias("asks"), "id", "vector", "n"), "short")
+    if short.isEmpty():
+        return pairs
+    parts = short.select("length", F.ceil(F.col("n") / PART).cast("int").alias("parts")).distinct()
+    own = F.array(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    part = F.explode(F.when(F.col("asks"), every).otherwise(own)).alias("part")
+    both = _whole(rows.withColumn("asks", F.lit(False)).join(parts.select("length"), "length", "left_semi")).unionByName(_whole(short))
+    block = ["length", "bucket_table", "bucket", "part"]
+    dealt = both.join(parts, "length").select(
+        "length", F.lit(-1).alias("bucket_table"), F.lit(0).alias("bucket"), part, "asks", "id", "vector"
+    )
+    exact = _search(dealt.repartition(*block).sortWithinPartitions(*block, "asks", "id"), k)
+    return pairs.unionByName(exact).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+
 def nearest(
     df: DataFrame,
     asks: Column,
@@ -231,7 +272,8 @@ def nearest(
     block = [*bucket, "part"]
     dealt = placed.join(parts, bucket).select(*bucket, part, "asks", "id", "vector")
     found = _search(dealt.repartition(*block).sortWithinPartitions(*block, "asks", "id"), k)
-    pairs = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    pairs = stored(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "pairs")
+    pairs = _completed(rows, pairs, k)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         pairs.withColumn("rank", F.row_number().over(order))

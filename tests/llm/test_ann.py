@@ -100,3 +100,20 @@ def test_rotation_keeps_lengths_and_probes_begin_with_the_bucket():
     assert np.allclose((turned**2).sum(axis=1), (x**2).sum(axis=1))
     assert np.array_equal(A.probes(turned, 5)[:, 0], A.buckets(turned))
     assert not np.allclose(A.rotated(x, 4), turned)
+
+
+def test_queries_get_all_they_can_have(spark, monkeypatch):
+    """Few vectors of a length: buckets do not hold enough, and the others make it up."""
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=64 if i % 10 else 48).tolist()) for i in range(140)]
+    rows += [(1000 + i, rng.normal(size=128).tolist()) for i in range(25)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    for part in (A.PART, 8):
+        monkeypatch.setattr(A, "PART", part)
+        got = found(A.nearest(df, F.lit(True)))
+        exact = brute(rows, lambda i: True, 20)
+        assert {q: len(r) for q, r in got.items()} == {q: len(r) for q, r in exact.items()}
+        for q in got:
+            if q >= 1000 or q % 10 == 0:  # 24 and 13 candidates
+                assert len(got[q]) == (20 if q >= 1000 else 13)
+        assert all([v for v, _ in got[q]] == [v for v, _ in exact[q]] for q in got if q % 10 == 0 and q < 1000)
