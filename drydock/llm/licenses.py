@@ -1,7 +1,7 @@
 """Licence scan: canonical digests of whole texts, looked up among known licence texts.
 
 A unit of text (a whole document, and each of its paragraphs and lines) is brought to a
-canonical form: lower case, copyright lines out, equivalent spellings made equal,
+canonical form: lower case, lines that name a copyright owner out, equivalent spellings made equal,
 everything but letters and digits a blank. Its SHA-256 is joined with the digests of the known
 texts. The known table is a list in the code (or the caller's), so its broadcast is bounded.
 
@@ -29,8 +29,19 @@ EQUIVALENT = [
     ("©", ""),
     ("&", " and "),
 ]
-#: Lines that begin so (after blanks and comment signs) name an owner, and are not compared.
+#: The rule of the registered SQL: it also takes licence wording that a line begins with for an owner.
 COPYRIGHT_LINE = r"^[\s/*#;-]*(copyright\b|\(c\)|©|all rights reserved)"
+#: Words that follow "copyright" in the wording of licences, where it is no owner's line.
+_WORDING = (
+    r"(notices?|holders?|owners?|ownership|licen[sc]es?|laws?|statements?|interests?|disclaimers?|protections?|"
+    r"treaty|treaties|infringement|permissions?|status|rights?|works?|material|act|and|or|in|on|is|are|as|to|of|for|under|"
+    r"with|which|that|can|may|has|have|applies|if|unless|subsists|doctrines?)\b"
+)
+#: Lines that begin so (after blanks and comment signs) name an owner, and are not compared.
+OWNER_LINE = (
+    r"^[\s/*#;-]*(copyright\b[\s:,]*(\(c\)|©|[0-9]{4}|[<{\[])|copyright[\s:]+(?!" + _WORDING + r")\p{L}|©|"
+    r"\(c\)[\s:,]*(copyright|[0-9]{4})|all rights reserved)"
+)
 
 # Notices and short licences, as their owners publish them.
 NOTICES = {
@@ -86,7 +97,7 @@ NOTICES = {
 
 def canonical(text: Column) -> Column:
     """Case, copyright lines, equivalent spellings and punctuation made equal."""
-    lines = F.filter(F.split(F.lower(text), "\n"), lambda line: ~line.rlike(COPYRIGHT_LINE))
+    lines = F.filter(F.split(F.lower(text), "\n"), lambda line: ~line.rlike(OWNER_LINE))
     joined = F.array_join(lines, " ")
     for spelling, usual in EQUIVALENT:
         joined = F.replace(joined, F.lit(spelling), F.lit(usual))

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import textwrap
+
 from pyspark.sql import functions as F
 from odd import no_docs, odd_docs  # noqa: F401
 
@@ -48,3 +50,24 @@ def test_repeated_rows_get_their_own_answers(spark):
     df = spark.createDataFrame([(1, MIT), (1, MIT), (1, "x"), (None, MIT)], "doc_id bigint, text string")
     rows = sorted((str(r.doc_id), str(r.license_id)) for r in L.scan_licenses(df).collect())
     assert rows == [("1", "MIT"), ("1", "MIT"), ("1", "None"), ("None", "MIT")]
+
+
+def wrapped(text, width):
+    return "\n\n".join(textwrap.fill(p, width) for p in text.split("\n\n"))
+
+
+def test_texts_wrapped_at_any_width(spark):
+    """Wording that a line happens to begin with 'copyright' stays; lines that name an owner go."""
+    isc, widths = L.NOTICES["ISC"][-1], range(20, 100)
+    texts = [wrapped(text, w) for text in (MIT, isc) for w in widths]
+    assert sum(line.lower().startswith("copyright") for text in texts for line in text.split("\n")) > 20
+    found = scanned(spark, *texts)
+    assert [found[i][0] for i in range(len(texts))] == ["MIT"] * len(widths) + ["ISC"] * len(widths)
+
+
+def test_lines_that_name_an_owner(spark):
+    owners = ["Copyright (c) 2020 A", "(C) 2020 A", "# © A", "Copyright 2020, A", "Copyright <YEAR> <OWNER>", "Copyright A Inc."]
+    wording = ["copyright notice and", "Copyright holders be", "copyright, patent and", "(c) You must retain", "copyright"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(owners + wording)], "i int, t string")
+    left = {r[0]: r[1] for r in df.select("i", L.canonical(F.col("t"))).collect()}
+    assert [left[i] == "" for i in range(len(left))] == [True] * len(owners) + [False] * len(wording)
