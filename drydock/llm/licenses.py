@@ -3,7 +3,8 @@
 A unit of text (a whole document, and each of its paragraphs and lines) is brought to a
 canonical form: lower case, lines that name a copyright owner out, equivalent spellings made equal,
 everything but letters and digits a blank. Its SHA-256 is joined with the digests of the known
-texts. The known table is a list in the code (or the caller's), so its broadcast is bounded.
+texts. These are the short notices of ``NOTICES`` and a table of whole texts: the files of
+``known_licenses``, or the caller's DataFrame (``license_id, text``). Their digests are broadcast.
 
 Defined cases: a NULL or empty text, and one without letters or digits, matches nothing; repeated
 rows each get their own answer; an empty table gives no rows; other columns are left alone.
@@ -11,6 +12,9 @@ rows each get their own answer; an empty table gives no rows; other columns are
 
 from __future__ import annotations
 
+from pathlib import Path
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,13 +114,40 @@ def digest(text: Column) -> Column:
     return F.when(form != "", F.sha2(form.cast("binary"), 256))
 
 
-def known_licenses(spark: SparkSession, notices: dict[str, list[str]] = NOTICES) -> DataFrame:
+TEXTS = Path(__file__).parent / "known_licenses"
+_END = "END OF TERMS AND CONDITIONS"
+
+
+def _variants(text: str) -> list[str]:
+    """A text as it is, without what follows its terms, and each of them without its title."""
+    head, end, _ = text.partition(_END)
+    forms = [text, head + end, head] if end else [text]
+    untitled = [form.strip().partition("\n\n") for form in forms]
+    return [*forms, *[rest for title, _, rest in untitled if rest and len(title) <= 120]]
+
+
+def license_texts(spark: SparkSession) -> DataFrame:
+    """``license_id, text``: the whole texts that come with this package, their variants and SPDX lines."""
+    rows = []
+    for path in sorted(TEXTS.glob("*.txt")):
+        name = path.name.removesuffix(".txt").partition("+")[0]  # several texts of one licence: ID+note.txt
+        rows += [(name, form) for form in _variants(path.read_text(encoding="utf-8"))]
+        endings = ("", "-only", "-or-later") if "GPL" in name or "GFDL" in name else ("",)
+        rows += [(name, f"SPDX-License-Identifier: {name}{ending}") for ending in endings]
+    names, texts = zip(*rows, strict=True)
+    return spark.createDataFrame(pa.table({"license_id": list(names), "text": list(texts)}))
+
+
+def known_licenses(
+    spark: SparkSession, notices: dict[str, list[str]] = NOTICES, texts: DataFrame | None = None
+) -> DataFrame:
     """``license_id, digest``, one row for each digest."""
     rows = [(name, text) for name, texts in notices.items() for text in texts]
     table = inline_table(spark, rows, "license_id string, text string")
-    return table.select("license_id", digest(F.col("text")).alias("digest")).groupBy("digest").agg(
-        F.min("license_id").alias("license_id")
-    )
+    if texts is not None:
+        table = table.unionByName(texts.select("license_id", "text"))
+    known = table.select("license_id", digest(F.col("text")).alias("digest")).where(F.col("digest").isNotNull())
+    return known.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def _parts(text: Column) -> Column:
@@ -134,11 +165,13 @@ def scan_licenses(
     notices: dict[str, list[str]] = NOTICES,
     id_col: str = "doc_id",
     text_col: str = "text",
+    texts: DataFrame | None = None,
 ) -> DataFrame:
     """Per row: id, ``license_id`` of the entire text (else NULL), ``notices`` (ids of the
-    licences that a paragraph or line states, sorted) and ``n_notices`` (how many do).
+    licences that a paragraph or line states, sorted) and ``n_notices`` (how many do). ``texts``
+    has the known whole texts (``license_id, text``), those of this package if it is not given.
     """
-    known = F.broadcast(known_licenses(df.sparkSession, notices))
+    known = F.broadcast(known_licenses(df.sparkSession, notices, license_texts(df.sparkSession) if texts is None else texts))
     docs = df.select(
         F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("tkey"), F.col(text_col).alias("text")
     )

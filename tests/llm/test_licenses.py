@@ -71,3 +71,21 @@ def test_lines_that_name_an_owner(spark):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(owners + wording)], "i int, t string")
     left = {r[0]: r[1] for r in df.select("i", L.canonical(F.col("t"))).collect()}
     assert [left[i] == "" for i in range(len(left))] == [True] * len(owners) + [False] * len(wording)
+
+
+def test_whole_texts_of_the_usual_licences(spark):
+    """As published, without title or appendix, and wrapped otherwise with an owner's line."""
+    names = [
+        "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-SA-4.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC",
+        "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense",
+    ]
+    texts = {n: (L.TEXTS / f"{n}.txt").read_text() for n in names}
+    wraps = ["Copyright (c) 2021 Somebody\n\n" + " \n".join(texts[n].split("\n")).upper() for n in names]
+    found = scanned(spark, *texts.values(), *wraps, texts["GPL-3.0"].partition(L._END)[0] + L._END, texts["MIT"][:-40])
+    assert [found[i][0] for i in range(len(found))] == [*names, *names, "GPL-3.0", None]
+
+
+def test_known_texts_from_a_table(spark):
+    texts = spark.createDataFrame([("House-1.0", "Use it at home.\n\nNowhere else."), ("Empty", "")], "license_id string, text string")
+    df = spark.createDataFrame([(1, "Copyright 2020 A\nuse it\nAT HOME; nowhere else"), (2, "")], "doc_id bigint, text string")
+    assert [r.license_id for r in L.scan_licenses(df, texts=texts).orderBy("doc_id").collect()] == ["House-1.0", None]
