@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drydock.llm import ann, decontamination, kd_sharding, language_id, licenses, line_dedup, lm_scoring, minhash, pieces, suffix_dedup
+from drydock.llm import ann, decontamination, kd_sharding, language_id, licenses, line_dedup, lm_scoring, minhash, pieces
+from drydock.llm import suffix_dedup, window_dedup
 from drydock.llm.common import load
 
 MIN_DOCS = 10
 SHARDS = 8
+WINDOW = 35
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -150,6 +152,37 @@ LINE_DEDUP_SQL = f"""
            sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
     FROM marked GROUP BY r, doc_id"""
 
+
+def op13_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = window_dedup.repeated_windows(load(spark, sf_dir, "documents"), width=WINDOW)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+WINDOW_DEDUP_SQL = f"""
+    WITH docs AS (
+        SELECT row_number() OVER () AS r, doc_id,
+               regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words
+        FROM documents),
+    placed AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS pos, len(words) AS n FROM docs),
+    windows AS (
+        SELECT r, pos, word, n,
+               string_agg(word, ' ') OVER (PARTITION BY r ORDER BY pos
+                                           ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS content
+        FROM placed),
+    counted AS (
+        SELECT r, pos, word,
+               pos + {WINDOW - 1} <= n
+               AND count(*) FILTER (pos + {WINDOW - 1} <= n) OVER (PARTITION BY content) > 1 AS again
+        FROM windows),
+    marked AS (
+        SELECT r, pos, word,
+               bool_or(again) OVER (PARTITION BY r ORDER BY pos
+                                    ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS gone
+        FROM counted)
+    SELECT doc_id, count(word) AS n_words, count(*) FILTER (gone) AS n_removed,
+           sha256(coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+    FROM docs LEFT JOIN marked USING (r) GROUP BY r, doc_id"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_sentencepiece": op2_sentencepiece,
@@ -161,9 +194,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_license_scan": op9_license_scan,
     "op10_line_dedup": op10_line_dedup,
+    "op13_window_dedup": op13_window_dedup,
 }
 
 SQL: dict[str, str] = {
     "op9_license_scan": _license_sql(),
     "op10_line_dedup": LINE_DEDUP_SQL,
+    "op13_window_dedup": WINDOW_DEDUP_SQL,
 }

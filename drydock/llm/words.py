@@ -84,7 +84,11 @@ def words_of(texts, table: np.ndarray = BLANK_TABLE) -> tuple[np.ndarray, np.nda
 
     ``offsets`` has one entry more than there are texts. None counts as an empty text.
     """
-    encoded = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    return words_in([t.encode("utf-8", "surrogatepass") if t else b"" for t in texts], table)
+
+
+def words_in(encoded: list[bytes], table: np.ndarray = BLANK_TABLE) -> tuple[np.ndarray, np.ndarray]:
+    """``words_of`` for texts in UTF-8."""
     found, counts = [], np.zeros(len(encoded), np.int64)
     for parts, rows in _pieces(encoded, table):
         blob = np.frombuffer(b" ".join(parts), np.uint8)
