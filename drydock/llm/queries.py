@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drydock.llm import ann, decontamination, kd_sharding, language_id, licenses, line_dedup, lm_scoring, minhash, pieces
-from drydock.llm import suffix_dedup, window_dedup
+from drydock.llm import ranked_search, suffix_dedup, window_dedup
 from drydock.llm.common import load
 
 MIN_DOCS = 10
 SHARDS = 8
+BEST = 10
 WINDOW = 35
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -153,6 +154,41 @@ LINE_DEDUP_SQL = f"""
     FROM marked GROUP BY r, doc_id"""
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), k=BEST)
+
+
+def _terms_sql(table: str) -> str:
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format("coalesce(text, '')")
+    pattern = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+    return f"SELECT *, row_number() OVER () AS r, regexp_extract_all({lower}, '{pattern}') AS terms FROM {table}"
+
+
+RANKED_SEARCH_SQL = f"""
+    WITH docs AS ({_terms_sql("documents")}),
+    items AS ({_terms_sql("benchmark")}),
+    sizes AS (SELECT r, doc_id, CAST(len(terms) AS BIGINT) AS n FROM docs WHERE len(terms) > 0),
+    totals AS (SELECT CAST(count(*) AS BIGINT) AS all_docs, CAST(sum(n) AS BIGINT) AS all_terms FROM sizes),
+    tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM docs) GROUP BY r, term),
+    weights AS (
+        SELECT term, CAST(floor(1000 * ln((2 * all_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w
+        FROM tf, totals GROUP BY term, all_docs),
+    asked AS (
+        SELECT r AS item, item_id, term, count(*) AS times
+        FROM (SELECT r, item_id, unnest(terms) AS term FROM items) GROUP BY r, item_id, term),
+    scored AS (
+        SELECT item, item_id, doc_id, r,
+               CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * all_docs) // all_terms))))
+                    AS BIGINT) AS score
+        FROM asked JOIN tf USING (term) JOIN weights USING (term) JOIN sizes USING (r), totals
+        GROUP BY item, item_id, doc_id, r),
+    placed AS (
+        SELECT item_id, doc_id, score,
+               CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+        FROM scored WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= {BEST}"""
+
+
 def op13_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = window_dedup.repeated_windows(load(spark, sf_dir, "documents"), width=WINDOW)
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -194,11 +230,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_license_scan": op9_license_scan,
     "op10_line_dedup": op10_line_dedup,
+    "op12_ranked_search": op12_ranked_search,
     "op13_window_dedup": op13_window_dedup,
 }
 
 SQL: dict[str, str] = {
     "op9_license_scan": _license_sql(),
     "op10_line_dedup": LINE_DEDUP_SQL,
+    "op12_ranked_search": RANKED_SEARCH_SQL,
     "op13_window_dedup": WINDOW_DEDUP_SQL,
 }
