@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drydock.llm import ann, decontamination, kd_sharding, language_id, licenses, line_dedup, lm_scoring, minhash, pieces
-from drydock.llm import ranked_search, suffix_dedup, window_dedup
+from drydock.llm import ranked_search, suffix_dedup, whitening, window_dedup
 from drydock.llm.common import load
 
 MIN_DOCS = 10
@@ -154,6 +154,10 @@ LINE_DEDUP_SQL = f"""
     FROM marked GROUP BY r, doc_id"""
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(load(spark, sf_dir, "embeddings"))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.ranked(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), k=BEST)
 
@@ -230,6 +234,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_license_scan": op9_license_scan,
     "op10_line_dedup": op10_line_dedup,
+    "op11_whitening": op11_whitening,
     "op12_ranked_search": op12_ranked_search,
     "op13_window_dedup": op13_window_dedup,
 }
