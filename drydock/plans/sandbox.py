@@ -76,10 +76,14 @@ class SandboxStore:
         """Copy a production table: all its rows, in one pass that also counts them.
 
         Name the table's partition columns to keep them as folders in every version,
-        so that filters on them go on skipping files.
+        so that filters on them go on skipping files. A copy that cannot be recorded is removed.
         """
-        first = self._first_version(source_table)
-        return self._record(self._write(prod, partition_by=list(partition_by), **first))
+        new = self._write(prod, partition_by=list(partition_by), **self._first_version(source_table))
+        try:
+            return self._record(new)
+        except BaseException:
+            delete_path(self.spark, f"{self.root}/sandboxes/{new.sandbox_name}")
+            raise
 
     def _first_version(self, source_table: str) -> dict:
         bare = TableName.plain(source_table, "source table").table
@@ -170,7 +174,7 @@ class SandboxStore:
             self._record(new, operation=operation, statement=statement)
             if self.get(old.sandbox_name).path != new.path:
                 raise ValueError(f"{old.sandbox_name} has moved on from version {old.version}")
-        except ValueError:
+        except BaseException:
             delete_path(self.spark, new.path)
             raise
         return new

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from drydock.sources.catalog import Catalog
+from drydock.workspace import existing_path
 
 # Candidate separators, and the raw text each type accepts. A number
 # with a leading zero is an identifier and stays text.
@@ -21,9 +20,12 @@ TEXT_FORMS = {
     "date": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$",
     "timestamp_ntz": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?)?$",
 }
-PLAUSIBLE = r"^[-+.0-9TtFf]"
+# Which types a value can have, by its first character, and by the one that follows a year.
+NUMBERS = ("bigint", "decimal(38,0)", "double")
+TIMES = ("date", "timestamp_ntz")
+AFTER_YEAR = "-"
 CORRUPT = "_malformed_line"
-SAFE_SOURCE = re.compile(r"([a-z][a-z0-9+.-]*:/)?/[^\s'\";<>]+")
+UNSAFE = frozenset("'\";<>\n\r")
 
 
 def _reader(spark: SparkSession, sep: str, multiline: bool):
@@ -43,15 +45,28 @@ def _header(spark: SparkSession, path: str) -> str:
 def _kind(column: Column) -> Column:
     """A bit for the narrowest type that can read the value; NULL for no value.
 
-    One look at the first characters rules out most forms, and a value is cast only if the
-    pattern of that type fits.
+    A whole number that reads back as it was written needs no pattern. For the rest, one or two characters say
+    which kinds are possible at all, and only those are tried: pattern first, then cast.
     """
-    text = F.lit(1 << len(TEXT_FORMS))
-    bit = F.when(column.isNull(), F.lit(None)).when(~column.rlike(PLAUSIBLE), text)
-    for i, (data_type, form) in enumerate(TEXT_FORMS.items()):
-        fits = column.rlike(form) & column.try_cast(data_type).isNotNull()
-        bit = bit.when(fits, F.lit(1 << i))
-    return bit.otherwise(text)
+    kinds = list(TEXT_FORMS)
+    text = F.lit(1 << len(kinds))
+
+    def narrowest(names: tuple[str, ...]) -> Column:
+        found = F
+        for name in names:
+            fits = column.rlike(TEXT_FORMS[name]) & column.try_cast(name).isNotNull()
+            found = found.when(fits, F.lit(1 << kinds.index(name)))
+        return found.otherwise(text)
+
+    first = F.substring(column, 1, 1)
+    return (
+        F.when(column.isNull(), F.lit(None))
+        .when(column.try_cast("bigint").cast("string") == column, F.lit(1 << kinds.index("bigint")))
+        .when(first.isin(*"tTfF"), narrowest(("boolean",)))
+        .when(first.between("0", "9") & (F.substring(column, 5, 1) == AFTER_YEAR), narrowest(TIMES))
+        .when(first.between("0", "9") | first.isin(*"+-."), narrowest(NUMBERS))
+        .otherwise(text)
+    )
 
 
 def _common_type(kinds: int | None) -> str:
@@ -123,9 +138,14 @@ def ingest_csv(
     sep: str | None = None,
     multiline: bool = False,
 ) -> DataFrame:
-    """Load a delimited file into a new table; an existing table is refused."""
-    if not SAFE_SOURCE.fullmatch(source):
+    """Load a delimited file into a new table; an existing table is refused.
+
+    The source is an absolute path or a URI of any file system that Spark reads. Whether it is one, and what
+    is there, the file system says; names may hold blanks.
+    """
+    if UNSAFE & set(source):
         raise ValueError("source must be an absolute path or URI without quotes, ';', '<' or '>'")
+    path = existing_path(catalog.spark, source.strip())
     if catalog.exists(table):
         raise ValueError(f"table {table!r} already exists")
-    return catalog.create(table, read_delimited(catalog.spark, source, schema, sep, multiline))
+    return catalog.create(table, read_delimited(catalog.spark, path, schema, sep, multiline))

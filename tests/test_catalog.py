@@ -151,12 +151,39 @@ def test_explicit_schema(spark, tmp_path):
     assert types(read_delimited(spark, path, schema="a string, b double")) == ["string", "double"]
 
 
-@pytest.mark.parametrize("source", ["relative.csv", "/a'b.csv", "/a;b.csv", "/a b.csv", "/a<b"])
+@pytest.mark.parametrize("source", ["relative.csv", "/a'b.csv", "/a;b.csv", "a b.csv", "/a<b", "nofs://x/a.csv", ""])
 def test_unsafe_sources(catalog, source):
     with pytest.raises(ValueError, match="absolute path"):
         ingest_csv(catalog, "t", source)
 
 
+def test_sources_are_uris_of_any_form(spark, catalog, tmp_path):
+    folder = tmp_path / "with blank"
+    folder.mkdir()
+    path = write(folder, "a b,c.csv", "id,x\n1,a\n2,b\n")
+    for i, source in enumerate([path, f"file:{path}", f"file://{path}", f" {path} ", str(folder), f"{folder}/*.csv"]):
+        assert ingest_csv(catalog, f"t{i}", source).count() == 2
+    with pytest.raises(ValueError, match="does not exist"):
+        ingest_csv(catalog, "none", f"file:{tmp_path}/no such.csv")
+    with pytest.raises(ValueError, match="already exists"):
+        ingest_csv(catalog, "t0", f"file://{path}")
+
+
+def test_kinds_of_single_values(spark, tmp_path):
+    """Each column holds one value twice, and gets the narrowest type that reads it as it is."""
+    wanted = {
+        "5": "bigint", "-5": "bigint", "+5": "bigint", "0": "bigint", "-0": "bigint", "05": "string", "5-": "string",
+        "9223372036854775808": "decimal(38,0)", "1" * 39: "string", "1.5": "double", "-.5": "double", "1.": "double",
+        "1e5": "double", "01.5": "string", "true": "boolean", "FALSE": "boolean", "tru": "string", "t": "string",
+        "2024-02-29": "date", "2023-02-29": "string", "2024-1-1": "string", "2024-01-01 10:00": "timestamp_ntz",
+        "2024-01-01T10:00:00.5": "timestamp_ntz", "2024-01-01 25:00": "string", "1234-5": "string", "NaN": "string",
+        "-": "string", "Infinity": "string", "é": "string",
+    }
+    line = ",".join(wanted)
+    path = write(tmp_path, "t.csv", ",".join(f"c{i}" for i in range(len(wanted))) + f"\n{line}\n{line}\n")
+    assert dict(zip(wanted, types(read_delimited(spark, path)))) == wanted
+
+
 def test_folder_of_files(spark, tmp_path):
     path = str(tmp_path / "csv")
     spark.range(100).withColumn("x", F.col("id") / 4).repartition(5).write.csv(path, header=True)

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import os
+from concurrent.futures import ThreadPoolExecutor
+from datetime import date, datetime
 
 import pytest
 from conftest import final_plan, rows_of
@@ -37,6 +39,58 @@ def test_two_clones_in_one_second_do_not_collide(store, orders):
     assert {r["sandbox_name"] for r in store.current().collect()} == names
 
 
+def test_many_writers_at_once(spark, store, orders):
+    """Sandboxes made, changed and checked from several threads and two sessions are all recorded."""
+    other = SandboxStore(spark.newSession(), root=store.root)
+    ledger = Ledger(spark, store.root)
+
+    def work(i):
+        own = (store, other)[i % 2]
+        sandbox = own.create("orders", own.spark.sql("SELECT id FROM range(5)") if own is other else orders)
+        if i % 3 == 0:
+            own.truncate(sandbox)
+        run = dict(run_id=f"r{i}", sandbox_name=sandbox.sandbox_name, sandbox_version=0, source_table="orders",
+                   check="c", definition="", status="PASS", result="", expected="", detail="",
+                   run_at=datetime(2026, 1, 1), run_date=date(2026, 1, 1))
+        ledger.append("quality_results", [run, run])
+        return sandbox.sandbox_name
+
+    with ThreadPoolExecutor(6) as pool:
+        names = list(pool.map(work, range(18)))
+    assert {r["sandbox_name"] for r in store.current().collect()} == set(names)
+    assert ledger.read("sandboxes").count() == 18 + 6
+    assert ledger.read("quality_results", "2026-01-01").count() == 36  # equal rows stay two
+    assert os.listdir(f"{store.root}/ledger/_staged") == []
+
+
+def test_folded_ledgers_read_the_same(spark, store, orders):
+    sandbox = store.create("orders", orders)
+    for i in range(4):
+        sandbox = store.update(sandbox, {"amount": f"amount + {i}"})
+    name, ledger = sandbox.sandbox_name, store.ledger
+    before = rows_of(ledger.read("sandboxes", name))
+    listed = ledger.read("sandboxes", name)  # a reader that has seen the files before they were folded
+    assert ledger.fold("sandboxes", name) == 6
+    assert rows_of(ledger.read("sandboxes", name)) == before == rows_of(listed)
+    store.update(name, {"amount": "0"})
+    assert ledger.fold("sandboxes", name) == 3  # the old fold, the late append, and the new fold
+    assert ledger.fold("sandboxes", name, keep_sources=False) == 1
+    assert store.get(name).version == 5
+    assert len(before) + 1 == ledger.read("sandboxes", name).count() == ledger.read("sandboxes").count()
+    assert ledger.fold("sandboxes", name) == 1
+    assert ledger.fold("sandboxes", "sbx_unknown") == 0
+
+
+def test_a_copy_that_cannot_be_recorded_is_removed(store, orders, monkeypatch):
+    def refuse(*args, **kwargs):
+        raise OSError("disk full")
+
+    monkeypatch.setattr(store.ledger, "append", refuse)
+    with pytest.raises(OSError, match="disk full"):
+        store.create("orders", orders)
+    assert os.listdir(f"{store.root}/sandboxes") == []
+
+
 def test_types_survive(spark, store):
     df = spark.sql(
         "SELECT array(1.5f, 2.5f) AS v, timestamp_ntz'2024-01-02 03:04:05' AS t,"
