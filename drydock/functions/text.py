@@ -12,14 +12,42 @@ def slug(text: Column, max_len: int = 40) -> Column:
     return F.substring(F.trim(dashed, F.lit("-")), 1, max_len)
 
 
+#: Names that the pattern of tokens keeps whole, and that pattern.
+PLAIN = r"^\w+$"
+TOKENS = r"\w+|\W+"
+
+
 def replay_on(statement: Column, sandbox: Column, production: Column, schema: Column) -> Column:
     """A statement written for a sandbox, as it reads for its production table.
 
-    One pattern finds the sandbox's name, whatever its case, with its schema or without.
-    The text between the finds is kept, and each find becomes the production table's name, with
-    the schema where one stood. All names are taken literally. Names inside string literals are
-    replaced as well.
+    The sandbox's name is found as a whole word, whatever its case, with its schema or without, and
+    becomes the production table's name, with the schema where one stood. All names are taken
+    literally. Names inside string literals are replaced as well. One constant pattern parts any statement into
+    words and what is between them; only names that are no words need a pattern of their own.
     """
+    plain = sandbox.rlike(PLAIN) & schema.rlike(PLAIN)
+    return F.when(plain, _replay_words(statement, sandbox, production, schema)).otherwise(
+        _replay_found(statement, sandbox, production, schema)
+    )
+
+
+def _replay_words(statement: Column, sandbox: Column, production: Column, schema: Column) -> Column:
+    tokens = F.regexp_extract_all(statement, F.lit(TOKENS), F.lit(0))
+    named, within = F.lower(sandbox), F.lower(schema)
+
+    def renamed(words: Column) -> Column:
+        def each(word: Column, i: Column) -> Column:
+            qualifies = (F.get(words, i + 1) == ".") & (F.lower(F.get(words, i + 2)) == named)
+            return F.when(F.lower(word) == named, production).when((F.lower(word) == within) & qualifies, schema).otherwise(word)
+
+        return F.array_join(F.transform(words, each), "")
+
+    # The tokens stand in an array, so that they are found once however often they are looked at.
+    return F.transform(F.array(tokens), renamed)[0]
+
+
+def _replay_found(statement: Column, sandbox: Column, production: Column, schema: Column) -> Column:
+    """The same for names with other characters, by a pattern for each row."""
     def literally(name: Column) -> Column:
         return F.concat(F.lit(r"\Q"), F.replace(name, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
 

@@ -14,21 +14,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def quoted(name: str) -> str:
+    """A name as SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def named(column: str) -> Column:
     """A top-level column by its literal name, whatever characters that holds."""
-    return F.col("`" + column.replace("`", "``") + "`")
+    return F.col(quoted(column))
 
 
-def pair_row(prod: DataFrame, sbx: DataFrame, measures: Mapping[str, Column]) -> DataFrame:
+def pair_row(
+    prod: DataFrame, sbx: DataFrame, measures: Mapping[str, Column], known: Mapping[str, Column] | None = None
+) -> DataFrame:
     """One row with ``prod_<m>`` and ``sbx_<m>`` for every aggregate ``m``.
 
     Each side is one global aggregation (a single scan however many measures
-    there are); the two one-row results are folded by a second tiny one.
+    there are); the two one-row results are folded by a second tiny one. What is ``known`` of the sandbox's
+    measures is not computed again; if all are, the sandbox is not read.
     """
-    one_row = [
-        side.agg(*[agg.alias(f"{tag}_{name}") for name, agg in measures.items()])
-        for tag, side in (("prod", prod), ("sbx", sbx))
-    ]
+    def measured(tag: str, side: DataFrame, known: Mapping[str, Column]) -> DataFrame:
+        aggs = [agg.alias(f"{tag}_{name}") for name, agg in measures.items() if name not in known]
+        row = side.agg(*aggs) if aggs else side.sparkSession.range(1).select()
+        return row.select("*", *[known[name].alias(f"{tag}_{name}") for name in measures if name in known])
+
+    one_row = [measured("prod", prod, {}), measured("sbx", sbx, known or {})]
     both = one_row[0].unionByName(one_row[1], allowMissingColumns=True)
     return both.agg(*[F.max(named(name)).alias(name) for name in both.columns])
 

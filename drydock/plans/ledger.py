@@ -1,4 +1,4 @@
-"""Append-only ledgers: sandbox versions (with the changes that made them), check results.
+"""Append-only ledgers: sandbox versions (with the changes that made them), saved suites, check results.
 
 A ledger is a parquet folder; the current state is always derived from its rows. Any number of
 sessions may append at once: every append is written apart and then moved in as a folder of its own.
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from drydock.operators.transforms import latest_per_key
+from drydock.plans.profile import PROFILE_TYPE
 from drydock.workspace import child_names, delete_path, move_folder, workspace_root
 
 SCHEMAS = {
@@ -22,7 +23,11 @@ SCHEMAS = {
         " partition_by array<string>, n_rows bigint, dropped boolean,"
         " recorded_at timestamp,"
         " columns array<struct<column_name: string, data_type: string>>,"
-        " operation string, statement string"
+        f" operation string, statement string, profile {PROFILE_TYPE}"
+    ),
+    "check_suites": (
+        "sandbox_name string, suite_id string, saved_at timestamp, position int, kind string,"
+        " arguments string, name string, description string"
     ),
     "quality_results": (
         "run_id string, sandbox_name string, sandbox_version int, source_table string,"
@@ -33,6 +38,7 @@ SCHEMAS = {
 # The folders in which a reader finds the few rows it wants without listing the rest.
 PARTITIONS = {
     "sandboxes": ["sandbox_name"],
+    "check_suites": ["sandbox_name"],
     "quality_results": ["run_date"],
 }
 

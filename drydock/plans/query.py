@@ -2,28 +2,33 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row, SparkSession
 
 from drydock.operators.check import Check
+from drydock.operators.sides import quoted
 
 
 def query(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame]) -> DataFrame:
     """Run one SELECT over the named tables.
 
     The text is placed in a subquery, where Spark's grammar admits queries only: a
-    statement that writes is refused when it is parsed.
+    statement that writes is refused when it is parsed. The tables are known under their names inside this
+    query alone: views of the session that have the same names stay as they are.
     """
-    text = f"SELECT * FROM (\n{sql.strip().rstrip(';')}\n)"
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
+    views = {f"_q_{uuid.uuid4().hex}": (name, df) for name, df in tables.items()}
+    bound = ", ".join(f"{quoted(name)} AS (SELECT * FROM {view})" for view, (name, _) in views.items())
+    text = (f"WITH {bound} " if bound else "") + f"SELECT * FROM (\n{sql.strip().rstrip(';')}\n)"
     try:
+        for view, (_, df) in views.items():
+            df.createOrReplaceTempView(view)
         return spark.sql(text)  # the plan holds the tables; their names are not needed any more
     finally:
-        for name in tables:
-            spark.catalog.dropTempView(name)
+        for view in views:
+            spark.catalog.dropTempView(view)
 
 
 def sql_check(

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +17,7 @@ from pyspark.sql import types as T
 from drydock.operators.check import Check, KeyCheck, ScalarCheck
 from drydock.operators.sides import pair_row
 from drydock.plans.ledger import Ledger
+from drydock.plans.profile import Profile, known_measures
 
 # How many rows a result and a failure detail quote, and the texts around them.
 RESULT_ROWS = 10
@@ -132,11 +135,17 @@ def grade(check: Check, prod: DataFrame, sbx: DataFrame, position: int = 0) -> D
 
 
 def grade_scalars(
-    checks: Sequence[tuple[int, ScalarCheck]], prod: DataFrame, sbx: DataFrame
+    checks: Sequence[tuple[int, ScalarCheck]],
+    prod: DataFrame,
+    sbx: DataFrame,
+    known: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Graded rows of many scalar checks from one pass over each table."""
+    """Graded rows of many scalar checks from one pass over each table.
+
+    ``known`` gives measures of the sandbox that need no pass.
+    """
     measures = {name: agg for _, check in checks for name, agg in check.measures().items()}
-    outputs = pair_row(prod, sbx, measures).select([
+    outputs = pair_row(prod, sbx, measures, known).select([
         F.struct(*[v.alias(name) for name, v in check.outputs().items()]).alias(f"_{position}")
         for position, check in checks
     ])
@@ -166,10 +175,12 @@ def failed_check(
     return spark.createDataFrame([row], GRADED)
 
 
-def plan_suite(prod: DataFrame, sbx: DataFrame, checks: Sequence[Check]) -> DataFrame:
+def plan_suite(
+    prod: DataFrame, sbx: DataFrame, checks: Sequence[Check], profile: Profile | None = None
+) -> DataFrame:
     """Graded rows of all checks, as one lazy DataFrame.
 
-    Scalar checks share a single aggregation. The others are unioned, so that Spark
+    Scalar checks share a single aggregation, or take what the sandbox's ``profile`` knows. The others are unioned, so that Spark
     runs them side by side and checks over the same key reuse one shuffle. A check that
     cannot be built (say, for a missing column) becomes a FAIL row.
     """
@@ -180,8 +191,10 @@ def plan_suite(prod: DataFrame, sbx: DataFrame, checks: Sequence[Check]) -> Data
         (p, c.shared if isinstance(c, KeyCheck) and c.shared and keyed[c.keys] > 1 else c)
         for p, c in enumerate(checks)
     ]
+    known = known_measures(profile or {})
     frames = _try_grade(
-        [(p, c) for p, c in numbered if isinstance(c, ScalarCheck)], grade_scalars, prod, sbx
+        [(p, c) for p, c in numbered if isinstance(c, ScalarCheck)],
+        lambda checks, prod, sbx: grade_scalars(checks, prod, sbx, known), prod, sbx,
     )
     for position, check in numbered:
         if not isinstance(check, ScalarCheck):
@@ -219,36 +232,59 @@ def run_checks(
     ledger: Ledger | None = None,
     run_id: str | None = None,
     sandbox_version: int | None = None,
+    profile: Profile | None = None,
 ) -> DataFrame:
     """Run a suite, record its results (one row per check) in the ledger, and return them.
 
-    Checks are advisory. If the shared job fails at run time, the checks are run one
-    by one, so that only the broken ones are marked FAIL. With each result the ledger keeps
-    what was run (the check's definition) and on which version of the sandbox.
+    Checks are advisory. If the shared job fails at run time, the suite is halved again and again
+    until the broken checks stand alone, and only they are marked FAIL. With each result the ledger keeps
+    what was run (the check's definition) and on which version of the sandbox. A ``profile`` holds measures that were
+    taken while that version was written.
     """
     spark = prod.sparkSession
-    try:
-        graded = sorted(plan_suite(prod, sbx, checks).collect(), key=lambda row: row["position"])
-    except Exception:
-        if not checks:
-            raise
-        graded = [_run_alone(prod, sbx, check) for check in checks]
+    if not checks:
+        raise ValueError("no quality checks defined")
+    # Halves should share as much as they can: passes over scalars, and shuffles of a key.
+    alike = sorted(range(len(checks)), key=lambda p: _kin(checks[p]))
+    graded = dict(_graded(prod, sbx, [(p, checks[p]) for p in alike], profile))
     run_at = datetime.now(timezone.utc)
     run = dict(
         run_id=run_id or str(uuid.uuid4()), sandbox_name=sandbox_name, sandbox_version=sandbox_version,
         source_table=source_table, run_at=run_at, run_date=run_at.date(),
     )
     records = [
-        {**run, "definition": check.definition, **{k: v for k, v in row.asDict().items() if k != "position"}}
-        for check, row in zip(checks, graded, strict=True)
+        {**run, "definition": check.definition, **{k: v for k, v in graded[p].asDict().items() if k != "position"}}
+        for p, check in enumerate(checks)
     ]
     ledger = ledger or Ledger(spark)
     ledger.append("quality_results", records)
     return ledger.read("quality_results", str(run_at.date())).where(F.col("run_id") == run["run_id"])
 
 
-def _run_alone(prod: DataFrame, sbx: DataFrame, check: Check) -> Row:
+def _kin(check: Check) -> tuple:
+    """Sorts checks that share work next to each other."""
+    if isinstance(check, ScalarCheck):
+        return (0, ())
+    return (1, check.keys) if isinstance(check, KeyCheck) else (2, ())
+
+
+def _graded(
+    prod: DataFrame, sbx: DataFrame, checks: Sequence[tuple[int, Check]], profile: Profile | None
+) -> list[tuple[int, Row]]:
+    """Graded rows by position. One job for all; if it fails, one for each half, side by side.
+
+    One broken check of n so costs at most two jobs for each time that n can be halved.
+    """
+    positions = [p for p, _ in checks]
     try:
-        return plan_suite(prod, sbx, [check]).first()
+        rows = plan_suite(prod, sbx, [c for _, c in checks], profile).collect()
+        return [(positions[row["position"]], row) for row in rows]
     except Exception as error:
-        return failed_check(prod.sparkSession, check, 0, error).first()
+        if len(checks) == 1:
+            [(position, check)] = checks
+            return [(position, failed_check(prod.sparkSession, check, 0, error).first())]
+    middle = len(checks) // 2
+    halves = [checks[:middle], checks[middle:]]
+    work = inheritable_thread_target(prod.sparkSession)(lambda half: _graded(prod, sbx, half, profile))
+    with ThreadPoolExecutor(2) as pool:
+        return [row for half in pool.map(work, halves) for row in half]

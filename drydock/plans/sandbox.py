@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drydock.functions.text import replay_on
@@ -24,9 +24,11 @@ from drydock.operators.guard import (
     TableName,
     guard_target,
 )
+from drydock.operators.check import Check
 from drydock.operators.sides import named
 from drydock.operators.transforms import deduplicate, latest_per_key
 from drydock.plans.ledger import Ledger
+from drydock.plans.profile import Profile, Profiled
 from drydock.workspace import delete_path, workspace_root
 
 class _Order:
@@ -51,10 +53,15 @@ class Sandbox:
     partition_by: list[str]
     n_rows: int
     columns: list[tuple[str, str]]
+    profile: Profile = field(default_factory=dict)
 
 
 class SandboxStore:
-    """Creates, reads, changes and drops sandboxes under one workspace folder."""
+    """Creates, reads, changes and drops sandboxes under one workspace folder.
+
+    The measures of the scalar checks in ``profile`` are taken in the pass that writes a version and kept with it,
+    so that these checks need not read it.
+    """
 
     def __init__(
         self,
@@ -63,8 +70,10 @@ class SandboxStore:
         schema: str = DEFAULT_SCHEMA,
         prefix: str = SANDBOX_PREFIX,
         audit: str = AUDIT_TABLE,
+        profile: Sequence[Check] = (),
     ):
         self.spark = spark
+        self.profile = profile
         self.root = (root or workspace_root(spark)).rstrip("/")
         self.schema = str(TableName.plain(schema, "schema"))
         self.prefix, self.audit = prefix, audit
@@ -102,6 +111,7 @@ class SandboxStore:
         if not rows or rows[0]["dropped"]:
             raise ValueError(f"no sandbox named {sandbox_name!r}; create it first")
         row = rows[0].asDict()
+        row["profile"] = {name: tuple(measure) for name, measure in (row["profile"] or {}).items()}
         return Sandbox(**{f: row[f] for f in Sandbox.__dataclass_fields__})
 
     def latest_for(self, source_table: str) -> Sandbox | None:
@@ -116,7 +126,7 @@ class SandboxStore:
         """One ledger row per sandbox that has not been dropped."""
         newest = deduplicate(self.ledger.read("sandboxes"), ["sandbox_name"], NEWEST)
         return newest.where(~F.col("dropped")).drop(
-            "dropped", "recorded_at", "operation", "statement"
+            "dropped", "recorded_at", "operation", "statement", "profile"
         )
 
     def transformations(self, sandbox_name: str | None = None) -> DataFrame:
@@ -267,15 +277,25 @@ class SandboxStore:
     ) -> Sandbox:
         guard_target(sandbox_name, self.prefix, self.audit)
         path = f"{self.root}/sandboxes/{sandbox_name}/v={version}/{uuid.uuid4().hex}"
-        written = Observation()
-        rows = df.observe(written, F.count(F.lit(1)).alias("n_rows"))
-        rows.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
+        try:
+            written = self._written(df, path, partition_by, self.profile)
+        except Exception:
+            if not self.profile:
+                raise
+            delete_path(self.spark, path)  # a measure may be what failed, and must not keep a version from being
+            written = self._written(df, path, partition_by, ())
         return Sandbox(
             sandbox_name=sandbox_name, source_table=source_table, created_at=created_at,
             version=version, path=path, partition_by=partition_by,
-            n_rows=written.get["n_rows"], columns=_columns(df),
+            n_rows=written.n_rows, columns=_columns(df), profile=written.profile,
         )
 
+    @staticmethod
+    def _written(df: DataFrame, path: str, partition_by: list[str], checks: Sequence[Check]) -> Profiled:
+        profiled = Profiled(df, checks)
+        profiled.df.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
+        return profiled
+
     def _record(
         self,
         sandbox: Sandbox,

@@ -15,7 +15,8 @@ def spark(tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("workspace"))
     session = local_session(
         8, shuffle_partitions=4, app_name="tests",
-        **{"spark.drydock.workspace": folder, "spark.sql.warehouse.dir": folder},
+        # The warehouse is a URI, as Spark's default is.
+        **{"spark.drydock.workspace": folder, "spark.sql.warehouse.dir": f"file:{folder}/warehouse"},
     )
     yield session
     session.stop()

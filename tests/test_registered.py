@@ -37,6 +37,17 @@ def test_same_rows_as_sql(spark, oracle, name):
     assert got or name.startswith("c6"), "a query without rows checks nothing"
 
 
+@pytest.mark.parametrize("name", [n for n in sorted(ALL) if n.startswith(("s2", "k", "r3"))])
+def test_same_rows_below_the_default_warehouse(spark, oracle, name):
+    """What writes works without a workspace as well: everything then lies below a ``file:/`` URI."""
+    workspace = spark.conf.get("spark.drydock.workspace")
+    spark.conf.unset("spark.drydock.workspace")
+    try:
+        test_same_rows_as_sql(spark, oracle, name)
+    finally:
+        spark.conf.set("spark.drydock.workspace", workspace)
+
+
 def test_entry_grades_the_markup(spark):
     graded = {row["check"]: row["status"] for row in entrypoint.entry(spark).collect()}
     assert graded == {
