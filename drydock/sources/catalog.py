@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from functools import reduce
 
@@ -18,6 +19,7 @@ from drydock.operators.guard import (
 )
 from drydock.workspace import workspace_root
 
+SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*:)/+"
 #: Marks tables that a loader may drop and make again.
 RECREATED = "drydock.recreated"
 
@@ -69,14 +71,73 @@ def columns(spark: SparkSession, tables: Mapping[str, DataFrame]) -> DataFrame:
     )
 
 
+# Options of a Parquet read that leave its set of files as it is.
+HARMLESS = {"path", "paths", "basepath", "mergeschema", "serialization.format"}
+
+
+def _parquet_roots(df: DataFrame) -> dict[str, str]:
+    """The paths of a DataFrame that is a Parquet table and nothing else, by URI; none for any other."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() == "SubqueryAlias":
+        plan = plan.child()
+    if plan.getClass().getSimpleName() != "LogicalRelation":
+        return {}
+    relation = plan.relation()
+    if relation.getClass().getSimpleName() != "HadoopFsRelation" or relation.fileFormat().toString() != "Parquet":
+        return {}
+    files, options = relation.location(), set(relation.options().keys().mkString("\n").lower().split())
+    if files.getClass().getSimpleName() != "InMemoryFileIndex" or options - HARMLESS:
+        return {}
+    roots = [files.rootPaths().apply(i) for i in range(files.rootPaths().size())]
+    return {_flat(root.toUri().toString()): root.toString() for root in roots}
+
+
+def _flat(uri: str) -> str:
+    """A URI with one slash after its scheme, however many it was given with."""
+    return re.sub(SCHEME, r"\1/", uri)
+
+
+def _footer_counts(spark: SparkSession, roots: Mapping[str, Mapping[str, str]]) -> DataFrame:
+    """``table_name, row_count`` of Parquet tables given by name and paths, from one scan of all their files.
+
+    No column is read, so counts come from the footers, in tasks over all files together. A file's rows count
+    for every table whose path is the file or lies above it.
+    """
+    paths = {uri: path for own in roots.values() for uri, path in own.items()}
+    outer = [path for uri, path in sorted(paths.items()) if not paths.keys() & set(_ancestors(uri))]
+    files = spark.read.schema("_none int").option("recursiveFileLookup", True).parquet(*outer)
+    file = F.regexp_replace("_metadata.file_path", SCHEME, "$1/").alias("file")
+    counted = files.groupBy(file).agg(F.count(F.lit(1)).alias("n"))
+    parts = F.split("file", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    placed = counted.select(F.explode(above).alias("root"), "n").groupBy("root").agg(F.sum("n").alias("n"))
+    named = [(name, uri) for name, own in roots.items() for uri in own]
+    names = spark.createDataFrame(named, "table_name string, root string")
+    return names.join(placed, "root", "left").groupBy("table_name").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("row_count")
+    )
+
+
+def _ancestors(path: str) -> list[str]:
+    parts = path.split("/")
+    return ["/".join(parts[:n]) for n in range(1, len(parts))]
+
+
 def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """``table_name, row_count`` of many tables in one job."""
+    """``table_name, row_count`` of many tables in one job.
+
+    All plain Parquet tables are one scan together, which reads footers only; a DataFrame of any other kind is
+    counted by a plan of its own.
+    """
+    roots = {name: _parquet_roots(df) for name, df in tables.items()}
     counts = [
         df.agg(F.count(F.lit(1)).alias("row_count")).select(
             F.lit(name).alias("table_name"), "row_count"
         )
-        for name, df in sorted(tables.items())
+        for name, df in sorted(tables.items()) if not roots[name]
     ]
+    if any(roots.values()):
+        counts.append(_footer_counts(next(iter(tables.values())).sparkSession, roots))
     return reduce(DataFrame.unionByName, counts)
 
 

@@ -13,6 +13,8 @@ from drydock.operators import transforms as T
 from drydock.operators.check import Check
 from drydock.plans.ledger import Ledger, run_summary
 from drydock.plans.runner import evaluate, plan_suite, run_checks
+from drydock.plans.sandbox import SandboxStore
+from drydock.plans.suites import CheckSpec, SavedSuites
 from drydock.workspace import fresh_path
 from scenarios.base import (
     RELABELLED,
@@ -69,6 +71,35 @@ def run_suite(spark, sf_dir):
     return plan_suite(prod, changed(prod), suite(load(spark, sf_dir, "customer")))
 
 
+def saved_suite(spark, sf_dir):
+    """A suite saved for a sandbox and run by its name in another session.
+
+    The sandbox's version was written with the suite's scalar measures, so these checks do not read it.
+    """
+    root, prod = fresh_path(spark, "saved"), orders(spark, sf_dir)
+    specs = [
+        CheckSpec("row_count_match"),
+        CheckSpec("row_count_comparison"),
+        CheckSpec("sum_comparison", {"column": "o_totalprice", "scale": 2}),
+        CheckSpec("min_max_bounds", {"column": "o_totalprice"}),
+        CheckSpec("value_set_drift", {"column": "o_orderstatus"}),
+        CheckSpec("distribution_shift", {"column": "o_orderstatus"}),
+        CheckSpec("uniqueness_on_keys", {"keys": ["o_orderkey"]}),
+        CheckSpec("foreign_key_integrity", {"fk": "o_custkey", "referenced": "customer", "pk": "c_custkey"}),
+        CheckSpec("referential_completeness", {"key": "o_orderkey"}),
+        CheckSpec("new_rows_inspection", {"key": "o_orderkey"}),
+    ]
+    measured = [numeric.sum_comparison("o_totalprice", scale=2), numeric.min_max_bounds("o_totalprice"), volume.row_count_match()]
+    store = SandboxStore(spark, root, profile=measured)
+    name = store.commit(store.create("orders", prod), changed(prod)).sandbox_name
+    SavedSuites(store).save(name, specs)
+    later = spark.newSession()
+    tables = {"orders": orders(later, sf_dir), "customer": load(later, sf_dir, "customer")}
+    SavedSuites(SandboxStore(later, root)).run(name, tables)
+    results = Ledger(spark, root).read("quality_results")
+    return results.select("check", "status", "expected", "result", "detail", "sandbox_version")
+
+
 def run_failing_suite(spark, sf_dir):
     """Recorded results of a suite in which one check fails only when it runs."""
     prod = orders(spark, sf_dir)
@@ -299,6 +330,14 @@ def dictionary_update(spark, sf_dir):
 SCENARIOS = {
     "r1_evaluate_checks": Scenario(evaluate_checks, EVALUATE_SQL),
     "r3_run_suite": Scenario(run_suite, SUITE_SQL),
+    "r3_saved_suite": Scenario(
+        saved_suite,
+        f"{pair(ORDERS, CHANGED)}, "
+        + ", ".join(rows for rows, _ in GRADED)
+        + ' SELECT "check", status, expected, result, detail, 1 AS sandbox_version FROM ('
+        + " UNION ALL ".join(graded for _, graded in GRADED)
+        + ")",
+    ),
     "r3_suite_failing_at_run_time": Scenario(
         run_failing_suite,
         f"""

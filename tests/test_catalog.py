@@ -3,7 +3,7 @@ from __future__ import annotations
 import uuid
 
 import pytest
-from conftest import rows_of
+from conftest import final_plan, rows_of
 from pyspark.sql import functions as F
 
 from drydock.operators.guard import ProductionWriteBlocked
@@ -34,6 +34,26 @@ def test_listing_hides_sandboxes_and_audit(spark):
     assert rows_of(C.list_tables(tables)) == [("a", 3, "id (BIGINT)"), ("b", 3, "id (BIGINT)")]
 
 
+def test_parquet_tables_are_counted_by_one_scan(spark, tmp_path):
+    tables, want = {}, {}
+    for i in range(40):
+        path = str(tmp_path / f"t {i}" / "data")
+        spark.range(i).repartition(2).write.partitionBy(*(["id"] if i == 3 else [])).mode("overwrite").parquet(
+            path
+        ) if i != 3 else spark.range(3).withColumn("x", F.lit(1)).write.partitionBy("id").parquet(path)
+        tables[f"t{i}"], want[f"t{i}"] = spark.read.parquet(path) if i else spark.read.schema("id long").parquet(path), i
+    tables |= {"again": tables["t7"], "above": spark.read.schema("id long").parquet(str(tmp_path / "t 9")),
+               "filtered": tables["t9"].where("id > 5"), "made": spark.range(6), "aliased": tables["t8"].alias("a")}
+    single = next((tmp_path / "t 30" / "data").glob("*.parquet"))
+    tables["file"] = spark.read.parquet(f"file://{single}")
+    want |= {"again": 7, "above": 9, "filtered": 3, "made": 6, "aliased": 8, "file": spark.read.parquet(str(single)).count()}
+    counts = C.row_counts(tables)
+    assert {r["table_name"]: r["row_count"] for r in counts.collect()} == want
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2  # the one scan, and the filtered table
+    assert "ReadSchema: struct<>" in final_plan(C.row_counts({n: tables[n] for n in ("t5", "t6")}))
+
+
 def test_describe(spark):
     df = spark.sql("SELECT 1 AS a, 'x' AS b, array(1.5f) AS v, timestamp_ntz'2024-01-01' AS t")
     rows = [tuple(r) for r in C.describe_table("d", df).collect()]

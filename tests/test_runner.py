@@ -225,6 +225,20 @@ def test_query_refuses_writes(spark, orders, sql):
         query(spark, sql, {"orders": orders})
 
 
+def test_query_leaves_views_alone(spark, orders):
+    spark.range(3).createOrReplaceTempView("orders")
+    try:
+        assert query(spark, "SELECT count(*) AS n FROM orders", {"orders": orders}).first()["n"] == 5
+        assert spark.table("orders").count() == 3
+        assert query(spark, "SELECT * FROM `o'd``d`", {"o'd`d": orders}).count() == 5
+        both = query(spark, "WITH c AS (SELECT * FROM orders) SELECT * FROM c, vip", {"orders": orders, "vip": spark.range(2)})
+        assert both.count() == 10
+        assert query(spark, "SELECT 1 AS one", {}).first()["one"] == 1
+        assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("_q_")]
+    finally:
+        spark.catalog.dropTempView("orders")
+
+
 def test_query_accepts_any_select(spark, orders):
     for sql in (
         "SELECT status FROM orders ORDER BY order_id -- last",
