@@ -50,14 +50,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = pieces.load_model(TOKENIZER)
-    encoded = docs.withColumn("__ids", pieces.encode(F.col("text"), model))
-    decoded = encoded.withColumn("__decoded", pieces.decode(F.col("__ids"), model))
-    return decoded.select(
-        "doc_id",
-        F.col("__ids").alias("ids"),
-        F.size("__ids").cast("long").alias("n_tokens"),
-        F.col("__decoded").eqNullSafe(F.col("text")).alias("round_trip"),
-    )
+    found = pieces.tokenised(docs, F.col("text"), model, "doc_id")
+    return found.select("row.doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "round_trip")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

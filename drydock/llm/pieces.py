@@ -14,7 +14,9 @@ together, must merge to just these two. Every prefix of a text has one such last
 relaxation gives the tokens of the model's own encoder; the tests compare the two.
 
 Texts are first cut where no piece can reach across (before runs of blanks, if the
-vocabulary allows it), and segments that a worker has met before are not encoded again.
+vocabulary allows it), and segments that a worker has met lately are not encoded again. What a worker
+keeps is bounded in bytes, and texts of a batch are taken a few MB at a time, so its memory does not
+grow with the input.
 
 Defined cases: a NULL text has NULL ids and a NULL decoded text; an empty text has no tokens;
 characters outside the vocabulary become byte pieces, or the unknown piece in a model without
@@ -24,25 +26,31 @@ alike; an empty table gives no rows; other columns are left alone.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from drydock.llm.words import batches
+from drydock.llm.words import mix
 
 BLANK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Characters indexed by one suffix array.
+#: Characters indexed by one suffix array, and bytes of texts taken at once.
 INDEXED = 1 << 18
-#: Segments that a worker remembers, and verdicts on pairs of tokens.
-REMEMBERED = 500_000
-VERDICTS = 2_000_000
+TAKEN = 2 << 20
+#: Bytes of segments that a worker remembers, what one takes besides its characters and ids, and
+#: places for verdicts on pairs of tokens (a power of two).
+REMEMBERED = 64 << 20
+ENTRY = 220
+VERDICTS = 1 << 21
 #: What a unigram model's unknown character scores below its worst piece (fixed by the format).
 UNKNOWN_PENALTY = 10.0
 
@@ -114,7 +122,7 @@ def occurrences(codes: np.ndarray, pieces: np.ndarray, lengths: np.ndarray) -> t
     """(position, piece) of every occurrence of every piece, by binary search in a suffix array."""
     depth = int(lengths.max(initial=1))
     padded = np.concatenate((codes, np.zeros(depth + 1, codes.dtype)))
-    suffixes = suffix_array(codes, depth)
+    suffixes = suffix_array(codes, depth).astype(np.int32)
     alive = np.arange(len(pieces))
     lo, hi = np.zeros(len(pieces), np.int64), np.full(len(pieces), len(codes), np.int64)
     for at in range(depth):
@@ -124,11 +132,53 @@ def occurrences(codes: np.ndarray, pieces: np.ndarray, lengths: np.ndarray) -> t
         last = _bound(padded, suffixes, at, first, hi[alive], wanted, right=True)
         lo[alive], hi[alive] = first, last
     counts = hi - lo
-    found = np.repeat(np.arange(len(pieces)), counts)
+    found = np.repeat(np.arange(len(pieces), dtype=np.int32), counts)
     within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     return suffixes[np.repeat(lo, counts) + within], found
 
 
+class Decoder:
+    """What each id stands for."""
+
+    def __init__(self, model: Model) -> None:
+        self.dummy_prefix = model.dummy_prefix
+        self.surface = []
+        for piece, kind in zip(model.pieces, model.types, strict=True):
+            text = " ⁇ " if kind == UNKNOWN else "" if kind == CONTROL else piece.replace(BLANK, " ")
+            self.surface.append(bytes([int(piece[1:-1], 16)]) if kind == BYTE else text.encode("utf-8", "surrogatepass"))
+
+    def decode(self, ids: list[int]) -> str:
+        text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
+        return text[1:] if self.dummy_prefix and text.startswith(" ") else text
+
+
+class Memo:
+    """The ids of segments met lately, in about ``REMEMBERED`` bytes.
+
+    It has two halves; when the young one is full it takes the place of the old one, and only what has been asked for
+    since then stays.
+    """
+
+    def __init__(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.size = 0
+
+    def add(self, segment: str, ids: bytes) -> None:
+        if self.size > REMEMBERED // 2:
+            self.young, self.old, self.size = {}, self.young, 0
+        self.young[segment] = ids
+        self.size += ENTRY + 2 * len(segment) + len(ids)
+
+    def get(self, segment: str) -> bytes | None:
+        ids = self.young.get(segment)
+        if ids is None:
+            ids = self.old.get(segment)
+            if ids is not None:
+                self.add(segment, ids)
+        return ids
+
+
 class Encoder:
     """A model with its tables, as each Python worker keeps it."""
 
@@ -152,18 +202,13 @@ class Encoder:
         self.spelled = [model.pieces[i] for i in usable]
         self.outside: dict[str, int] = {}
         self.token_lengths = self.lengths
-        self.known_pairs = np.zeros(0, np.int64)
-        self.known_verdicts = np.zeros(0, bool)
-        self.remembered: dict[str, bytes] = {}
+        self.known_pairs = np.full(VERDICTS, -1, np.int64)
+        self.known_verdicts = np.zeros(VERDICTS, bool)
+        self.memo = Memo()
         reach = [p for p in self.rank if BLANK in p.lstrip(BLANK)]
         self.segments: Callable[[str], list[str]] = (
             (lambda text: [text] if text else []) if reach else re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+").findall
         )
-        surface = []
-        for piece, kind in zip(model.pieces, model.types, strict=True):
-            text = " ⁇ " if kind == UNKNOWN else "" if kind == CONTROL else piece.replace(BLANK, " ")
-            surface.append(bytes([int(piece[1:-1], 16)]) if kind == BYTE else text.encode("utf-8", "surrogatepass"))
-        self.surface = surface
 
     def normalised(self, text: str) -> str:
         if self.model.trim_blanks:
@@ -189,28 +234,25 @@ class Encoder:
         return self.spelled[token]
 
     def _continues(self, before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-        """Whether each token (after ``before``, or at the start where that is -1) stays as it is."""
-        pairs = (before + 1) * (1 << 32) + tokens
-        wanted, where = np.unique(pairs, return_inverse=True)
-        at = np.searchsorted(self.known_pairs, wanted)
-        at[at == len(self.known_pairs)] = 0
-        fresh = self.known_pairs[at] != wanted if len(self.known_pairs) else np.ones(len(wanted), bool)
-        if fresh.any():
-            new = wanted[fresh]
-            verdicts = np.empty(len(new), bool)
+        """Whether each token (after ``before``, or at the start where that is -1) stays as it is.
+
+        A pair has one place among the known ones, and a new one takes that of an older one.
+        """
+        pairs = (before.astype(np.int64) + 1) * (1 << 32) + tokens
+        place = (mix(pairs.view(np.uint64)) & np.uint64(VERDICTS - 1)).astype(np.int64)
+        verdicts = self.known_verdicts[place]
+        fresh = np.flatnonzero(self.known_pairs[place] != pairs)
+        if fresh.size:
+            new, sample, where = np.unique(pairs[fresh], return_index=True, return_inverse=True)
+            found = np.empty(len(new), bool)
             for i, pair in enumerate(new.tolist()):
                 left, right = (pair >> 32) - 1, self.spelled[pair & 0xFFFFFFFF]
                 parts = [right] if left < 0 else [self.spelled[left], right]
-                verdicts[i] = self.merged("".join(parts)) == parts
-            if len(self.known_pairs) > VERDICTS:
-                self.known_pairs, self.known_verdicts = np.zeros(0, np.int64), np.zeros(0, bool)
-                return self._continues(before, tokens)
-            codes = np.concatenate((self.known_pairs, new))
-            order = np.argsort(codes, kind="stable")
-            self.known_pairs = codes[order]
-            self.known_verdicts = np.concatenate((self.known_verdicts, verdicts))[order]
-            at = np.searchsorted(self.known_pairs, wanted)
-        return self.known_verdicts[at][where]
+                found[i] = self.merged("".join(parts)) == parts
+            verdicts[fresh] = found[where]
+            self.known_pairs[place[fresh[sample]]] = new
+            self.known_verdicts[place[fresh[sample]]] = found
+        return verdicts
 
     def _edges(self, segments: list[str]) -> tuple:
         """Segment starts and lengths, and all edges as (start, token)."""
@@ -235,15 +277,15 @@ class Encoder:
             self.token_lengths = np.concatenate((self.lengths, ones))
         at = np.concatenate((at, outside))
         tokens = np.concatenate((tokens, np.array(extra, np.int64)))
-        return starts, lengths, at, tokens
+        return starts, lengths, at.astype(np.int32), tokens.astype(np.int32)
 
     def _relaxed(self, segments: list[str]) -> list[bytes]:
         """The ids of each segment."""
         starts, lengths, at, tokens = self._edges(segments)
         size = int(starts[-1] + lengths[-1] + 2)
         # A node is a position in its own segment; a segment's end is the place of its separator.
-        first = np.repeat(starts, lengths + 1)
-        ends = at + self.token_lengths[tokens]
+        first = np.repeat(starts, lengths + 1).astype(np.int32)
+        ends = at + self.token_lengths[tokens].astype(np.int32)
         steps = ends - first[at]
         small = steps.max(initial=0) < 1 << 16
         order = np.argsort(steps.astype(np.uint16) if small else steps, kind="stable")
@@ -317,42 +359,51 @@ class Encoder:
                 out.append(self.unknown)
         return out
 
-    def _learn(self, segments: list[str]) -> None:
-        group, size = [], 0
-        for segment in segments:
+    def _learn(self, segments: list[str]) -> dict[str, bytes]:
+        """The ids of new segments, some of them indexed together."""
+        found, group, size = {}, [], 0
+        for number, segment in enumerate(segments, 1):
             group.append(segment)
             size += len(segment) + 1
-            if size >= INDEXED:
-                self._remember(group)
+            if size >= INDEXED or number == len(segments):
+                found.update(zip(group, self._relaxed(group), strict=True))
                 group, size = [], 0
-        if group:
-            self._remember(group)
-
-    def _remember(self, segments: list[str]) -> None:
-        self.remembered.update(zip(segments, self._relaxed(segments), strict=True))
+        for segment, ids in found.items():
+            self.memo.add(segment, ids)
+        return found
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
         cut = [None if t is None else self.segments(self.normalised(t)) for t in texts]
-        wanted = {s for segments in cut if segments for s in segments}
-        if len(self.remembered) + len(wanted) > REMEMBERED:
-            self.remembered = {s: self.remembered[s] for s in wanted if s in self.remembered}
-        self._learn([s for s in wanted if s not in self.remembered])
-        look = self.remembered.__getitem__
+        wanted = set(itertools.chain.from_iterable(segments for segments in cut if segments))
+        known = {s: self.memo.get(s) for s in wanted}
+        known.update(self._learn([s for s, ids in known.items() if ids is None]))
+        look = known.__getitem__
         return [None if s is None else np.frombuffer(b"".join(map(look, s)), np.int32) for s in cut]
 
-    def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
+_KEPT: dict[tuple[type, str], Encoder | Decoder] = {}
+
+
+def _kept(kind: type, model: Model) -> Encoder | Decoder:
+    """One of a kind per model and worker, so that what it has learnt is used again."""
+    if (kind, model.name) not in _KEPT:
+        _KEPT[kind, model.name] = kind(model)
+    return _KEPT[kind, model.name]
 
-_ENCODERS: dict[str, Encoder] = {}
 
+def _parts(texts: pa.Array) -> Iterator[pa.Array]:
+    """Slices of a column with about ``TAKEN`` bytes each; they become Python strings one after the other."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = [0, *(np.flatnonzero(np.diff(sizes // TAKEN)) + 1).tolist(), len(texts)]
+    return (texts.slice(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True))
 
-def _encoder(model: Model) -> Encoder:
-    """One encoder per model and worker, so that what it has learnt is used again."""
-    if model.name not in _ENCODERS:
-        _ENCODERS[model.name] = Encoder(model)
-    return _ENCODERS[model.name]
+
+def _id_lists(found: list[np.ndarray | None]) -> pa.Array:
+    lengths = [0 if x is None else len(x) for x in found]
+    offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+    values = np.concatenate([x for x in found if x is not None] or [np.zeros(0, np.int32)])
+    missing = pa.array([x is None for x in found], pa.bool_())
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()), mask=missing)
 
 
 def encode(text: Column, model: Model) -> Column:
@@ -360,17 +411,9 @@ def encode(text: Column, model: Model) -> Column:
 
     @F.arrow_udf("array<int>")
     def ids(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = _encoder(model)
+        encoder = _kept(Encoder, model)
         for column in columns:
-            texts = column.to_pylist()
-            found: list[np.ndarray | None] = []
-            for a, b in batches(texts, INDEXED * 8):
-                found += encoder.encode(texts[a:b])
-            lengths = [0 if x is None else len(x) for x in found]
-            offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
-            values = np.concatenate([x for x in found if x is not None] or [np.zeros(0, np.int32)])
-            missing = pa.array([x is None for x in found], pa.bool_())
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()), mask=missing)
+            yield pa.concat_arrays([_id_lists(encoder.encode(part.to_pylist())) for part in _parts(column)])
 
     return ids(text)
 
@@ -380,8 +423,35 @@ def decode(ids: Column, model: Model) -> Column:
 
     @F.arrow_udf("string")
     def text(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = _encoder(model)
+        decoder = _kept(Decoder, model)
         for column in columns:
-            yield pa.array([None if x is None else encoder.decode(x) for x in column.to_pylist()], pa.string())
+            yield pa.array([None if x is None else decoder.decode(x) for x in column.to_pylist()], pa.string())
 
     return text(ids)
+
+
+def tokenised(df: DataFrame, text: Column, model: Model, *keep: str) -> DataFrame:
+    """Both ways in one pass: ``row`` (a struct of the kept columns), ``ids``, ``decoded`` and ``round_trip``.
+
+    ``round_trip`` says whether the ids decode to the very text, for a NULL text too.
+    """
+    rows = df.select(F.struct(*[F.col(c) for c in keep]).alias("row"), text.cast("string").alias("text"))
+    made = rows.select(
+        "row", F.lit(None).cast("array<int>").alias("ids"), F.col("text").alias("decoded"), F.lit(True).alias("round_trip")
+    ).schema
+    arrow = to_arrow_schema(made)
+
+    def both(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = _kept(Encoder, model), _kept(Decoder, model)
+        for table in tables:
+            at = 0
+            for part in _parts(table.column("text")):
+                texts = part.to_pylist()
+                ids = encoder.encode(texts)
+                decoded = [None if x is None else decoder.decode(x.tolist()) for x in ids]
+                same = [a == b for a, b in zip(texts, decoded, strict=True)]
+                kept = table.column("row").slice(at, len(texts)).cast(arrow.field("row").type)
+                at += len(texts)
+                yield pa.RecordBatch.from_arrays([kept, _id_lists(ids), pa.array(decoded, pa.string()), pa.array(same)], schema=arrow)
+
+    return rows.mapInArrow(both, made)

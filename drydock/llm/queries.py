@@ -26,14 +26,13 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = pieces.load_model(TOKENIZER)
-    docs = load(spark, sf_dir, "documents").withColumn("ids", pieces.encode(F.col("text"), model))
-    docs = docs.withColumn("decoded", pieces.decode(F.col("ids"), model))
+    docs = pieces.tokenised(load(spark, sf_dir, "documents"), F.col("text"), model, "doc_id")
     return docs.select(
-        "doc_id",
+        "row.doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
+        "round_trip",
     )
 
 
