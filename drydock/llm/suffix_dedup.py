@@ -19,7 +19,8 @@ where an anchor's bytes are. Four steps, each a grouped job:
    each string around the anchor is known by the class of its left and that of its right part.
 4. Chunks mark the bytes that repeated strings cover.
 
-Each step but the first sends back a few bits per anchor; texts are shuffled once.
+Each step but the first sends back a few bits per anchor; texts are shuffled once. How many messages are sent
+depends on bytes alone: one at most for each chunk and range of hashes, and never more than anchors.
 
 Defined cases: a NULL text is empty; texts shorter than ``length`` bytes keep all bytes; rows with
 one id are one document here, so they do not repeat each other; a NULL id is larger than all
@@ -358,11 +359,9 @@ def repeated_spans(
     """
     if not GRAM < length <= GRAM + 63:
         raise ValueError(f"length must be {GRAM + 1} to {GRAM + 63}")
-    spark = df.sparkSession
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     total = df.agg(F.sum(F.octet_length(body))).first()[0] or 0
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks, buckets = max(2 * tasks, total // CHUNK), max(2 * tasks, total // GROUP)
+    chunks, buckets = total // CHUNK + 1, total // GROUP + 1
     docs = df.select(
         F.pmod(F.xxhash64(F.lit(3), F.col(id_col), text_key(F.col(text_col))), F.lit(chunks)).alias("chunk"),
         F.col(id_col).alias("doc"),

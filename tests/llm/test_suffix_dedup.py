@@ -65,6 +65,13 @@ def pieces(seed, alphabet, n):
     return rows
 
 
+@pytest.fixture(autouse=True)
+def several_chunks(monkeypatch):
+    """Small inputs are dealt over several chunks and ranges of hashes, too."""
+    monkeypatch.setattr(S, "CHUNK", 3000)
+    monkeypatch.setattr(S, "GROUP", 5000)
+
+
 @pytest.mark.parametrize(("seed", "alphabet"), [(1, "abcdefghij "), (2, "ab"), (3, "漢字é x"), (4, "a")])
 def test_against_brute_force(spark, seed, alphabet):
     check(spark, pieces(seed, alphabet, 60))
@@ -101,6 +108,19 @@ def test_other_lengths(spark, length):
         S.repeated_spans(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), length=16)
 
 
+def test_partitions_do_not_change_what_is_sent(spark, conf):
+    """Chunks and ranges of hashes follow the bytes, so as many messages go out whatever the partitions."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    sent = []
+    for partitions in ("3", "50"):
+        conf(shuffle__partitions=partitions, adaptive__coalescePartitions__enabled="false")
+        found = S.repeated_spans(docs)
+        rows = found.collect()
+        graph = found._jdf.queryExecution().executedPlan().toString()
+        sent.append((graph.count("FlatMapGroupsInArrow"), sorted((r.doc_id, repr(r.spans)) for r in rows)))
+    assert sent[0] == sent[1]
+
+
 def test_edges(spark):
     p = "0123456789" * 5
     q = "".join(chr(97 + i * 7 % 26) for i in range(50))
