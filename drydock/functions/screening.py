@@ -8,6 +8,10 @@ protects production is the typed guard in front of every sink.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,10 +41,24 @@ FOUND = ("operation", "target", "verdict", "is_read", "is_ddl")
 DDL = ["ALTER", "DROP", "CREATE", "CREATE OR REPLACE", "TRUNCATE"]
 
 
+def _holds(text: Column, parts: Iterable[str]) -> Column:
+    return reduce(or_, [text.contains(part) for part in parts])
+
+
+def _where_any(text: Column, parts: Iterable[str], change: Callable[[Column], Column]) -> Column:
+    """The changed text where it holds any of the parts; the text stands in an array, so it is made once."""
+    once = F.transform(F.array(text), lambda t: F.when(_holds(t, parts), change(t)).otherwise(t))
+    return once[0]
+
+
 def split_statements(sql: Column) -> Column:
-    """The statements of a batch, without comments, literals and repeated blanks."""
-    bare = F.regexp_replace(sql, QUOTED, " $1 ")
-    tidy = F.regexp_replace(F.regexp_replace(bare, r"\s{2,}|[^\S ]", " "), r" \. ?|\. ", ".")
+    """The statements of a batch, without comments, literals and repeated blanks.
+
+    A pattern is only tried on texts that hold what it looks for.
+    """
+    bare = _where_any(sql, [*"'\"`", "--", "/*"], lambda text: F.regexp_replace(text, QUOTED, " $1 "))
+    blank = _where_any(bare, ["  ", *"\n\t\r\x0b\x0c"], lambda text: F.regexp_replace(text, r"\s{2,}|[^\S ]", " "))
+    tidy = _where_any(blank, [" .", ". "], lambda text: F.regexp_replace(text, r" \. ?|\. ", "."))
     return F.filter(F.transform(F.split(tidy, ";"), lambda s: F.trim(s)), lambda s: s != "")
 
 
@@ -68,12 +86,15 @@ def _judged(
     review: verbs the rules don't know, plain CREATE elsewhere, WITH around a write.
     """
     text, operation, target = F.col("_text"), F.col("operation"), F.col("target")
-    names = F.regexp_replace(F.regexp_extract(text, WRITE, 2), "[\"`]", "")
+    written = F.when(operation.isin(*GUARDED, "CREATE"), F.regexp_extract(text, WRITE, 2)).otherwise("")
+    names = F.col("_names")
+    unclosed = F.regexp_replace(text, IDENTIFIER, "").rlike(UNCLOSED)
     read = (
         _statements(log, id_column, sql_column)
         .withColumn("operation", F.upper(F.regexp_extract(text, VERB, 1)))
-        .withColumn("target", F.lower(F.regexp_replace(F.trim(names), " ?, ?", ",")))
-        .withColumn("_unclosed", F.regexp_replace(text, IDENTIFIER, "").rlike(UNCLOSED))
+        .withColumn("_names", F.trim(F.translate(written, "\"`", "")))
+        .withColumn("target", F.lower(F.when(names.contains(","), F.regexp_replace(names, " ?, ?", ",")).otherwise(names)))
+        .withColumn("_unclosed", F.when(_holds(text, [*"'\"`", "/*"]), unclosed).otherwise(False))
     )
     safe = target.rlike(_all_writable(prefix, audit))
     is_read = ((operation == "SELECT") & ~text.rlike(INTO)) | (
