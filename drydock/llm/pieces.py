@@ -48,9 +48,9 @@ INDEXED = 1 << 18
 TAKEN = 2 << 20
 #: Bytes of segments that a worker remembers, what one takes besides its characters and ids, and
 #: places for verdicts on pairs of tokens (a power of two).
-REMEMBERED = 64 << 20
+REMEMBERED = 128 << 20
 ENTRY = 220
-VERDICTS = 1 << 21
+VERDICTS = 1 << 22
 #: What a unigram model's unknown character scores below its worst piece (fixed by the format).
 UNKNOWN_PENALTY = 10.0
 
@@ -170,14 +170,6 @@ class Memo:
         self.young[segment] = ids
         self.size += ENTRY + 2 * len(segment) + len(ids)
 
-    def get(self, segment: str) -> bytes | None:
-        ids = self.young.get(segment)
-        if ids is None:
-            ids = self.old.get(segment)
-            if ids is not None:
-                self.add(segment, ids)
-        return ids
-
 
 class Encoder:
     """A model with its tables, as each Python worker keeps it."""
@@ -375,7 +367,11 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
         cut = [None if t is None else self.segments(self.normalised(t)) for t in texts]
         wanted = set(itertools.chain.from_iterable(segments for segments in cut if segments))
-        known = {s: self.memo.get(s) for s in wanted}
+        young, old = self.memo.young, self.memo.old
+        known = {s: young.get(s) for s in wanted}
+        for segment in [s for s, ids in known.items() if ids is None and s in old]:
+            known[segment] = old[segment]
+            self.memo.add(segment, old[segment])
         known.update(self._learn([s for s, ids in known.items() if ids is None]))
         look = known.__getitem__
         return [None if s is None else np.frombuffer(b"".join(map(look, s)), np.int32) for s in cut]
