@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from drydock.operators.check import Check, KeyCheck, RowsFn, defined
-from drydock.operators.sides import named, side_counts
+from drydock.operators.sides import LONG_LISTING, listed_shares, named, side_counts
 
 #: Copies of a row that are made from one array.
 BLOCK = 65536
@@ -93,6 +93,9 @@ def referential_completeness(
     def listed(prod: DataFrame, sbx: DataFrame, limit: int | None) -> DataFrame:
         first = F.col("missing_from_sandbox").asc_nulls_first()
         lost = lost_keys(prod, sbx).select(named(key).alias("missing_from_sandbox"), "prod_n")
+        if limit is not None and limit > LONG_LISTING:
+            shares = listed_shares(lost, "missing_from_sandbox", "prod_n", limit)
+            return _repeated(shares.select("missing_from_sandbox", "_take"), "_take").orderBy(first)
         if limit is not None:
             lost = lost.orderBy(first).limit(limit)
             lost = lost.withColumn("prod_n", F.least("prod_n", F.lit(limit).cast("long")))

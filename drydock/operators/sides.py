@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -65,6 +65,22 @@ def side_counts(prod: DataFrame, sbx: DataFrame, keys: Sequence[str]) -> DataFra
     )
 
 
+#: Listings of more rows than this are put together from shares of keys, not cut from whole rows in one task.
+LONG_LISTING = 10_000
+
+
+def listed_shares(counts: DataFrame, key: str, n: str, limit: int) -> DataFrame:
+    """The keys that a listing of ``limit`` rows reaches, and how many rows of each it takes, as ``_take``.
+
+    ``n`` is how many rows a key has. Keys go in ascending order, NULL first. What meets in one task to be
+    added up are a key and a number for each row listed at most, never a whole row.
+    """
+    first = named(key).asc_nulls_first()
+    before = F.sum(n).over(Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1))
+    reached = counts.orderBy(first).limit(limit).withColumn("_take", F.lit(limit) - F.coalesce(before, F.lit(0)))
+    return reached.where(F.col("_take") > 0).withColumn("_take", F.least("_take", n))
+
+
 def key_columns(keys: Sequence[str]) -> list[Column]:
     """The keys as ``_k_<key>``, and their hash ``_h``, for one side of a join.
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from drydock.operators.check import KeyCheck, ScalarCheck, defined, pass_if
-from drydock.operators.sides import named, side_counts
+from drydock.operators.sides import LONG_LISTING, listed_shares, named, side_counts
 
 
 def row_count_comparison(
@@ -48,7 +48,8 @@ def new_rows_inspection(
 
     New keys come from pre-aggregated counts; only for those that can be listed are whole rows
     looked up, in a second scan. Rows are in the order of the key (NULL, which is always new,
-    first) and then of all other columns.
+    first) and then of all other columns. A long listing takes its share of each key, so that its rows are
+    sorted in many tasks and none is handed all of them.
     """
 
     def new_keys(prod: DataFrame, sbx: DataFrame) -> DataFrame:
@@ -56,14 +57,26 @@ def new_rows_inspection(
 
     def listed(prod: DataFrame, sbx: DataFrame, limit: int | None) -> DataFrame:
         first = named(key).asc_nulls_first()
-        wanted = new_keys(prod, sbx).select(named(key).alias("_new_key"))
+        wanted = new_keys(prod, sbx).select(named(key).alias("_new_key"), "sbx_n")
+        ties = [named(f.name) for f in sbx.schema if f.name != key and _orderable(f.dataType)]
+        if limit is not None and limit > LONG_LISTING:
+            return long_list(sbx, wanted, limit, ties).orderBy(first, *ties).withColumn("status", F.lit("PASS"))
         if limit is not None:
             wanted = wanted.orderBy(F.col("_new_key").asc_nulls_first()).limit(limit)
         rows = sbx.join(wanted, named(key).eqNullSafe(F.col("_new_key")), "left_semi")
-        ties = [named(f.name) for f in sbx.schema if f.name != key and _orderable(f.dataType)]
         rows = rows.orderBy(first, *ties)
         return (rows if limit is None else rows.limit(limit)).withColumn("status", F.lit("PASS"))
 
+    def long_list(sbx: DataFrame, wanted: DataFrame, limit: int, ties: list[Column]) -> DataFrame:
+        """Rows of all keys that are listed in whole, and of the one that is cut its first."""
+        shares = listed_shares(wanted, "_new_key", "sbx_n", limit)
+        own = [named(c) for c in sbx.columns]
+        found = sbx.join(shares, named(key).eqNullSafe(F.col("_new_key")))
+        place = F.row_number().over(Window.partitionBy("_new_key").orderBy(*ties or [F.lit(0)]))
+        cut = found.where(F.col("_take") < F.col("sbx_n")).withColumn("_place", place)
+        cut = cut.where((F.col("_place") <= limit) & (F.col("_place") <= F.col("_take")))
+        return found.where(F.col("_take") == F.col("sbx_n")).select(own).unionByName(cut.select(own))
+
     def totals(prod: DataFrame, sbx: DataFrame) -> DataFrame:
         n = F.coalesce(F.sum("sbx_n"), F.lit(0)).cast("long")
         return new_keys(prod, sbx).agg(n.alias("n_rows")).withColumn("n_failed", F.lit(0).cast("long"))

@@ -229,6 +229,28 @@ def test_new_rows(spark, orders, limit):
     ]
 
 
+@pytest.mark.parametrize("limit", [1, 5, 12, 40, 59, 60, 61, 500])
+def test_long_listings_are_the_same_rows(spark, monkeypatch, limit):
+    """Put together from shares of keys, with NULLs, copies and a cut inside a key."""
+    old = spark.sql("SELECT CAST(id AS int) AS k, id AS x FROM range(5)")
+    rows = [(None if i % 7 == 0 else i % 11 + 3, i * 37 % 20) for i in range(80)]
+    new = spark.createDataFrame(rows, "k int, x bigint").repartition(4)
+    for check, prod, sbx in (
+        (volume.new_rows_inspection("k", limit=limit), old, new),
+        (integrity.referential_completeness("k", limit=limit), new, old),
+    ):
+        short = [tuple(r) for r in check.rows(prod, sbx).collect()]
+        with monkeypatch.context() as patch:
+            for module in (volume, integrity):
+                patch.setattr(module, "LONG_LISTING", 0)
+            listing = check.rows(prod, sbx)
+            assert [tuple(r) for r in listing.collect()] == short and len(short) <= limit
+            if check.name == "new_rows_inspection":
+                plan = listing._jdf.queryExecution().optimizedPlan().toString()
+                limited = plan[plan.index("GlobalLimit"):].splitlines()[2]
+                assert "k" in limited and "x" not in limited.split("Sort")[-1]  # keys are cut, never whole rows
+
+
 @pytest.mark.parametrize("limit", [3, 2000])
 def test_listings_have_a_limit_and_an_order(spark, limit):
     small, large = spark.range(100), spark.range(-3000, 200)
