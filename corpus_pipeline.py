@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from drydock.llm import decontamination, language_id, line_dedup, minhash, pieces
 from drydock.llm.common import load, stored
 
+#: Executors still hold what earlier stages took, so a worker of the last stage takes less.
+REMEMBERED, INDEXED = 24 << 20, 1 << 16
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 MIN_DOCS = 10
 
@@ -50,7 +52,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = pieces.load_model(TOKENIZER)
-    found = pieces.tokenised(docs, F.col("text"), model, "doc_id")
+    found = pieces.tokenised(docs, F.col("text"), model, "doc_id", remembered=REMEMBERED, indexed=INDEXED)
     return found.select("row.doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "round_trip")
 
 

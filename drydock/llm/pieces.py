@@ -26,10 +26,10 @@ alike; an empty table gives no rows; other columns are left alone.
 
 from __future__ import annotations
 
-import itertools
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,19 +38,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from drydock.llm.words import mix
+from drydock.llm.words import INVERSE, ODD, mix
 
 BLANK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Characters indexed by one suffix array, and bytes of texts taken at once.
+#: Characters indexed by one suffix array, and how many times as many bytes of texts are taken at once.
 INDEXED = 1 << 18
-TAKEN = 2 << 20
+TAKEN = 8
 #: Bytes of segments that a worker remembers, what one takes besides its characters and ids, and
 #: places for verdicts on pairs of tokens (a power of two).
-REMEMBERED = 128 << 20
+REMEMBERED = 160 << 20
 ENTRY = 220
-VERDICTS = 1 << 22
+VERDICTS = 1 << 21
 #: What a unigram model's unknown character scores below its worst piece (fixed by the format).
 UNKNOWN_PENALTY = 10.0
 
@@ -153,19 +153,20 @@ class Decoder:
 
 
 class Memo:
-    """The ids of segments met lately, in about ``REMEMBERED`` bytes.
+    """The ids of segments met lately, in about ``limit`` bytes.
 
     It has two halves; when the young one is full it takes the place of the old one, and only what has been asked for
     since then stays.
     """
 
-    def __init__(self) -> None:
+    def __init__(self, limit: int) -> None:
+        self.limit = limit
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.size = 0
 
     def add(self, segment: str, ids: bytes) -> None:
-        if self.size > REMEMBERED // 2:
+        if self.size > self.limit // 2:
             self.young, self.old, self.size = {}, self.young, 0
         self.young[segment] = ids
         self.size += ENTRY + 2 * len(segment) + len(ids)
@@ -174,8 +175,9 @@ class Memo:
 class Encoder:
     """A model with its tables, as each Python worker keeps it."""
 
-    def __init__(self, model: Model) -> None:
+    def __init__(self, model: Model, remembered: int | None = None, indexed: int | None = None) -> None:
         self.model = model
+        self.indexed = INDEXED if indexed is None else indexed
         usable = [i for i, t in enumerate(model.types) if t in (NORMAL, UNUSED) and model.pieces[i]]
         if model.kind == UNIGRAM:
             usable = [i for i in usable if model.types[i] == NORMAL]
@@ -196,11 +198,9 @@ class Encoder:
         self.token_lengths = self.lengths
         self.known_pairs = np.full(VERDICTS, -1, np.int64)
         self.known_verdicts = np.zeros(VERDICTS, bool)
-        self.memo = Memo()
-        reach = [p for p in self.rank if BLANK in p.lstrip(BLANK)]
-        self.segments: Callable[[str], list[str]] = (
-            (lambda text: [text] if text else []) if reach else re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+").findall
-        )
+        self.memo = Memo(REMEMBERED if remembered is None else remembered)
+        #: Whether no piece reaches across the begin of a run of blanks.
+        self.parted = not any(BLANK in p.lstrip(BLANK) for p in self.rank)
 
     def normalised(self, text: str) -> str:
         if self.model.trim_blanks:
@@ -357,7 +357,7 @@ class Encoder:
         for number, segment in enumerate(segments, 1):
             group.append(segment)
             size += len(segment) + 1
-            if size >= INDEXED or number == len(segments):
+            if size >= self.indexed or number == len(segments):
                 found.update(zip(group, self._relaxed(group), strict=True))
                 group, size = [], 0
         for segment, ids in found.items():
@@ -365,32 +365,83 @@ class Encoder:
         return found
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        cut = [None if t is None else self.segments(self.normalised(t)) for t in texts]
-        wanted = set(itertools.chain.from_iterable(segments for segments in cut if segments))
+        """The ids of each text. Texts are laid end to end; each distinct segment is looked up or encoded once."""
+        normal = ["" if t is None else self.normalised(t) for t in texts]
+        whole, ends = "".join(normal), np.cumsum([len(t) for t in normal])
+        codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        cut = np.zeros(len(codes) + 1, bool)
+        cut[np.concatenate(([0], ends)).astype(np.int64)] = True
+        if self.parted:
+            blank = codes == ord(BLANK)
+            cut[1:-1] |= blank[1:] & ~blank[:-1]
+        starts = np.flatnonzero(cut[:-1])
+        lengths = np.diff(np.append(starts, len(codes)))
+        number, sample = alike(codes, starts, lengths)
+        distinct = [whole[a : a + n] for a, n in zip(starts[sample].tolist(), lengths[sample].tolist(), strict=True)]
+        known = self._known(distinct)
+        sizes = np.array([len(ids) >> 2 for ids in known], np.int64)
+        flat, first = np.frombuffer(b"".join(known), np.int32), np.cumsum(sizes) - sizes
+        counts = sizes[number]
+        ids = flat[np.arange(counts.sum()) + np.repeat(first[number] - (np.cumsum(counts) - counts), counts)]
+        owner = np.searchsorted(ends, starts, side="right")
+        per_text = np.bincount(owner, counts, len(texts)).astype(np.int64)
+        parts = np.split(ids, np.cumsum(per_text)[:-1]) if texts else []
+        return [None if t is None else part for t, part in zip(texts, parts, strict=True)]
+
+    def _known(self, segments: list[str]) -> list[bytes]:
+        """The ids of distinct segments, remembered or new."""
         young, old = self.memo.young, self.memo.old
-        known = {s: young.get(s) for s in wanted}
+        known = {s: young.get(s) for s in segments}
         for segment in [s for s, ids in known.items() if ids is None and s in old]:
             known[segment] = old[segment]
             self.memo.add(segment, old[segment])
         known.update(self._learn([s for s, ids in known.items() if ids is None]))
-        look = known.__getitem__
-        return [None if s is None else np.frombuffer(b"".join(map(look, s)), np.int32) for s in cut]
+        return [known[s] for s in segments]
+
 
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(n, ODD), np.full(n, INVERSE)
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
-_KEPT: dict[tuple[type, str], Encoder | Decoder] = {}
 
+def alike(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each run of codes, the same for equal ones, and a sample of each number.
 
-def _kept(kind: type, model: Model) -> Encoder | Decoder:
+    Runs are brought together by hash and then compared code by code, so equal numbers mean equal runs.
+    """
+    up, down = _powers(1 << max(20, (len(codes) + 1).bit_length()))
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum((codes + np.uint32(1)) * up[: len(codes)], out=sums[1:])
+    hashes = mix((sums[starts + lengths] - sums[starts]) * down[starts] + lengths.astype(np.uint64))
+    _, sample, number = np.unique(hashes, return_index=True, return_inverse=True)
+    shift = starts[sample][number] - starts
+    same = (lengths[sample][number] == lengths).all() and np.array_equal(
+        codes, codes[np.arange(len(codes)) + np.repeat(shift, lengths)]
+    )
+    if same:
+        return number, sample
+    runs = [codes[a : a + n].tobytes() for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
+    _, sample, number = np.unique(np.array(runs, object), return_index=True, return_inverse=True)
+    return number, sample
+
+
+_KEPT: dict[tuple, Encoder | Decoder] = {}
+
+
+def _kept(kind: type, model: Model, *options: int) -> Encoder | Decoder:
     """One of a kind per model and worker, so that what it has learnt is used again."""
-    if (kind, model.name) not in _KEPT:
-        _KEPT[kind, model.name] = kind(model)
-    return _KEPT[kind, model.name]
+    key = (kind, model.name, *options)
+    if key not in _KEPT:
+        _KEPT[key] = kind(model, *options)
+    return _KEPT[key]
 
 
-def _parts(texts: pa.Array) -> Iterator[pa.Array]:
-    """Slices of a column with about ``TAKEN`` bytes each; they become Python strings one after the other."""
+def _parts(texts: pa.Array, taken: int) -> Iterator[pa.Array]:
+    """Slices of a column with about ``taken`` bytes each; they become Python strings one after the other."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    cuts = [0, *(np.flatnonzero(np.diff(sizes // TAKEN)) + 1).tolist(), len(texts)]
+    cuts = [0, *(np.flatnonzero(np.diff(sizes // taken)) + 1).tolist(), len(texts)]
     return (texts.slice(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True))
 
 
@@ -409,7 +460,7 @@ def encode(text: Column, model: Model) -> Column:
     def ids(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _kept(Encoder, model)
         for column in columns:
-            yield pa.concat_arrays([_id_lists(encoder.encode(part.to_pylist())) for part in _parts(column)])
+            yield pa.concat_arrays([_id_lists(encoder.encode(part.to_pylist())) for part in _parts(column, INDEXED * TAKEN)])
 
     return ids(text)
 
@@ -426,10 +477,11 @@ def decode(ids: Column, model: Model) -> Column:
     return text(ids)
 
 
-def tokenised(df: DataFrame, text: Column, model: Model, *keep: str) -> DataFrame:
+def tokenised(df: DataFrame, text: Column, model: Model, *keep: str, remembered: int = REMEMBERED, indexed: int = INDEXED) -> DataFrame:
     """Both ways in one pass: ``row`` (a struct of the kept columns), ``ids``, ``decoded`` and ``round_trip``.
 
-    ``round_trip`` says whether the ids decode to the very text, for a NULL text too.
+    ``round_trip`` says whether the ids decode to the very text, for a NULL text too. ``remembered`` bytes of segments
+    are kept by each worker, and ``indexed`` characters go into one suffix array; fewer cost time, never other ids.
     """
     rows = df.select(F.struct(*[F.col(c) for c in keep]).alias("row"), text.cast("string").alias("text"))
     made = rows.select(
@@ -438,10 +490,10 @@ def tokenised(df: DataFrame, text: Column, model: Model, *keep: str) -> DataFram
     arrow = to_arrow_schema(made)
 
     def both(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = _kept(Encoder, model), _kept(Decoder, model)
+        encoder, decoder = _kept(Encoder, model, remembered, indexed), _kept(Decoder, model)
         for table in tables:
             at = 0
-            for part in _parts(table.column("text")):
+            for part in _parts(table.column("text"), indexed * TAKEN):
                 texts = part.to_pylist()
                 ids = encoder.encode(texts)
                 decoded = [None if x is None else decoder.decode(x.tolist()) for x in ids]

@@ -135,6 +135,20 @@ def test_unigram_models_take_the_best_sum(tmp_path, fallback):
             assert decoder.decode(ids.tolist()) == text
 
 
+@pytest.mark.parametrize("broken", [False, True])
+def test_equal_runs_get_one_number(monkeypatch, broken):
+    """Also where hashes tell nothing apart: then the codes decide."""
+    if broken:
+        monkeypatch.setattr(P, "mix", lambda x: x * np.uint64(0))
+    rng = np.random.default_rng(1)
+    lengths = rng.integers(1, 4, 200)
+    starts, codes = np.cumsum(lengths) - lengths, rng.integers(0, 3, lengths.sum()).astype(np.uint32)
+    number, sample = P.alike(codes, starts, lengths)
+    runs = [tuple(codes[a : a + n].tolist()) for a, n in zip(starts, lengths)]
+    assert len({(r, n) for r, n in zip(runs, number.tolist())}) == len(set(runs)) == len(sample)
+    assert [runs[i] for i in sample[number]] == runs
+
+
 def test_suffix_array_and_occurrences():
     rng = np.random.default_rng(4)
     codes = rng.integers(1, 4, 300)
