@@ -46,6 +46,23 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def whole_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``row`` (all columns), ``id``, ``text`` and ``tkey``: helpers beside a row never meet its own names."""
+    columns = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+    own = {c: F.col("`" + c.replace("`", "``") + "`") for c in (id_col, text_col)}
+    return df.select(
+        F.struct(*columns).alias("row"), own[id_col].alias("id"), own[text_col].alias("text"),
+        text_key(own[text_col]).alias("tkey"),
+    )
+
+
+def rows_listed(df: DataFrame, listed: DataFrame, how: str, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``df`` whose id and text key are ``listed`` ('left_semi'), or are not ('left_anti')."""
+    found = listed.select(F.col(id_col).alias("listed_id"), F.col("tkey").alias("listed_tkey")).distinct()
+    same = F.col("id").eqNullSafe(F.col("listed_id")) & (F.col("tkey") == F.col("listed_tkey"))
+    return whole_rows(df, id_col, text_col).join(found, same, how)
+
+
 def inline_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A table of a few literal rows, made in the plan itself."""
     fields = [field.split() for field in schema.split(", ")]

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drydock.llm.common import stored, text_key
+from drydock.llm.common import rows_listed, stored, text_key
 from drydock.llm.words import PUNCTUATION_TABLE, batches, shingles_of, words_of
 
 NGRAM = 3
@@ -319,7 +319,5 @@ def contaminated(
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``df`` without the documents that hold a copy of a test item."""
     found = contaminated(df, benchmark, id_col, text_col, **options)
-    leaks = stored(found.select(F.col(id_col).alias("__id"), F.col("tkey").alias("__tkey")).distinct(), "leaks")
-    keyed = df.withColumn("__own_tkey", text_key(F.col(text_col)))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own_tkey") == F.col("__tkey"))
-    return keyed.join(leaks, same, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+    leaks = stored(found.select(id_col, "tkey").distinct(), "leaks")
+    return rows_listed(df, leaks, "left_anti", id_col, text_col).select("row.*")

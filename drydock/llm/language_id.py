@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from drydock.llm.common import stored, text_key
+from drydock.llm.common import rows_listed, stored, text_key
 from drydock.llm.words import batches
 
 LANGUAGES = ("de", "en", "es", "fr")
@@ -287,9 +287,5 @@ def page_columns(html: Column, url: Column) -> dict[str, Column]:
 def drop_undetermined(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``df`` without the rows that :func:`identify` rejects; these few rows are what moves."""
     found = identify(df, id_col=id_col, text_col=text_col, **options).where(~F.col("kept"))
-    rejected = stored(
-        found.select(F.col(id_col).alias("__id"), F.col("tkey").alias("__tkey")).distinct(), "rejected"
-    )
-    keyed = df.withColumn("__own_tkey", text_key(F.col(text_col)))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own_tkey") == F.col("__tkey"))
-    return keyed.join(rejected, same, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+    rejected = stored(found.select(id_col, "tkey").distinct(), "rejected")
+    return rows_listed(df, rejected, "left_anti", id_col, text_col).select("row.*")

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from drydock.llm.common import BLANKS, ascii_lower, stored, text_key
+from drydock.llm.common import BLANKS, ascii_lower, stored, text_key, whole_rows
 
 SALTS = 64
 GROUP = ["h1", "h2", "salt"]
@@ -149,11 +149,13 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
 def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``df`` with the bitmaps applied to its texts; rows that lose no line stay as they are."""
+    rows = _with_keep(whole_rows(df, id_col, text_col), "id", "text", **options)
     changed = F.size("__keep") != 1
     changed = changed | (F.col("__keep")[0]["length"] != F.col("__n_lines"))
-    text = F.when(changed, kept_text(F.col(text_col), F.col("__keep"))).otherwise(F.col(text_col))
-    rows = _with_keep(df, id_col, text_col, **options)
-    return rows.withColumn(text_col, text).select(*[F.col(f"`{c}`") for c in df.columns])
+    text = F.when(changed, kept_text(F.col("text"), F.col("__keep"))).otherwise(F.col("text"))
+    return rows.select(*[
+        text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in df.columns
+    ])
 
 
 def kept_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drydock.llm.common import stored, text_key
+from drydock.llm.common import rows_listed, stored, text_key
 from drydock.llm.components import components
 from drydock.llm.words import batches, mix, shingles_of, words_of
 
@@ -363,9 +363,9 @@ def near_duplicates(
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of ``df`` for each component, that with the smallest id (then text key)."""
+    """One row of ``df`` for each component, that with the smallest id (then text key, then its other columns as JSON)."""
     found = near_duplicates(df, id_col=id_col, text_col=text_col, **options).where("leads")
-    leads = found.select(F.col(id_col).alias("__id"), F.col("tkey").alias("__tkey")).distinct()
-    keyed = df.withColumn("__own_tkey", text_key(F.col(text_col))).dropDuplicates([id_col, "__own_tkey"])
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own_tkey") == F.col("__tkey"))
-    return keyed.join(leads, same, "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
+    leads = rows_listed(df, found, "left_semi", id_col, text_col)
+    others = [F.col("row")[c].alias(c) for c in df.columns if c not in (id_col, text_col)]
+    one = F.min_by("row", F.to_json(F.struct(F.lit(0).alias("_"), *others))).alias("row")
+    return leads.groupBy("id", "tkey").agg(one).select("row.*")

@@ -138,15 +138,16 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LINE_DEDUP_SQL = f"""
-    WITH docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines
+    WITH docs AS (SELECT row_number() OVER () AS r, dense_rank() OVER (ORDER BY doc_id, text) AS d, doc_id,
+                         string_split(coalesce(text, ''), chr(10)) AS lines
                   FROM documents),
-    split AS (SELECT r, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM docs),
+    split AS (SELECT r, d, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM docs),
     keyed AS (
         SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
         FROM split),
     repeated AS (
-        SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= {MIN_DOCS}),
+        SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT d) >= {MIN_DOCS}),
     marked AS (SELECT keyed.*, repeated.key IS NOT NULL AS dropped FROM keyed LEFT JOIN repeated USING (key))
     SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
            sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
