@@ -100,7 +100,7 @@ def test_odd_documents_pass_every_stage(spark, odd_docs, no_docs):
 def test_registered(spark):
     names = entrypoint.queries()
     assert [n for n in names if n.startswith("op")] == list(queries.QUERIES)
-    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 14))
     assert names["pipeline"] is C.run
 
 
