@@ -79,9 +79,13 @@ class Ledger:
         finally:
             delete_path(self.spark, staged)
 
-    def read(self, table: str, folder: str | None = None) -> DataFrame:
-        """All rows ever appended, or those of one partition; none if there are none yet."""
-        return self._entries(table, folder).dropDuplicates([ENTRY]).drop(ENTRY)
+    def read(self, table: str, folder: str | None = None, once: bool = True) -> DataFrame:
+        """All rows ever appended, or those of one partition; none if there are none yet.
+
+        Who looks for the newest row only can spare the shuffle that makes folded rows come ``once``.
+        """
+        entries = self._entries(table, folder)
+        return (entries.dropDuplicates([ENTRY]) if once else entries).drop(ENTRY)
 
     def _entries(self, table: str, folder: str | None = None) -> DataFrame:
         schema, base = f"{SCHEMAS[table]}, {ENTRY} string", f"{self.root}/{table}"

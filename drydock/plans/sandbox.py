@@ -107,7 +107,7 @@ class SandboxStore:
         everybody sees the same one.
         """
         name = str(TableName.plain(sandbox_name, "sandbox"))
-        rows = self.ledger.read("sandboxes", name).orderBy(*NEWEST).head(1)
+        rows = self.ledger.read("sandboxes", name, once=False).orderBy(*NEWEST).head(1)
         if not rows or rows[0]["dropped"]:
             raise ValueError(f"no sandbox named {sandbox_name!r}; create it first")
         row = rows[0].asDict()
@@ -124,14 +124,14 @@ class SandboxStore:
 
     def current(self) -> DataFrame:
         """One ledger row per sandbox that has not been dropped."""
-        newest = deduplicate(self.ledger.read("sandboxes"), ["sandbox_name"], NEWEST)
+        newest = deduplicate(self.ledger.read("sandboxes", once=False), ["sandbox_name"], NEWEST)
         return newest.where(~F.col("dropped")).drop(
             "dropped", "recorded_at", "operation", "statement", "profile"
         )
 
     def transformations(self, sandbox_name: str | None = None) -> DataFrame:
         """The changes applied to one or all sandboxes, also as production statements."""
-        versions = self.ledger.read("sandboxes", sandbox_name)
+        versions = self.ledger.read("sandboxes", sandbox_name, once=False)
         changes = deduplicate(
             versions.where(~F.col("dropped") & (F.col("version") > 0)), ["sandbox_name", "version"], NEWEST
         )
