@@ -45,7 +45,7 @@ def _header(spark: SparkSession, path: str) -> str:
 def _kind(column: Column) -> Column:
     """A bit for the narrowest type that can read the value; NULL for no value.
 
-    A whole number that reads back as it was written needs no pattern. For the rest, one or two characters say
+    Up to 18 digits without a leading zero need neither pattern nor cast. For the rest, one or two characters say
     which kinds are possible at all, and only those are tried: pattern first, then cast.
     """
     kinds = list(TEXT_FORMS)
@@ -58,10 +58,11 @@ def _kind(column: Column) -> Column:
             found = found.when(fits, F.lit(1 << kinds.index(name)))
         return found.otherwise(text)
 
-    first = F.substring(column, 1, 1)
+    first, length = F.substring(column, 1, 1), F.length(column)
+    plain = length.between(1, 18) & (F.translate(column, "0123456789", "") == "") & ((first != "0") | (length == 1))
     return (
         F.when(column.isNull(), F.lit(None))
-        .when(column.try_cast("bigint").cast("string") == column, F.lit(1 << kinds.index("bigint")))
+        .when(plain, F.lit(1 << kinds.index("bigint")))
         .when(first.isin(*"tTfF"), narrowest(("boolean",)))
         .when(first.between("0", "9") & (F.substring(column, 5, 1) == AFTER_YEAR), narrowest(TIMES))
         .when(first.between("0", "9") | first.isin(*"+-."), narrowest(NUMBERS))
