@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from drydock.operators.key_filter import split_by_keys
 from drydock.operators.sides import distinct_keys, key_columns, named, on_key
 
 Value = Column | int | float | str | bool | None
@@ -85,6 +86,7 @@ def merge(
     delete_where: Column | None = None,
     insert: Mapping[str, Value] | bool = False,
     leave_out: Sequence[str] = (),
+    sparse: bool = False,
 ) -> DataFrame:
     """MERGE the source into the table on equal, non-NULL keys.
 
@@ -97,6 +99,10 @@ def merge(
     The table is the streamed side of a left join: it is not shuffled when the source is
     small, and a hot key in the table can be split when it is not. Of the source only
     columns in use are read, once for the matches and once for what is inserted.
+
+    ``sparse`` is for two large tables of which few rows match: a filter of the source's keys, a fixed
+    2 MB, tells which rows of the table may match, and only these are joined. The others are neither
+    shuffled nor sorted. The price is a second scan of both.
     """
     _require(df, update or {})
     keys = list(on)
@@ -106,13 +112,16 @@ def merge(
             raise ValueError(f"columns not in the table: {surplus}; name them in leave_out")
     elif insert:
         _require(df, insert)
-    kept = df
+    near, kept = df, df
+    if sparse:
+        near, far = split_by_keys(df, keys, source, keys)
     if update or delete_where is not None:
-        kept = _merge_matched(df, source, keys, update or {}, update_where, delete_where)
+        kept = _merge_matched(near, source, keys, update or {}, update_where, delete_where)
+        kept = kept.unionByName(far) if sparse else kept
     if insert is False:
         return kept
 
-    fresh = source.join(distinct_keys(df, keys), on_key(keys), "left_anti").alias("s")
+    fresh = source.join(distinct_keys(near, keys), on_key(keys), "left_anti").alias("s")
     values = insert
     if insert is True:
         values = {c: F.col(f"s.`{c}`") for c in source.columns if c not in leave_out}
@@ -190,16 +199,21 @@ def update_from_join(
     on: Mapping[str, str],
     set: Mapping[str, Value],
     order: Sequence[str | Column] = (),
+    sparse: bool = False,
 ) -> DataFrame:
     """Assign columns from the lookup row with an equal key; other rows stay as they are.
 
     ``on`` maps table columns to lookup columns. Expressions (``order`` included) name
     ``t.<column>`` and ``s.<column>``. If the lookup repeats a key, its first row in ``order`` is
     used, so rows never fan out. Without an order all columns of the lookup decide, which
-    must then all be read; a repeated key is an error instead if ``order`` is None.
+    must then all be read; a repeated key is an error instead if ``order`` is None. ``sparse``
+    is as for ``merge``: rows that cannot match stay out of the join.
     """
     _require(df, set)
     theirs = list(on.values())
+    if sparse:
+        near, far = split_by_keys(df, list(on), lookup, theirs)
+        return update_from_join(near, lookup, on, set, order).unionByName(far)
     keyed = lookup.select("*", *key_columns(theirs)).alias("s")
     group = Window.partitionBy(*[named(f"_k_{c}") for c in theirs], "_h")
     if order is None:

@@ -50,7 +50,7 @@ def merge_source(df):
     return changed.unionByName(added).unionByName(withdrawn)
 
 
-def merge_orders(spark, sf_dir):
+def merge_orders(spark, sf_dir, sparse=False):
     df = orders(spark, sf_dir)
     return T.merge(
         df,
@@ -60,6 +60,7 @@ def merge_orders(spark, sf_dir):
         delete_where=F.col("s.withdrawn"),
         insert=True,
         leave_out=["withdrawn"],
+        sparse=sparse,
     )
 
 
@@ -107,6 +108,31 @@ def nation_into_segment(spark, sf_dir):
     )
 
 
+def dear_orders_to_lines(spark, sf_dir):
+    """An UPDATE of few lines of a large table by another large table."""
+    return T.update_from_join(
+        load(spark, sf_dir, "lineitem"),
+        orders(spark, sf_dir).where("o_totalprice > 490000"),
+        on={"l_orderkey": "o_orderkey"},
+        set={"l_discount": 0.25, "l_linestatus": F.col("s.o_orderstatus")},
+        order=["o_orderstatus"],
+        sparse=True,
+    )
+
+
+MERGED = f"""
+        WITH source AS ({MERGE_SOURCE})
+        SELECT o.o_orderkey, o.o_custkey,
+               CASE WHEN s.o_orderkey IS NULL THEN o.o_orderstatus ELSE 'M' END AS o_orderstatus,
+               COALESCE(s.o_totalprice, o.o_totalprice) AS o_totalprice,
+               o.o_orderdate, o.o_orderpriority
+        FROM orders o LEFT JOIN source s USING (o_orderkey)
+        WHERE s.o_orderkey IS NULL OR NOT s.withdrawn
+        UNION ALL
+        SELECT s.o_orderkey, s.o_custkey, NULL, s.o_totalprice, NULL, NULL
+        FROM source s
+        WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = s.o_orderkey)"""
+
 SCENARIOS = {
     "t1_update_markup": Scenario(lambda spark, d: marked_up(orders(spark, d)), MARKED_UP),
     "t2_update_by_age": Scenario(
@@ -133,18 +159,11 @@ SCENARIOS = {
     "t5_insert_select": Scenario(lambda spark, d: extended(orders(spark, d)), EXTENDED),
     "t6_merge_upsert": Scenario(
         merge_orders,
-        f"""
-        WITH source AS ({MERGE_SOURCE})
-        SELECT o.o_orderkey, o.o_custkey,
-               CASE WHEN s.o_orderkey IS NULL THEN o.o_orderstatus ELSE 'M' END AS o_orderstatus,
-               COALESCE(s.o_totalprice, o.o_totalprice) AS o_totalprice,
-               o.o_orderdate, o.o_orderpriority
-        FROM orders o LEFT JOIN source s USING (o_orderkey)
-        WHERE s.o_orderkey IS NULL OR NOT s.withdrawn
-        UNION ALL
-        SELECT s.o_orderkey, s.o_custkey, NULL, s.o_totalprice, NULL, NULL
-        FROM source s
-        WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = s.o_orderkey)""",
+        MERGED,
+    ),
+    "t6_merge_sparse": Scenario(
+        lambda spark, d: merge_orders(spark, d, sparse=True),
+        MERGED,
     ),
     "t7_add_column": Scenario(
         lambda spark, d: T.add_column(orders(spark, d), "region", "string", "EMEA"),
@@ -176,6 +195,15 @@ SCENARIOS = {
         FROM customer
         LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 0) ON c_nationkey = n_nationkey""",
     ),
+    "t9_update_sparse": Scenario(
+        dear_orders_to_lines,
+        """
+        SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice,
+               CASE WHEN o_orderkey IS NULL THEN l_discount ELSE 0.25 END AS l_discount,
+               l_tax, l_returnflag, COALESCE(o_orderstatus, l_linestatus) AS l_linestatus, l_shipdate
+        FROM lineitem
+        LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 490000) ON l_orderkey = o_orderkey""",
+    ),
     "t10_deduplicate": Scenario(
         lambda spark, d: T.deduplicate(
             load(spark, d, "lineitem"),

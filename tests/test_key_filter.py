@@ -1,0 +1,98 @@
+"""Rows that cannot match bypass the shuffle of a join, and none that matches is lost."""
+
+from __future__ import annotations
+
+import datetime
+import decimal
+
+import pytest
+from conftest import rows_of
+from pyspark.sql import functions as F
+
+from drydock.operators import transforms as T
+from drydock.operators.key_filter import split_by_keys
+
+
+def written(df, part):
+    """Records that the shuffles of a finished query wrote, in those nodes whose text holds ``part``."""
+    plans, total = [df._jdf.queryExecution().executedPlan()], 0
+    while plans:
+        plan = plans.pop()
+        if "Exchange" in plan.nodeName() and part in plan.toString():
+            metric = plan.metrics().get("shuffleRecordsWritten")
+            total += metric.get().value() if metric.isDefined() else 0
+        children = plan.children()
+        plans += [children.apply(i) for i in range(children.size())]
+    return total
+
+
+@pytest.fixture
+def sides(spark, conf, tmp_path):
+    """A hundred thousand rows, and a source that matches a hundred of them and brings ten new ones."""
+    conf(autoBroadcastJoinThreshold="-1", adaptive__enabled="false")
+    key = F.when(F.col("id") % 1000 == 500, None).otherwise(F.col("id"))
+    df = spark.range(100_000).select(key.alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("wide"))
+    df.write.parquet(str(tmp_path / "target"))
+    source = spark.range(110).select((F.col("id") * 1000).alias("k"), F.lit("new").alias("wide"))
+    source.write.parquet(str(tmp_path / "source"))
+    return spark.read.parquet(str(tmp_path / "target")), spark.read.parquet(str(tmp_path / "source"))
+
+
+@pytest.mark.parametrize("sparse", [False, True])
+def test_merge_shuffles_the_rows_that_may_match(sides, sparse):
+    target, source = sides
+    merged = T.merge(target, source, ["k"], {"wide": F.col("s.wide")}, insert=True, sparse=sparse)
+    rows = merged.collect()
+    assert len(rows) == 100_010 and sum(r.wide == "new" for r in rows) == 110
+    shuffled = written(merged, "Exchange hashpartitioning")
+    assert shuffled > 100_000 if not sparse else shuffled < 2_000, shuffled
+
+
+@pytest.mark.parametrize("sparse", [False, True])
+def test_update_shuffles_the_rows_that_may_match(sides, sparse):
+    target, source = sides
+    changed = T.update_from_join(target, source, {"k": "k"}, {"wide": F.col("s.wide")}, ["wide"], sparse=sparse)
+    rows = changed.collect()
+    assert len(rows) == 100_000 and sum(r.wide == "new" for r in rows) == 100
+    shuffled = written(changed, "Exchange hashpartitioning")
+    assert shuffled > 99_000 if not sparse else shuffled < 2_000, shuffled
+
+
+def test_repeated_matches_are_still_an_error(sides):
+    target, source = sides
+    with pytest.raises(Exception, match="more than one source row"):
+        T.merge(target, source.union(source), ["k"], {"wide": "x"}, sparse=True).collect()
+
+
+def test_a_full_filter_loses_nothing(spark):
+    df = spark.range(5000).select("id", (F.col("id") % 7).alias("v"))
+    near, far = split_by_keys(df, ["id"], df.where("id % 2 = 0"), ["id"], words=4)
+    assert near.union(far).count() == 5000
+    assert near.where("id % 2 = 0").count() == 2500
+    empty = split_by_keys(df, ["id"], df.limit(0), ["id"])
+    assert (empty[0].count(), empty[1].count()) == (0, 5000)
+
+
+KEYS = [
+    ("int", "bigint", [1, 2, None]),
+    ("string", "string", ["a", "", None]),
+    ("double", "double", [0.0, float("nan"), None]),
+    ("int", "string", [1, 2, None]),
+    ("decimal(9,2)", "decimal(12,1)", [decimal.Decimal("1.50"), decimal.Decimal("2.00"), None]),
+    ("date", "date", [datetime.date(2020, 1, 1), datetime.date(1900, 1, 1), None]),
+    ("struct<a:int>", "struct<a:int>", [(1,), (2,), None]),
+]
+
+
+@pytest.mark.parametrize("mine, theirs, values", KEYS)
+def test_keys_of_all_types(spark, mine, theirs, values):
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], f"`a key` {mine}, _word int")
+    source = df.select(F.col("`a key`").cast(theirs).alias("a key"), F.lit(9).alias("_word"))
+    got, plain = (T.merge(df, source, ["a key"], {"_word": F.col("s._word")}, sparse=s) for s in (True, False))
+    assert repr(rows_of(got)) == repr(rows_of(plain))
+
+
+def test_several_keys_with_nulls(spark):
+    df = spark.createDataFrame([(1, "a", 1), (1, None, 2), (None, "a", 3), (2, "a", 4)], "k int, c string, v int")
+    near, far = split_by_keys(df, ["k", "c"], df.where("v < 4"), ["k", "c"])
+    assert rows_of(near.select("v")) == [(1,)] and rows_of(far.select("v")) == [(2,), (3,), (4,)]

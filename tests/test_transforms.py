@@ -57,13 +57,14 @@ def test_insert_casts_and_fills(spark, orders):
 
 
 def merge(df, source, **clauses):
-    return T.merge(df, source, on=["k"], **clauses)
+    return T.merge(df, source, on=["k"], sparse=df.sparkSession.conf.get("spark.tests.sparse") == "true", **clauses)
 
 
-@pytest.fixture(params=["10MB", "-1"])
+@pytest.fixture(params=[("10MB", "false"), ("-1", "false"), ("-1", "true")])
 def tables(spark, conf, request):
-    """A target and a source, joined by broadcast and by sorted shuffles."""
-    conf(autoBroadcastJoinThreshold=request.param)
+    """A target and a source, joined by broadcast, by sorted shuffles, and by those of rows that may match."""
+    conf(autoBroadcastJoinThreshold=request.param[0])
+    spark.conf.set("spark.tests.sparse", request.param[1])
     target = spark.createDataFrame([(1, "a"), (2, "b"), (2, "bb"), (None, "n")], "k int, v string")
     source = spark.createDataFrame([(2, "B"), (3, "C"), (None, "N")], "k int, v string")
     return target, source
