@@ -60,7 +60,7 @@ def test_all_probes_are_exact(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=8).tolist()) for i in range(300)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
-    got = found(A.nearest(df, F.col("vec_id") < 10, k=7, tables=1, number_of_probes=16))
+    got = found(A.nearest(df, F.col("vec_id") < 10, k=7, tables=1, probed=256))
     exact = brute(rows, lambda i: i < 10, 7)
     assert {q: [v for v, _ in r] for q, r in got.items()} == {q: [v for v, _ in r] for q, r in exact.items()}
 
@@ -98,7 +98,9 @@ def test_rotation_keeps_lengths_and_probes_begin_with_the_bucket():
     turned = A.rotated(x, 3)
     assert turned.shape == (50, 32)
     assert np.allclose((turned**2).sum(axis=1), (x**2).sum(axis=1))
-    assert np.array_equal(A.probes(turned, 5)[:, 0], A.buckets(turned))
+    assert np.array_equal(np.stack(A.probes(x, 3, 1))[:, :, 0], np.stack(A.buckets(x, 3)))
+    first, second = A.probes(x, 3, 5)
+    assert (np.stack(A.buckets(x, 3))[:, :, None] == np.stack((first, second))).all(axis=0).any(axis=1).all()
     assert not np.allclose(A.rotated(x, 4), turned)
 
 
@@ -117,3 +119,24 @@ def test_queries_get_all_they_can_have(spark, monkeypatch):
             if q >= 1000 or q % 10 == 0:  # 24 and 13 candidates
                 assert len(got[q]) == (20 if q >= 1000 else 13)
         assert all([v for v, _ in got[q]] == [v for v, _ in exact[q]] for q in got if q % 10 == 0 and q < 1000)
+
+
+def test_share_of_rows_scored_falls_as_rows_grow():
+    """The same recall on vectors without structure, from a smaller share of more vectors."""
+    shares = {}
+    for n in (2000, 100_000):
+        units = A._unit(np.random.default_rng(n).normal(size=(n, 64)))
+        asking = units[:40]
+        exact = np.argpartition(-(asking @ units.T), 21, axis=1)[:, :21]
+        seen = np.zeros((len(asking), n), bool)
+        for table in range(A.TABLES):
+            first, second = A.buckets(units, table)
+            probed = A.probes(asking, table, A.number_of_probes(n, 64))
+            for i, (one, two) in enumerate(zip(*probed, strict=True)):
+                looked = np.zeros((128, 128), bool)
+                looked[one, two] = True
+                seen[i] |= looked[first, second]
+        recall = np.mean([seen[i, exact[i]].mean() for i in range(len(asking))])
+        assert recall >= 0.9
+        shares[n] = seen.mean()
+    assert shares[2000] < 0.35 and shares[100_000] < shares[2000] / 2, shares
