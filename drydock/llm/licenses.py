@@ -4,7 +4,9 @@ A unit of text (a whole document, and each of its paragraphs and lines) is broug
 canonical form: lower case, lines that name a copyright owner out, equivalent spellings made equal,
 everything but letters and digits a blank. Its SHA-256 is joined with the digests of the known
 texts. These are the short notices of ``NOTICES`` and a table of whole texts: the files of
-``known_licenses``, or the caller's DataFrame (``license_id, text``). Their digests are broadcast.
+``known_licenses``, or the caller's DataFrame (``license_id, text``). The digests of this package's texts are
+broadcast; those of a caller's table only if Spark finds them small enough. Documents are read and
+canonicalised in one pass; what is shuffled is a row a document and one for each notice found.
 
 Defined cases: a NULL or empty text, and one without letters or digits, matches nothing; repeated
 rows each get their own answer; an empty table gives no rows; other columns are left alone.
@@ -33,17 +35,15 @@ EQUIVALENT = [
     ("©", ""),
     ("&", " and "),
 ]
-#: The rule of the registered SQL: it also takes licence wording that a line begins with for an owner.
-COPYRIGHT_LINE = r"^[\s/*#;-]*(copyright\b|\(c\)|©|all rights reserved)"
 #: Words that follow "copyright" in the wording of licences, where it is no owner's line.
-_WORDING = (
+WORDING = (
     r"(notices?|holders?|owners?|ownership|licen[sc]es?|laws?|statements?|interests?|disclaimers?|protections?|"
     r"treaty|treaties|infringement|permissions?|status|rights?|works?|material|act|and|or|in|on|is|are|as|to|of|for|under|"
     r"with|which|that|can|may|has|have|applies|if|unless|subsists|doctrines?)\b"
 )
 #: Lines that begin so (after blanks and comment signs) name an owner, and are not compared.
 OWNER_LINE = (
-    r"^[\s/*#;-]*(copyright\b[\s:,]*(\(c\)|©|[0-9]{4}|[<{\[])|copyright[\s:]+(?!" + _WORDING + r")\p{L}|©|"
+    r"^[\s/*#;-]*(copyright\b[\s:,]*(\(c\)|©|[0-9]{4}|[<{\[])|copyright[\s:]+(?!" + WORDING + r")\p{L}|©|"
     r"\(c\)[\s:,]*(copyright|[0-9]{4})|all rights reserved)"
 )
 
@@ -115,25 +115,32 @@ def digest(text: Column) -> Column:
 
 
 TEXTS = Path(__file__).parent / "known_licenses"
-_END = "END OF TERMS AND CONDITIONS"
+END = "END OF TERMS AND CONDITIONS"
 
 
 def _variants(text: str) -> list[str]:
     """A text as it is, without what follows its terms, and each of them without its title."""
-    head, end, _ = text.partition(_END)
+    head, end, _ = text.partition(END)
     forms = [text, head + end, head] if end else [text]
     untitled = [form.strip().partition("\n\n") for form in forms]
     return [*forms, *[rest for title, _, rest in untitled if rest and len(title) <= 120]]
 
 
+def published() -> list[tuple[str, str]]:
+    """Licence and whole text of the files of ``known_licenses``; ID+note.txt is one of several texts of a licence."""
+    paths = sorted(TEXTS.glob("*.txt"))
+    return [(p.name.removesuffix(".txt").partition("+")[0], p.read_text(encoding="utf-8")) for p in paths]
+
+
+def identifier_lines(name: str) -> list[str]:
+    """A licence's SPDX lines."""
+    endings = ("", "-only", "-or-later") if "GPL" in name or "GFDL" in name else ("",)
+    return [f"SPDX-License-Identifier: {name}{ending}" for ending in endings]
+
+
 def license_texts(spark: SparkSession) -> DataFrame:
     """``license_id, text``: the whole texts that come with this package, their variants and SPDX lines."""
-    rows = []
-    for path in sorted(TEXTS.glob("*.txt")):
-        name = path.name.removesuffix(".txt").partition("+")[0]  # several texts of one licence: ID+note.txt
-        rows += [(name, form) for form in _variants(path.read_text(encoding="utf-8"))]
-        endings = ("", "-only", "-or-later") if "GPL" in name or "GFDL" in name else ("",)
-        rows += [(name, f"SPDX-License-Identifier: {name}{ending}") for ending in endings]
+    rows = [(name, form) for name, text in published() for form in [*_variants(text), *identifier_lines(name)]]
     names, texts = zip(*rows, strict=True)
     return spark.createDataFrame(pa.table({"license_id": list(names), "text": list(texts)}))
 
@@ -150,14 +157,14 @@ def known_licenses(
     return known.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
-def _parts(text: Column) -> Column:
-    """The paragraphs of a text if it has several, and its lines if it has several."""
+def _units(text: Column) -> Column:
+    """The text itself, its paragraphs if it has several, and its lines if it has several."""
 
     def split(pattern: str) -> Column:
         found = F.split(text, pattern)
-        return F.when(F.size(found) > 1, found).otherwise(F.slice(found, 1, 0))
+        return F.when(F.size(found) > 1, found).otherwise(F.array().cast("array<string>"))
 
-    return F.concat(split(r"\n[ \t\r]*\n"), split("\n"))
+    return F.concat(F.array(text), split(r"\n[ \t\r]*\n"), split("\n"))
 
 
 def scan_licenses(
@@ -171,26 +178,25 @@ def scan_licenses(
     licences that a paragraph or line states, sorted) and ``n_notices`` (how many do). ``texts``
     has the known whole texts (``license_id, text``), those of this package if it is not given.
     """
-    known = F.broadcast(known_licenses(df.sparkSession, notices, license_texts(df.sparkSession) if texts is None else texts))
+    own = texts is None
+    known = known_licenses(df.sparkSession, notices, license_texts(df.sparkSession) if own else texts)
+    known = F.broadcast(known) if own else known
     docs = df.select(
         F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("tkey"), F.col(text_col).alias("text")
     )
-    stated = (
-        docs.select("id", "tkey", F.posexplode(_parts(F.col("text"))).alias("pos", "part"))
-        .select("id", "tkey", "pos", digest(F.col("part")).alias("digest"))
-        .join(known, "digest")
-        .groupBy("id", "tkey")
-        .agg(
-            F.array_sort(F.collect_set("license_id")).alias("notices"),
-            F.size(F.collect_set("pos")).cast("long").alias("n_notices"),
-        )
-        .select(F.col("id").alias("__id"), F.col("tkey").alias("__tkey"), "notices", "n_notices")
+    nothing = F.concat(F.lit("nothing "), F.col("tkey"))  # no digest, and not the same of all documents
+    units = docs.select("id", "tkey", F.posexplode(_units(F.col("text"))).alias("pos", "unit"))
+    found = (
+        units.select("id", "tkey", "pos", F.coalesce(digest(F.col("unit")), nothing).alias("digest"))
+        .join(known, "digest", "left")
+        .where((F.col("pos") == 0) | F.col("license_id").isNotNull())
     )
-    whole = docs.select("id", "tkey", digest(F.col("text")).alias("digest")).join(known, "digest", "left")
-    same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("tkey") == F.col("__tkey"))
-    return whole.join(stated, same, "left").select(
-        F.col("id").alias(id_col),
-        "license_id",
-        F.coalesce("notices", F.array().cast("array<string>")).alias("notices"),
-        F.coalesce("n_notices", F.lit(0).cast("long")).alias("n_notices"),
+    whole, stated = F.col("pos") == 0, F.when(F.col("pos") > 0, F.col("license_id"))
+    answers = found.groupBy("id", "tkey").agg(
+        F.count_if(whole).alias("copies"),
+        F.max(F.when(whole, F.col("license_id"))).alias("license_id"),
+        F.array_sort(F.collect_set(stated)).alias("notices"),
+        F.size(F.collect_set(F.when(stated.isNotNull(), F.col("pos")))).cast("long").alias("n_notices"),
     )
+    each = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    return answers.select(F.col("id").alias(id_col), "license_id", "notices", "n_notices", each.alias("copy")).drop("copy")

@@ -98,24 +98,49 @@ def _sql_text(text: str) -> str:
 
 
 def _license_sql() -> str:
-    known = ", ".join(
-        f"({_sql_text(name)}, {_sql_text(text)})" for name, texts in licenses.NOTICES.items() for text in texts
-    )
+    def values(rows: list[tuple[str, str]]) -> str:
+        return ", ".join(f"({_sql_text(name)}, {_sql_text(text)})" for name, text in rows)
+
+    published = licenses.published()
+    short = [(name, text) for name, texts in licenses.NOTICES.items() for text in texts]
+    short += sorted({(name, line) for name, _ in published for line in licenses.identifier_lines(name)})
+    end = _sql_text(licenses.END)
+    # The rule of OWNER_LINE, whose look-ahead is a second pattern here.
+    start, wording = r"^[\s/*#;-]*", licenses.WORDING
+    owner = [
+        rf"{start}(copyright\b[\s:,]*(\(c\)|©|[0-9]{{4}}|[<{{\[])|©|\(c\)[\s:,]*(copyright|[0-9]{{4}})|all rights reserved)",
+        rf"{start}copyright[\s:]+\p{{L}}",
+    ]
+    named, maybe, worded = map(_sql_text, [*owner, rf"{start}copyright[\s:]+{wording}"])
 
     def form(text: str) -> str:
         lines = (
             f"array_to_string(list_filter(string_split(lower({text}), chr(10)), "
-            f"lambda line: NOT regexp_matches(line, {_sql_text(licenses.COPYRIGHT_LINE)})), ' ')"
+            f"lambda line: NOT (regexp_matches(line, {named}) OR "
+            f"(regexp_matches(line, {maybe}) AND NOT regexp_matches(line, {worded})))), ' ')"
         )
         for spelling, usual in licenses.EQUIVALENT:
             lines = f"replace({lines}, {_sql_text(spelling)}, {_sql_text(usual)})"
         return f"sha256(nullif(trim(regexp_replace({lines}, '[^\\p{{L}}\\p{{Nd}}]+', ' ', 'g')), ''))"
 
     return f"""
-    WITH known AS (
+    WITH published(license_id, body) AS (VALUES {values(published)}),
+    forms AS (
+        SELECT license_id, unnest(CASE WHEN contains(body, {end})
+                                       THEN [body, split_part(body, {end}, 1) || {end}, split_part(body, {end}, 1)]
+                                       ELSE [body] END) AS body
+        FROM published),
+    titled AS (SELECT license_id, trim(body, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM forms),
+    untitled AS (
+        SELECT license_id, body[length(split_part(body, chr(10) || chr(10), 1)) + 3:] AS body
+        FROM titled WHERE length(split_part(body, chr(10) || chr(10), 1)) <= 120),
+    texts AS (
+        SELECT * FROM forms UNION ALL SELECT * FROM untitled WHERE body <> ''
+        UNION ALL SELECT * FROM (VALUES {values(short)})),
+    known AS (
         SELECT digest, min(license_id) AS license_id
-        FROM (SELECT license_id, {form("body")} AS digest FROM (VALUES {known}) v(license_id, body))
-        GROUP BY digest),
+        FROM (SELECT license_id, {form("body")} AS digest FROM texts)
+        WHERE digest IS NOT NULL GROUP BY digest),
     docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
     split AS (
         SELECT r, string_split_regex(text, '\\n[ \\t\\r]*\\n') AS paragraphs, string_split(text, chr(10)) AS lines

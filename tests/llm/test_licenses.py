@@ -2,10 +2,12 @@ from __future__ import annotations
 
 import textwrap
 
+import duckdb
 from pyspark.sql import functions as F
 from odd import no_docs, odd_docs  # noqa: F401
 
 from drydock.llm import licenses as L
+from drydock.llm import queries
 
 MIT = L.NOTICES["MIT"][-1]
 
@@ -81,7 +83,7 @@ def test_whole_texts_of_the_usual_licences(spark):
     ]
     texts = {n: (L.TEXTS / f"{n}.txt").read_text() for n in names}
     wraps = ["Copyright (c) 2021 Somebody\n\n" + " \n".join(texts[n].split("\n")).upper() for n in names]
-    found = scanned(spark, *texts.values(), *wraps, texts["GPL-3.0"].partition(L._END)[0] + L._END, texts["MIT"][:-40])
+    found = scanned(spark, *texts.values(), *wraps, texts["GPL-3.0"].partition(L.END)[0] + L.END, texts["MIT"][:-40])
     assert [found[i][0] for i in range(len(found))] == [*names, *names, "GPL-3.0", None]
 
 
@@ -89,3 +91,23 @@ def test_known_texts_from_a_table(spark):
     texts = spark.createDataFrame([("House-1.0", "Use it at home.\n\nNowhere else."), ("Empty", "")], "license_id string, text string")
     df = spark.createDataFrame([(1, "Copyright 2020 A\nuse it\nAT HOME; nowhere else"), (2, "")], "doc_id bigint, text string")
     assert [r.license_id for r in L.scan_licenses(df, texts=texts).orderBy("doc_id").collect()] == ["House-1.0", None]
+
+
+def test_the_sql_knows_the_same_texts_and_lines(spark):
+    """Whole texts in several forms, owners' lines and licence wording: the same rows from both."""
+    texts = [text for _, text in L.published()]
+    texts += ["Copyright (c) 2021 Somebody\n\n" + text.upper() for text in texts]
+    texts += [text.partition(L.END)[0] for text in texts] + [text.partition("\n\n")[2] for text in texts]
+    texts += [wrapped(L.NOTICES["ISC"][-1], width) for width in range(20, 100, 7)]
+    texts += [f"{line}\nReleased under the MIT License." for line in (
+        "Copyright notice and", "copyright: Some Body", "Copyright\t2020", "(c) You", "# \u00a9 A", "copyrighted works", "COPYRIGHT \u00c9mile")]
+    texts += ["SPDX-License-Identifier: MPL-2.0\nx\n\ny", None, "", "--", "\n\n\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = L.scan_licenses(df.union(df.limit(3)))
+    got = [(r.doc_id, r.license_id, ",".join(r.notices), r.n_notices) for r in found.collect()]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [*enumerate(texts), *list(enumerate(texts))[:3]])
+    wanted = con.execute(queries.SQL["op9_license_scan"]).fetchall()
+    assert sorted(got, key=repr) == sorted(wanted, key=repr)
+    assert sum(row[1] is not None for row in got) > 100
