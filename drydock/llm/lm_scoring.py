@@ -54,13 +54,19 @@ WORD_NOISE = 4
 BATCH = 4096
 RATE = 0.05
 ROUNDS = 2
-#: Rows of parameters that are averaged together, and contexts whose scores are held at once.
+#: Rows of parameters that are averaged together, and contexts whose scores are held at once: few enough for a cache.
 ROWS = 512
-SCORED = 2048
+SCORED = 512
+#: Up to here the product of two exponentials and their sum are far from what single precision holds.
+LARGE = 36.0
+#: Context units of a chunk whose exponentials are kept, the most frequent.
+COMMON = 2048
 #: Characters whose words share a dictionary.
 CHUNK = 2 << 20
 #: Words of chunks' dictionaries that meet in one group, about.
 GROUP = 1 << 20
+#: How what is stored and shuffled is compressed.
+PACKING = pa.Codec("zstd", compression_level=1)
 #: The hash that stands for the end of a text.
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 
@@ -85,14 +91,13 @@ def _encoded(docs: DataFrame) -> DataFrame:
                 words, codes = np.unique(hashes, return_inverse=True)  # ascending, as they are dealt
                 learnt = np.repeat(~held[a:b], lengths)
                 counts = np.bincount(codes[learnt], minlength=len(words))
-                width = np.uint16 if len(words) <= 1 << 16 else np.uint32
                 yield pa.RecordBatch.from_pydict(
                     {
                         "chunk": [chunk],
                         "ids": [ids[a:b]],
                         "held": [held[a:b].tolist()],
                         "lengths": [lengths],
-                        "codes": [codes.astype(width).tobytes()],
+                        "codes": [_packed(codes.astype(_code_kind(len(words))))],
                         "words": [words.view(np.int64)],
                         "counts": [counts.astype(np.int64)],
                     },
@@ -117,14 +122,20 @@ def _arrow_type(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """64-bit values byte by byte, the highest first: what they have in common compresses."""
-    return np.ascontiguousarray(values.astype(">u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers byte by byte and compressed: their high bytes have much in common."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T)
+    return len(values).to_bytes(8, "little") + PACKING.compress(planes, asbytes=True)
 
 
-def _from_planes(blob: bytes) -> np.ndarray:
-    rows = np.frombuffer(blob, np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(rows.T).view(">u8").ravel().astype(np.uint64)
+def _unpacked(blob: bytes, kind: type) -> np.ndarray:
+    n, size = int.from_bytes(blob[:8], "little"), np.dtype(kind).itemsize
+    planes = PACKING.decompress(blob[8:], decompressed_size=n * size, asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, n).T).ravel().view(kind)
+
+
+def _code_kind(codes: int) -> type:
+    return np.uint16 if codes <= 1 << 16 else np.uint32
 
 
 def _counted(encoded: DataFrame, shortlist: int) -> DataFrame:
@@ -139,9 +150,10 @@ def _counted(encoded: DataFrame, shortlist: int) -> DataFrame:
 
     def deal(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            for chunk, words, counts in zip(*[frame.column(c).to_pylist() for c in ("chunk", "words", "counts")], strict=True):
-                words = np.sort(np.array(words, np.int64).view(np.uint64))
-                counts = np.array(counts, np.uint64)
+            for chunk, words, counts in zip(*[frame.column(c) for c in ("chunk", "words", "counts")], strict=True):
+                chunk = chunk.as_py()
+                words = np.sort(words.values.to_numpy().view(np.uint64))
+                counts = counts.values.to_numpy().astype(np.uint64)
                 group = (((words >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)).astype(np.int64)
                 kinds, first = np.unique(group, return_index=True)
                 last = np.append(first[1:], len(words))
@@ -149,14 +161,15 @@ def _counted(encoded: DataFrame, shortlist: int) -> DataFrame:
                     "group": kinds,
                     "chunk": np.full(len(kinds), chunk),
                     "start": first,
-                    "words": [_planes(words[a:b]) for a, b in zip(first, last, strict=True)],
-                    "counts": [_planes(counts[a:b]) for a, b in zip(first, last, strict=True)],
+                    "words": [_packed(words[a:b]) for a, b in zip(first, last, strict=True)],
+                    "counts": [_packed(counts[a:b]) for a, b in zip(first, last, strict=True)],
                 })
 
     def total(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        words = np.concatenate([_from_planes(r["words"]) for r in rows])
-        counts = np.concatenate([_from_planes(r["counts"]) for r in rows])
+        each = [_unpacked(r["words"], np.uint64) for r in rows]
+        words = np.concatenate(each)
+        counts = np.concatenate([_unpacked(r["counts"], np.uint64) for r in rows])
         distinct, where = np.unique(words, return_inverse=True)
         sums = np.zeros(len(distinct), np.uint64)
         np.add.at(sums, where, counts)
@@ -168,10 +181,10 @@ def _counted(encoded: DataFrame, shortlist: int) -> DataFrame:
         rank[ranked] = np.arange(len(ranked))
         number, times = np.unique(sums[sums > 0], return_counts=True)
         out, at = [], 0
-        for r in rows:
-            own = where[at : at + len(r["words"]) // 8]
+        for r, held in zip(rows, each, strict=True):
+            own = where[at : at + len(held)]
             at += len(own)
-            out.append((r["group"], r["chunk"], r["start"], _planes(sums[own]), rank[own].tobytes(), [], [], [], []))
+            out.append((r["group"], r["chunk"], r["start"], _packed(sums[own]), _packed(rank[own]), [], [], [], []))
         out.append((
             rows[0]["group"], None, None, None, None, distinct[best].view(np.int64).tolist(),
             sums[best].astype(np.int64).tolist(), number.astype(np.int64).tolist(), times.tolist(),
@@ -295,24 +308,26 @@ def _classes(counted: DataFrame, shortlist: int) -> Classes:
 
 
 def _classified(encoded: DataFrame, counted: DataFrame, classes: Classes) -> DataFrame:
-    """One row per chunk: each document's figures that need counts only, and its tokens' units."""
+    """One row per chunk: each document's figures that need counts only, its tokens' codes, the units that codes stand for."""
     total = classes.tokens + 0.5 * (classes.types + 1)
 
     def classify(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
         answers = sorted(right.to_pylist(), key=lambda r: r["start"])
-        counts = np.concatenate([_from_planes(r["totals"]) for r in answers]).astype(np.int64)
+        counts = np.concatenate([_unpacked(r["totals"], np.int64) for r in answers])
         units, at = [], 0
         for r in answers:
-            ranks = np.frombuffer(r["ranks"], np.int32).astype(np.int64)
+            ranks = _unpacked(r["ranks"], np.int32).astype(np.int64)
             units.append(classes.of(r["group"], ranks, counts[at : at + len(ranks)]))
             at += len(ranks)
         units = np.concatenate(units)
         lengths = np.array(row["lengths"], np.int64)
-        codes = np.frombuffer(row["codes"], np.uint16 if len(counts) <= 1 << 16 else np.uint32)
+        codes = _unpacked(row["codes"], _code_kind(len(counts)))
         starts = np.cumsum(lengths) - lengths
         kinds, _ = classes.split(units)
         smooth = np.log10(counts + 0.5)
+        # Words of one unit are told apart no more, and frequent units have the small codes.
+        own, same = np.unique(units, return_inverse=True)
         inside = np.where(units < classes.number, smooth - np.log10(classes.masses[kinds]), 0.0)
         return pa.Table.from_pydict(
             {
@@ -322,7 +337,8 @@ def _classified(encoded: DataFrame, counted: DataFrame, classes: Classes) -> Dat
                 "known": [np.add.reduceat((counts > 0).astype(np.int64)[codes], starts)],
                 "base": [np.add.reduceat(smooth[codes], starts) - lengths * np.log10(total)],
                 "inside": [np.add.reduceat(inside[codes], starts)],
-                "units": [units.astype(np.uint32)[codes].tobytes()],
+                "units": [_packed(own.astype(np.uint32))],
+                "codes": [_packed(same.astype(_code_kind(len(own))).take(codes))],
             },
             schema=arrow,
         )
@@ -331,17 +347,23 @@ def _classified(encoded: DataFrame, counted: DataFrame, classes: Classes) -> Dat
     arrow = pa.schema([
         ("ids", pa.list_(_arrow_type(kind))), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())),
         ("known", pa.list_(pa.int64())), ("base", pa.list_(pa.float64())), ("inside", pa.list_(pa.float64())),
-        ("units", pa.binary()),
+        ("units", pa.binary()), ("codes", pa.binary()),
     ])
     left = encoded.select("chunk", "ids", "held", "lengths", "codes")
     right = counted.where(F.col("chunk").isNotNull()).select("chunk", "start", "group", "totals", "ranks")
     return left.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(
         classify,
         f"ids array<{kind}>, held array<boolean>, lengths array<long>, known array<long>, "
-        "base array<double>, inside array<double>, units binary",
+        "base array<double>, inside array<double>, units binary, codes binary",
     )
 
 
+def _units_and_codes(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """A chunk's units, and which of them each token has."""
+    units = _unpacked(row["units"], np.uint32).astype(np.int64)
+    return units, _unpacked(row["codes"], _code_kind(len(units))).astype(np.int64)
+
+
 class LogBilinear:
     """Vectors of context and target classes, a matrix for each place of the context, biases.
 
@@ -393,12 +415,15 @@ class LogBilinear:
         self.word_outputs[...] = words[:, SIZE : 2 * SIZE]
         self.word_biases[...] = words[:, -1]
 
-    def vectors(self, contexts: np.ndarray, words: np.ndarray | None, place: int) -> np.ndarray:
-        out = self.inputs[contexts[:, place]]
-        return out if words is None else out + self.own[words[:, place]]
+    def vectors(self, contexts: np.ndarray, words: np.ndarray | None) -> np.ndarray:
+        """The vectors of each context's places side by side."""
+        out = self.inputs.take(contexts, axis=0)
+        if words is not None:
+            out += self.own.take(words, axis=0)
+        return out.reshape(len(contexts), -1)
 
     def predicted(self, contexts: np.ndarray, words: np.ndarray | None = None) -> np.ndarray:
-        return sum(self.vectors(contexts, words, i) @ self.places[i] for i in range(CONTEXT))
+        return self.vectors(contexts, words) @ self.places.reshape(-1, SIZE)
 
     def normalisers(self) -> np.ndarray:
         """The log-normaliser of every pair of context classes, a row of contexts at a time."""
@@ -415,25 +440,89 @@ class LogBilinear:
             out[at : at + SCORED] = _log_sums(predicted[at : at + SCORED] @ self.outputs.T + self.biases)
         return out
 
+    def log_classes_of_pairs(self, placed: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
+        """``log_classes`` of pairs of context units, given each unit's part of a prediction at each place.
+
+        The exponential of a sum is the product of the parts' exponentials. Those of ``COMMON`` units are found once
+        and those of any other once for each run of pairs that share it; what is left for a pair is an inner product. Pairs without
+        a common unit, and those whose product is too small for single precision, are normalised as they are.
+        """
+        out = np.full(len(pairs), np.nan)
+        slot = np.full(len(placed[0]), -1)
+        often = np.bincount(pairs.ravel(), minlength=len(slot))
+        often = np.argsort(-often, kind="stable")[:COMMON]
+        slot[often] = np.arange(len(often))
+        safe = all(_within(p, self.outputs, self.biases) for p in placed)
+        for near in range(CONTEXT):
+            far = 1 - near
+            table, tops = self._exponentials(placed[near].take(often, axis=0), near, safe)
+            open_ = np.flatnonzero((slot.take(pairs[:, near]) >= 0) & np.isnan(out))
+            open_ = open_[np.argsort(pairs[open_, far], kind="stable")]
+            for at in range(0, len(open_), SCORED):
+                part = open_[at : at + SCORED]
+                others = pairs[part, far]
+                new = np.concatenate(([True], others[1:] != others[:-1]))
+                which = np.cumsum(new) - 1
+                own, own_tops = self._exponentials(placed[far].take(others[new], axis=0), far, safe)
+                common = slot.take(pairs[part, near])
+                sums = np.einsum("ij,ij->i", table.take(common, axis=0), own.take(which, axis=0))
+                enough = sums > 1e-20
+                logs = np.log(sums[enough]) + tops[common[enough]] + own_tops[which[enough]]
+                out[part[enough]] = logs
+        rest = np.flatnonzero(np.isnan(out))
+        for at in range(0, len(rest), SCORED):
+            part = rest[at : at + SCORED]
+            out[part] = self.log_classes(sum(placed[i].take(pairs[part, i], axis=0) for i in range(CONTEXT)))
+        return out
+
+    def _exponentials(self, placed: np.ndarray, place: int, safe: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Of each class's score by one part of a prediction, and what was taken off; biases go with the first."""
+        out, tops = np.empty((len(placed), len(self.outputs)), placed.dtype), np.zeros(len(placed), placed.dtype)
+        for at in range(0, len(placed), SCORED):
+            scores = out[at : at + SCORED]
+            np.matmul(placed[at : at + SCORED], self.outputs.T, out=scores)
+            if place == 0:
+                scores += self.biases
+            if not safe:
+                tops[at : at + SCORED] = scores.max(axis=1)
+                scores -= tops[at : at + SCORED, None]
+            np.exp(scores, out=scores)
+        return out, tops
+
     def log_words(self, predicted: np.ndarray, where: np.ndarray, words: np.ndarray) -> np.ndarray:
         """The log-probability of words in their classes; ``where`` has each one's prediction."""
         out = np.empty(len(words))
         cluster = words // self.width
         order = np.argsort(cluster, kind="stable")
         edges = np.flatnonzero(np.diff(cluster[order])) + 1
+        safe = _within(predicted, self.word_outputs, self.word_biases)
         for chosen in np.split(order, edges) if len(order) else ():
             lo = cluster[chosen[0]] * self.width
             outputs, biases = self.word_outputs[lo : lo + self.width], self.word_biases[lo : lo + self.width]
             for at in range(0, len(chosen), SCORED):
                 part = chosen[at : at + SCORED]
-                scores = predicted[where[part]] @ outputs.T + biases
-                out[part] = scores[np.arange(len(part)), words[part] - lo] - _log_sums(scores)
+                scores = predicted.take(where[part], axis=0) @ outputs.T
+                scores += biases
+                own = scores[np.arange(len(part)), words[part] - lo]
+                out[part] = own - _log_sums(scores, safe)
         return out
 
 
-def _log_sums(scores: np.ndarray) -> np.ndarray:
-    top = scores.max(axis=1, keepdims=True)
-    return top[:, 0] + np.log(np.exp(scores - top).sum(axis=1))
+def _within(vectors: np.ndarray, outputs: np.ndarray, biases: np.ndarray) -> bool:
+    """Whether sums of the scores' exponentials are in range without taking the largest score off first."""
+    far = [np.sqrt(np.einsum("ij,ij->i", x, x).max(initial=0)) for x in (vectors, outputs)]
+    # Of biases only the largest matters: a sum is between that score's exponential and all classes' as large.
+    return bool(far[0] * far[1] + abs(biases.max(initial=-np.inf)) < LARGE)
+
+
+def _log_sums(scores: np.ndarray, safe: bool = False) -> np.ndarray:
+    """Logs of the rows' sums of exponentials; the scores are overwritten. ``safe``: none is large."""
+    if not safe:
+        top = scores.max(axis=1, keepdims=True)
+        scores -= top
+    np.exp(scores, out=scores)
+    sums = np.log(scores @ np.ones(scores.shape[1], scores.dtype))
+    return sums if safe else top[:, 0] + sums
 
 
 class Trainer:
@@ -442,10 +531,24 @@ class Trainer:
     def __init__(self, model: LogBilinear, seed: int) -> None:
         self.model, self.rng = model, np.random.default_rng(seed)
         self.seen = [np.full_like(p, 1e-6) for p in model.parameters()]
+        rows = max(len(p) for p in model.parameters())
+        self._place = np.zeros(rows, np.int64)
 
     def _move(self, which: int, rows, gradient: np.ndarray) -> None:
-        self.seen[which][rows] += gradient * gradient
-        self.model.parameters()[which][rows] -= RATE * gradient / np.sqrt(self.seen[which][rows])
+        seen, parameter = self.seen[which], self.model.parameters()[which]
+        if isinstance(rows, slice):
+            seen[rows] += gradient * gradient
+            parameter[rows] -= RATE * gradient / np.sqrt(seen[rows])
+            return
+        step = seen.take(rows, axis=0)
+        step += gradient * gradient
+        _put(seen, rows, step)
+        np.sqrt(step, out=step)
+        np.divide(gradient, step, out=step)
+        step *= RATE
+        moved = parameter.take(rows, axis=0)
+        moved -= step
+        _put(parameter, rows, moved)
 
     def step(
         self,
@@ -454,34 +557,38 @@ class Trainer:
         context_words: np.ndarray | None = None,
         target_words: np.ndarray | None = None,
     ) -> None:
-        m = self.model
+        m, n = self.model, len(targets)
         noise = self.rng.choice(len(m.noise), NOISE, p=m.noise)
-        predicted = m.predicted(contexts, context_words)
+        given, through = m.vectors(contexts, context_words), m.places.reshape(-1, SIZE)
+        predicted = given @ through
         expected = np.log(NOISE * m.noise)
-        target = (predicted * m.outputs[targets]).sum(axis=1) + m.biases[targets] - expected[targets]
-        other = predicted @ m.outputs[noise].T + m.biases[noise] - expected[noise]
+        vectors = m.outputs.take(targets, axis=0)
+        target = np.einsum("ij,ij->i", predicted, vectors) + (m.biases - expected).take(targets)
+        other = predicted @ m.outputs[noise].T + (m.biases[noise] - expected[noise])
         # Derivatives of the loss by the scores: 1 - p for what was seen, p for the noise.
-        by_target = -1.0 / (1.0 + np.exp(np.clip(target, -30, 30)))
-        by_noise = 1.0 / (1.0 + np.exp(np.clip(-other, -30, 30)))
-        scale = predicted.dtype.type(1.0 / len(targets))
-        by_prediction = by_target[:, None] * m.outputs[targets] + by_noise @ m.outputs[noise]
-        rows = np.concatenate((targets, noise))
-        vectors = np.concatenate((by_target[:, None] * predicted, by_noise.T @ predicted)) * scale
-        biases = np.concatenate((by_target, by_noise.sum(axis=0))) * scale
-        found, sums = _sum_by(rows, np.concatenate((vectors, biases[:, None]), axis=1))
+        scale = predicted.dtype.type(1.0 / n)
+        by_target = -scale / (1.0 + np.exp(np.clip(target, -30, 30)))
+        by_noise = scale / (1.0 + np.exp(np.clip(-other, -30, 30)))
+        by_prediction = by_noise @ m.outputs[noise]
+        vectors *= by_target[:, None]
+        by_prediction += vectors
+        by_row = _with_bias(n + NOISE, predicted.dtype)
+        np.multiply(by_target[:, None], predicted, out=by_row[:n, :SIZE])
+        np.matmul(by_noise.T, predicted, out=by_row[n:, :SIZE])
+        by_row[:n, SIZE], by_row[n:, SIZE] = by_target, by_noise.sum(axis=0)
+        found, sums = self._sum_by(np.concatenate((targets, noise)), by_row)
         moves = []
         if target_words is not None:
             moves += self._words(predicted, by_prediction, target_words, scale)
-        gradients = [by_prediction @ m.places[i].T * scale for i in range(CONTEXT)]
-        places = np.stack([m.vectors(contexts, context_words, i).T @ by_prediction * scale for i in range(CONTEXT)])
-        gradients = np.concatenate(gradients)
-        moves += [(0, *_sum_by(contexts.T.ravel(), gradients))]
+        gradients = (by_prediction @ through.T).reshape(-1, SIZE)
+        places = (given.T @ by_prediction).reshape(m.places.shape)
+        moves += [(0, *self._sum_by(contexts.ravel(), gradients))]
         if context_words is not None:
-            words = context_words.T.ravel()
+            words = context_words.ravel()
             some = np.flatnonzero(words < m.words)
             if len(some):
-                moves += [(4, *_sum_by(words[some], gradients[some]))]
-        moves += [(1, slice(None), places), (2, found, sums[:, :-1]), (3, found, sums[:, -1])]
+                moves += [(4, *self._sum_by(words[some], gradients.take(some, axis=0)))]
+        moves += [(1, slice(None), places), (2, found, sums[:, :SIZE]), (3, found, sums[:, SIZE])]
         for move in moves:
             self._move(*move)
 
@@ -491,37 +598,63 @@ class Trainer:
         here = np.flatnonzero(target_words < m.words)
         if not len(here):
             return []
-        words, given = target_words[here], predicted[here]
+        words, given = target_words[here], predicted.take(here, axis=0)
         lo = words // m.width * m.width
         size = np.minimum(m.width, m.words - lo)
         noise = lo[:, None] + (self.rng.random((len(here), WORD_NOISE)) * size[:, None]).astype(np.int64)
         both = np.concatenate((words[:, None], noise), axis=1)
-        vectors = m.word_outputs[both]
+        vectors = m.word_outputs.take(both, axis=0)
         expected = np.log(WORD_NOISE / size).astype(given.dtype)[:, None]
-        scores = (vectors @ given[:, :, None])[:, :, 0] + m.word_biases[both] - expected
-        by_score = 1.0 / (1.0 + np.exp(np.clip(-scores, -30, 30)))
-        by_score[:, 0] -= 1.0
+        scores = np.einsum("ijk,ik->ij", vectors, given) + m.word_biases.take(both) - expected
+        by_score = scale / (1.0 + np.exp(np.clip(-scores, -30, 30)))
+        by_score[:, 0] -= scale
         by_prediction[here] += (by_score[:, None, :] @ vectors)[:, 0]
-        by_vector = (by_score[:, :, None] * given[:, None, :]).reshape(-1, SIZE)
-        rows, sums = _sum_by(both.ravel(), np.concatenate((by_vector, by_score.reshape(-1, 1)), axis=1) * scale)
-        return [(5, rows, sums[:, :-1]), (6, rows, sums[:, -1])]
-
-
-def _sum_by(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(rows, kind="stable")
-    rows = rows[order]
-    first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-    return rows[first], np.add.reduceat(values[order], first, axis=0)
+        by_row = _with_bias(both.size, given.dtype)
+        np.multiply(by_score[:, :, None], given[:, None, :], out=by_row.reshape(*both.shape, -1)[:, :, :SIZE])
+        by_row[:, SIZE] = by_score.ravel()
+        rows, sums = self._sum_by(both.ravel(), by_row)
+        return [(5, rows, sums[:, :SIZE]), (6, rows, sums[:, SIZE])]
+
+    def _sum_by(self, rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct rows and each one's sum of values, of which a row has an even number."""
+        here = np.arange(len(rows))
+        self._place[rows] = here
+        last = self._place.take(rows) == here
+        kept, rest = np.flatnonzero(last), np.flatnonzero(~last)
+        found, sums = rows.take(kept), values.take(kept, axis=0)
+        if len(rest):
+            self._place[found] = here[: len(found)]
+            # Two values are added at once, as a complex one.
+            kind = np.complex64 if values.dtype == np.float32 else np.complex128
+            pairs, wide = values.take(rest, axis=0).view(kind), values.shape[1] // 2
+            at = self._place.take(rows.take(rest))[:, None] * wide + np.arange(wide)
+            np.add.at(sums.view(kind).ravel(), at.ravel(), pairs.ravel())
+        return found, sums
+
+
+def _put(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """``table[rows] = values``, each row written as a whole."""
+    if table.ndim > 1:
+        whole = f"V{table.shape[1] * table.itemsize}"
+        table, values = table.view(whole), values.view(whole)
+    table.put(rows, values)
+
+
+def _with_bias(rows: int, kind: np.dtype) -> np.ndarray:
+    """Rows for a vector and a bias, and as many zeros as make their number even."""
+    out = np.empty((rows, SIZE + 2 - SIZE % 2), kind)
+    out[:, SIZE + 1 :] = 0
+    return out
 
 
 def contexts_of(classes: np.ndarray, lengths: np.ndarray, start: int) -> np.ndarray:
     """The classes before each token, the nearest first; ``start`` before a text's first."""
-    begins = np.repeat(np.cumsum(lengths) - lengths, lengths)
-    here = np.arange(len(classes))
-    out = np.full((len(classes), CONTEXT), start, np.int64)
+    begins = np.cumsum(lengths) - lengths
+    out = np.empty((len(classes), CONTEXT), np.int64)
     for i in range(CONTEXT):
-        inside = here - i - 1 >= begins
-        out[inside, i] = classes[here[inside] - i - 1]
+        out[i + 1 :, i] = classes[: max(len(classes) - i - 1, 0)]
+        for j in range(i + 1):
+            out[begins[lengths > j] + j, i] = start
     return out
 
 
@@ -538,19 +671,20 @@ def _round(classified: DataFrame, classes: Classes, model: LogBilinear, turn: in
         for frame in frames:
             for row in frame.to_pylist():
                 lengths = np.array(row["lengths"], np.int64)
-                kinds, words = classes.split(np.frombuffer(row["units"], np.uint32).astype(np.int64))
+                units, codes = _units_and_codes(row)
+                kinds, words = classes.split(np.append(units, number))
                 learnt = np.flatnonzero(np.repeat(~np.array(row["held"], bool), lengths))
-                contexts = contexts_of(kinds, lengths, number)
-                context_words = contexts_of(words, lengths, own.words)
+                contexts = contexts_of(codes, lengths, len(units))
                 trainer.rng.shuffle(learnt)
                 for at in range(0, len(learnt), BATCH):
                     batch = learnt[at : at + BATCH]
+                    before, targets = contexts.take(batch, axis=0), codes.take(batch)
+                    step = [kinds.take(before), kinds.take(targets)]
                     if own.words:
-                        trainer.step(contexts[batch], kinds[batch], context_words[batch], words[batch])
-                    else:
-                        trainer.step(contexts[batch], kinds[batch])
+                        step += [words.take(before), words.take(targets)]
+                    trainer.step(*step)
                 tokens += len(learnt)
-                seen += np.bincount(words[learnt], minlength=own.words + 1)
+                np.add.at(seen, words, np.bincount(codes.take(learnt), minlength=len(words)))
         if tokens:
             rows = own.rows()
             weights = np.concatenate((np.full(len(rows) - own.words, tokens), seen[:-1])).astype(np.float64)
@@ -573,7 +707,7 @@ def _round(classified: DataFrame, classes: Classes, model: LogBilinear, turn: in
         means = (total[some] / weight[some, None]).astype(np.float32)
         return pa.table({"rows": [_i64(some + at)], "vals": [means.tobytes()]})
 
-    trained = classified.select("lengths", "held", "units").coalesce(trainers).mapInArrow(
+    trained = classified.select("lengths", "held", "units", "codes").coalesce(trainers).mapInArrow(
         train, "block long, rows binary, weights binary, vals binary"
     )
     values = model.rows()
@@ -593,17 +727,23 @@ def fit(classified: DataFrame, classes: Classes, rounds: int = ROUNDS) -> LogBil
     return model
 
 
-def log_probabilities(model: LogBilinear, classes: Classes, units: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The natural log-probability of each token's unit; equal contexts are normalised once."""
-    kinds, words = classes.split(units)
-    contexts = contexts_of(units, lengths, classes.number)
-    pairs, where = np.unique(contexts[:, 0] << 32 | contexts[:, 1], return_inverse=True)
-    contexts, context_words = classes.split(np.stack((pairs >> 32, pairs & 0xFFFFFFFF), axis=1))
-    predicted = model.predicted(contexts, context_words)
-    logs = -model.log_classes(predicted)[where]
-    for at in range(0, len(units), BATCH):
+def log_probabilities(
+    model: LogBilinear, classes: Classes, units: np.ndarray, codes: np.ndarray, lengths: np.ndarray
+) -> np.ndarray:
+    """The natural log-probability of each token, whose unit is ``units[code]``; equal contexts are normalised once."""
+    kinds, words = classes.split(np.append(units, classes.number))  # the last is before a text's first token
+    vectors = model.vectors(kinds[:, None], words[:, None])
+    placed = [vectors @ place for place in model.places]
+    contexts = contexts_of(codes, lengths, len(units))
+    pairs, where = np.unique(contexts[:, 1] << 32 | contexts[:, 0], return_inverse=True)
+    pairs = np.stack((pairs & 0xFFFFFFFF, pairs >> 32), axis=1)
+    predicted = sum(placed[i].take(pairs[:, i], axis=0) for i in range(CONTEXT))
+    logs = -model.log_classes_of_pairs(placed, pairs).take(where)
+    kinds, words = kinds.take(codes), words.take(codes)
+    for at in range(0, len(codes), BATCH):
         cut = slice(at, at + BATCH)
-        logs[cut] += (predicted[where[cut]] * model.outputs[kinds[cut]]).sum(axis=1) + model.biases[kinds[cut]]
+        outputs = model.outputs.take(kinds[cut], axis=0)
+        logs[cut] += np.einsum("ij,ij->i", predicted.take(where[cut], axis=0), outputs) + model.biases.take(kinds[cut])
     own = np.flatnonzero(words < model.words)
     logs[own] += model.log_words(predicted, where[own], words[own])
     return np.minimum(logs, 0.0)  # rounding apart, none is above
@@ -616,7 +756,7 @@ def _scored(classified: DataFrame, classes: Classes, model: LogBilinear, kind: s
         for frame in frames:
             for row in frame.to_pylist():
                 lengths = np.array(row["lengths"], np.int64)
-                logs = log_probabilities(model, classes, np.frombuffer(row["units"], np.uint32).astype(np.int64), lengths)
+                logs = log_probabilities(model, classes, *_units_and_codes(row), lengths)
                 by_model = np.add.reduceat(logs, np.cumsum(lengths) - lengths) / np.log(10)
                 yield pa.RecordBatch.from_arrays(
                     [

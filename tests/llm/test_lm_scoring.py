@@ -220,3 +220,62 @@ def test_gradients_of_words(monkeypatch):
             down = loss()
             parameter[at] = old
             assert math.isclose(full[at], (up - down) / 2e-5, rel_tol=1e-3, abs_tol=1e-7)
+
+
+def scored_model(n=700, words=300):
+    rng = np.random.default_rng(8)
+    model = L.LogBilinear(50, rng.random(50) + 0.1, np.arange(words, 0, -1), 20)
+    placed = [rng.normal(size=(n, L.SIZE)) for _ in range(L.CONTEXT)]
+    pairs = np.stack((rng.zipf(1.3, 20000) % n, rng.zipf(1.3, 20000) % n), axis=1)
+    return model, placed, pairs
+
+
+def test_pairs_share_their_exponentials(monkeypatch):
+    """Normalisers of pairs are those of their predictions, for fewer exponentials than one row a pair."""
+    monkeypatch.setattr(L, "COMMON", 40)
+    model, placed, pairs = scored_model()
+    pairs = np.unique(pairs, axis=0)
+    wanted = model.log_classes(placed[0][pairs[:, 0]] + placed[1][pairs[:, 1]])
+    rows, exp = [], np.exp
+    counting = lambda x, *a, **k: (rows.append(len(x)), exp(x, *a, **k))[1]
+    monkeypatch.setattr(L.np, "exp", counting)
+    got = model.log_classes_of_pairs(placed, pairs)
+    monkeypatch.undo()
+    assert np.allclose(got, wanted, rtol=1e-9)
+    assert sum(rows) < 0.7 * len(pairs)
+
+
+def test_normalisers_of_large_scores(monkeypatch):
+    """Products that single precision cannot hold are normalised as they are."""
+    monkeypatch.setattr(L, "COMMON", 40)
+    model, placed, pairs = scored_model()
+    placed[0][:20] *= 300
+    placed[1][:20] *= -300
+    placed[0][20:30], placed[1][20:30] = 200 * model.outputs[1], 200 * model.outputs[2]
+    wanted = model.log_classes(placed[0][pairs[:, 0]] + placed[1][pairs[:, 1]])
+    single = [p.astype(np.float32) for p in placed]
+    got = model.as_kind(np.float32).log_classes_of_pairs(single, pairs)
+    assert np.allclose(got, wanted, rtol=1e-4, atol=1e-3)
+
+
+def test_tokens_are_kept_as_codes_of_their_chunk(spark):
+    """Two bytes a token, and a unit for each distinct word of a chunk: not four bytes a token."""
+    df = spark.createDataFrame(sentences(600), "doc_id bigint, text string").coalesce(1)
+    docs = df.select(F.col("doc_id").alias("doc"), L.held_out(F.col("doc_id")).alias("held"), "text")
+    encoded = L.stored(L._encoded(docs), "encoded")
+    counted = L.stored(L._counted(encoded, 7), "counted")
+    rows = L._classified(encoded, counted, L._classes(counted, 7)).collect()
+    tokens = sum(sum(r.lengths) for r in rows)
+    assert sum(len(v) for r in rows for v in r.asDict().values() if isinstance(v, bytearray | bytes)) < 2.1 * tokens
+
+
+def test_sums_by_row():
+    rng = np.random.default_rng(9)
+    trainer = L.Trainer(L.LogBilinear(30, rng.random(30) + 0.1), 0)
+    for kind in (np.float32, np.float64):
+        rows, values = rng.zipf(1.5, 500) % 31, rng.normal(size=(500, 6)).astype(kind)
+        wanted = np.zeros((31, 6))
+        np.add.at(wanted, rows, values)
+        found, sums = trainer._sum_by(rows, values)
+        assert sorted(found) == sorted(set(rows.tolist()))
+        assert np.allclose(sums, wanted[found], atol=1e-5)
