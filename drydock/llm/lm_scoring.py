@@ -13,7 +13,7 @@ vocabulary, each found by batched matrix products, so the log-probabilities are
 over all words seen and one unseen.
 
 Training documents are all documents that are not held out. Every group of partitions trains on all of its
-training tokens, from the same start, with noise drawn from the class frequencies, and evenly from
+training tokens, in batches of short runs of text, from the same start, with noise drawn from the class frequencies, and evenly from
 the word's class. Parameters are then averaged on the cluster, those of a class by tokens and those of
 a word by its own tokens. That is repeated ``ROUNDS`` times.
 
@@ -30,7 +30,7 @@ training token all words are unseen; an empty table gives no rows; other columns
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from copy import copy
 from dataclasses import dataclass
 
@@ -52,15 +52,20 @@ SIZE = 24
 NOISE = 25
 WORD_NOISE = 4
 BATCH = 4096
+#: Tokens that follow each other in a batch, and steps whose noise is drawn at once.
+RUN = 32
+DRAWN = 64
 RATE = 0.05
 ROUNDS = 2
 #: Rows of parameters that are averaged together, and contexts whose scores are held at once: few enough for a cache.
 ROWS = 512
-SCORED = 512
+SCORED = 256
 #: Up to here the product of two exponentials and their sum are far from what single precision holds.
 LARGE = 36.0
-#: Context units of a chunk whose exponentials are kept, the most frequent.
-COMMON = 2048
+#: Context units whose exponentials are kept, the most frequent.
+COMMON = 4096
+#: Tokens from which on chunks are scored together, so that they share contexts and exponentials.
+POOL = 2 << 20
 #: Characters whose words share a dictionary.
 CHUNK = 2 << 20
 #: Words of chunks' dictionaries that meet in one group, about.
@@ -430,14 +435,15 @@ class LogBilinear:
         placed = [self.inputs @ self.places[i] for i in range(CONTEXT)]
         out = np.empty((len(self.inputs), len(self.inputs)))
         for first in range(len(self.inputs)):
-            out[first] = _log_sums((placed[0][first] + placed[1]) @ self.outputs.T + self.biases)
+            out[first] = _log_sums((placed[0][first] + placed[1]) @ self.outputs.T, self.biases)
         return out
 
     def log_classes(self, predicted: np.ndarray) -> np.ndarray:
         """The log-normaliser of the classes for each prediction."""
         out = np.empty(len(predicted))
+        weights = np.exp(self.biases) if _within(predicted, self.outputs, self.biases) else None
         for at in range(0, len(predicted), SCORED):
-            out[at : at + SCORED] = _log_sums(predicted[at : at + SCORED] @ self.outputs.T + self.biases)
+            out[at : at + SCORED] = _log_sums(predicted[at : at + SCORED] @ self.outputs.T, self.biases, weights)
         return out
 
     def log_classes_of_pairs(self, placed: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
@@ -458,20 +464,20 @@ class LogBilinear:
             table, tops = self._exponentials(placed[near].take(often, axis=0), near, safe)
             open_ = np.flatnonzero((slot.take(pairs[:, near]) >= 0) & np.isnan(out))
             open_ = open_[np.argsort(pairs[open_, far], kind="stable")]
-            for at in range(0, len(open_), SCORED):
-                part = open_[at : at + SCORED]
+            for at in range(0, len(open_), 2 * SCORED):
+                part = open_[at : at + 2 * SCORED]
                 others = pairs[part, far]
                 new = np.concatenate(([True], others[1:] != others[:-1]))
                 which = np.cumsum(new) - 1
                 own, own_tops = self._exponentials(placed[far].take(others[new], axis=0), far, safe)
                 common = slot.take(pairs[part, near])
-                sums = np.einsum("ij,ij->i", table.take(common, axis=0), own.take(which, axis=0))
+                sums = np.vecdot(table.take(common, axis=0), own.take(which, axis=0))
                 enough = sums > 1e-20
                 logs = np.log(sums[enough]) + tops[common[enough]] + own_tops[which[enough]]
                 out[part[enough]] = logs
         rest = np.flatnonzero(np.isnan(out))
-        for at in range(0, len(rest), SCORED):
-            part = rest[at : at + SCORED]
+        for at in range(0, len(rest), BATCH):
+            part = rest[at : at + BATCH]
             out[part] = self.log_classes(sum(placed[i].take(pairs[part, i], axis=0) for i in range(CONTEXT)))
         return out
 
@@ -491,38 +497,50 @@ class LogBilinear:
 
     def log_words(self, predicted: np.ndarray, where: np.ndarray, words: np.ndarray) -> np.ndarray:
         """The log-probability of words in their classes; ``where`` has each one's prediction."""
+        safe = _within(predicted, self.word_outputs, self.word_biases)
+        return self._log_words(lambda part: predicted.take(where[part], axis=0), safe, words)
+
+    def _log_words(self, predicted: Callable[[np.ndarray], np.ndarray], safe: bool, words: np.ndarray) -> np.ndarray:
+        """``log_words`` with ``predicted`` finding the predictions of some of the words, and whether all are ``_within``."""
         out = np.empty(len(words))
-        cluster = words // self.width
+        cluster = (words // self.width).astype(np.uint16 if self.words <= self.width << 16 else np.uint32)
         order = np.argsort(cluster, kind="stable")
         edges = np.flatnonzero(np.diff(cluster[order])) + 1
-        safe = _within(predicted, self.word_outputs, self.word_biases)
         for chosen in np.split(order, edges) if len(order) else ():
-            lo = cluster[chosen[0]] * self.width
+            lo = int(cluster[chosen[0]]) * self.width
             outputs, biases = self.word_outputs[lo : lo + self.width], self.word_biases[lo : lo + self.width]
+            weights = np.exp(biases) if safe else None
             for at in range(0, len(chosen), SCORED):
                 part = chosen[at : at + SCORED]
-                scores = predicted.take(where[part], axis=0) @ outputs.T
-                scores += biases
-                own = scores[np.arange(len(part)), words[part] - lo]
-                out[part] = own - _log_sums(scores, safe)
+                scores, own = predicted(part) @ outputs.T, words.take(part) - lo
+                found = scores.ravel().take(own + np.arange(0, scores.size, len(biases))) + biases.take(own)
+                out[part] = found - _log_sums(scores, biases, weights)
         return out
 
 
-def _within(vectors: np.ndarray, outputs: np.ndarray, biases: np.ndarray) -> bool:
-    """Whether sums of the scores' exponentials are in range without taking the largest score off first."""
-    far = [np.sqrt(np.einsum("ij,ij->i", x, x).max(initial=0)) for x in (vectors, outputs)]
+def _within(vectors: np.ndarray | list[np.ndarray], outputs: np.ndarray, biases: np.ndarray) -> bool:
+    """Whether sums of the scores' exponentials are in range without taking the largest score off first.
+
+    A list has the parts whose sums are the vectors.
+    """
+    parts = vectors if isinstance(vectors, list) else [vectors]
+    longest = [np.sqrt(np.einsum("ij,ij->i", x, x).max(initial=0)) for x in (*parts, outputs)]
     # Of biases only the largest matters: a sum is between that score's exponential and all classes' as large.
-    return bool(far[0] * far[1] + abs(biases.max(initial=-np.inf)) < LARGE)
+    return bool(sum(longest[:-1]) * longest[-1] + abs(biases.max(initial=-np.inf)) < LARGE)
 
 
-def _log_sums(scores: np.ndarray, safe: bool = False) -> np.ndarray:
-    """Logs of the rows' sums of exponentials; the scores are overwritten. ``safe``: none is large."""
-    if not safe:
-        top = scores.max(axis=1, keepdims=True)
-        scores -= top
+def _log_sums(scores: np.ndarray, biases: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+    """Logs of the rows' sums of exponentials with the biases; the scores are overwritten.
+
+    ``weights``: the exponentials of the biases, if no sum is large.
+    """
+    if weights is not None:
+        return np.log(np.exp(scores, out=scores) @ weights)
+    scores += biases
+    top = scores.max(axis=1, keepdims=True)
+    scores -= top
     np.exp(scores, out=scores)
-    sums = np.log(scores @ np.ones(scores.shape[1], scores.dtype))
-    return sums if safe else top[:, 0] + sums
+    return top[:, 0] + np.log(scores @ np.ones(scores.shape[1], scores.dtype))
 
 
 class Trainer:
@@ -533,6 +551,7 @@ class Trainer:
         self.seen = [np.full_like(p, 1e-6) for p in model.parameters()]
         rows = max(len(p) for p in model.parameters())
         self._place = np.zeros(rows, np.int64)
+        self._drawn = np.zeros((0, NOISE), np.int64)
 
     def _move(self, which: int, rows, gradient: np.ndarray) -> None:
         seen, parameter = self.seen[which], self.model.parameters()[which]
@@ -557,41 +576,73 @@ class Trainer:
         context_words: np.ndarray | None = None,
         target_words: np.ndarray | None = None,
     ) -> None:
+        """A step on tokens that each have a context of their own."""
+        words = None if context_words is None else context_words.ravel()
+        self.step_in(contexts.ravel(), words, np.arange(contexts.size).reshape(contexts.shape), targets, target_words)
+
+    def step_in(
+        self,
+        kinds: np.ndarray,
+        words: np.ndarray | None,
+        before: np.ndarray,
+        targets: np.ndarray,
+        target_words: np.ndarray | None,
+    ) -> None:
+        """A step on tokens of a text whose positions have ``kinds`` and ``words``.
+
+        ``before`` has the positions of each token's context, the nearest first. At each place a position is in one context
+        at most, so what a position adds to a prediction is found once for all tokens after it.
+        """
         m, n = self.model, len(targets)
-        noise = self.rng.choice(len(m.noise), NOISE, p=m.noise)
-        given, through = m.vectors(contexts, context_words), m.places.reshape(-1, SIZE)
-        predicted = given @ through
+        noise = self._noise()
+        given, through = m.vectors(kinds, words), m.places.transpose(1, 0, 2).reshape(SIZE, -1)
+        # Each position's part of a prediction at each place, one after the other.
+        parts, slots = (given @ through).reshape(-1, SIZE), before * CONTEXT + np.arange(CONTEXT)
+        predicted = parts.take(slots[:, 0], axis=0)
+        for i in range(1, CONTEXT):
+            predicted += parts.take(slots[:, i], axis=0)
         expected = np.log(NOISE * m.noise)
         vectors = m.outputs.take(targets, axis=0)
+        drawn = m.outputs.take(noise, axis=0)
         target = np.einsum("ij,ij->i", predicted, vectors) + (m.biases - expected).take(targets)
-        other = predicted @ m.outputs[noise].T + (m.biases[noise] - expected[noise])
+        other = predicted @ -drawn.T
+        other -= m.biases[noise] - expected[noise]
         # Derivatives of the loss by the scores: 1 - p for what was seen, p for the noise.
         scale = predicted.dtype.type(1.0 / n)
-        by_target = -scale / (1.0 + np.exp(np.clip(target, -30, 30)))
-        by_noise = scale / (1.0 + np.exp(np.clip(-other, -30, 30)))
-        by_prediction = by_noise @ m.outputs[noise]
+        by_target = _logistic(target, -scale)
+        by_noise = _logistic(other, scale)
+        by_prediction = by_noise @ drawn
         vectors *= by_target[:, None]
         by_prediction += vectors
-        by_row = _with_bias(n + NOISE, predicted.dtype)
-        np.multiply(by_target[:, None], predicted, out=by_row[:n, :SIZE])
-        np.matmul(by_noise.T, predicted, out=by_row[n:, :SIZE])
-        by_row[:n, SIZE], by_row[n:, SIZE] = by_target, by_noise.sum(axis=0)
-        found, sums = self._sum_by(np.concatenate((targets, noise)), by_row)
-        moves = []
+        by_row = np.empty((n + NOISE, SIZE), predicted.dtype)
+        np.multiply(by_target[:, None], predicted, out=by_row[:n])
+        np.matmul(by_noise.T, predicted, out=by_row[n:])
+        by_bias = np.concatenate((by_target, np.ones(n, by_noise.dtype) @ by_noise))
+        found, sums, biases = self._sum_by(np.concatenate((targets, noise)), by_row, by_bias)
+        moves = [(2, found, sums), (3, found, biases)]
         if target_words is not None:
             moves += self._words(predicted, by_prediction, target_words, scale)
-        gradients = (by_prediction @ through.T).reshape(-1, SIZE)
-        places = (given.T @ by_prediction).reshape(m.places.shape)
-        moves += [(0, *self._sum_by(contexts.ravel(), gradients))]
-        if context_words is not None:
-            words = context_words.ravel()
+        by_part = np.zeros_like(parts)
+        for i in range(CONTEXT):
+            _put(by_part, slots[:, i], by_prediction)
+        by_part = by_part.reshape(len(given), -1)
+        gradients = by_part @ through.T
+        places = (given.T @ by_part).reshape(SIZE, CONTEXT, SIZE).transpose(1, 0, 2)
+        moves += [(0, *self._sum_by(kinds, gradients)), (1, slice(None), places)]
+        if words is not None:
             some = np.flatnonzero(words < m.words)
             if len(some):
-                moves += [(4, *self._sum_by(words[some], gradients.take(some, axis=0)))]
-        moves += [(1, slice(None), places), (2, found, sums[:, :SIZE]), (3, found, sums[:, SIZE])]
+                moves += [(4, *self._sum_by(words.take(some), gradients.take(some, axis=0)))]
         for move in moves:
             self._move(*move)
 
+    def _noise(self) -> np.ndarray:
+        """The classes drawn for a step; those of many steps are drawn at once."""
+        if not len(self._drawn):
+            self._drawn = self.rng.choice(len(self.model.noise), DRAWN * NOISE, p=self.model.noise).reshape(-1, NOISE)
+        noise, self._drawn = self._drawn[0], self._drawn[1:]
+        return noise
+
     def _words(self, predicted, by_prediction, target_words, scale) -> list[tuple]:
         """The same for words in their classes, whose noise are the class's words, all alike."""
         m = self.model
@@ -605,31 +656,43 @@ class Trainer:
         both = np.concatenate((words[:, None], noise), axis=1)
         vectors = m.word_outputs.take(both, axis=0)
         expected = np.log(WORD_NOISE / size).astype(given.dtype)[:, None]
-        scores = np.einsum("ijk,ik->ij", vectors, given) + m.word_biases.take(both) - expected
-        by_score = scale / (1.0 + np.exp(np.clip(-scores, -30, 30)))
+        scores = expected - np.einsum("ijk,ik->ij", vectors, given) - m.word_biases.take(both)
+        by_score = _logistic(scores, scale)
         by_score[:, 0] -= scale
-        by_prediction[here] += (by_score[:, None, :] @ vectors)[:, 0]
-        by_row = _with_bias(both.size, given.dtype)
-        np.multiply(by_score[:, :, None], given[:, None, :], out=by_row.reshape(*both.shape, -1)[:, :, :SIZE])
-        by_row[:, SIZE] = by_score.ravel()
-        rows, sums = self._sum_by(both.ravel(), by_row)
-        return [(5, rows, sums[:, :SIZE]), (6, rows, sums[:, SIZE])]
-
-    def _sum_by(self, rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct rows and each one's sum of values, of which a row has an even number."""
+        moved = np.einsum("ij,ijk->ik", by_score, vectors)
+        moved += by_prediction.take(here, axis=0)
+        _put(by_prediction, here, moved)
+        by_row = np.einsum("ij,ik->ijk", by_score, given, out=vectors)
+        rows, sums, biases = self._sum_by(both.ravel(), by_row.reshape(-1, SIZE), by_score.ravel())
+        return [(5, rows, sums), (6, rows, biases)]
+
+    def _sum_by(self, rows: np.ndarray, values: np.ndarray, biases: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """The distinct rows and each one's sum of values, of which a row has an even number, and of ``biases``, one a row."""
         here = np.arange(len(rows))
         self._place[rows] = here
         last = self._place.take(rows) == here
         kept, rest = np.flatnonzero(last), np.flatnonzero(~last)
         found, sums = rows.take(kept), values.take(kept, axis=0)
+        out = (found, sums) if biases is None else (found, sums, biases.take(kept))
         if len(rest):
             self._place[found] = here[: len(found)]
+            place = self._place.take(rows.take(rest))
             # Two values are added at once, as a complex one.
             kind = np.complex64 if values.dtype == np.float32 else np.complex128
             pairs, wide = values.take(rest, axis=0).view(kind), values.shape[1] // 2
-            at = self._place.take(rows.take(rest))[:, None] * wide + np.arange(wide)
+            at = place[:, None] * wide + np.arange(wide)
             np.add.at(sums.view(kind).ravel(), at.ravel(), pairs.ravel())
-        return found, sums
+            if biases is not None:
+                np.add.at(out[2], place, biases.take(rest))
+        return out
+
+
+def _logistic(negated: np.ndarray, scale: np.floating) -> np.ndarray:
+    """``scale`` times the logistic function of scores, whose negatives are given and overwritten."""
+    with np.errstate(over="ignore"):  # one over infinity is nothing
+        np.exp(negated, out=negated)
+    negated += 1
+    return np.divide(scale, negated, out=negated)
 
 
 def _put(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
@@ -640,13 +703,6 @@ def _put(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     table.put(rows, values)
 
 
-def _with_bias(rows: int, kind: np.dtype) -> np.ndarray:
-    """Rows for a vector and a bias, and as many zeros as make their number even."""
-    out = np.empty((rows, SIZE + 2 - SIZE % 2), kind)
-    out[:, SIZE + 1 :] = 0
-    return out
-
-
 def contexts_of(classes: np.ndarray, lengths: np.ndarray, start: int) -> np.ndarray:
     """The classes before each token, the nearest first; ``start`` before a text's first."""
     begins = np.cumsum(lengths) - lengths
@@ -658,6 +714,27 @@ def contexts_of(classes: np.ndarray, lengths: np.ndarray, start: int) -> np.ndar
     return out
 
 
+def _runs(
+    codes: np.ndarray, lengths: np.ndarray, start: int, rng: np.random.Generator
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All tokens in batches of runs drawn from all texts: a batch's codes, each token's context and each token, as places in them.
+
+    Texts follow each other, ``CONTEXT`` times ``start`` before each, and are cut every ``RUN`` codes; a run is read with the codes of its
+    first token's context.
+    """
+    text = np.full(-(-(len(codes) + CONTEXT * len(lengths)) // RUN) * RUN + CONTEXT, start)
+    text[np.arange(len(codes)) + CONTEXT * np.repeat(np.arange(1, len(lengths) + 1), lengths)] = codes
+    order = rng.permutation((len(text) - CONTEXT) // RUN)
+    inside = (np.arange(BATCH // RUN)[:, None] * (RUN + CONTEXT) + np.arange(CONTEXT, RUN + CONTEXT)).ravel()
+    for at in range(0, len(order), BATCH // RUN):
+        some = order[at : at + BATCH // RUN]
+        batch = text.take(some[:, None] * RUN + np.arange(RUN + CONTEXT)).ravel()
+        tokens = inside[: len(some) * RUN]
+        tokens = tokens[batch.take(tokens) != start]
+        if len(tokens):
+            yield batch, tokens[:, None] - np.arange(1, CONTEXT + 1), tokens
+
+
 def _round(classified: DataFrame, classes: Classes, model: LogBilinear, turn: int) -> None:
     """Train in every group of partitions and average: rows of classes by tokens, rows of words by theirs."""
     number, start = classes.number, model.as_kind(np.float32)
@@ -673,18 +750,13 @@ def _round(classified: DataFrame, classes: Classes, model: LogBilinear, turn: in
                 lengths = np.array(row["lengths"], np.int64)
                 units, codes = _units_and_codes(row)
                 kinds, words = classes.split(np.append(units, number))
-                learnt = np.flatnonzero(np.repeat(~np.array(row["held"], bool), lengths))
-                contexts = contexts_of(codes, lengths, len(units))
-                trainer.rng.shuffle(learnt)
-                for at in range(0, len(learnt), BATCH):
-                    batch = learnt[at : at + BATCH]
-                    before, targets = contexts.take(batch, axis=0), codes.take(batch)
-                    step = [kinds.take(before), kinds.take(targets)]
-                    if own.words:
-                        step += [words.take(before), words.take(targets)]
-                    trainer.step(*step)
-                tokens += len(learnt)
-                np.add.at(seen, words, np.bincount(codes.take(learnt), minlength=len(words)))
+                learnt = ~np.array(row["held"], bool)
+                codes, lengths = codes[np.repeat(learnt, lengths)], lengths[learnt]
+                for text, before, after in _runs(codes, lengths, len(units), trainer.rng):
+                    found = kinds.take(text), words.take(text) if own.words else None
+                    trainer.step_in(*found, before, *(None if x is None else x.take(after) for x in found))
+                tokens += len(codes)
+                np.add.at(seen, words, np.bincount(codes, minlength=len(words)))
         if tokens:
             rows = own.rows()
             weights = np.concatenate((np.full(len(rows) - own.words, tokens), seen[:-1])).astype(np.float64)
@@ -732,40 +804,76 @@ def log_probabilities(
 ) -> np.ndarray:
     """The natural log-probability of each token, whose unit is ``units[code]``; equal contexts are normalised once."""
     kinds, words = classes.split(np.append(units, classes.number))  # the last is before a text's first token
-    vectors = model.vectors(kinds[:, None], words[:, None])
+    vectors = model.vectors(kinds, words)
     placed = [vectors @ place for place in model.places]
     contexts = contexts_of(codes, lengths, len(units))
     pairs, where = np.unique(contexts[:, 1] << 32 | contexts[:, 0], return_inverse=True)
     pairs = np.stack((pairs & 0xFFFFFFFF, pairs >> 32), axis=1)
-    predicted = sum(placed[i].take(pairs[:, i], axis=0) for i in range(CONTEXT))
     logs = -model.log_classes_of_pairs(placed, pairs).take(where)
-    kinds, words = kinds.take(codes), words.take(codes)
+    before = np.ascontiguousarray(contexts.T)
+
+    def predicted(some: np.ndarray | slice) -> np.ndarray:
+        out = placed[0].take(before[0][some], axis=0)
+        for i in range(1, CONTEXT):
+            out += placed[i].take(before[i][some], axis=0)
+        return out
+
     for at in range(0, len(codes), BATCH):
         cut = slice(at, at + BATCH)
-        outputs = model.outputs.take(kinds[cut], axis=0)
-        logs[cut] += np.einsum("ij,ij->i", predicted.take(where[cut], axis=0), outputs) + model.biases.take(kinds[cut])
+        found = kinds.take(codes[cut])
+        logs[cut] += np.einsum("ij,ij->i", predicted(cut), model.outputs.take(found, axis=0)) + model.biases.take(found)
+    words = words.take(codes)
     own = np.flatnonzero(words < model.words)
-    logs[own] += model.log_words(predicted, where[own], words[own])
+    safe = _within(placed, model.word_outputs, model.word_biases)
+    logs[own] += model._log_words(lambda part: predicted(own[part]), safe, words[own])
     return np.minimum(logs, 0.0)  # rounding apart, none is above
 
 
+def _pools(rows: Iterator[dict]) -> Iterator[list[dict]]:
+    """Chunks that are scored together."""
+    pool, tokens = [], 0
+    for row in rows:
+        pool.append(row)
+        tokens += sum(row["lengths"])
+        if tokens >= POOL:
+            yield pool
+            pool, tokens = [], 0
+    if pool:
+        yield pool
+
+
+def _joined(pool: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The units, codes and lengths of several chunks as those of one."""
+    each = [_units_and_codes(row) for row in pool]
+    units, where = np.unique(np.concatenate([units for units, _ in each]), return_inverse=True)
+    parts, at = [], 0
+    for own, codes in each:
+        parts.append(where[at : at + len(own)].take(codes))
+        at += len(own)
+    return units, np.concatenate(parts), np.concatenate([np.array(row["lengths"], np.int64) for row in pool])
+
+
 def _scored(classified: DataFrame, classes: Classes, model: LogBilinear, kind: str) -> DataFrame:
     model, tokens = model.as_kind(np.float32), classes.tokens
 
     def score(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames:
-            for row in frame.to_pylist():
-                lengths = np.array(row["lengths"], np.int64)
-                logs = log_probabilities(model, classes, *_units_and_codes(row), lengths)
-                by_model = np.add.reduceat(logs, np.cumsum(lengths) - lengths) / np.log(10)
+        for pool in _pools(row for frame in frames for row in frame.to_pylist()):
+            units, codes, lengths = _joined(pool)
+            logs = log_probabilities(model, classes, units, codes, lengths)
+            by_model = np.add.reduceat(logs, np.cumsum(lengths) - lengths) / np.log(10)
+            at = 0
+            for row in pool:
+                n = len(row["ids"])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(row["ids"], _arrow_type(kind)), pa.array(row["held"], pa.bool_()), pa.array(lengths),
-                        pa.array(row["known"], pa.int64()), pa.array(np.full(len(lengths), tokens)),
-                        pa.array(row["base"], pa.float64()), pa.array(by_model + np.array(row["inside"])),
+                        pa.array(row["ids"], _arrow_type(kind)), pa.array(row["held"], pa.bool_()),
+                        pa.array(row["lengths"], pa.int64()), pa.array(row["known"], pa.int64()),
+                        pa.array(np.full(n, tokens)), pa.array(row["base"], pa.float64()),
+                        pa.array(by_model[at : at + n] + np.array(row["inside"])),
                     ],
                     names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
+                at += n
 
     return classified.mapInArrow(
         score,

@@ -279,3 +279,96 @@ def test_sums_by_row():
         found, sums = trainer._sum_by(rows, values)
         assert sorted(found) == sorted(set(rows.tolist()))
         assert np.allclose(sums, wanted[found], atol=1e-5)
+
+
+def test_runs_have_each_token_once_with_its_context(monkeypatch):
+    monkeypatch.setattr(L, "BATCH", 4 * L.RUN)
+    rng = np.random.default_rng(10)
+    lengths = rng.integers(1, 90, 60)
+    codes = rng.integers(0, 500, lengths.sum())
+    found, sizes = [], []
+    for text, before, tokens in L._runs(codes, lengths, 500, rng):
+        found += np.column_stack((text[before], text[tokens])).tolist()
+        sizes.append((len(text), len(tokens)))
+        # At each place a position is in one context at most, which a step relies on.
+        assert all(len(set(before[:, i].tolist())) == len(tokens) for i in range(L.CONTEXT))
+    wanted = np.column_stack((L.contexts_of(codes, lengths, 500), codes)).tolist()
+    assert sorted(found) == sorted(wanted)
+    assert max(n for _, n in sizes) <= L.BATCH
+    # Tokens that follow each other share what is gathered: not CONTEXT rows for each.
+    assert sum(n for n, _ in sizes) < 1.2 * (len(codes) + L.CONTEXT * len(lengths))
+
+
+def test_steps_on_texts_move_parameters_as_steps_on_contexts():
+    rng = np.random.default_rng(11)
+    codes, lengths = rng.integers(0, 16, 90), np.array([1, 40, 30, 19])
+    text, before, tokens = next(L._runs(codes, lengths, 16, rng))
+    kinds, words = np.minimum(np.arange(17), 6), np.concatenate((np.full(6, 10), np.arange(10), [10]))
+    kinds[6:16] = 3 + np.arange(10) // 4
+    models = []
+    for whole in (True, False):
+        model = L.LogBilinear(6, np.arange(6) + 0.5, np.arange(10, 0, -1), 4)
+        trainer = L.Trainer(model, 12)
+        if whole:
+            trainer.step_in(kinds[text], words[text], before, kinds[text[tokens]], words[text[tokens]])
+        else:
+            trainer.step(kinds[text[before]], kinds[text[tokens]], words[text[before]], words[text[tokens]])
+        models.append(model.rows())
+    assert np.allclose(*models, atol=1e-9)
+
+
+def test_chunks_scored_together_share_their_exponentials(monkeypatch):
+    """The same log-probabilities as of each chunk alone, for fewer exponentials; every chunk is in one pool."""
+    rng = np.random.default_rng(13)
+    number, width = 50, 20
+    counts = np.arange(300, 0, -1)
+    model = L.LogBilinear(number, rng.random(number) + 0.1, counts, width)
+    classes = L.Classes(np.zeros(1), np.zeros(0), np.ones(number), 0, 0, 0, 30, width, counts)
+    every, rows = np.concatenate((np.arange(30), number + 1 + np.arange(300))), []
+    for _ in range(4):
+        units = np.sort(rng.choice(every, 250, replace=False))
+        lengths = rng.integers(1, 400, 10)
+        codes = (rng.zipf(1.3, lengths.sum()) % len(units)).astype(np.uint16)
+        rows.append({"units": L._packed(units.astype(np.uint32)), "codes": L._packed(codes), "lengths": lengths.tolist()})
+    assert [len(p) for p in L._pools(iter(rows))] == [4]
+    monkeypatch.setattr(L, "POOL", 1)
+    assert [len(p) for p in L._pools(iter(rows))] == [1] * 4
+    done, exp = [], np.exp
+    counting = lambda x, *a, **k: (done.append(x.size), exp(x, *a, **k))[1]
+    monkeypatch.setattr(L.np, "exp", counting)
+    alone = [L.log_probabilities(model, classes, *L._joined([row])) for row in rows]
+    apart = sum(done)
+    done.clear()
+    together = L.log_probabilities(model, classes, *L._joined(rows))
+    monkeypatch.undo()
+    assert np.allclose(together, np.concatenate(alone), rtol=1e-9)
+    assert sum(done) < 0.8 * apart
+
+
+def test_log_probabilities_by_plain_python():
+    """The score of each token, written out from the parameters."""
+    rng = np.random.default_rng(14)
+    counts = np.arange(10, 0, -1)
+    model = L.LogBilinear(6, rng.random(6) + 0.1, counts, 4)
+    classes = L.Classes(np.zeros(1), np.zeros(0), np.ones(6), 0, 0, 0, 2, 4, counts)
+    units, lengths = np.array([0, 1, 5, *range(7, 17)]), np.array([1, 25, 7])
+    codes = rng.integers(0, len(units), lengths.sum())
+    found, at = L.log_probabilities(model, classes, units, codes, lengths), 0
+    for n in lengths:
+        before = [6, 6]  # the class before a text's first token
+        for unit in units[codes[at : at + n]]:
+            predicted = np.zeros(L.SIZE)
+            for i in range(L.CONTEXT):
+                u = before[-1 - i]
+                vector = model.inputs[u] if u <= 6 else model.inputs[2 + (u - 7) // 4] + model.own[u - 7]
+                predicted = predicted + vector @ model.places[i]
+            scores = [predicted @ model.outputs[c] + model.biases[c] for c in range(6)]
+            kind = unit if unit < 6 else 2 + (unit - 7) // 4
+            wanted = scores[kind] - math.log(sum(map(math.exp, scores)))
+            if unit > 6:
+                lo = (unit - 7) // 4 * 4
+                inner = {w: predicted @ model.word_outputs[w] + model.word_biases[w] for w in range(lo, min(lo + 4, 10))}
+                wanted += inner[unit - 7] - math.log(sum(map(math.exp, inner.values())))
+            assert math.isclose(found[at], wanted, rel_tol=1e-9)
+            before.append(unit)
+            at += 1
