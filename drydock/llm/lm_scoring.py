@@ -64,6 +64,9 @@ SCORED = 256
 LARGE = 36.0
 #: Context units whose exponentials are kept, the most frequent.
 COMMON = 4096
+#: How often a unit is common at least, and words of a class that share exponentials.
+OFTEN = 4
+SHARED = 2048
 #: Tokens from which on chunks are scored together, so that they share contexts and exponentials.
 POOL = 2 << 20
 #: Characters whose words share a dictionary.
@@ -440,68 +443,30 @@ class LogBilinear:
 
     def log_classes(self, predicted: np.ndarray) -> np.ndarray:
         """The log-normaliser of the classes for each prediction."""
-        out = np.empty(len(predicted))
-        weights = np.exp(self.biases) if _within(predicted, self.outputs, self.biases) else None
-        for at in range(0, len(predicted), SCORED):
-            out[at : at + SCORED] = _log_sums(predicted[at : at + SCORED] @ self.outputs.T, self.biases, weights)
-        return out
+        return _log_normalisers(predicted, self.outputs, self.biases)
 
     def log_classes_of_pairs(self, placed: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
-        """``log_classes`` of pairs of context units, given each unit's part of a prediction at each place.
-
-        The exponential of a sum is the product of the parts' exponentials. Those of ``COMMON`` units are found once
-        and those of any other once for each run of pairs that share it; what is left for a pair is an inner product. Pairs without
-        a common unit, and those whose product is too small for single precision, are normalised as they are.
-        """
-        out = np.full(len(pairs), np.nan)
-        slot = np.full(len(placed[0]), -1)
-        often = np.bincount(pairs.ravel(), minlength=len(slot))
-        often = np.argsort(-often, kind="stable")[:COMMON]
-        slot[often] = np.arange(len(often))
+        """``log_classes`` of pairs of context units, given each unit's part of a prediction at each place."""
         safe = all(_within(p, self.outputs, self.biases) for p in placed)
-        for near in range(CONTEXT):
-            far = 1 - near
-            table, tops = self._exponentials(placed[near].take(often, axis=0), near, safe)
-            open_ = np.flatnonzero((slot.take(pairs[:, near]) >= 0) & np.isnan(out))
-            open_ = open_[np.argsort(pairs[open_, far], kind="stable")]
-            for at in range(0, len(open_), 2 * SCORED):
-                part = open_[at : at + 2 * SCORED]
-                others = pairs[part, far]
-                new = np.concatenate(([True], others[1:] != others[:-1]))
-                which = np.cumsum(new) - 1
-                own, own_tops = self._exponentials(placed[far].take(others[new], axis=0), far, safe)
-                common = slot.take(pairs[part, near])
-                sums = np.vecdot(table.take(common, axis=0), own.take(which, axis=0))
-                enough = sums > 1e-20
-                logs = np.log(sums[enough]) + tops[common[enough]] + own_tops[which[enough]]
-                out[part[enough]] = logs
-        rest = np.flatnonzero(np.isnan(out))
-        for at in range(0, len(rest), BATCH):
-            part = rest[at : at + BATCH]
-            out[part] = self.log_classes(sum(placed[i].take(pairs[part, i], axis=0) for i in range(CONTEXT)))
-        return out
-
-    def _exponentials(self, placed: np.ndarray, place: int, safe: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Of each class's score by one part of a prediction, and what was taken off; biases go with the first."""
-        out, tops = np.empty((len(placed), len(self.outputs)), placed.dtype), np.zeros(len(placed), placed.dtype)
-        for at in range(0, len(placed), SCORED):
-            scores = out[at : at + SCORED]
-            np.matmul(placed[at : at + SCORED], self.outputs.T, out=scores)
-            if place == 0:
-                scores += self.biases
-            if not safe:
-                tops[at : at + SCORED] = scores.max(axis=1)
-                scores -= tops[at : at + SCORED, None]
-            np.exp(scores, out=scores)
-        return out, tops
+        return _log_normalisers_of_pairs(placed, pairs, self.outputs, self.biases, safe)
 
     def log_words(self, predicted: np.ndarray, where: np.ndarray, words: np.ndarray) -> np.ndarray:
         """The log-probability of words in their classes; ``where`` has each one's prediction."""
         safe = _within(predicted, self.word_outputs, self.word_biases)
         return self._log_words(lambda part: predicted.take(where[part], axis=0), safe, words)
 
-    def _log_words(self, predicted: Callable[[np.ndarray], np.ndarray], safe: bool, words: np.ndarray) -> np.ndarray:
-        """``log_words`` with ``predicted`` finding the predictions of some of the words, and whether all are ``_within``."""
+    def _log_words(
+        self,
+        predicted: Callable[[np.ndarray], np.ndarray],
+        safe: bool,
+        words: np.ndarray,
+        placed: list[np.ndarray] | None = None,
+        pairs: Callable[[np.ndarray], np.ndarray] | None = None,
+    ) -> np.ndarray:
+        """``log_words`` with ``predicted`` finding the predictions of some of the words, and whether all are ``_within``.
+
+        With ``placed`` and the ``pairs`` of some of the words, those of large classes share exponentials too.
+        """
         out = np.empty(len(words))
         cluster = (words // self.width).astype(np.uint16 if self.words <= self.width << 16 else np.uint32)
         order = np.argsort(cluster, kind="stable")
@@ -509,15 +474,88 @@ class LogBilinear:
         for chosen in np.split(order, edges) if len(order) else ():
             lo = int(cluster[chosen[0]]) * self.width
             outputs, biases = self.word_outputs[lo : lo + self.width], self.word_biases[lo : lo + self.width]
-            weights = np.exp(biases) if safe else None
+            weights, shared = np.exp(biases) if safe else None, pairs is not None and len(chosen) >= SHARED
+            if shared:
+                out[chosen] = -_log_normalisers_of_pairs(placed, pairs(chosen), outputs, biases, safe)
             for at in range(0, len(chosen), SCORED):
                 part = chosen[at : at + SCORED]
-                scores, own = predicted(part) @ outputs.T, words.take(part) - lo
+                given, own = predicted(part), words.take(part) - lo
+                if shared:
+                    out[part] += np.einsum("ij,ij->i", given, outputs.take(own, axis=0)) + biases.take(own)
+                    continue
+                scores = given @ outputs.T
                 found = scores.ravel().take(own + np.arange(0, scores.size, len(biases))) + biases.take(own)
                 out[part] = found - _log_sums(scores, biases, weights)
         return out
 
 
+def _log_normalisers(predicted: np.ndarray, outputs: np.ndarray, biases: np.ndarray) -> np.ndarray:
+    """The log of the sum of the scores' exponentials for each prediction."""
+    out = np.empty(len(predicted))
+    weights = np.exp(biases) if _within(predicted, outputs, biases) else None
+    for at in range(0, len(predicted), SCORED):
+        out[at : at + SCORED] = _log_sums(predicted[at : at + SCORED] @ outputs.T, biases, weights)
+    return out
+
+
+def _log_normalisers_of_pairs(
+    placed: list[np.ndarray], pairs: np.ndarray, outputs: np.ndarray, biases: np.ndarray, safe: bool
+) -> np.ndarray:
+    """``_log_normalisers`` of pairs of context units, given each unit's part of a prediction at each place.
+
+    The exponential of a sum is the product of the parts' exponentials. Those of ``COMMON`` units are found once
+    and those of any other once for each run of pairs that share it; what is left for a pair is an inner product. Pairs without
+    a common unit, and those whose product is too small for single precision, are normalised as they are.
+    ``safe``: exponentials are in range as they are.
+    """
+    out = np.full(len(pairs), np.nan)
+    for near in range(CONTEXT):
+        far = 1 - near
+        times = np.bincount(pairs[:, near], minlength=len(placed[0]))
+        often = np.flatnonzero(times >= OFTEN)
+        if len(often) > COMMON:
+            often = often[np.argsort(-times.take(often), kind="stable")[:COMMON]]
+        slot = np.full(len(placed[0]), -1)
+        slot[often] = np.arange(len(often))
+        table, tops = _exponentials(placed[near].take(often, axis=0), outputs, None if near else biases, safe)
+        open_ = np.flatnonzero((slot.take(pairs[:, near]) >= 0) & np.isnan(out))
+        open_ = open_[np.argsort(pairs[open_, far], kind="stable")]
+        for at in range(0, len(open_), 2 * SCORED):
+            part = open_[at : at + 2 * SCORED]
+            others = pairs[part, far]
+            new = np.concatenate(([True], others[1:] != others[:-1]))
+            which = np.cumsum(new) - 1
+            own, own_tops = _exponentials(placed[far].take(others[new], axis=0), outputs, None if far else biases, safe)
+            common = slot.take(pairs[part, near])
+            sums = np.vecdot(table.take(common, axis=0), own.take(which, axis=0))
+            enough = sums > 1e-20
+            logs = np.log(sums[enough]) + tops[common[enough]] + own_tops[which[enough]]
+            out[part[enough]] = logs
+    rest = np.flatnonzero(np.isnan(out))
+    for at in range(0, len(rest), BATCH):
+        part = rest[at : at + BATCH]
+        predicted = sum(placed[i].take(pairs[part, i], axis=0) for i in range(CONTEXT))
+        out[part] = _log_normalisers(predicted, outputs, biases)
+    return out
+
+
+def _exponentials(
+    placed: np.ndarray, outputs: np.ndarray, biases: np.ndarray | None, safe: bool
+) -> tuple[np.ndarray, np.ndarray]:
+    """Of each class's score by one part of a prediction, and what was taken off; biases go with the first part."""
+    out, tops = np.empty((len(placed), len(outputs)), placed.dtype), np.zeros(len(placed), placed.dtype)
+    for at in range(0, len(placed), SCORED):
+        scores = out[at : at + SCORED]
+        np.matmul(placed[at : at + SCORED], outputs.T, out=scores)
+        if biases is not None:
+            scores += biases
+        if not safe:
+            tops[at : at + SCORED] = scores.max(axis=1)
+            scores -= tops[at : at + SCORED, None]
+        np.exp(scores, out=scores)
+    return out, tops
+
+
 def _within(vectors: np.ndarray | list[np.ndarray], outputs: np.ndarray, biases: np.ndarray) -> bool:
     """Whether sums of the scores' exponentials are in range without taking the largest score off first.
 
@@ -799,6 +837,24 @@ def fit(classified: DataFrame, classes: Classes, rounds: int = ROUNDS) -> LogBil
     return model
 
 
+def _distinct_pairs(contexts: np.ndarray, units: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of two units, ordered by the second, and which of them each row is."""
+    wide, low = units.bit_length(), len(contexts).bit_length()
+    keys = contexts[:, 1] << wide | contexts[:, 0]
+    if 2 * wide + low < 64:  # sorting keys with their places in them is much faster than finding the order
+        keys = keys << low | np.arange(len(keys))
+        keys.sort()
+        places = keys & ((1 << low) - 1)
+        keys >>= low
+        new = np.concatenate(([True], keys[1:] != keys[:-1]))
+        where = np.empty(len(keys), np.int64)
+        where[places] = np.cumsum(new) - 1
+        keys = keys[new]
+    else:
+        keys, where = np.unique(keys, return_inverse=True)
+    return np.stack((keys & ((1 << wide) - 1), keys >> wide), axis=1), where
+
+
 def log_probabilities(
     model: LogBilinear, classes: Classes, units: np.ndarray, codes: np.ndarray, lengths: np.ndarray
 ) -> np.ndarray:
@@ -807,10 +863,10 @@ def log_probabilities(
     vectors = model.vectors(kinds, words)
     placed = [vectors @ place for place in model.places]
     contexts = contexts_of(codes, lengths, len(units))
-    pairs, where = np.unique(contexts[:, 1] << 32 | contexts[:, 0], return_inverse=True)
-    pairs = np.stack((pairs & 0xFFFFFFFF, pairs >> 32), axis=1)
+    pairs, where = _distinct_pairs(contexts, len(units))
     logs = -model.log_classes_of_pairs(placed, pairs).take(where)
-    before = np.ascontiguousarray(contexts.T)
+    before = np.ascontiguousarray(contexts.T, np.uint32)
+    del contexts, pairs, where
 
     def predicted(some: np.ndarray | slice) -> np.ndarray:
         out = placed[0].take(before[0][some], axis=0)
@@ -825,7 +881,8 @@ def log_probabilities(
     words = words.take(codes)
     own = np.flatnonzero(words < model.words)
     safe = _within(placed, model.word_outputs, model.word_biases)
-    logs[own] += model._log_words(lambda part: predicted(own[part]), safe, words[own])
+    of = (lambda part: predicted(own[part])), safe, words[own]
+    logs[own] += model._log_words(*of, placed, lambda part: before[:, own[part]].T.astype(np.int64))
     return np.minimum(logs, 0.0)  # rounding apart, none is above
 
 

@@ -372,3 +372,31 @@ def test_log_probabilities_by_plain_python():
             assert math.isclose(found[at], wanted, rel_tol=1e-9)
             before.append(unit)
             at += 1
+
+
+def test_words_of_large_classes_share_their_exponentials(monkeypatch):
+    """Normalised as words one by one are, for fewer exponentials."""
+    rng = np.random.default_rng(15)
+    counts = np.arange(40, 0, -1)
+    model = L.LogBilinear(6, rng.random(6) + 0.1, counts, 20)
+    classes = L.Classes(np.zeros(1), np.zeros(0), np.ones(6), 0, 0, 0, 3, 20, counts)
+    units, lengths = np.array([0, 1, 2, 5, *range(7, 47)]), rng.integers(1, 300, 20)
+    codes = rng.integers(0, len(units), lengths.sum())
+    exp, found = np.exp, []
+    for shared in (10**9, 1):
+        monkeypatch.setattr(L, "SHARED", shared)
+        done = []
+        monkeypatch.setattr(L.np, "exp", lambda x, *a, done=done, **k: (done.append(x.size), exp(x, *a, **k))[1])
+        found.append((L.log_probabilities(model, classes, units, codes, lengths), sum(done)))
+    monkeypatch.undo()
+    assert np.allclose(found[0][0], found[1][0], rtol=1e-9)
+    assert found[1][1] < 0.7 * found[0][1]
+
+
+def test_distinct_pairs(monkeypatch):
+    rng = np.random.default_rng(16)
+    contexts = rng.integers(0, 31, (500, 2))
+    for units in (30, 1 << 30):  # packed with their places, and too large for it
+        pairs, where = L._distinct_pairs(contexts, units)
+        assert (pairs[where] == contexts).all() and len(pairs) == len(set(map(tuple, contexts.tolist())))
+        assert (np.diff(pairs[:, 1]) >= 0).all()
