@@ -744,7 +744,7 @@ def _put(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
 def contexts_of(classes: np.ndarray, lengths: np.ndarray, start: int) -> np.ndarray:
     """The classes before each token, the nearest first; ``start`` before a text's first."""
     begins = np.cumsum(lengths) - lengths
-    out = np.empty((len(classes), CONTEXT), np.int64)
+    out = np.empty((len(classes), CONTEXT), np.uint32)
     for i in range(CONTEXT):
         out[i + 1 :, i] = classes[: max(len(classes) - i - 1, 0)]
         for j in range(i + 1):
@@ -840,15 +840,19 @@ def fit(classified: DataFrame, classes: Classes, rounds: int = ROUNDS) -> LogBil
 def _distinct_pairs(contexts: np.ndarray, units: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct rows of two units, ordered by the second, and which of them each row is."""
     wide, low = units.bit_length(), len(contexts).bit_length()
-    keys = contexts[:, 1] << wide | contexts[:, 0]
+    keys = contexts[:, 1].astype(np.int64)
+    keys <<= wide
+    keys |= contexts[:, 0]
     if 2 * wide + low < 64:  # sorting keys with their places in them is much faster than finding the order
-        keys = keys << low | np.arange(len(keys))
+        keys <<= low
+        keys |= np.arange(len(keys))
         keys.sort()
         places = keys & ((1 << low) - 1)
         keys >>= low
         new = np.concatenate(([True], keys[1:] != keys[:-1]))
-        where = np.empty(len(keys), np.int64)
-        where[places] = np.cumsum(new) - 1
+        where = np.empty(len(keys), np.uint32)
+        where[places] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+        del places
         keys = keys[new]
     else:
         keys, where = np.unique(keys, return_inverse=True)
@@ -865,7 +869,7 @@ def log_probabilities(
     contexts = contexts_of(codes, lengths, len(units))
     pairs, where = _distinct_pairs(contexts, len(units))
     logs = -model.log_classes_of_pairs(placed, pairs).take(where)
-    before = np.ascontiguousarray(contexts.T, np.uint32)
+    before = np.ascontiguousarray(contexts.T)
     del contexts, pairs, where
 
     def predicted(some: np.ndarray | slice) -> np.ndarray:
